@@ -175,20 +175,20 @@ def sentence_complexity(spark, d):
 
 @query(
     "lexicon_sentiment",
-    f"WITH {DOC}, {MOOD} SELECT doc_id, round(pol, 6) AS polarity, round(subj, 6) AS subjectivity, matched FROM md",
+    f"WITH {DOC}, {MOOD} SELECT doc_id, round(pol, 10) AS polarity, round(subj, 10) AS subjectivity, matched FROM md",
 )
 def lexicon_sentiment(spark, d):
     docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
     out = tx.lexicon_sentiment(docs, ["doc_id"], "w", v.lexicon(spark))
     return out.select(
-        "doc_id", r6("sentiment_polarity").alias("polarity"), r6("sentiment_subjectivity").alias("subjectivity"), "matched"
+        "doc_id", F.round("sentiment_polarity", 10).alias("polarity"), F.round("sentiment_subjectivity", 10).alias("subjectivity"), "matched"
     )
 
 
 @query(
     "language_features",
-    f"""WITH {DOC}, {MOOD} SELECT doc_id, CAST(len(w) AS INT) AS word_count, round(coalesce(pol, 0), 6) AS polarity,
-      round(coalesce(subj, 0), 6) AS subjectivity,
+    f"""WITH {DOC}, {MOOD} SELECT doc_id, CAST(len(w) AS INT) AS word_count, round(coalesce(pol, 0), 10) AS polarity,
+      round(coalesce(subj, 0), 10) AS subjectivity,
       CASE WHEN len(w) = 0 THEN 0 ELSE round(len(list_distinct(w)) / len(w), 6) END AS richness,
       round(len(w) / greatest(n_sent, 1), 6) AS complexity, length(text) AS chars FROM tk LEFT JOIN md USING (doc_id)""",
 )
@@ -198,8 +198,8 @@ def language_features(spark, d):
     return out.select(
         "doc_id",
         "word_count",
-        r6("sentiment_polarity").alias("polarity"),
-        r6("sentiment_subjectivity").alias("subjectivity"),
+        F.round("sentiment_polarity", 10).alias("polarity"),
+        F.round("sentiment_subjectivity", 10).alias("subjectivity"),
         r6("vocab_richness").alias("richness"),
         r6("sentence_complexity").alias("complexity"),
         F.length("transcription").cast("bigint").alias("chars"),
@@ -226,7 +226,7 @@ def chunk_transcript(spark, d):
     {v.LEX}, md AS (SELECT conv_id, chunk_id, avg(polarity) AS pol, avg(subjectivity) AS subj
       FROM (SELECT conv_id, chunk_id, unnest(w) AS word FROM tk) JOIN lex USING (word) GROUP BY 1, 2)
     SELECT conv_id, chunk_id, substring(text, 1, 200) AS transcription, CAST(len(w) AS INT) AS word_count,
-      round(coalesce(pol, 0), 6) AS polarity, round(coalesce(subj, 0), 6) AS subjectivity,
+      round(coalesce(pol, 0), 10) AS polarity, round(coalesce(subj, 0), 10) AS subjectivity,
       CASE WHEN len(w) = 0 THEN 0 ELSE round(len(list_distinct(w)) / len(w), 6) END AS richness,
       round(len(w) / greatest(n_sent, 1), 6) AS complexity FROM tk LEFT JOIN md USING (conv_id, chunk_id)""",
 )
@@ -239,8 +239,8 @@ def chunk_language(spark, d):
         "chunk_id",
         "transcription",
         "word_count",
-        r6("sentiment_polarity").alias("polarity"),
-        r6("sentiment_subjectivity").alias("subjectivity"),
+        F.round("sentiment_polarity", 10).alias("polarity"),
+        F.round("sentiment_subjectivity", 10).alias("subjectivity"),
         r6("vocab_richness").alias("richness"),
         r6("sentence_complexity").alias("complexity"),
     )

@@ -189,7 +189,7 @@ def render_request(current: dict[str, tuple[str, str]], baseline: dict[str, tupl
 
     def lines(title: str, parts: dict[str, tuple[str, str]]) -> list[Column]:
         body = [
-            F.format_string(f"{name}: {fmt}", F.coalesce(F.col(c), F.lit(0.0))) for name, (c, fmt) in parts.items()
+            F.format_string(f"{name}: {fmt}", F.coalesce(F.col(c), F.lit(0))) for name, (c, fmt) in parts.items()
         ]
         return [F.lit(f"--- {title} ---"), *body]
 

@@ -23,8 +23,19 @@ def with_field_count(df: DataFrame, fields: str, at_least: int) -> DataFrame:
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A fixed lookup table written in the program; its size is known, so it is broadcast."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A fixed lookup table written in the program, as one row of literals that is unfolded.
+
+    Spark sees that it is small and broadcasts it by itself.
+    """
+
+    def literal(v: object) -> Column:
+        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+    structs = [
+        F.struct(*[literal(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def code_lookup(df: DataFrame, codes: DataFrame, key: str, name: str, default: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.operators.decide import Rule
+from lookout.operators.relational import small_table
 from lookout.session import table
 
 CHUNK_SECONDS = 5
@@ -105,7 +106,7 @@ LEX = "lex(word, polarity, subjectivity) AS (VALUES " + ", ".join(
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEXICON), "word string, polarity double, subjectivity double")
+    return small_table(spark, LEXICON, "word string, polarity double, subjectivity double")
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ from lookout.operators.scan import explode_count
 
 SAMPLE_RATE = 16_000
 HEAD_BYTES = 65_536
+LONG_BYTES = 32 << 20  # about 17 minutes
 BYTES_PER_SAMPLE = 2
 
 
@@ -34,7 +35,7 @@ def read_recordings(spark: SparkSession, folder: str, pattern: str = "*.wav") ->
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select("path", "content")
+        .select("path", "length", "content")
     )
 
 
@@ -100,29 +101,37 @@ def recording_chunks(
     rate: int = SAMPLE_RATE,
     keep_tail: bool = False,
     min_seconds: float = 0.5,
+    long_bytes: int = LONG_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks of PCM16 bytes, rejected recordings with a reason).
 
-    Chunks are dealt out by (path, chunk), so that a long recording is not worked on by one task.
+    ``recordings`` has path, length and content. Chunks of recordings above ``long_bytes`` are
+    dealt out to all tasks; those of shorter ones stay where the file was read, without a shuffle.
     The tail is dropped unless ``keep_tail``; then it must last ``min_seconds``.
     """
-    checked = with_wav_head(recordings, rate)
-    rejects = checked.filter(F.col("error").isNotNull()).select("path", "error")
-    there = F.least(F.col("head.bytes"), F.length("content") - F.col("head.start"))
     width = seconds * rate * BYTES_PER_SAMPLE
     shortest = int(min_seconds * rate) * BYTES_PER_SAMPLE if keep_tail else width
-    valid = checked.filter(F.col("error").isNull()).withColumn("__bytes", there)
-    count = F.floor((F.col("__bytes") + F.lit(width - shortest)) / F.lit(width))
-    chunks = explode_count(valid, count, "chunk_id").select(
-        "path",
-        "chunk_id",
-        (F.col("chunk_id") * seconds).alias("chunk_start"),
-        F.expr(
-            f"substring(content, cast(head.start + 1 + chunk_id * {width} as int), "
-            f"cast(least({width}, __bytes - chunk_id * {width}) as int))"
-        ).alias("pcm"),
-    )
-    return chunks.repartition("path", "chunk_id"), rejects
+
+    def cut(part: DataFrame) -> DataFrame:
+        valid = with_wav_head(part, rate).filter(F.col("error").isNull())
+        there = F.least(F.col("head.bytes"), F.length("content") - F.col("head.start"))
+        valid = valid.withColumn("__bytes", there)
+        count = F.floor((F.col("__bytes") + F.lit(width - shortest)) / F.lit(width))
+        return explode_count(valid, count, "chunk_id").select(
+            "path",
+            "chunk_id",
+            (F.col("chunk_id") * seconds).alias("chunk_start"),
+            F.expr(
+                f"substring(content, cast(head.start + 1 + chunk_id * {width} as int), "
+                f"cast(least({width}, __bytes - chunk_id * {width}) as int))"
+            ).alias("pcm"),
+        )
+
+    short = recordings.filter(F.col("length") <= long_bytes)
+    long = recordings.filter(F.col("length") > long_bytes)
+    chunks = cut(short).unionByName(cut(long).repartition("path", "chunk_id"))
+    rejects = with_wav_head(recordings, rate).filter(F.col("error").isNotNull()).select("path", "error")
+    return chunks, rejects
 
 
 def decode_pcm16(pcm: bytes) -> np.ndarray:
