@@ -10,6 +10,7 @@ from lookout.catalog.tables import r6
 from lookout.learn import evaluate as ev
 from lookout.learn import models, prep
 from lookout.operators.neighbours import knn_in_class as nearest
+from lookout.plans import jobs
 from lookout.plans import views as v
 from lookout.session import scratch_path, settled, table
 
@@ -247,7 +248,7 @@ GBT_ITERATIONS, FOREST_TREES = 5, 20
 
 def training_days(spark, d):
     """User-days with an id, a class and a train/test mark, written once."""
-    days = scored_days(spark, d).withColumn("id", F.concat_ws("|", "user_id", "day"))
+    days = scored_days(spark, d).withColumn("id", F.col("user_id") * 100_000 + F.unix_date("day"))
     days = days.select("id", *FEATURES, F.col("risk").cast("double").alias("label"))
     split = prep.stratified_split(days, "label", "id")
     return settled(prep.with_class_weight(split, "label", "id"))
@@ -270,8 +271,11 @@ def test_accuracy(model, days):
 
 @query("model_gbt")
 def model_gbt(spark, d):
+    """Trained on classes brought to equal size, tested on untouched rows."""
     days = training_days(spark, d)
-    return test_accuracy(gbt_model(days), days)
+    train = days.filter(~F.col("is_test"))
+    model = jobs.balanced_training(train, FEATURES, "label", "id", models.gbt(GBT_ITERATIONS))
+    return test_accuracy(model, days)
 
 
 @query("model_rf")

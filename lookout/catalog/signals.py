@@ -181,12 +181,12 @@ def recordings(spark, d):
             out.append(files.wav_content(np.tile(x, 1250 * (1 + i % 2) + 10), 8_000 if i % 20 == 0 else 16_000))
         return pd.Series(out)
 
-    # One large source file would leave the making of the recordings to one task.
-    e = table(spark, d, "embeddings").repartition("vec_id")
+    # The vectors are few bytes and make long recordings, so they are dealt out first.
+    e = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
     return e.select(
         F.concat(F.lit("/corpus/"), F.col("vec_id"), F.lit(".wav")).alias("path"),
         (((F.col("vec_id") % 2 + 1) * 1250 + 10) * 64 * 2 + 44).alias("length"),
-        as_wav("vec_id", "embedding").alias("content"),
+        as_wav.asNondeterministic()("vec_id", "embedding").alias("content"),
     )
 
 

@@ -83,6 +83,10 @@ def wav_head(head: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rate", "channels", "bits", "start", "bytes", "error"])
 
 
+# Not to be run a second time for a filter on its result.
+wav_head = wav_head.asNondeterministic()
+
+
 def with_wav_head(recordings: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
     """Adds ``head`` and ``error``. Only the first bytes of a file go to Python."""
     head = wav_head(F.substring(F.col("content"), 1, HEAD_BYTES))
