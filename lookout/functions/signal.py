@@ -27,6 +27,7 @@ N_MFCC, N_MELS = 13, 40
 ONSET_WIDTH, ONSET_DELTA_DB = 3, 6.0
 VOICED_FROM = 0.3
 FLOOR = 1e-10
+CACHED_FRAMES = 32
 
 
 # --- frames as array expressions -------------------------------------------------------
@@ -154,8 +155,15 @@ def harmonicity_db(height: np.ndarray) -> np.ndarray:
     return 10.0 * np.log10(r / (1.0 - r))
 
 
-def spectral_shape(magnitude: np.ndarray, hz: np.ndarray, share: float = ROLLOFF) -> tuple[np.ndarray, np.ndarray]:
-    """(centroid, roll-off) of magnitude spectra; 0 for silence."""
+def power_spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(power, frequencies) of frames."""
+    spectrum = np.fft.rfft(x, axis=1)
+    return spectrum.real**2 + spectrum.imag**2, np.arange(x.shape[1] // 2 + 1) * (rate / x.shape[1])
+
+
+def spectral_shape(power: np.ndarray, hz: np.ndarray, share: float = ROLLOFF) -> tuple[np.ndarray, np.ndarray]:
+    """(centroid, roll-off) of the magnitudes; 0 for silence."""
+    magnitude = np.sqrt(power)
     upto = magnitude.cumsum(axis=1)
     total = upto[:, -1]
     safe = np.where(total > 0, total, 1.0)
@@ -176,18 +184,29 @@ def mel_matrix(rate: float, n: int, n_mels: int = N_MELS) -> np.ndarray:
     return np.maximum(0.0, np.minimum(up, down))
 
 
-def mfcc(magnitude: np.ndarray, rate: float, n: int, count: int = N_MFCC, n_mels: int = N_MELS) -> np.ndarray:
-    """DCT-II of the log mel power spectrum, first ``count`` coefficients."""
-    mel_db = 10.0 * np.log10(np.maximum(magnitude**2 @ mel_matrix(rate, n, n_mels).T, FLOOR))
+@lru_cache(maxsize=8)
+def cosine_basis(count: int, n_mels: int) -> np.ndarray:
     k, m = np.arange(count)[:, None], np.arange(n_mels)[None, :]
     basis = np.cos(np.pi * k * (2 * m + 1) / (2 * n_mels)) * np.sqrt(2.0 / n_mels)
     basis[0] /= np.sqrt(2.0)
-    return mel_db @ basis.T
+    return basis
+
+
+def mfcc(power: np.ndarray, rate: float, n: int, count: int = N_MFCC, n_mels: int = N_MELS) -> np.ndarray:
+    """DCT-II of the log mel power spectrum, first ``count`` coefficients."""
+    mel_db = 10.0 * np.log10(np.maximum(power @ mel_matrix(rate, n, n_mels).T, FLOOR))
+    return mel_db @ cosine_basis(count, n_mels).T
 
 
-def spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(magnitudes, frequencies) of frames."""
-    return np.abs(np.fft.rfft(x, axis=1)), np.arange(x.shape[1] // 2 + 1) * (rate / x.shape[1])
+def spectral_kernel(x: np.ndarray, rate: float, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """(lag, height, centroid, roll-off, mfcc) of frames, a few frames at a time to stay in the cache."""
+    parts = []
+    for block in (x[i : i + CACHED_FRAMES] for i in range(0, len(x), CACHED_FRAMES)):
+        power, hz = power_spectrum(block, rate)
+        parts.append(
+            (*autocorrelation_peak(block, rate, low, high), *spectral_shape(power, hz), mfcc(power, rate, x.shape[1]))
+        )
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def matrices(samples: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -210,13 +229,11 @@ def spectral_measures(samples: str, rate: float, low: float = PITCH_LOW, high: f
         out["lag"] = np.zeros(len(frames), dtype=np.int64)
         cepstra: list = [None] * len(frames)
         for rows, x in matrices(frames):
-            lag, height = autocorrelation_peak(x, rate, low, high)
+            lag, height, out["centroid"][rows], out["rolloff"][rows], found = spectral_kernel(x, rate, low, high)
             out["lag"][rows] = lag
             out["pitch"][rows] = np.where(lag > 0, rate / np.maximum(lag, 1), 0.0)
             out["hnr"][rows] = harmonicity_db(height)
-            magnitude, hz = spectrum(x, rate)
-            out["centroid"][rows], out["rolloff"][rows] = spectral_shape(magnitude, hz)
-            for row, values in zip(rows, mfcc(magnitude, rate, x.shape[1])):
+            for row, values in zip(rows, found):
                 cepstra[row] = values
         return pd.DataFrame({**out, "mfcc": cepstra})
 
@@ -226,74 +243,99 @@ def spectral_measures(samples: str, rate: float, low: float = PITCH_LOW, high: f
 # --- recordings ------------------------------------------------------------------------
 
 FRAME_MEASURES = ("energy", "zcr", "pitch", "hnr", "spectral_centroid", "spectral_rolloff")
-
-
-def measured_frames(chunks: DataFrame, rate: int, length: int, hop: int) -> DataFrame:
-    """Frame rows with all measures, from rows of PCM16 chunk bytes. Frames without a pitch have NULL there."""
-    schema = T.StructType(
-        [
-            T.StructField("path", T.StringType()),
-            T.StructField("chunk_id", T.LongType()),
-            T.StructField("frame", T.LongType()),
-            *[T.StructField(c, T.DoubleType()) for c in FRAME_MEASURES],
-            T.StructField("mfcc", T.ArrayType(T.DoubleType())),
-        ]
-    )
+MFCCS = tuple(f"mfcc_{i + 1}" for i in range(N_MFCC))
+FRAMES = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("chunk_id", T.LongType()),
+        T.StructField("frame", T.LongType()),
+        *[T.StructField(c, T.DoubleType()) for c in FRAME_MEASURES],
+        T.StructField("loud", T.BooleanType()),
+        T.StructField("onset", T.BooleanType()),
+        *[T.StructField(c, T.DoubleType()) for c in MFCCS],
+    ]
+)
+
+
+def loud_and_onset(energy: np.ndarray, top_db: float, width: int, delta_db: float) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of ``loud`` and ``onset_rows`` for the frames of one chunk."""
+    top = energy.max()
+    db = 20.0 * np.log10(energy + FLOOR)
+    is_loud = energy > top * 10.0 ** (-top_db / 20.0)
+    upto = np.concatenate([[0.0], db.cumsum()])
+    at = np.arange(len(db))
+    first, last = np.maximum(at - width, 0), np.minimum(at + width + 1, len(db))
+    around = (upto[last] - upto[first]) / (last - first)
+    onset = np.zeros(len(db), dtype=bool)
+    onset[1:-1] = (db[1:-1] > db[:-2]) & (db[1:-1] >= db[2:]) & (db[1:-1] >= around[1:-1] + delta_db)
+    return is_loud, onset
+
+
+def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) -> dict[str, np.ndarray] | None:
+    """All frame measures of one chunk. Frames without a pitch have NaN there."""
+    y = decode_pcm16(pcm)
+    if len(y) < length:
+        return None
+    x = np.lib.stride_tricks.sliding_window_view(y, length)[::hop]
+    start = np.arange(len(x)) * hop
+    # Sums over frames from running sums over the chunk.
+    squares = np.concatenate([[0.0], np.cumsum(y * y)])
+    changes = np.concatenate([[0], np.cumsum((y[1:] >= 0) != (y[:-1] >= 0))])
+    energy = np.sqrt((squares[start + length] - squares[start]) / length)
+    lag, height, centroid, rolloff, cepstra = spectral_kernel(x, rate, PITCH_LOW, PITCH_HIGH)
+    voiced = (lag > 0) & (height >= VOICED_FROM)
+    is_loud, onset = loud_and_onset(energy, top_db, ONSET_WIDTH, ONSET_DELTA_DB)
+    return {
+        "frame": np.arange(len(x)),
+        "energy": energy,
+        "zcr": (changes[start + length - 1] - changes[start]) / length,
+        "pitch": np.where(voiced, rate / np.maximum(lag, 1), np.nan),
+        "hnr": harmonicity_db(height),
+        "spectral_centroid": centroid,
+        "spectral_rolloff": rolloff,
+        "loud": is_loud,
+        "onset": onset,
+        **dict(zip(MFCCS, cepstra.T)),
+    }
+
+
+def measured_frames(chunks: DataFrame, rate: int, length: int, hop: int, top_db: float = TOP_DB) -> DataFrame:
+    """Frame rows with all measures, from rows of PCM16 chunk bytes."""
 
     def frames_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, chunk_id, pcm in zip(batch["path"], batch["chunk_id"], batch["pcm"]):
-                y = decode_pcm16(pcm)
-                if len(y) < length:
-                    continue
-                x = np.lib.stride_tricks.sliding_window_view(y, length)[::hop]
-                lag, height = autocorrelation_peak(x, rate, PITCH_LOW, PITCH_HIGH)
-                voiced = (lag > 0) & (height >= VOICED_FROM)
-                magnitude, hz = spectrum(x, rate)
-                centroid, rolloff = spectral_shape(magnitude, hz)
-                sign = x >= 0
-                yield pd.DataFrame(
-                    {
-                        "path": path,
-                        "chunk_id": chunk_id,
-                        "frame": np.arange(len(x)),
-                        "energy": np.sqrt((x * x).mean(axis=1)),
-                        "zcr": (sign[:, 1:] != sign[:, :-1]).sum(axis=1) / length,
-                        "pitch": np.where(voiced, rate / np.maximum(lag, 1), np.nan),
-                        "hnr": harmonicity_db(height),
-                        "spectral_centroid": centroid,
-                        "spectral_rolloff": rolloff,
-                        "mfcc": list(mfcc(magnitude, rate, length)),
-                    }
-                )
-
-    rows = chunks.select("path", "chunk_id", "pcm").mapInPandas(frames_of, schema)
+            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 32)):
+                parts = []
+                for path, chunk_id, pcm in batch.iloc[part].itertuples(index=False):
+                    measures = chunk_frames(pcm, rate, length, hop, top_db)
+                    if measures is not None:
+                        parts.append(pd.DataFrame({"path": path, "chunk_id": chunk_id, **measures}))
+                if parts:
+                    yield pd.concat(parts, ignore_index=True)
+
+    rows = chunks.select("path", "chunk_id", "pcm").mapInPandas(frames_of, FRAMES)
     return rows.withColumn("pitch", F.nanvl("pitch", F.lit(None).cast("double")))
 
 
-def chunk_features(frames: DataFrame, rate: int, length: int, hop: int, top_db: float = TOP_DB) -> DataFrame:
-    """One feature row per (path, chunk): means and spreads, pause ratio, onset rate, mean MFCCs."""
-
+def chunk_features(frames: DataFrame, rate: int, length: int, hop: int) -> DataFrame:
+    """One feature row per (path, chunk): means and spreads, pause ratio, onset rate, mean MFCCs.
 
-    keys = ["path", "chunk_id"]
-    # Frames of one chunk are a few hundred, so they meet in one window partition.
-    whole = Window.partitionBy(*keys)
-    marked = onset_rows(frames, keys, "frame", "energy", ONSET_WIDTH, ONSET_DELTA_DB)
-    marked = marked.withColumn("__loud", loud(F.col("energy"), F.max("energy").over(whole), top_db))
+    The frames of a chunk come out of one task, so they are summed up before the shuffle.
+    """
     seconds = ((F.count(F.lit(1)) - 1) * hop + length) / float(rate)
     zero = F.lit(0.0)
-    return marked.groupBy(*keys).agg(
+    return frames.groupBy("path", "chunk_id").agg(
         F.coalesce(F.avg("pitch"), zero).alias("pitch_mean"),
         F.coalesce(F.stddev_pop("pitch"), zero).alias("pitch_std"),
         F.avg("energy").alias("energy_mean"),
         F.stddev_pop("energy").alias("energy_std"),
         (F.count_if("onset") / seconds).alias("speech_rate"),
-        (1 - F.count_if("__loud") / F.count(F.lit(1))).alias("pause_ratio"),
+        (1 - F.count_if("loud") / F.count(F.lit(1))).alias("pause_ratio"),
         F.avg("hnr").alias("hnr"),
         F.avg("zcr").alias("zcr_mean"),
         F.avg("spectral_centroid").alias("spectral_centroid_mean"),
         F.avg("spectral_rolloff").alias("spectral_rolloff_mean"),
-        *[F.avg(F.get("mfcc", F.lit(i))).alias(f"mfcc_{i + 1}") for i in range(N_MFCC)],
+        *[F.avg(c).alias(c) for c in MFCCS],
     )
 
 
@@ -308,5 +350,4 @@ def signal_features(
 ) -> tuple[DataFrame, DataFrame]:
     """(feature row per recording and chunk, rejected recordings with a reason)."""
     chunks, rejects = recording_chunks(recordings, seconds, rate, keep_tail, min_seconds)
-    frames = measured_frames(chunks, rate, length, hop)
-    return chunk_features(frames, rate, length, hop), rejects
+    return chunk_features(measured_frames(chunks, rate, length, hop), rate, length, hop), rejects

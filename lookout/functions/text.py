@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.operators.relational import interval_join
 from lookout.operators.scan import many_to_one
 
+WORD = r"[\p{L}\p{N}]+"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.!?]+\s*"
 KEEP_TEXT = 200
+MAX_VOCABULARY = 2_000
+NEGATED = "!"  # no word has it
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def sentences(text: Column) -> Column:
@@ -24,7 +29,8 @@ def sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """The size of ``words``, without building them."""
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def vocab_richness(tokens: Column) -> Column:
@@ -40,69 +46,111 @@ def truncate(text: Column, length: int = KEEP_TEXT) -> Column:
     return F.substring(text, 1, length)
 
 
-def lexicon_sentiment(
-    texts: DataFrame,
-    ids: Sequence[str],
-    tokens: str,
-    lexicon: DataFrame,
-    negations: Sequence[str] = (),
+def _marked(tokens: Column, negations: Sequence[str]) -> Column:
+    """Words, with a mark in front of those that follow a negation."""
+    if not negations:
+        return tokens
+    return F.transform(
+        tokens, lambda w, i: F.when(F.get(tokens, i - 1).isin(*negations), F.concat(F.lit(NEGATED), w)).otherwise(w)
+    )
+
+
+def with_sentiment(texts: DataFrame, tokens: str, lexicon: DataFrame, negations: Sequence[str] = ()) -> DataFrame | None:
+    """Adds matched, sentiment_polarity and sentiment_subjectivity without moving any text.
+
+    Counts of the lexicon words come from a vocabulary that Spark sends to every task, so this is
+    for lexicons of at most ``MAX_VOCABULARY`` words; for larger ones the result is None.
+    """
+    entries = lexicon.select("word", "polarity", "subjectivity").limit(MAX_VOCABULARY + 1).collect()
+    if not 0 < len(entries) <= MAX_VOCABULARY:
+        return None
+    if negations:
+        entries = entries + [(NEGATED + w, -p, s) for w, p, s in entries]
+    vocabulary = [w for w, _, _ in entries]
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__words", outputCol="__counts")
+    counted = counter.transform(texts.withColumn("__words", _marked(F.col(tokens), negations)))
+    counted = counted.withColumn("__n", vector_to_array("__counts")).drop("__words", "__counts")
+
+    def weighted(weights: list[float]) -> Column:
+        products = F.zip_with("__n", F.array(*[F.lit(float(x)) for x in weights]), lambda n, x: n * x)
+        return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+    counted = counted.withColumn("matched", F.aggregate("__n", F.lit(0.0), lambda a, n: a + n).cast("bigint"))
+    return counted.withColumns(
+        {
+            "sentiment_polarity": F.try_divide(weighted([p for _, p, _ in entries]), F.col("matched")),
+            "sentiment_subjectivity": F.try_divide(weighted([s for _, _, s in entries]), F.col("matched")),
+        }
+    ).drop("__n")
+
+
+def joined_sentiment(
+    texts: DataFrame, ids: Sequence[str], tokens: str, lexicon: DataFrame, negations: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean polarity and subjectivity over the words found in the lexicon; texts without one are absent.
+    """The same for a lexicon of any size, by a join on the word. Texts without a match are absent.
 
-    ``lexicon`` has word, polarity, subjectivity, one row per word. Each text is first counted
-    per word, so a frequent word is one row per text. A word after one of ``negations`` counts
-    with reversed polarity.
+    Each text is first counted per word, so a frequent word is one row per text.
     """
-    pairs = F.transform(
-        F.col(tokens),
-        lambda w, i: F.struct(
-            w.alias("word"),
-            F.coalesce(F.get(F.col(tokens), i - 1).isin(*negations), F.lit(False)).alias("negated")
-            if negations
-            else F.lit(False).alias("negated"),
-        ),
-    )
+    negated = F.lit(False)
+    word = F.col("w")
+    if negations:
+        negated = F.startswith(word, F.lit(NEGATED))
+        word = F.regexp_replace(word, f"^{NEGATED}", "")
     counted = (
-        texts.select(*ids, F.explode(pairs).alias("t"))
-        .groupBy(*ids, "t.word", "t.negated")
+        texts.select(*ids, F.explode(_marked(F.col(tokens), negations)).alias("w"))
+        .groupBy(*ids, word.alias("word"), negated.alias("negated"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
     hits = many_to_one(counted, lexicon, ["word"], "inner", spread_by=ids)
     sign = F.when(F.col("negated"), -1.0).otherwise(1.0)
     total = F.sum("c")
     return hits.groupBy(*ids).agg(
+        total.alias("matched"),
         (F.sum(F.col("polarity") * sign * F.col("c")) / total).alias("sentiment_polarity"),
         (F.sum(F.col("subjectivity") * F.col("c")) / total).alias("sentiment_subjectivity"),
-        total.alias("matched"),
     )
 
 
-def language_features(texts: DataFrame, ids: Sequence[str], text: str, lexicon: DataFrame) -> DataFrame:
+def lexicon_sentiment(
+    texts: DataFrame, ids: Sequence[str], tokens: str, lexicon: DataFrame, negations: Sequence[str] = ()
+) -> DataFrame:
+    """Mean polarity and subjectivity over the words found in the lexicon; texts without one are absent.
+
+    ``lexicon`` has word, polarity, subjectivity, one row per word. A word after one of
+    ``negations`` counts with reversed polarity.
+    """
+    local = with_sentiment(texts.select(*ids, tokens), tokens, lexicon, negations)
+    if local is None:
+        return joined_sentiment(texts, ids, tokens, lexicon, negations)
+    return local.filter(F.col("matched") > 0).drop(tokens)
+
+
+def language_features(
+    texts: DataFrame, ids: Sequence[str], text: str, lexicon: DataFrame, negations: Sequence[str] = ()
+) -> DataFrame:
     """The six text measures per text. Empty text gives zeros, missing text gives NULLs."""
     ids = list(ids)
-    t = F.col(text)
-    measured = (
-        texts.withColumn("__tokens", words(t))
-        .select(
-            *ids,
-            F.col("__tokens"),
-            t.isNull().alias("__none"),
-            t.alias("transcription"),
-            F.when(t.isNotNull(), F.size("__tokens")).alias("word_count"),
-            F.when(t.isNotNull(), vocab_richness(F.col("__tokens"))).alias("vocab_richness"),
-            F.when(t.isNotNull(), sentence_complexity(F.col("__tokens"), t)).alias("sentence_complexity"),
-        )
-    )
-    mood = lexicon_sentiment(measured, ids, "__tokens", lexicon).drop("matched")
-    zero = F.when(~F.col("__none"), 0.0)
-    return measured.drop("__tokens").join(mood, ids, "left").select(
+    t, tokens = F.col(text), F.col("__tokens")
+
+    def unless_missing(value: Column) -> Column:
+        return F.when(t.isNotNull(), value)
+
+    base = texts.select(*ids, t, words(t).alias("__tokens"))
+    moods = ["matched", "sentiment_polarity", "sentiment_subjectivity"]
+    measured = with_sentiment(base.withColumn("__tokens", F.coalesce(tokens, F.array().cast("array<string>"))),
+                              "__tokens", lexicon, negations)
+    if measured is None:
+        found = joined_sentiment(base, ids, "__tokens", lexicon, negations)
+        measured = base.join(found.select(*ids, *moods), ids, "left")
+    zero = F.lit(0.0)
+    return measured.select(
         *ids,
-        "transcription",
-        "word_count",
-        F.coalesce("sentiment_polarity", zero).alias("sentiment_polarity"),
-        F.coalesce("sentiment_subjectivity", zero).alias("sentiment_subjectivity"),
-        "vocab_richness",
-        "sentence_complexity",
+        t.alias("transcription"),
+        unless_missing(F.size(tokens)).alias("word_count"),
+        unless_missing(F.coalesce("sentiment_polarity", zero)).alias("sentiment_polarity"),
+        unless_missing(F.coalesce("sentiment_subjectivity", zero)).alias("sentiment_subjectivity"),
+        unless_missing(vocab_richness(tokens)).alias("vocab_richness"),
+        unless_missing(sentence_complexity(tokens, t)).alias("sentence_complexity"),
     )
 
 

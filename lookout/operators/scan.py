@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lookout.session import settled
+
 ROWS_PER_TASK = 2_000_000
 MAX_SLICES = 16_384
 SLICE = "__slice"
@@ -160,6 +162,7 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    counts = settled(counts)
     scan = OrderedScan(counts, keys, ["__v"], rows_per_task).running({"__upto": F.col("__c")})
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     if keys:
