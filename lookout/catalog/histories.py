@@ -101,7 +101,7 @@ def local_peaks(spark, d):
     "session_agg",
     """WITH e AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER w AS pause FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    s AS (SELECT user_id, ts, sum(CASE WHEN pause IS NULL OR pause >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+    s AS (SELECT user_id, ts, sum(CASE WHEN pause IS NULL OR pause > INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
       OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM e)
     SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, no""",
 )

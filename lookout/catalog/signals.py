@@ -134,10 +134,11 @@ def frame_hnr(spark, d):
     return spectra(spark, d).select("vec_id", r6("m.hnr").alias("hnr"))
 
 
-DFT = f"""{v.FR}, sp AS (SELECT vec_id, k, sqrt(
-    pow(list_sum(list_transform(range(0, 64), lambda i: samples[i + 1] * cos(2 * pi() * k * i / 64))), 2) +
-    pow(list_sum(list_transform(range(0, 64), lambda i: samples[i + 1] * sin(2 * pi() * k * i / 64))), 2)) AS mag
-  FROM fr, range(0, 33) r(k))"""
+DFT = f"""{v.FR}, win AS (SELECT list_transform(range(0, 64), lambda i: 0.5 - 0.5 * cos(2 * pi() * i / 64)) AS hann),
+sp AS (SELECT vec_id, k, sqrt(
+    pow(list_sum(list_transform(range(0, 64), lambda i: hann[i + 1] * samples[i + 1] * cos(2 * pi() * k * i / 64))), 2) +
+    pow(list_sum(list_transform(range(0, 64), lambda i: hann[i + 1] * samples[i + 1] * sin(2 * pi() * k * i / 64))), 2)) AS mag
+  FROM fr, win, range(0, 33) r(k))"""
 
 
 @query(

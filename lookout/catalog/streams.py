@@ -131,7 +131,7 @@ def sliding_agg(spark, d):
     "stream_sessions",
     """WITH e AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER w AS pause FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    s AS (SELECT user_id, ts, sum(CASE WHEN pause IS NULL OR pause >= INTERVAL 2 HOUR THEN 1 ELSE 0 END)
+    s AS (SELECT user_id, ts, sum(CASE WHEN pause IS NULL OR pause > INTERVAL 2 HOUR THEN 1 ELSE 0 END)
       OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM e),
     g AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, no)
     SELECT user_id, epoch_us(first_ts) AS start, epoch_us(last_ts + INTERVAL 2 HOUR) AS "end", n FROM g

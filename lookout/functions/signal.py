@@ -23,9 +23,9 @@ FRAME_LENGTH, HOP = 2048, 512
 PITCH_LOW, PITCH_HIGH = 80.0, 400.0
 TOP_DB = 30.0
 ROLLOFF = 0.85
-N_MFCC, N_MELS = 13, 40
+N_MFCC, N_MELS, MEL_RANGE_DB = 13, 128, 80.0
 ONSET_WIDTH, ONSET_DELTA_DB = 3, 6.0
-VOICED_FROM = 0.3
+VOICED_FROM = 0.45
 FLOOR = 1e-10
 CACHED_FRAMES = 32
 
@@ -155,9 +155,14 @@ def harmonicity_db(height: np.ndarray) -> np.ndarray:
     return 10.0 * np.log10(r / (1.0 - r))
 
 
+@lru_cache(maxsize=8)
+def hann(n: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
+
+
 def power_spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(power, frequencies) of frames."""
-    spectrum = np.fft.rfft(x, axis=1)
+    """(power, frequencies) of frames under a Hann window."""
+    spectrum = np.fft.rfft(x * hann(x.shape[1]), axis=1)
     return spectrum.real**2 + spectrum.imag**2, np.arange(x.shape[1] // 2 + 1) * (rate / x.shape[1])
 
 
@@ -173,15 +178,21 @@ def spectral_shape(power: np.ndarray, hz: np.ndarray, share: float = ROLLOFF) ->
     return centroid, rolloff
 
 
+def mel_to_hz(mel: np.ndarray) -> np.ndarray:
+    """Slaney's mel scale: linear up to 1 kHz (15 mel), logarithmic above."""
+    return np.where(mel < 15.0, mel * 200.0 / 3.0, 1000.0 * np.exp(np.log(6.4) / 27.0 * (mel - 15.0)))
+
+
 @lru_cache(maxsize=8)
 def mel_matrix(rate: float, n: int, n_mels: int = N_MELS) -> np.ndarray:
-    """Triangular filters, evenly spaced on the mel scale 2595 log10(1 + f / 700)."""
-    top = 2595.0 * np.log10(1.0 + rate / 2 / 700.0)
-    edges = 700.0 * (10.0 ** (np.linspace(0.0, top, n_mels + 2) / 2595.0) - 1.0)
+    """Triangular filters of equal area, evenly spaced on the mel scale up to half the rate."""
+    top = rate / 2.0
+    top_mel = top * 3.0 / 200.0 if top < 1000.0 else 15.0 + 27.0 * np.log(top / 1000.0) / np.log(6.4)
+    edges = mel_to_hz(np.linspace(0.0, top_mel, n_mels + 2))
     hz = np.arange(n // 2 + 1) * (rate / n)
     up = (hz[None, :] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - hz[None, :]) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0.0, np.minimum(up, down))
+    return np.maximum(0.0, np.minimum(up, down)) * (2.0 / (edges[2:] - edges[:-2]))[:, None]
 
 
 @lru_cache(maxsize=8)
@@ -192,19 +203,23 @@ def cosine_basis(count: int, n_mels: int) -> np.ndarray:
     return basis
 
 
-def mfcc(power: np.ndarray, rate: float, n: int, count: int = N_MFCC, n_mels: int = N_MELS) -> np.ndarray:
-    """DCT-II of the log mel power spectrum, first ``count`` coefficients."""
-    mel_db = 10.0 * np.log10(np.maximum(power @ mel_matrix(rate, n, n_mels).T, FLOOR))
-    return mel_db @ cosine_basis(count, n_mels).T
+def mel_db(power: np.ndarray, rate: float, n: int, n_mels: int = N_MELS) -> np.ndarray:
+    return 10.0 * np.log10(np.maximum(power @ mel_matrix(rate, n, n_mels).T, FLOOR))
+
+
+def mfcc(levels: np.ndarray, count: int = N_MFCC, range_db: float = MEL_RANGE_DB) -> np.ndarray:
+    """DCT-II of mel levels, first ``count`` coefficients; levels far below the highest one are raised."""
+    levels = np.maximum(levels, levels.max() - range_db)
+    return levels @ cosine_basis(count, levels.shape[1]).T
 
 
 def spectral_kernel(x: np.ndarray, rate: float, low: float, high: float) -> tuple[np.ndarray, ...]:
-    """(lag, height, centroid, roll-off, mfcc) of frames, a few frames at a time to stay in the cache."""
+    """(lag, height, centroid, roll-off, mel levels) of frames, a few frames at a time to stay in the cache."""
     parts = []
     for block in (x[i : i + CACHED_FRAMES] for i in range(0, len(x), CACHED_FRAMES)):
         power, hz = power_spectrum(block, rate)
         parts.append(
-            (*autocorrelation_peak(block, rate, low, high), *spectral_shape(power, hz), mfcc(power, rate, x.shape[1]))
+            (*autocorrelation_peak(block, rate, low, high), *spectral_shape(power, hz), mel_db(power, rate, x.shape[1]))
         )
     return tuple(np.concatenate(column) for column in zip(*parts))
 
@@ -233,8 +248,8 @@ def spectral_measures(samples: str, rate: float, low: float = PITCH_LOW, high: f
             out["lag"][rows] = lag
             out["pitch"][rows] = np.where(lag > 0, rate / np.maximum(lag, 1), 0.0)
             out["hnr"][rows] = harmonicity_db(height)
-            for row, values in zip(rows, found):
-                cepstra[row] = values
+            for row, levels in zip(rows, found):
+                cepstra[row] = mfcc(levels[None, :])[0]
         return pd.DataFrame({**out, "mfcc": cepstra})
 
     return measure(F.col(samples))
@@ -282,7 +297,7 @@ def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) ->
     squares = np.concatenate([[0.0], np.cumsum(y * y)])
     changes = np.concatenate([[0], np.cumsum((y[1:] >= 0) != (y[:-1] >= 0))])
     energy = np.sqrt((squares[start + length] - squares[start]) / length)
-    lag, height, centroid, rolloff, cepstra = spectral_kernel(x, rate, PITCH_LOW, PITCH_HIGH)
+    lag, height, centroid, rolloff, levels = spectral_kernel(x, rate, PITCH_LOW, PITCH_HIGH)
     voiced = (lag > 0) & (height >= VOICED_FROM)
     is_loud, onset = loud_and_onset(energy, top_db, ONSET_WIDTH, ONSET_DELTA_DB)
     return {
@@ -295,7 +310,7 @@ def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) ->
         "spectral_rolloff": rolloff,
         "loud": is_loud,
         "onset": onset,
-        **dict(zip(MFCCS, cepstra.T)),
+        **dict(zip(MFCCS, mfcc(levels).T)),
     }
 
 

@@ -143,10 +143,10 @@ def active_islands(
 def sessions(
     events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Batch sessions: a new one starts after a pause of at least ``gap_seconds``."""
+    """Batch sessions: a new one starts after a pause of more than ``gap_seconds``, as in a session window."""
     timed = events.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
     scan = OrderedScan(timed, [key], ["__us", tie], rows_per_task).previous({"__before": "__us"})
-    fresh = F.col("__before").isNull() | (F.col("__us") - F.col("__before") >= gap_seconds * 1_000_000)
+    fresh = F.col("__before").isNull() | (F.col("__us") - F.col("__before") > gap_seconds * 1_000_000)
     numbered = scan.running({"__session": F.when(fresh, 1).otherwise(0).cast("bigint")}).done()
     return (
         numbered.groupBy(key, "__session")
