@@ -56,7 +56,7 @@ def tsv_roundtrip(spark, d):
         "conv_id", "turn", F.col("role").alias("speaker"), "start_time", F.col("text").alias("value")
     )
     tables.write_text_table(turns, path, "\t")
-    back = tables.read_text_table(spark, path, TRANSCRIPT, "\t")
+    back = tables.read_text_table(spark, path, TRANSCRIPT, "\t", multi_line=True)
     return back.withColumn("corrupt", F.col(tables.CORRUPT).isNotNull()).drop(tables.CORRUPT)
 
 

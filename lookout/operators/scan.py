@@ -84,7 +84,8 @@ class OrderedScan:
         )
         bounds = sorted(set(bounds or []))
         place = position_in(F.array(*[F.lit(float(b)) for b in bounds]), len(bounds), at.cast("double"))
-        self.df = marked.withColumn(SLICE, F.when(F.col("__large"), place).otherwise(F.lit(0))).drop("__large")
+        # Rows of ordinary keys have no slice, so they take no part in the totals and match nothing.
+        self.df = marked.withColumn(SLICE, F.when(F.col("__large"), place)).drop("__large")
         self.split = True
 
     @property
@@ -103,7 +104,7 @@ class OrderedScan:
         zero = F.lit(0)
         earlier = None
         if self.split:
-            totals = self.df.groupBy(*self._group).agg(*[F.sum(c).alias(f"__e_{o}") for o, c in sums.items()])
+            totals = self.df.filter(F.col(SLICE).isNotNull()).groupBy(*self._group).agg(*[F.sum(c).alias(f"__e_{o}") for o, c in sums.items()])
             before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
             earlier = totals.withColumns({f"__e_{o}": F.sum(f"__e_{o}").over(before) for o in sums})
         self.df = self.df.withColumns({o: F.coalesce(F.sum(c).over(frame), zero) for o, c in sums.items()})
@@ -125,7 +126,7 @@ class OrderedScan:
         if not self.split:
             self.df = self.df.withColumns({o: F.lag(c).over(w) for o, c in values.items()})
             return self
-        last = self.df.groupBy(*self._group).agg(
+        last = self.df.filter(F.col(SLICE).isNotNull()).groupBy(*self._group).agg(
             F.max_by(F.struct(*[F.col(c).alias(o) for o, c in values.items()]), F.struct(*self.order)).alias("__last")
         )
         by_slice = Window.partitionBy(*self.keys).orderBy(SLICE)
@@ -190,11 +191,11 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, rank:
     """Pseudo-random 1-based rank of each row within its key, and the size of the key.
 
     Rows are ordered by the MD5 of id and seed. The first hex digits of it cut every key
-    into 4,096 even parts, so a key that holds most of the table is spread as well.
+    into 65,536 even parts, so a key that holds most of the table is spread as well.
     """
     keys = list(keys)
     mixed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))))
-    mixed = mixed.withColumn("__part", F.substring("__h", 1, 3))
+    mixed = mixed.withColumn("__part", F.substring("__h", 1, 4))
     parts = mixed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
     along = Window.partitionBy(*keys).orderBy("__part")
     parts = parts.select(

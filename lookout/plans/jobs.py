@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.functions.signal import FRAME_LENGTH, HOP, chunk_features, measured_frames
-from lookout.functions.text import chunk_language
+from lookout.functions.text import chunk_transcript, language_features, truncate
 from lookout.learn import models, prep
 from lookout.operators import decide
-from lookout.operators.relational import chunk_spine, with_defaults
+from lookout.operators.relational import with_defaults
 from lookout.operators.windows import expanding_baseline
 from lookout.session import settled
-from lookout.sources.files import SAMPLE_RATE, recording_chunks, with_wav_head
+from lookout.sources.files import SAMPLE_RATE, recording_chunks
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -55,13 +55,13 @@ def corpus_features(
     chunks, _ = recording_chunks(recordings, seconds, rate)
     signal = chunk_features(measured_frames(chunks, rate, FRAME_LENGTH, HOP), rate, FRAME_LENGTH, HOP)
     signal = signal.withColumn("subject", subject_of).drop("path")
-    heads = with_wav_head(recordings, rate).filter(F.col("error").isNull())
-    lengths = heads.select(
-        subject_of.alias("subject"), (F.col("head.bytes") / F.lit(2.0 * rate)).alias("total")
-    )
-    spine = chunk_spine(lengths, "total", seconds)
-    text = chunk_language(spine, utterances, "subject", "start_time", "turn", "value", seconds, lexicon)
-    joined = with_defaults(signal.join(text, ["subject", "chunk_id"], "left"), EMPTY_TEXT)
+    # The chunks come from the recordings; what was said after the last full one finds no partner.
+    keys = ["subject", "chunk_id"]
+    placed = utterances.withColumn("chunk_id", F.floor(F.col("start_time") / F.lit(seconds)))
+    said = chunk_transcript(placed, keys, "value", "start_time", "turn")
+    text = language_features(said, keys, "transcript", lexicon)
+    text = text.withColumn("transcription", truncate(F.col("transcription")))
+    joined = with_defaults(signal.join(text, keys, "left"), EMPTY_TEXT)
     return joined.withColumn("chunk_start", F.col("chunk_id") * seconds).withColumn(
         "risk_label", decide.risk_class(decide.rule_score(rules))
     )

@@ -16,7 +16,6 @@ from lookout.schemas import BASELINE_MEASURES, RECORD_DEFAULTS, RECORDS
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
-    "multiLine": "true",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     # An empty text and a missing one stay different.
     "nullValue": "\\N",
@@ -32,12 +31,18 @@ def write_text_table(df: DataFrame, path: str, separator: str = ",") -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS, sep=separator).csv(path)
 
 
-def read_text_table(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",") -> DataFrame:
-    """Header text file with a declared schema. Lines that do not fit keep their text in a column of its own."""
+def read_text_table(
+    spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """Header text file with a declared schema. Lines that do not fit keep their text in a column of its own.
+
+    ``multi_line`` is for values with line ends in them; such a file cannot be cut into parts.
+    """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.schema(full)
         .options(**CSV_OPTIONS, sep=separator, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        .option("multiLine", multi_line)
         .csv(path)
     )
 

@@ -114,7 +114,11 @@ def windowed(df: DataFrame, key: str, ts: str, value: str, width: str, slide: st
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """Activity sessions, closed by a pause of ``gap``. ``end`` is the last event plus the gap."""
+    """Activity sessions, closed by a pause of more than ``gap``. ``end`` is the last event plus the gap.
+
+    Events are first merged where they were read, so a busy subject sends sessions and not events.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = stream.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
