@@ -41,7 +41,7 @@ def past(frame: str) -> str:
     "baseline_n, " + ", ".join(f"round({o}, 6) AS {o}" for o in GROWING) + " FROM b",
 )
 def expanding_baseline(spark, d):
-    out = win.expanding_baseline(v.user_day(spark, d), "user_id", ["day"], GROWING)
+    out = win.expanding_baseline(v.stored_days(spark, d), "user_id", ["day"], GROWING)
     return day_text(out.select("user_id", "day", "baseline_n", *[r6(o).alias(o) for o in GROWING]))
 
 
@@ -54,7 +54,7 @@ def expanding_baseline(spark, d):
       CASE WHEN past_n >= 5 AND s > 1e-9 THEN round((level_mean - m) / s, 5) END AS z FROM b""",
 )
 def deviation_z(spark, d):
-    out = win.deviation_z(v.user_day(spark, d), "user_id", ["day"], "level_mean")
+    out = win.deviation_z(v.stored_days(spark, d), "user_id", ["day"], "level_mean")
     return day_text(
         out.select("user_id", "day", "past_n", r6("past_mean").alias("past_mean"), F.round("z", 5).alias("z"))
     )
@@ -68,7 +68,7 @@ def deviation_z(spark, d):
       round(avg(level_mean - before), 6) AS mean_step FROM o GROUP BY 1""",
 )
 def user_trend(spark, d):
-    out = win.user_trend(v.user_day(spark, d), "user_id", ["day"], "level_mean")
+    out = win.user_trend(v.stored_days(spark, d), "user_id", ["day"], "level_mean")
     return out.select("user_id", "n", r6("slope").alias("slope"), r6("mean_step").alias("mean_step"))
 
 
@@ -92,7 +92,7 @@ def sample_per_class(spark, d):
       WHERE energy_mean > b AND energy_mean >= a AND energy_mean >= m + 1""",
 )
 def local_peaks(spark, d):
-    placed = win.with_position(v.user_day(spark, d), "user_id", ["day"], "pos")
+    placed = win.with_position(v.stored_days(spark, d), "user_id", ["day"], "pos")
     out = win.local_peaks(placed.select("user_id", "day", "pos", "energy_mean"), "user_id", "pos", "energy_mean", 3, 1.0)
     return day_text(out).withColumn("energy_mean", r6("energy_mean"))
 
@@ -126,7 +126,7 @@ def session_agg(spark, d):
 )
 def risk_report(spark, d):
     """User-days with their growing baseline, trend flags, risk class, status and advice."""
-    grown = win.expanding_baseline(v.user_day(spark, d), "user_id", ["day"], GROWING)
+    grown = win.expanding_baseline(v.stored_days(spark, d), "user_id", ["day"], GROWING)
     judged = grown.withColumns(decide.trend_flags(FLAGS)).withColumn("score", decide.rule_score(v.USER_DAY_RULES))
     judged = judged.withColumn("risk_level", decide.class_name(decide.risk_class(F.col("score"))))
     advised = decide.with_advice(judged, "risk_level")

@@ -67,7 +67,7 @@ DESCRIBE = ("level_mean", "level_std", "energy_mean", "rate")
     ),
 )
 def describe(spark, d):
-    out = agg.describe(v.user_day(spark, d), DESCRIBE)
+    out = agg.describe(v.stored_days(spark, d), DESCRIBE)
     return out.select("measure", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "q1", "q2", "q3", "max")])
 
 
@@ -105,7 +105,7 @@ def class_share(spark, d):
       (SELECT count(DISTINCT user_id) FROM c) AS total_subjects, 7 AS n_features FROM c GROUP BY 1""",
 )
 def corpus_report(spark, d):
-    days = v.user_day(spark, d)
+    days = v.stored_days(spark, d)
     labelled = days.select("user_id", decide.risk_class(decide.rule_score(v.USER_DAY_RULES)).alias("risk"))
     return agg.corpus_report(labelled, "user_id", "risk", 7).withColumn("share_pct", r6("share_pct"))
 
@@ -183,7 +183,7 @@ PAIRS = {
 
 
 def days_with_baseline(spark, d):
-    days = v.user_day(spark, d)
+    days = v.stored_days(spark, d)
     return rel.join_baseline(days, agg.user_baseline(days, "user_id", BASE, 26), "user_id", spread_by=["day"])
 
 

@@ -228,7 +228,7 @@ def batch_decisions(spark, d):
     lost = F.when(F.col("day") == F.lit("2024-01-03").cast("date"), "recording not found")
     predicted = decide.class_name(decide.risk_class(decide.rule_score(v.USER_DAY_RULES)))
     out = jobs.batch_decisions(
-        v.user_day(spark, d).withColumn("error", lost),
+        v.stored_days(spark, d).withColumn("error", lost),
         "user_id",
         ["day"],
         GROWING,

@@ -12,7 +12,7 @@ from lookout.operators.aggregates import user_baseline
 from lookout.operators.windows import latest_per_key
 from lookout.plans import views as v
 from lookout.schemas import EVENTS
-from lookout.session import scratch_path, table
+from lookout.session import scratch_path, settled, table
 from lookout.sources import files, tables
 
 
@@ -84,7 +84,7 @@ def day_records(spark, d):
 def append_records(spark, d):
     """Two appends; every row must come back once per append, under two ids."""
     path = scratch_path(spark, "records")
-    records = day_records(spark, d)
+    records = settled(day_records(spark, d))
     tables.append_records(records, path)
     tables.append_records(records, path)
     back = tables.read_records(spark, path)
@@ -138,7 +138,7 @@ def baseline_upsert(spark, d):
 )
 def bulk_load(spark, d):
     """Two feature tables joined on the file name and loaded; the refreshed baselines come back."""
-    records = day_records(spark, d)
+    records = settled(day_records(spark, d))
     prosody = records.drop("sentiment_polarity", "word_count")
     language = records.select("source_path", "user_id", "sentiment_polarity", "word_count")
     base = tables.bulk_load(prosody, language, ["source_path"], scratch_path(spark, "bulk"), 26)
@@ -301,7 +301,7 @@ def min_length(spark, d):
       FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def valid_rows(spark, d):
-    marked = labelled(spark, d).withColumn("error", F.when(F.col("quality").isNull(), "no label"))
+    marked = settled(labelled(spark, d).withColumn("error", F.when(F.col("quality").isNull(), "no label")))
     good, bad = rel.split_rejects(marked)
     return rel.union_all(
         good.select("doc_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")),
@@ -394,7 +394,7 @@ def chunk_text_join(spark, d):
       FROM last LEFT JOIN bl USING (user_id)""",
 )
 def record_baseline_join(spark, d):
-    days = v.user_day(spark, d)
+    days = v.stored_days(spark, d)
     last = latest_per_key(days, ["user_id"], "day", "n")
     joined = rel.join_baseline(last, user_baseline(days, "user_id", BASE, 26), "user_id", spread_by=["day"])
     return joined.select("user_id", r6("level_mean").alias("level_mean"), "total_samples", r6("base_level").alias("base_level"))

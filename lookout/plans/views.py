@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lookout.operators.decide import Rule
 from lookout.operators.relational import small_table
-from lookout.session import table
+from lookout.session import settled, table
 
 CHUNK_SECONDS = 5
 
@@ -62,6 +62,11 @@ def user_day(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_days(spark: SparkSession, folder: str) -> DataFrame:
+    """User-days written once, for queries that read them more than once: the events are scanned one time."""
+    return settled(user_day(spark, folder))
+
+
 UD = """ud AS (
   SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, avg(value) AS level_mean,
          stddev_pop(value) AS level_std, sqrt(avg(value * value)) AS energy_mean,

@@ -42,14 +42,14 @@ def read_recordings(spark: SparkSession, folder: str, pattern: str = "*.wav") ->
 def subject_files(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """(subjects with a recording, subject folders without one), from folders named ``<id>_P``."""
     p = F.col(path)
-    in_folder = (
-        files.withColumn("subject", F.regexp_extract(p, r"([^/]+)_P/[^/]+$", 1))
+    subject, name = F.regexp_extract(p, r"([^/]+)_P/[^/]+$", 1), F.regexp_extract(p, r"([^/]+)$", 1)
+    found = (
+        files.select(subject.alias("subject"), name.alias("name"))
         .filter(F.col("subject") != "")
-        .withColumn("file_name", F.regexp_extract(p, r"([^/]+)$", 1))
+        .groupBy("subject")
+        .agg(F.bool_or(F.col("name") == F.concat(F.col("subject"), F.lit("_AUDIO.wav"))).alias("has_audio"))
     )
-    subjects = in_folder.select("subject").distinct()
-    audio = in_folder.filter(F.col("file_name") == F.concat(F.col("subject"), F.lit("_AUDIO.wav"))).select("subject")
-    return subjects.join(audio, "subject", "left_semi"), subjects.join(audio, "subject", "left_anti")
+    return found.filter("has_audio").select("subject"), found.filter("NOT has_audio").select("subject")
 
 
 def parse_wav_head(head: bytes) -> tuple[int, int, int, int, int, str | None]:
