@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lookout.catalog.records import FLAGS, day_text
 from lookout.catalog.registry import query
-from lookout.catalog.tables import TOKENS, r6
+from lookout.catalog.tables import TOKENS, past_tie, r6
 from lookout.functions import text as tx
 from lookout.operators import decide
 from lookout.operators import relational as rel
@@ -38,11 +38,11 @@ def past(frame: str) -> str:
 @query(
     "expanding_baseline",
     f"WITH {v.UD}, b AS (SELECT user_id, day, {past('CURRENT ROW')} FROM ud) SELECT user_id, CAST(day AS VARCHAR) AS day, "
-    "baseline_n, " + ", ".join(f"round({o}, 6) AS {o}" for o in GROWING) + " FROM b",
+    "baseline_n, " + ", ".join(f"round({o} + 1e-9, 6) AS {o}" for o in GROWING) + " FROM b",
 )
 def expanding_baseline(spark, d):
     out = win.expanding_baseline(v.stored_days(spark, d), "user_id", ["day"], GROWING)
-    return day_text(out.select("user_id", "day", "baseline_n", *[r6(o).alias(o) for o in GROWING]))
+    return day_text(out.select("user_id", "day", "baseline_n", *[past_tie(o).alias(o) for o in GROWING]))
 
 
 @query(
@@ -50,13 +50,13 @@ def expanding_baseline(spark, d):
     f"""WITH {v.UD}, b AS (SELECT user_id, day, level_mean, count(*) OVER w AS past_n, avg(level_mean) OVER w AS m,
       stddev_samp(level_mean) OVER w AS s FROM ud
       WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT user_id, CAST(day AS VARCHAR) AS day, past_n, CASE WHEN past_n >= 5 THEN round(m, 6) END AS past_mean,
+    SELECT user_id, CAST(day AS VARCHAR) AS day, past_n, CASE WHEN past_n >= 5 THEN round(m + 1e-9, 6) END AS past_mean,
       CASE WHEN past_n >= 5 AND s > 1e-9 THEN round((level_mean - m) / s, 5) END AS z FROM b""",
 )
 def deviation_z(spark, d):
     out = win.deviation_z(v.stored_days(spark, d), "user_id", ["day"], "level_mean")
     return day_text(
-        out.select("user_id", "day", "past_n", r6("past_mean").alias("past_mean"), F.round("z", 5).alias("z"))
+        out.select("user_id", "day", "past_n", past_tie("past_mean").alias("past_mean"), F.round("z", 5).alias("z"))
     )
 
 

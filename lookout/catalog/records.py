@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lookout.catalog.registry import query
-from lookout.catalog.tables import BASE, BASE_SQL, names, r6
+from lookout.catalog.tables import BASE, BASE_SQL, past_tie, r6
 from lookout.operators import aggregates as agg
 from lookout.operators import decide
 from lookout.operators import relational as rel
@@ -220,13 +220,13 @@ def baseline_ratio(spark, d):
 @query(
     "baseline_delta",
     f"WITH {WITH_BASE} SELECT user_id, CAST(day AS VARCHAR) AS day, "
-    + ", ".join(f"round({c} - {b}, 6) AS {m}_delta" for m, (c, b) in PAIRS.items())
+    + ", ".join(f"round({c} - {b} + 1e-9, 6) AS {m}_delta" for m, (c, b) in PAIRS.items())
     + " FROM j",
 )
 def baseline_delta(spark, d):
     days = days_with_baseline(spark, d)
     deltas = decide.baseline_delta(PAIRS, F.col("total_samples").isNotNull())
-    return day_text(days.select("user_id", "day", *[r6(c).alias(o) for o, c in deltas.items()]))
+    return day_text(days.select("user_id", "day", *[past_tie(c).alias(o) for o, c in deltas.items()]))
 
 
 # --- decisions -------------------------------------------------------------------------

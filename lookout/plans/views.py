@@ -54,7 +54,8 @@ def user_day(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(v).alias("level_mean"),
-        F.stddev_pop(v).alias("level_std"),
+        # Rounded, so that a spread of exactly a threshold does not depend on the order of the sum.
+        F.round(F.stddev_pop(v), 9).alias("level_std"),
         F.sqrt(F.avg(v * v)).alias("energy_mean"),
         (F.count(F.lit(1)) / 24.0).alias("rate"),
         (1 - hours / 24.0).alias("pause_ratio"),
@@ -69,7 +70,7 @@ def stored_days(spark: SparkSession, folder: str) -> DataFrame:
 
 UD = """ud AS (
   SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, avg(value) AS level_mean,
-         stddev_pop(value) AS level_std, sqrt(avg(value * value)) AS energy_mean,
+         round(stddev_pop(value), 9) AS level_std, sqrt(avg(value * value)) AS energy_mean,
          count(*) / 24.0 AS rate, 1 - count(DISTINCT hour(ts)) / 24.0 AS pause_ratio,
          avg(CASE event_type WHEN 'error' THEN CAST(-1 AS DOUBLE) WHEN 'signup' THEN 0.5
              WHEN 'purchase' THEN 1 ELSE 0 END) AS polarity
