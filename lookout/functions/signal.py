@@ -28,6 +28,7 @@ ONSET_WIDTH, ONSET_DELTA_DB = 3, 6.0
 VOICED_FROM = 0.45
 FLOOR = 1e-10
 CACHED_FRAMES = 32
+CHUNKS_PER_BATCH = 64
 
 
 # --- frames as array expressions -------------------------------------------------------
@@ -162,7 +163,7 @@ def hann(n: int) -> np.ndarray:
 
 def power_spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(power, frequencies) of frames under a Hann window."""
-    spectrum = np.fft.rfft(x * hann(x.shape[1]), axis=1)
+    spectrum = np.fft.rfft(x * hann(x.shape[1]).astype(x.dtype), axis=1)
     return spectrum.real**2 + spectrum.imag**2, np.arange(x.shape[1] // 2 + 1) * (rate / x.shape[1])
 
 
@@ -291,7 +292,8 @@ def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) ->
     y = decode_pcm16(pcm)
     if len(y) < length:
         return None
-    x = np.lib.stride_tricks.sliding_window_view(y, length)[::hop]
+    # Single precision is ample for the spectra of 16-bit samples and halves their time.
+    x = np.lib.stride_tricks.sliding_window_view(y.astype(np.float32), length)[::hop]
     start = np.arange(len(x)) * hop
     # Sums over frames from running sums over the chunk.
     squares = np.concatenate([[0.0], np.cumsum(y * y)])
@@ -319,14 +321,14 @@ def measured_frames(chunks: DataFrame, rate: int, length: int, hop: int, top_db:
 
     def frames_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 32)):
-                parts = []
-                for path, chunk_id, pcm in batch.iloc[part].itertuples(index=False):
-                    measures = chunk_frames(pcm, rate, length, hop, top_db)
-                    if measures is not None:
-                        parts.append(pd.DataFrame({"path": path, "chunk_id": chunk_id, **measures}))
-                if parts:
-                    yield pd.concat(parts, ignore_index=True)
+            for at in range(0, len(batch), CHUNKS_PER_BATCH):
+                part = batch.iloc[at : at + CHUNKS_PER_BATCH]
+                found = [chunk_frames(pcm, rate, length, hop, top_db) for pcm in part["pcm"]]
+                counts = [0 if f is None else len(f["frame"]) for f in found]
+                found = [f for f in found if f is not None]
+                if found:
+                    ids = part[["path", "chunk_id"]].loc[part.index.repeat(counts)].reset_index(drop=True)
+                    yield ids.assign(**{c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
     rows = chunks.select("path", "chunk_id", "pcm").mapInPandas(frames_of, FRAMES)
     return rows.withColumn("pitch", F.nanvl("pitch", F.lit(None).cast("double")))
