@@ -228,3 +228,10 @@ def wav_chunks(spark, d):
 def signal_features(spark, d):
     features, _ = sg.signal_features(recordings(spark, d))
     return features
+
+
+@query("file_features")
+def file_features(spark, d):
+    """Whole recordings, without chunks."""
+    features, _ = sg.file_features(recordings(spark, d))
+    return features

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lookout.operators.scan import many_to_one
 from lookout.operators.windows import active_islands
-from lookout.sources.files import SAMPLE_RATE, decode_pcm16, recording_chunks
+from lookout.session import settled
+from lookout.sources.files import SAMPLE_RATE, decode_pcm16, recording_blocks, recording_chunks
 
 FRAME_LENGTH, HOP = 2048, 512
 PITCH_LOW, PITCH_HIGH = 80.0, 400.0
@@ -29,6 +31,7 @@ VOICED_FROM = 0.45
 FLOOR = 1e-10
 CACHED_FRAMES = 32
 CHUNKS_PER_BATCH = 64
+FRAMES_PER_BLOCK = 160
 
 
 # --- frames as array expressions -------------------------------------------------------
@@ -368,3 +371,66 @@ def signal_features(
     """(feature row per recording and chunk, rejected recordings with a reason)."""
     chunks, rejects = recording_chunks(recordings, seconds, rate, keep_tail, min_seconds)
     return chunk_features(measured_frames(chunks, rate, length, hop), rate, length, hop), rejects
+
+
+def file_features(
+    recordings: DataFrame,
+    rate: int = SAMPLE_RATE,
+    length: int = FRAME_LENGTH,
+    hop: int = HOP,
+    top_db: float = TOP_DB,
+    min_seconds: float = 1.0,
+    max_seconds: float | None = None,
+    block: int = FRAMES_PER_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """(one feature row per whole recording, rejected recordings with a reason).
+
+    Frames are measured in blocks, with enough frames on both sides to judge onsets at the cuts, and
+    summed per block. Pauses are told from the loudest frame of the recording, so each block keeps
+    its levels and is looked at once more when the highest one is known.
+    """
+    halo = ONSET_WIDTH
+    parts, rejects = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds)
+    frames = measured_frames(parts.withColumnRenamed("block", "chunk_id"), rate, length, hop, top_db)
+    number = F.col("frame") + F.greatest(F.lit(0), F.col("chunk_id") * block - halo)
+    frames = frames.filter(F.floor(number / block) == F.col("chunk_id"))
+
+    spread, plain = ("pitch", "energy"), ("hnr", "zcr", "spectral_centroid", "spectral_rolloff", *MFCCS)
+    blocks = frames.groupBy("path", "chunk_id").agg(
+        F.count(F.lit(1)).alias("frames"),
+        F.count("pitch").alias("voiced"),
+        F.count_if("onset").alias("onsets"),
+        F.collect_list("energy").alias("levels"),
+        *[F.sum(c).alias(c) for c in (*spread, *plain)],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"{c}_squares") for c in spread],
+    )
+    blocks = settled(blocks)
+    top = blocks.groupBy("path").agg(F.max(F.array_max("levels")).alias("top"))
+    told = many_to_one(blocks, top, ["path"], "inner", spread_by=["chunk_id"])
+    limit = F.col("top") * 10.0 ** (-top_db / 20.0)
+    told = told.withColumn("__loud", F.size(F.filter("levels", lambda x: x > limit)))
+
+    n, voiced = F.sum("frames"), F.sum("voiced")
+    seconds = ((n - 1) * hop + length) / float(rate)
+    zero = F.lit(0.0)
+
+    def mean(c: str, count: Column) -> Column:
+        return F.coalesce(F.try_divide(F.sum(c), count), zero)
+
+    def std(c: str, count: Column) -> Column:
+        return F.sqrt(F.greatest(mean(f"{c}_squares", count) - mean(c, count) * mean(c, count), zero))
+
+    features = told.groupBy("path").agg(
+        mean("pitch", voiced).alias("pitch_mean"),
+        std("pitch", voiced).alias("pitch_std"),
+        mean("energy", n).alias("energy_mean"),
+        std("energy", n).alias("energy_std"),
+        (F.sum("onsets") / seconds).alias("speech_rate"),
+        (1 - F.sum("__loud") / n).alias("pause_ratio"),
+        mean("hnr", n).alias("hnr"),
+        mean("zcr", n).alias("zcr_mean"),
+        mean("spectral_centroid", n).alias("spectral_centroid_mean"),
+        mean("spectral_rolloff", n).alias("spectral_rolloff_mean"),
+        *[mean(c, n).alias(c) for c in MFCCS],
+    )
+    return features, rejects

@@ -78,7 +78,7 @@ def box_stats(df: DataFrame, key: str, value: str, rows_per_task: int = ROWS_PER
     quartiles = exact_quantiles(df, [key], value, QUARTILES, rows_per_task)
     # Quartiles of all classes, one row each; rows of a hot class are spread by their value.
     counted = df.groupBy(key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    joined = many_to_one(counted, quartiles, [key], "inner", spread_by=["__v"])
+    joined = many_to_one(counted, quartiles, [key], "inner", spread_by=["__v"], match_null=True)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("__v").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(key).agg(

@@ -21,7 +21,7 @@ from lookout.session import settled
 
 ROWS_PER_TASK = 2_000_000
 MAX_SLICES = 16_384
-SLICE = "__slice"
+SLICE, KEY = "__slice", "__key"
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -36,6 +36,11 @@ def as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot cut slices along {name}: {kind.simpleString()}")
 
 
+def key_of(columns: Sequence[str]) -> Column:
+    """All key columns as one struct. Unlike bare columns, structs with a NULL inside do match in a join."""
+    return F.struct(*columns) if columns else F.struct(F.lit(1).alias("one"))
+
+
 def position_in(bounds: Column, size: int, x: Column) -> Column:
     """How many of the sorted ``bounds`` lie below ``x`` (binary search)."""
     steps = [1 << b for b in range(max(size, 1).bit_length() - 1, -1, -1)]
@@ -70,14 +75,12 @@ class OrderedScan:
 
     def _cut(self, sizes: DataFrame, total: int, rows_per_task: int) -> None:
         # At most total / rows_per_task keys are this large: that bounds the broadcast.
-        large = sizes.filter(F.col("__rows") > rows_per_task).select(*self.keys, F.lit(True).alias("__large"))
+        large = sizes.filter(F.col("__rows") > rows_per_task)
+        large = large.select(key_of(self.keys).alias(KEY), F.lit(True).alias("__large"))
         slices = min(MAX_SLICES, 2 * math.ceil(total / rows_per_task))
         at = as_number(self.df, self.order[0])
         shares = [i / slices for i in range(1, slices)]
-        if self.keys:
-            marked = self.df.join(F.broadcast(large), self.keys, "left")
-        else:
-            marked = self.df.withColumn("__large", F.lit(True))
+        marked = self.df.withColumn(KEY, key_of(self.keys)).join(F.broadcast(large), KEY, "left")
         # The bounds come back as numbers once, so every use cuts at the same places.
         (bounds,) = (
             marked.filter("__large").agg(F.percentile_approx(at.cast("double"), shares, 20 * slices)).first()
@@ -90,13 +93,13 @@ class OrderedScan:
 
     @property
     def _group(self) -> list[str]:
-        return [*self.keys, SLICE] if self.split else self.keys
+        return [KEY, SLICE] if self.split else self.keys
 
     def _window(self):
         return Window.partitionBy(*self._group).orderBy(*self.order)
 
     def _with_earlier(self, earlier: DataFrame) -> DataFrame:
-        return self.df.join(earlier, [*self.keys, SLICE], "left")
+        return self.df.join(earlier, self._group, "left")
 
     def running(self, sums: Mapping[str, Column], inclusive: bool = True) -> OrderedScan:
         """Running sum of each expression; 0 before the first row."""
@@ -105,7 +108,7 @@ class OrderedScan:
         earlier = None
         if self.split:
             totals = self.df.filter(F.col(SLICE).isNotNull()).groupBy(*self._group).agg(*[F.sum(c).alias(f"__e_{o}") for o, c in sums.items()])
-            before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+            before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
             earlier = totals.withColumns({f"__e_{o}": F.sum(f"__e_{o}").over(before) for o in sums})
         self.df = self.df.withColumns({o: F.coalesce(F.sum(c).over(frame), zero) for o, c in sums.items()})
         if earlier is not None:
@@ -129,7 +132,7 @@ class OrderedScan:
         last = self.df.filter(F.col(SLICE).isNotNull()).groupBy(*self._group).agg(
             F.max_by(F.struct(*[F.col(c).alias(o) for o, c in values.items()]), F.struct(*self.order)).alias("__last")
         )
-        by_slice = Window.partitionBy(*self.keys).orderBy(SLICE)
+        by_slice = Window.partitionBy(KEY).orderBy(SLICE)
         earlier = last.withColumn("__last", F.lag("__last").over(by_slice))
         self.df = self.df.withColumns(
             {**{o: F.lag(c).over(w) for o, c in values.items()}, "__first": F.row_number().over(w) == 1}
@@ -142,7 +145,7 @@ class OrderedScan:
         return self
 
     def done(self) -> DataFrame:
-        return self.df.drop(SLICE) if self.split else self.df
+        return self.df.drop(SLICE, KEY) if self.split else self.df
 
 
 def exact_quantiles(
@@ -167,7 +170,7 @@ def exact_quantiles(
     scan = OrderedScan(counts, keys, ["__v"], rows_per_task).running({"__upto": F.col("__c")})
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     if keys:
-        placed = many_to_one(scan.done(), sizes, keys, "inner", spread_by=["__v"])
+        placed = many_to_one(scan.done(), sizes, keys, "inner", spread_by=["__v"], match_null=True)
     else:
         placed = scan.done().withColumn("__n", sizes.scalar())
     picks = []
@@ -195,21 +198,21 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, rank:
     """
     keys = list(keys)
     mixed = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))))
-    mixed = mixed.withColumn("__part", F.substring("__h", 1, 4))
-    parts = mixed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
-    along = Window.partitionBy(*keys).orderBy("__part")
+    mixed = mixed.withColumns({"__part": F.substring("__h", 1, 4), KEY: key_of(keys)})
+    parts = mixed.groupBy(KEY, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    along = Window.partitionBy(KEY).orderBy("__part")
     parts = parts.select(
-        *keys,
+        KEY,
         "__part",
         (F.sum("__c").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"),
-        F.sum("__c").over(Window.partitionBy(*keys)).alias(size),
+        F.sum("__c").over(Window.partitionBy(KEY)).alias(size),
     )
-    w = Window.partitionBy(*keys, "__part").orderBy("__h", id_col)
+    w = Window.partitionBy(KEY, "__part").orderBy("__h", id_col)
     return (
         mixed.withColumn("__r", F.row_number().over(w))
-        .join(parts, [*keys, "__part"])
+        .join(parts, [KEY, "__part"])
         .withColumn(rank, F.col("__r") + F.col("__before"))
-        .drop("__h", "__part", "__r", "__before")
+        .drop("__h", "__part", "__r", "__before", KEY)
     )
 
 
@@ -220,15 +223,19 @@ def many_to_one(
     how: str = "left",
     spread_by: Sequence[str] = (),
     salts: int = 16,
+    match_null: bool = False,
 ) -> DataFrame:
     """Join to a table with one row per key, with the rows of a hot key spread over ``salts`` tasks.
 
     ``spread_by`` names columns that tell rows of one key apart. The salt is a hash of them, so
     a recomputed task sends each row where it went before. No broadcast is forced: Spark
     broadcasts ``unique`` by itself while it is below its size limit, and otherwise shuffles on
-    (key, salt).
+    (key, salt). With ``match_null`` a NULL key finds the NULL key.
     """
     on = list(on)
+    if match_null:
+        keyed = unique.withColumn(KEY, key_of(on)).drop(*on)
+        return many_to_one(df.withColumn(KEY, key_of(on)), keyed, [KEY], how, spread_by, salts).drop(KEY)
     spread = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")

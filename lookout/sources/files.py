@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -99,43 +101,91 @@ def with_wav_head(recordings: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
     )
 
 
+def _checked(recordings: DataFrame, rate: int, min_seconds: float, max_seconds: float | None) -> DataFrame:
+    """Adds ``samples`` (how many there are to read) and completes ``error``."""
+    there = F.floor(F.least(F.col("head.bytes"), F.length("content") - F.col("head.start")) / BYTES_PER_SAMPLE)
+    if max_seconds is not None:
+        there = F.least(there, F.lit(int(max_seconds * rate)))
+    checked = with_wav_head(recordings, rate).withColumn("samples", there)
+    short = F.col("samples") < int(min_seconds * rate)
+    return checked.withColumn("error", F.coalesce("error", F.when(short, F.lit("too short"))))
+
+
+def _cut(
+    recordings: DataFrame,
+    check: Callable[[DataFrame], DataFrame],
+    count: Column,
+    number: str,
+    first: Column,
+    width: Column,
+    long_bytes: int,
+) -> DataFrame:
+    """PCM16 bytes of ``count`` parts of each recording; ``first`` and ``width`` are in samples.
+
+    Parts of recordings above ``long_bytes`` are dealt out to all tasks; those of shorter ones
+    stay where the file was read, without a shuffle. The length is tested before the content is
+    touched, so each file is read for one of the two.
+    """
+    length = F.col("length")
+
+    def parts(some: DataFrame) -> DataFrame:
+        start = (F.col("head.start") + first * BYTES_PER_SAMPLE + 1).cast("int")
+        pcm = F.substring(F.col("content"), start, (width * BYTES_PER_SAMPLE).cast("int"))
+        valid = check(some).filter(F.col("error").isNull())
+        return explode_count(valid, count, number).select("path", number, pcm.alias("pcm"))
+
+    short, long = recordings.filter(length <= long_bytes), recordings.filter(length > long_bytes)
+    return parts(short).unionByName(parts(long).repartition("path", number))
+
+
 def recording_chunks(
     recordings: DataFrame,
     seconds: int = 5,
     rate: int = SAMPLE_RATE,
     keep_tail: bool = False,
     min_seconds: float = 0.5,
+    max_seconds: float | None = None,
     long_bytes: int = LONG_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks of PCM16 bytes, rejected recordings with a reason).
 
-    ``recordings`` has path, length and content. Chunks of recordings above ``long_bytes`` are
-    dealt out to all tasks; those of shorter ones stay where the file was read, without a shuffle.
-    The tail is dropped unless ``keep_tail``; then it must last ``min_seconds``.
+    ``recordings`` has path, length and content. The tail is dropped unless ``keep_tail``; then it
+    must last ``min_seconds``. With ``max_seconds`` only the beginning of a recording is read.
+    """
+    check = partial(_checked, rate=rate, min_seconds=0.0, max_seconds=max_seconds)
+    width = seconds * rate
+    shortest = int(min_seconds * rate) if keep_tail else width
+    count = F.floor((F.col("samples") + (width - shortest)) / width)
+    first = F.col("chunk_id") * width
+    size = F.least(F.lit(width), F.col("samples") - first)
+    chunks = _cut(recordings, check, count, "chunk_id", first, size, long_bytes)
+    chunks = chunks.withColumn("chunk_start", F.col("chunk_id") * seconds)
+    return chunks, check(recordings).filter(F.col("error").isNotNull()).select("path", "error")
+
+
+def recording_blocks(
+    recordings: DataFrame,
+    length: int,
+    hop: int,
+    block: int,
+    halo: int,
+    rate: int = SAMPLE_RATE,
+    min_seconds: float = 1.0,
+    max_seconds: float | None = None,
+    long_bytes: int = LONG_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """(parts of whole recordings, rejected recordings with a reason).
+
+    Part number b holds the samples of frames b * block - halo .. (b + 1) * block + halo - 1, as far as
+    there are such frames, so every frame of the recording is whole in the part it belongs to.
     """
-    width = seconds * rate * BYTES_PER_SAMPLE
-    shortest = int(min_seconds * rate) * BYTES_PER_SAMPLE if keep_tail else width
-
-    def cut(part: DataFrame) -> DataFrame:
-        valid = with_wav_head(part, rate).filter(F.col("error").isNull())
-        there = F.least(F.col("head.bytes"), F.length("content") - F.col("head.start"))
-        valid = valid.withColumn("__bytes", there)
-        count = F.floor((F.col("__bytes") + F.lit(width - shortest)) / F.lit(width))
-        return explode_count(valid, count, "chunk_id").select(
-            "path",
-            "chunk_id",
-            (F.col("chunk_id") * seconds).alias("chunk_start"),
-            F.expr(
-                f"substring(content, cast(head.start + 1 + chunk_id * {width} as int), "
-                f"cast(least({width}, __bytes - chunk_id * {width}) as int))"
-            ).alias("pcm"),
-        )
-
-    short = recordings.filter(F.col("length") <= long_bytes)
-    long = recordings.filter(F.col("length") > long_bytes)
-    chunks = cut(short).unionByName(cut(long).repartition("path", "chunk_id"))
-    rejects = with_wav_head(recordings, rate).filter(F.col("error").isNotNull()).select("path", "error")
-    return chunks, rejects
+    check = partial(_checked, rate=rate, min_seconds=min_seconds, max_seconds=max_seconds)
+    frames = F.floor((F.col("samples") - length) / hop) + 1
+    from_frame = F.greatest(F.lit(0), F.col("block") * block - halo)
+    to_frame = F.least(frames, (F.col("block") + 1) * block + halo)
+    width = (to_frame - from_frame - 1) * hop + length
+    parts = _cut(recordings, check, F.ceil(frames / block), "block", from_frame * hop, width, long_bytes)
+    return parts, check(recordings).filter(F.col("error").isNotNull()).select("path", "error")
 
 
 def decode_pcm16(pcm: bytes) -> np.ndarray:

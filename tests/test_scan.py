@@ -99,6 +99,28 @@ def test_exact_quantiles(spark, table, data, limit):
     assert whole["p90"] == pytest.approx(frame["v"].quantile(0.9))
 
 
+def test_null_keys_are_a_group(spark):
+    rows = [(None, float(i)) for i in range(9)] + [("a", float(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("id", F.monotonically_increasing_id())
+    for limit in (3, 10**6):
+        got = {r["k"]: r["m"] for r in scan.exact_quantiles(df, ["k"], "v", {"m": 0.5}, limit).collect()}
+        assert got == {None: 4.0, "a": 1.5}
+        ranks = scan.OrderedScan(df, ["k"], ["v"], limit).rank("no").previous({"p": "v"}).done().filter("k IS NULL")
+        assert [(r["no"], r["p"]) for r in ranks.orderBy("v").collect()] == [(i + 1, i - 1.0 if i else None) for i in range(9)]
+    out = scan.hash_rank(df, ["k"], "id", 1, "r", "n").filter("k IS NULL").collect()
+    assert sorted(r["r"] for r in out) == list(range(1, 10))
+    unique = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")
+    assert scan.many_to_one(df, unique, ["k"], "inner", ["id"]).count() == 4
+    assert scan.many_to_one(df, unique, ["k"], "inner", ["id"], match_null=True).count() == 13
+    # NULL keys match on the sort-merge way as well.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert scan.many_to_one(df, unique, ["k"], "inner", ["id"], match_null=True).count() == 13
+        assert scan.hash_rank(df, ["k"], "id", 1, "r", "n").count() == 13
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_describe_and_box_split(spark, table):
     few, many = describe(table, ["v", "at"], 5), describe(table, ["v", "at"])
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))

@@ -136,6 +136,36 @@ def test_tail_is_kept_on_request(spark, folder):
     assert ("short", 0) not in sizes  # 0.3 s
 
 
+def test_only_the_beginning_on_request(spark, folder):
+    first, _ = files.recording_chunks(files.read_recordings(spark, folder[0]), seconds=1, max_seconds=3.0)
+    counts = first.groupBy("path").count().withColumn("s", subject())
+    assert {r["s"]: r["count"] for r in counts.collect()}["220"] == 3
+
+
+@pytest.mark.parametrize("block", [16, 160])
+def test_whole_recordings(spark, folder, block):
+    """Blocks of any size give what the whole recording gives at once."""
+    out, rejects = sg.file_features(files.read_recordings(spark, folder[0]), block=block)
+    got = {r["s"]: r for r in out.withColumn("s", subject()).collect()}
+    assert {r["s"]: r["error"] for r in rejects.withColumn("s", subject()).collect()} == {
+        "low": "other sample rate",
+        "cut": "no data part",
+        "short": "too short",
+    }
+    for name in ("220", "slow", "varied", "noise", "silence"):
+        with open(f"{folder[0]}/{name}_P/{name}_AUDIO.wav", "rb") as f:
+            f0 = sg.chunk_frames(f.read()[44:], RATE, sg.FRAME_LENGTH, sg.HOP, sg.TOP_DB)
+        row, n = got[name], len(f0["frame"])
+        assert row["energy_mean"] == pytest.approx(f0["energy"].mean(), abs=1e-9)
+        assert row["energy_std"] == pytest.approx(f0["energy"].std(), abs=1e-6)
+        assert row["pause_ratio"] == pytest.approx(1 - f0["loud"].mean())
+        seconds = ((n - 1) * sg.HOP + sg.FRAME_LENGTH) / RATE
+        assert row["speech_rate"] == pytest.approx(f0["onset"].sum() / seconds)
+        voiced = f0["pitch"][~np.isnan(f0["pitch"])]
+        assert row["pitch_mean"] == pytest.approx(voiced.mean() if len(voiced) else 0, rel=1e-6)
+        assert row["spectral_centroid_mean"] == pytest.approx(f0["spectral_centroid"].mean(), rel=1e-4)
+
+
 def test_head_with_another_part_first():
     wav = files.wav_content(tone(200, 1))
     extra = b"LIST" + struct.pack("<I", 5) + b"abcde\0"
