@@ -271,13 +271,15 @@ BASELINE = {"Average Pitch": ("base_level", "%.1f"), "Average Rate": ("base_rate
       CASE {v.UD_CLASS} WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END END AS level FROM j)
     SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(n AS INT) AS n,
       total_samples IS NOT NULL AS with_baseline, level IS NOT NULL AS with_prediction,
-      CASE WHEN level IS NULL THEN '' ELSE level END AS level FROM k""",
+      CASE WHEN level IS NULL THEN '' ELSE level END AS level,
+      CASE level WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 0 END AS n_tips FROM k""",
 )
 def render_request(spark, d):
     """The request text of every user-day, read back into what it holds."""
     days = days_with_baseline(spark, d).withColumns(decide.trend_flags(FLAGS))
     level = decide.class_name(decide.risk_class(decide.rule_score(v.USER_DAY_RULES)))
     days = days.withColumn("level", F.when(F.col("day") != F.lit("2024-01-07").cast("date"), level))
+    days = decide.with_advice(days, "level")
     request = decide.render_request(
         {**CURRENT, "Records": ("n", "%d")},
         BASELINE,
@@ -285,6 +287,7 @@ def render_request(spark, d):
         F.col("total_samples").isNotNull(),
         F.col("level"),
         F.lit(50.0),
+        advice=F.col("recommendations"),
     )
     asked = days.select("user_id", "day", request.alias("request"))
     return day_text(
@@ -295,6 +298,7 @@ def render_request(spark, d):
             F.col("request").contains("PERSONAL BASELINE").alias("with_baseline"),
             F.col("request").contains("MODEL PREDICTION").alias("with_prediction"),
             F.regexp_extract("request", r"Predicted: (\w+) Risk", 1).alias("level"),
+            F.regexp_count("request", F.lit(r'\n\d\. "')).alias("n_tips"),
         )
     )
 

@@ -180,37 +180,54 @@ def with_advice(df: DataFrame, risk: str) -> DataFrame:
     )
 
 
-def render_request(current: dict[str, tuple[str, str]], baseline: dict[str, tuple[str, str]], flags: dict[str, str],
-                   has_baseline: Column, predicted: Column, confidence: Column) -> Column:
-    """Request text per record: current values, then baseline and prediction where there are any.
+def _lines(title: str, *body: Column) -> Column:
+    return F.concat_ws("\n", F.lit(f"--- {title} ---"), *body)
 
-    ``current`` and ``baseline`` map a heading to (column, printf format).
-    """
 
-    def lines(title: str, parts: dict[str, tuple[str, str]]) -> list[Column]:
-        body = [
-            F.format_string(f"{name}: {fmt}", F.coalesce(F.col(c), F.lit(0))) for name, (c, fmt) in parts.items()
-        ]
-        return [F.lit(f"--- {title} ---"), *body]
+def _values(parts: dict[str, tuple[str, str]]) -> list[Column]:
+    return [F.format_string(f"{name}: {fmt}", F.coalesce(F.col(c), F.lit(0))) for name, (c, fmt) in parts.items()]
 
-    trends = F.concat(
-        F.lit("TRENDS: "),
-        F.concat_ws(", ", *[F.concat(F.lit(f"{name}="), F.initcap(F.col(c).cast("string"))) for name, c in flags.items()]),
-    )
-    prediction = F.concat_ws(
-        "\n",
-        F.lit("--- MODEL PREDICTION ---"),
-        F.format_string("Predicted: %s Risk (Confidence: %.1f%%)", predicted, confidence),
-    )
-    return F.concat_ws(
-        "\n",
+
+def render_request(
+    current: dict[str, tuple[str, str]],
+    baseline: dict[str, tuple[str, str]],
+    flags: dict[str, str],
+    has_baseline: Column,
+    predicted: Column,
+    confidence: Column,
+    transcription: Column | None = None,
+    probabilities: Column | None = None,
+    advice: Column | None = None,
+) -> Column:
+    """Request text per record: current values, then baseline, prediction and required advice where there are any.
+
+    ``current`` and ``baseline`` map a heading to (column, printf format); ``probabilities`` is a map
+    from class name to probability, ``advice`` a list of texts for the predicted class.
+    """
+    said = [] if transcription is None else [F.format_string("Transcription: '%s'", F.coalesce(transcription, F.lit("N/A")))]
+    trends = [F.concat(F.lit(f"{name} Detected="), F.initcap(F.col(c).cast("string"))) for name, c in flags.items()]
+    model = [F.format_string("Predicted: %s Risk (Confidence: %.1f%%)", predicted, confidence)]
+    if probabilities is not None:
+        shares = [
+            F.format_string(f"{name}: %.1f%%", F.coalesce(F.try_element_at(probabilities, F.lit(name)), F.lit(0.0)) * 100)
+            for _, name in CLASS_NAMES
+        ]
+        model.append(F.concat(F.lit("Probabilities -> "), F.concat_ws(", ", *shares)))
+    model.append(F.lit("The risk_level must match this prediction unless the sentiment strongly contradicts it."))
+    sections = [
         F.lit("SYSTEM: You are a non-medical analysis agent. Do NOT diagnose any disorder."),
-        *lines("CURRENT RECORDING", current),
-        F.when(has_baseline, F.concat_ws("\n", *lines("PERSONAL BASELINE", baseline), trends)),
-        F.when(predicted.isNotNull(), prediction),
-        F.lit("--- REQUIRED OUTPUT ---"),
-        F.lit('JSON with the keys "risk_level", "mental_health_status", "explanation", "recommendations"'),
-    )
+        _lines("CURRENT RECORDING", *said, *_values(current)),
+        F.when(
+            has_baseline,
+            _lines("PERSONAL BASELINE", *_values(baseline), F.concat(F.lit("TRENDS: "), F.concat_ws(", ", *trends))),
+        ),
+        F.when(predicted.isNotNull(), _lines("MODEL PREDICTION", *model)),
+    ]
+    if advice is not None:
+        tips = F.transform(advice, lambda t, i: F.format_string('%d. "%s"', i + 1, t))
+        sections.append(F.when(predicted.isNotNull(), _lines("REQUIRED RECOMMENDATIONS", F.array_join(tips, "\n"))))
+    keys = F.lit('JSON with the keys "risk_level", "mental_health_status", "explanation", "recommendations"')
+    return F.concat_ws("\n\n", *sections, _lines("REQUIRED OUTPUT", keys))
 
 
 def parse_reply(df: DataFrame, reply: str, model_risk: str) -> DataFrame:

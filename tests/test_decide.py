@@ -71,12 +71,25 @@ def test_fallback_default_is_low(spark):
 def test_request_sections(spark):
     df = spark.createDataFrame([(1, 100.0, 120.0, "High"), (2, 90.0, None, None), (3, None, 80.0, None)], "id int, p double, b double, m string")
     df = df.withColumns(decide.trend_flags({"pitch_drop": ("p", "b")}))
-    text = decide.render_request({"Pitch": ("p", "%.1f Hz")}, {"Average Pitch": ("b", "%.1f Hz")}, {"Pitch Drop": "pitch_drop"},
-                                 F.col("b").isNotNull(), F.col("m"), F.lit(70.0))
+    text = decide.render_request(
+        {"Pitch": ("p", "%.1f Hz")},
+        {"Average Pitch": ("b", "%.1f Hz")},
+        {"Pitch Drop": "pitch_drop"},
+        F.col("b").isNotNull(),
+        F.col("m"),
+        F.lit(70.0),
+        F.when(F.col("id") == 1, "so it goes"),
+        F.create_map(F.lit("Low"), F.lit(0.25), F.lit("High"), F.lit(0.75)),
+        F.array(F.lit("rest"), F.lit("walk")),
+    )
     got = {r["id"]: r["t"] for r in df.select("id", text.alias("t")).collect()}
     assert "Pitch: 100.0 Hz" in got[1] and "Average Pitch: 120.0 Hz" in got[1]
-    assert "TRENDS: Pitch Drop=True" in got[1] and "Predicted: High Risk (Confidence: 70.0%)" in got[1]
-    assert "BASELINE" not in got[2] and "Predicted" not in got[2] and "\\n" not in got[2]
+    assert "Transcription: 'so it goes'" in got[1] and "Transcription: 'N/A'" in got[2]
+    assert "TRENDS: Pitch Drop Detected=True" in got[1] and "Predicted: High Risk (Confidence: 70.0%)" in got[1]
+    assert "Probabilities -> Low: 25.0%, Medium: 0.0%, High: 75.0%" in got[1]
+    assert '1. "rest"\n2. "walk"' in got[1]
+    assert "BASELINE" not in got[2] and "Predicted" not in got[2] and "rest" not in got[2]
+    assert "\\n" not in got[1] and got[1].count("\n\n") == 5
     assert "Pitch: 0.0 Hz" in got[3]
 
 
