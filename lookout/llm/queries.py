@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import chats, exact, mixing, urls, wumanber
+from lookout.llm import chats, exact, mixing, quality, urls, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op9_chat_format(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return chats.digests(chats.format_chats(chats.records_of(turns.unionByName(probe))))
+
+
+@query("op8_quality")
+def op8_quality(spark, d):
+    return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
