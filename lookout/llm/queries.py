@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import chats, exact, mixing, quality, urls, wumanber
+from lookout.llm import chats, exact, lshforest, mixing, quality, urls, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ def op9_chat_format(spark, d):
 @query("op8_quality")
 def op8_quality(spark, d):
     return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op4_minhash_near")
+def op4_minhash_near(spark, d):
+    return lshforest.near_components(table(spark, d, "documents"))

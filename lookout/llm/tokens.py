@@ -142,6 +142,14 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of values; of consecutive words the same as ``windows``."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        out = out * np.uint64(BASE) + rows[:, j]
+    return mix(out)
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For each word the index of its text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -47,16 +47,9 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tk.mix(a * np.uint64(tk.BASE) + b)
 
 
-def window_hash(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for j in range(rows.shape[1]):
-        out = out * np.uint64(tk.BASE) + rows[:, j]
-    return tk.mix(out)
-
-
 def patterns(size: int, rows: np.ndarray, items: np.ndarray) -> Patterns:
     """``rows`` has one window per row (repeats allowed), ``items`` the item of each."""
-    order = np.lexsort((items, window_hash(rows)))
+    order = np.lexsort((items, tk.row_hashes(rows)))
     rows, items = rows[order], items[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
@@ -71,7 +64,7 @@ def patterns(size: int, rows: np.ndarray, items: np.ndarray) -> Patterns:
         keys = block_hash(words[:, end - 1] if block == 2 else None, words[:, end])
         np.minimum.at(shift, keys & np.uint64((1 << bits) - 1), size - 1 - end)
     first = np.searchsorted(which[distinct], np.arange(len(words) + 1))
-    return Patterns(size, shift, window_hash(words), words, first, items[distinct])
+    return Patterns(size, shift, tk.row_hashes(words), words, first, items[distinct])
 
 
 def block_hash(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
@@ -112,7 +105,7 @@ def search(found: Patterns, words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 def confirmed(found: Patterns, w: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The ends where a pattern occurs: buckets by window hash, then word by word."""
     rows = w[ends[:, None] + np.arange(1 - found.size, 1)]
-    hashes = window_hash(rows)
+    hashes = tk.row_hashes(rows)
     at = np.searchsorted(found.hashes, hashes)
     open_ = np.arange(len(ends))
     while len(open_):
