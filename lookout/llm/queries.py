@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import chats, exact, lshforest, mixing, quality, urls, wumanber
+from lookout.llm import chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,15 @@ def op8_quality(spark, d):
 @query("op4_minhash_near")
 def op4_minhash_near(spark, d):
     return lshforest.near_components(table(spark, d, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, d):
+    kept = fmindex.without_repeats(table(spark, d, "documents"), digest=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, d):
+    kept = suffixes.without_repeats(table(spark, d, "documents"), digest=True)
+    return kept.withColumn("kept_sha256", F.col("kept").cast("string")).drop("kept")
