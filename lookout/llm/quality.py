@@ -230,8 +230,17 @@ def scorer(sent, columns: pa.Schema):
     return work
 
 
-def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with a predicted quality of 1, with all their columns."""
-    scores = quality_scores(docs, labels, doc_id, text, **options)
-    gone = scores.where("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")), "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, **fitting) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, with all their columns: a filter in the scan, no join."""
+    model = fit(input_columns(docs, doc_id=doc_id, text=text), input_columns(labels, doc_id=doc_id, label=label), **fitting)
+    if isinstance(model, float):
+        return docs.where(F.lit(model >= threshold))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for whole in batches:
+            for batch, block in tk.blocks(whole, text):
+                yield batch.filter(pa.array(probabilities(model, pooled(block, model.known, model.contexts)) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

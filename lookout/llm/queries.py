@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wumanber
+from lookout.llm import chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wrappers, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,8 @@ def op3_substring_dedup(spark, d):
 def op7_suffix_dedup(spark, d):
     kept = suffixes.without_repeats(table(spark, d, "documents"), digest=True)
     return kept.withColumn("kept_sha256", F.col("kept").cast("string")).drop("kept")
+
+
+@query("op10_html_text")
+def op10_html_text(spark, d):
+    return wrappers.main_texts(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
