@@ -40,7 +40,7 @@ def micros(df, *columns):
 def incremental_sink(spark, d):
     """Text measures written batch by batch, so that what is done stays done."""
     schema = table(spark, d, "documents").schema
-    stream = st.file_stream(spark, d, schema, "documents.parquet", 10)
+    stream = st.file_stream(spark, f"{d}/documents.parquet", schema, 10)
     measured = stream.select("doc_id", tx.word_count(F.col("text")).cast("bigint").alias("words"))
     path = scratch_path(spark, "measures")
     st.finish(st.write_batches(measured, st.batch_folder(path), scratch_path(spark, "measures-state")))
@@ -49,7 +49,7 @@ def incremental_sink(spark, d):
 
 @query("stream_append", "SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS ts FROM events")
 def stream_append(spark, d):
-    return micros(to_table(st.event_stream(spark, d), "append"), "ts")
+    return micros(to_table(st.event_stream(spark, f"{d}/events.parquet"), "append"), "ts")
 
 
 @query(
@@ -59,7 +59,7 @@ def stream_append(spark, d):
 )
 def stream_baseline(spark, d):
     path = scratch_path(spark, "running")
-    stream = st.event_stream(spark, d)
+    stream = st.event_stream(spark, f"{d}/events.parquet")
     st.finish(st.running_baseline(stream, "user_id", {"base_value": "value"}, path, scratch_path(spark, "running-state")))
     return st.current_baseline(spark, path, "user_id", 60).withColumn("base_value", r6("base_value"))
 
@@ -69,7 +69,7 @@ DAILY = "SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM
 
 @query("stream_daily_dedup", DAILY)
 def stream_daily_dedup(spark, d):
-    first = st.first_of_day(st.event_stream(spark, d), "user_id", "ts", DELAY)
+    first = st.first_of_day(st.event_stream(spark, f"{d}/events.parquet"), "user_id", "ts", DELAY)
     return day_text(to_table(first.select("user_id", "day"), "daily"))
 
 
@@ -107,7 +107,7 @@ def timed(spark, d):
 
 @query("stream_tumbling", window_sql(ONE_DAY, 1, True))
 def stream_tumbling(spark, d):
-    stream = st.event_stream(spark, d).withWatermark("ts", DELAY)
+    stream = st.event_stream(spark, f"{d}/events.parquet").withWatermark("ts", DELAY)
     return rounded(to_table(st.windowed(stream, "user_id", "ts", "value", "1 day"), "tumbling"))
 
 
@@ -118,7 +118,7 @@ def tumbling_agg(spark, d):
 
 @query("stream_sliding", window_sql(TWO_DAYS, 2, True))
 def stream_sliding(spark, d):
-    stream = st.event_stream(spark, d).withWatermark("ts", DELAY)
+    stream = st.event_stream(spark, f"{d}/events.parquet").withWatermark("ts", DELAY)
     return rounded(to_table(st.windowed(stream, "user_id", "ts", "value", "2 days", "1 day"), "sliding"))
 
 
@@ -138,7 +138,7 @@ def sliding_agg(spark, d):
       WHERE last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
 )
 def stream_sessions(spark, d):
-    stream = st.event_stream(spark, d).withWatermark("ts", "1 day")
+    stream = st.event_stream(spark, f"{d}/events.parquet").withWatermark("ts", "1 day")
     return micros(to_table(st.sessions(stream, "user_id", "ts", "2 hours"), "sessions"), "start", "end")
 
 
@@ -151,7 +151,7 @@ def stream_sessions(spark, d):
 )
 def stream_alerts(spark, d):
     base = user_baseline(table(spark, d, "events"), "user_id", {"base_value": "value"}, 60)
-    stream = st.event_stream(spark, d).select("event_id", "user_id", "value")
+    stream = st.event_stream(spark, f"{d}/events.parquet").select("event_id", "user_id", "value")
     judged = st.alerts(stream, base, "user_id", ["event_id"], "value", "base_value", 0.25, 0.5)
     path = scratch_path(spark, "alerts")
     write = st.batch_folder(path, lambda df: df.select("event_id", "risk_level", "status"))

@@ -1,40 +1,54 @@
 """Jobs over arriving records: append, running baseline, daily gate, windows, sessions, alerts.
 
-Rows behind the watermark are dropped; ``late_rows`` reads their number from the query progress.
-State and output lie in the shared folder, so a job goes on from its checkpoint after a loss.
+Rows behind the watermark are dropped; ``LateRows`` counts them. State and output lie in the shared folder, so a job
+goes on from its checkpoint after a loss. State is kept in RocksDB, off the executor heap (``durable_state``).
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lookout.operators.decide import status_of
+from lookout.operators.relational import known_number
 from lookout.operators.scan import many_to_one
 from lookout.operators.windows import first_per_key
 from lookout.schemas import EVENTS
+from lookout.session import settled
 
 Write = Callable[[DataFrame, int], None]
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def durable_state(spark: SparkSession) -> None:
+    """Streaming state in RocksDB, with changes written as a log: it may outgrow the heap of the executors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 1_000
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000, may_be_empty: bool = False
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Rows of the files of a table that are there or arrive. ``path`` is a file, a folder of part files or a pattern.
+
+    A path without any file is an error, unless the folder is meant to fill up later (``may_be_empty``).
+    """
+    durable_state(spark)
+    if not may_be_empty and not spark.read.schema(schema).parquet(path).inputFiles():
+        raise FileNotFoundError(f"no file to stream at {path}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int = 1_000) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000, may_be_empty: bool = False) -> DataFrame:
     """Events with a time-zoned timestamp, as watermarks need it."""
-    return file_stream(spark, folder, EVENTS, pattern, files_per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
+    return file_stream(spark, path, EVENTS, files_per_batch, may_be_empty).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -71,11 +85,43 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped for lateness so far."""
-    return sum(
-        int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop for lateness, over all their batches.
+
+    Attach it before the query starts: ``late = LateRows.attached(spark)``; ``late.of(query)`` waits for the end of
+    the query's events.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    @classmethod
+    def attached(cls, spark: SparkSession) -> LateRows:
+        listener = cls()
+        spark.streams.addListener(listener)
+        return listener
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, seconds: float = 60.0) -> int:
+        until = time.monotonic() + seconds
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the query has not ended")
+            time.sleep(0.05)
+        return self.dropped[str(query.runId)]
 
 
 # --- per-subject state -----------------------------------------------------------------
@@ -83,19 +129,37 @@ def late_rows(query: StreamingQuery) -> int:
 
 def running_baseline(stream: DataFrame, key: str, measures: Mapping[str, str], path: str, checkpoint: str) -> StreamingQuery:
     """Keeps count and mean per subject. Each batch writes the subjects it changed."""
-    means = [F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(o) for o, c in measures.items()]
+    means = [F.avg(known_number(F.col(c))).alias(o) for o, c in measures.items()]
     state = stream.groupBy(key).agg(F.count(F.lit(1)).alias("total_samples"), *means)
     return write_batches(state, batch_folder(path), checkpoint, "update")
 
 
+def latest_state(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last written state per subject, from the compacted part and the batches after it."""
+    return first_per_key(spark.read.parquet(path), [key], [F.desc("batch")])
+
+
+def compact_baseline(spark: SparkSession, path: str, key: str) -> None:
+    """Merge the batch folders into one table of the latest state per subject, between two runs of the stream.
+
+    The merged rows keep the number of their last batch and are written beside the history first, so a loss midway
+    leaves the history as it was. Later batches go on in ``path``.
+    """
+    merged = settled(latest_state(spark, path, key))
+    merged.write.mode("overwrite").partitionBy("batch").parquet(path)
+
+
 def current_baseline(spark: SparkSession, path: str, key: str, min_rows: int) -> DataFrame:
     """Latest state per subject, for those with at least ``min_rows`` records."""
-    latest = first_per_key(spark.read.parquet(path), [key], [F.desc("batch")])
-    return latest.drop("batch").filter(F.col("total_samples") >= min_rows)
+    return latest_state(spark, path, key).drop("batch").filter(F.col("total_samples") >= min_rows)
 
 
 def first_of_day(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """One row per subject and day; further rows of that day are dropped."""
+    """One row per subject and day; further rows of that day are dropped. ``delay`` is a day at least, else the
+    state of a day could go before the day is over."""
+    days = stream.sparkSession.range(1).select(F.expr(f"INTERVAL {delay}") >= F.expr("INTERVAL 1 day")).first()[0]
+    if not days:
+        raise ValueError("the delay must cover a day")
     return (
         stream.withColumn("day", F.to_date(ts))
         .withWatermark(ts, delay)
@@ -109,7 +173,7 @@ def first_of_day(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 def windowed(df: DataFrame, key: str, ts: str, value: str, width: str, slide: str | None = None) -> DataFrame:
     """Count and mean per subject and tumbling or sliding window. Works on streams and tables."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    out = df.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
+    out = df.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.avg(known_number(F.col(value))).alias("mean_value"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean_value")
 
 
