@@ -58,7 +58,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """The longest fitting rule as a struct of rule and verdict, or null."""
     ordered = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
     cases = [F.when(rule_fits(host, path, rule), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))) for rule, verdict in ordered]
-    return F.coalesce(*cases, F.lit(None))
+    return F.coalesce(*cases, F.lit(None).cast("struct<rule: string, verdict: string>"))
 
 
 def entropy(text: Column) -> Column:
