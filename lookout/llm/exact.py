@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
             (whole if hash_all else F.when(F.col("shared"), whole)).alias("text_sha256"),
         )
     )
-    groups = (
+    groups = settled(
         hashed.where("shared")
         .groupBy("text_sha256")
         .agg(
