@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lookout.llm.common import input_columns, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 MOST_COPIES = 3
 SENT_SOURCES = 50_000  #: a longer list of sources is joined by shuffle, with the same rows
 
