@@ -261,46 +261,63 @@ def recommendations(spark, d):
     return advised.select("user_id", "day", F.array_join("recommendations", " | ").alias("tips"))
 
 
-CURRENT = {"Pitch": ("level_mean", "%.1f"), "Rate": ("rate", "%.2f"), "Sentiment": ("polarity", "%.2f")}
-BASELINE = {"Average Pitch": ("base_level", "%.1f"), "Average Rate": ("base_rate", "%.2f")}
+# Six places, so that no printed number is a tie between two roundings.
+CURRENT = {"Pitch": ("level_mean", "%.6f"), "Rate": ("rate", "%.6f"), "Sentiment": ("polarity", "%.6f"), "Records": ("n", "%d")}
+BASELINE = {"Average Pitch": ("base_level", "%.6f"), "Average Rate": ("base_rate", "%.6f")}
+OPENING, NOTE, CLOSING = "Summarise the record below in plain words.", "Weigh it against the sentiment.", "Reply with one JSON object."
+MODEL_LEVEL = f"""CASE WHEN day = DATE '2024-01-07' THEN NULL ELSE
+      CASE {v.UD_CLASS} WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END END"""
+CONFIDENCE = f"(40.0 + 5.0 * {v.UD_SCORE})"
+NUMBERED_SQL = "CASE level " + " ".join(
+    f"WHEN '{lv}' THEN '" + "\n".join(f'{i}. "{t}"' for i, t in enumerate(tips, 1)) + "'" for lv, tips in decide.ADVICE
+) + " END"
+
+
+def requested_days(spark, d):
+    """User-days with baseline, flags, predicted class, its confidence, the share of each class and the advice."""
+    days = days_with_baseline(spark, d).withColumns(decide.trend_flags(FLAGS))
+    score = decide.rule_score(v.USER_DAY_RULES)
+    level = F.when(F.col("day") != F.lit("2024-01-07").cast("date"), decide.class_name(decide.risk_class(score)))
+    sure = 40.0 + 5.0 * score
+    share = F.create_map(level, sure / 100.0)
+    days = days.withColumns({"level": level, "confidence": sure, "shares": F.when(level.isNotNull(), share)})
+    return decide.with_advice(days, "level")
 
 
 @query(
     "render_request",
-    f"""WITH {WITH_BASE}, k AS (SELECT *, CASE WHEN day = DATE '2024-01-07' THEN NULL ELSE
-      CASE {v.UD_CLASS} WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END END AS level FROM j)
-    SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(n AS INT) AS n,
-      total_samples IS NOT NULL AS with_baseline, level IS NOT NULL AS with_prediction,
-      CASE WHEN level IS NULL THEN '' ELSE level END AS level,
-      CASE level WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 0 END AS n_tips FROM k""",
+    f"""WITH {WITH_BASE}, k AS (SELECT *, {MODEL_LEVEL} AS level, {CONFIDENCE} AS sure FROM j)
+    SELECT user_id, CAST(day AS VARCHAR) AS day, '{OPENING}'
+      || printf(E'\n\n--- CURRENT RECORDING ---\nTranscription: ''%s''\nPitch: %.6f\nRate: %.6f\nSentiment: %.6f\nRecords: %d',
+           'day ' || day(day), level_mean, rate, polarity, n)
+      || CASE WHEN total_samples IS NULL THEN '' ELSE
+           printf(E'\n\n--- PERSONAL BASELINE ---\nAverage Pitch: %.6f\nAverage Rate: %.6f\nTRENDS: ', base_level, base_rate)
+           || 'Pitch Drop Detected=' || CASE WHEN coalesce(level_mean < base_level * 0.9, false) THEN 'True' ELSE 'False' END
+           || ', Slower Speech Detected=' || CASE WHEN coalesce(rate < base_rate * 0.85, false) THEN 'True' ELSE 'False' END END
+      || CASE WHEN level IS NULL THEN '' ELSE
+           printf(E'\n\n--- MODEL PREDICTION ---\nPredicted: %s Risk (Confidence: %.1f%%)\nProbabilities -> Low: %.1f%%, Medium: %.1f%%, High: %.1f%%\n{NOTE}',
+             level, sure, CASE level WHEN 'Low' THEN sure ELSE 0.0 END, CASE level WHEN 'Medium' THEN sure ELSE 0.0 END,
+             CASE level WHEN 'High' THEN sure ELSE 0.0 END)
+           || E'\n\n--- REQUIRED RECOMMENDATIONS ---\n' || {NUMBERED_SQL} END
+      || E'\n\n{CLOSING}' AS request FROM k""",
 )
 def render_request(spark, d):
-    """The request text of every user-day, read back into what it holds."""
-    days = days_with_baseline(spark, d).withColumns(decide.trend_flags(FLAGS))
-    level = decide.class_name(decide.risk_class(decide.rule_score(v.USER_DAY_RULES)))
-    days = days.withColumn("level", F.when(F.col("day") != F.lit("2024-01-07").cast("date"), level))
-    days = decide.with_advice(days, "level")
+    """The request text of every user-day, as it would be sent."""
     request = decide.render_request(
-        {**CURRENT, "Records": ("n", "%d")},
+        CURRENT,
         BASELINE,
         {"Pitch Drop": "pitch_drop", "Slower Speech": "slow_speech"},
         F.col("total_samples").isNotNull(),
         F.col("level"),
-        F.lit(50.0),
-        advice=F.col("recommendations"),
-    )
-    asked = days.select("user_id", "day", request.alias("request"))
-    return day_text(
-        asked.select(
-            "user_id",
-            "day",
-            F.regexp_extract("request", r"Records: (\d+)", 1).cast("int").alias("n"),
-            F.col("request").contains("PERSONAL BASELINE").alias("with_baseline"),
-            F.col("request").contains("MODEL PREDICTION").alias("with_prediction"),
-            F.regexp_extract("request", r"Predicted: (\w+) Risk", 1).alias("level"),
-            F.regexp_count("request", F.lit(r'\n\d\. "')).alias("n_tips"),
-        )
+        F.col("confidence"),
+        F.concat(F.lit("day "), F.dayofmonth("day")),
+        F.col("shares"),
+        F.col("recommendations"),
+        OPENING,
+        NOTE,
+        CLOSING,
     )
+    return day_text(requested_days(spark, d).select("user_id", "day", request.alias("request")))
 
 
 def replies(spark, d):
@@ -354,24 +371,38 @@ def fallback_decision(spark, d):
     )
 
 
+ANSWERED_SQL = f"""k AS (SELECT *, {MODEL_LEVEL} AS model_risk, {CONFIDENCE} AS sure, user_id + day(day) AS i FROM j),
+an AS (SELECT *, CASE i % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'bad' ELSE 'good' END AS kind,
+  CASE i % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' END AS said FROM k),
+fd AS (SELECT *, CASE kind WHEN 'none' THEN coalesce(model_risk, 'Low') WHEN 'bad' THEN coalesce(model_risk, 'Unknown')
+  ELSE coalesce(said, model_risk, 'Unknown') END AS level FROM an)"""
+
+
+def answered_days(spark, d):
+    """User-days with a reply for most: JSON, cut-off JSON or none; the reply may contradict the model."""
+    days = requested_days(spark, d).withColumnRenamed("level", "model_risk").drop("recommendations", "explanation", "shares")
+    i = F.col("user_id") + F.dayofmonth("day")
+    said = F.when(i % 3 == 0, "High").when(i % 3 == 1, "Medium")
+    body = F.to_json(F.struct(said.alias("risk_level"), F.format_string("%d records", "n").alias("explanation")))
+    return days.withColumn("reply", F.when(i % 5 == 0, F.lit(None)).when(i % 5 == 1, F.substring(body, 1, 9)).otherwise(body))
+
+
 @query(
     "final_decision",
-    f"""WITH {REPLY_SQL}, f AS (SELECT event_id, event_id % 13 <> 0 AS ready, kind,
-      CASE WHEN kind = 'none' THEN coalesce(model_risk, 'Low') ELSE level END AS level, props FROM pr)
-    SELECT event_id, CASE WHEN ready THEN level ELSE 'Unknown' END AS risk_level,
+    f"""WITH {WITH_BASE}, {ANSWERED_SQL}, rd AS (SELECT *, total_samples IS NOT NULL AS ready FROM fd),
+    tp AS (SELECT user_id, day, {TIPS_SQL} AS tips FROM (SELECT user_id, day, model_risk AS level FROM fd))
+    SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN ready THEN level ELSE 'Unknown' END AS risk_level,
       CASE WHEN ready THEN {STATUS_SQL} ELSE 'Unknown' END AS status,
       CASE WHEN NOT ready THEN 'Not enough data.' WHEN kind = 'bad' THEN 'Failed to parse the reply.'
-        WHEN kind = 'good' THEN props
-        ELSE 'The model classified this record as ' || level || ' Risk with 0.0% confidence.' END AS explanation,
-      CASE WHEN ready THEN 2 ELSE 0 END AS n_tips FROM f""",
+        WHEN kind = 'good' THEN n || ' records'
+        ELSE printf('The model classified this record as %s Risk with %.1f%% confidence.', level, sure) END AS explanation,
+      CASE WHEN ready THEN tips ELSE '' END AS tips FROM rd JOIN tp USING (user_id, day)""",
 )
 def final_decision(spark, d):
-    rows = replies(spark, d).withColumn("confidence", F.lit(None).cast("double"))
-    out = decide.final_decision(rows, "reply", "model_risk", "confidence", F.col("event_id") % 13 != 0)
-    return out.select(
-        "event_id",
-        "risk_level",
-        F.col("mental_health_status").alias("status"),
-        "explanation",
-        F.size("recommendations").alias("n_tips"),
+    """Records with their baseline, model class, confidence and reply, through to the decision."""
+    out = decide.final_decision(answered_days(spark, d), "reply", "model_risk", "confidence", F.col("total_samples").isNotNull())
+    return day_text(
+        out.select(
+            "user_id", "day", "risk_level", F.col("mental_health_status").alias("status"), "explanation", F.array_join("recommendations", " | ").alias("tips")
+        )
     )

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lookout.catalog.registry import query
 from lookout.catalog.tables import r6
 from lookout.functions import signal as sg
 from lookout.operators.aggregates import frame_summary as summarize
 from lookout.plans import views as v
-from lookout.session import table
+from lookout.session import scratch_path, table
 from lookout.sources import files
 
 RATE, LOW, HIGH = 16_000.0, 500.0, 2_000.0  # lags 8 .. 32 of 64 samples
@@ -188,50 +186,88 @@ def frame_mfcc(spark, d):
 
 
 def recordings(spark, d):
-    """A WAV file per vector: its 64 values over and over, for 5 or 10 seconds and a rest.
+    """A WAV file per vector, written to the shared folder and read back: its 64 values over and over, for 5 or 10 seconds
+    and a rest. Every twentieth has another sample rate in its head."""
+    return files.read_recordings(spark, recording_folder(spark, d))
 
-    Every twentieth has another sample rate in its head.
-    """
 
-    @F.pandas_udf(T.BinaryType())
-    def as_wav(vec_id: pd.Series, embedding: pd.Series) -> pd.Series:
-        out = []
-        for i, e in zip(vec_id, embedding):
-            x = np.asarray(e, dtype=np.float64) * (1 + i % 7) / 8.0
-            out.append(files.wav_content(np.tile(x, 1250 * (1 + i % 2) + 10), 8_000 if i % 20 == 0 else 16_000))
-        return pd.Series(out)
+def recording_folder(spark, d):
+    folder = scratch_path(spark, "corpus")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for i, e in zip(batch["vec_id"], batch["embedding"]):
+                x = np.asarray(e, dtype=np.float64) * (1 + i % 7) / 8.0
+                content = files.wav_content(np.tile(x, 1250 * (1 + i % 2) + 10), 8_000 if i % 20 == 0 else 16_000)
+                with store.open_output_stream(f"{root}/{i}.wav") as out:  # a task run again writes the same file
+                    out.write(content)
+            yield batch[["vec_id"]]
 
     # The vectors are few bytes and make long recordings, so they are dealt out first.
     e = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    return e.select(
-        F.concat(F.lit("/corpus/"), F.col("vec_id"), F.lit(".wav")).alias("path"),
-        (((F.col("vec_id") % 2 + 1) * 1250 + 10) * 64 * 2 + 44).alias("length"),
-        as_wav.asNondeterministic()("vec_id", "embedding").alias("content"),
-    )
+    e.select("vec_id", "embedding").mapInPandas(write, "vec_id long").count()
+    return folder
+
+
+def vec_id():
+    return F.regexp_extract("path", r"([^/]+)\.wav$", 1).cast("long").alias("vec_id")
+
+
+@query(
+    "list_files",
+    "SELECT vec_id, CAST(((vec_id % 2 + 1) * 1250 + 10) * 64 * 2 + 44 AS BIGINT) AS length FROM embeddings",
+)
+def list_files(spark, d):
+    """The recordings made from the vectors, as they lie in their folder."""
+    return files.list_files(spark, recording_folder(spark, d), "*.wav").select(vec_id(), "length")
+
+
+PCM_SQL = """e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
+  lambda x: CAST(round_even(x * (1 + vec_id % 7) / 8.0 * 32768, 0) AS BIGINT)) AS s FROM embeddings)"""
+# A frame of 2,048 samples holds the 64 values 32 times, so all frames of a recording are alike.
+ALIKE_SQL = f"""{PCM_SQL}, f AS (SELECT vec_id, sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * x)) / 64) / 32768 AS energy,
+  (32 * len(list_filter(range(1, 64), lambda i: (s[i] >= 0) <> (s[i + 1] >= 0))) + 31 * CAST((s[64] >= 0) <> (s[1] >= 0) AS INT))
+    / CAST(2048 AS DOUBLE) AS zcr FROM e)"""
+STATED = ("energy_mean", "energy_std", "zcr_mean", "speech_rate", "pause_ratio")
+STATED_SQL = "round(energy, 6) AS energy_mean, 0.0 AS energy_std, round(zcr, 6) AS zcr_mean, 0.0 AS speech_rate, 0.0 AS pause_ratio"
 
 
 @query(
     "wav_chunks",
-    """WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
-      lambda x: CAST(round_even(x * (1 + vec_id % 7) / 8.0 * 32768, 0) AS BIGINT)) AS s FROM embeddings
-      WHERE vec_id % 20 <> 0)
-    SELECT '/corpus/' || vec_id || '.wav' AS path, c AS chunk_id, c * 5 AS chunk_start, 80000 AS n,
+    f"""WITH {PCM_SQL} SELECT vec_id, c AS chunk_id, c * 5 AS chunk_start, 80000 AS n,
       CAST(1250 * list_sum(s) AS BIGINT) AS total, list_min(s) AS low, list_max(s) AS high
-      FROM e, range(1 + vec_id % 2) r(c)""",
+      FROM e, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0""",
 )
 def wav_chunks(spark, d):
     chunks, _ = files.recording_chunks(recordings(spark, d))
-    return chunks.withColumn("s", files.pcm_summary("pcm")).select("path", "chunk_id", "chunk_start", "s.*")
+    return chunks.withColumn("s", files.pcm_summary("pcm")).select(vec_id(), "chunk_id", "chunk_start", "s.*")
+
+
+def stated(features, rejects, *ids):
+    """The measures that SQL can state, of complete feature rows, and the rejected recordings."""
+    whole = features.filter("pitch_mean IS NOT NULL AND spectral_centroid_mean > 0 AND mfcc_13 IS NOT NULL AND hnr IS NOT NULL")
+    rows = whole.select(vec_id(), *ids, *[F.abs(r6(c)).alias(c) for c in STATED], F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(rejects.select(vec_id(), "error"), allowMissingColumns=True)
 
 
-@query("signal_features")
+@query(
+    "signal_features",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM f, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+)
 def signal_features(spark, d):
-    features, _ = sg.signal_features(recordings(spark, d))
-    return features
+    return stated(*sg.signal_features(recordings(spark, d)), "chunk_id")
 
 
-@query("file_features")
+@query(
+    "file_features",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, {STATED_SQL}, NULL AS error FROM f WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+)
 def file_features(spark, d):
     """Whole recordings, without chunks."""
-    features, _ = sg.file_features(recordings(spark, d))
-    return features
+    return stated(*sg.file_features(recordings(spark, d)))

@@ -142,19 +142,36 @@ def stream_sessions(spark, d):
     return micros(to_table(st.sessions(stream, "user_id", "ts", "2 hours"), "sessions"), "start", "end")
 
 
+# Rule thresholds for single events.
+EVENT_RULES = (decide.Rule("value", "<", 10, 2), decide.Rule("value", "<", 30, 2), decide.Rule("hour", ">", 20, 1))
+EVENT_FLAGS = {"pitch_drop": ("value", "base_value"), "slow_speech": ("hour", "base_hour"), "zcr_drop": ("length", "base_length")}
+
+
+def event_measures(df):
+    return df.select("event_id", "user_id", "value", F.hour("ts").cast("double").alias("hour"), F.length("props").cast("double").alias("length"))
+
+
 @query(
     "stream_alerts",
-    """WITH b AS (SELECT user_id, avg(value) AS base FROM events GROUP BY 1 HAVING count(*) >= 60),
-    j AS (SELECT event_id, value / base AS share FROM events LEFT JOIN b USING (user_id))
-    SELECT event_id, CASE WHEN share < 0.25 THEN 'High' WHEN share < 0.5 THEN 'Medium' ELSE 'Low' END AS risk_level,
-      CASE WHEN share < 0.25 THEN 'Unhealthy' WHEN share < 0.5 THEN 'Needs Attention' ELSE 'Healthy' END AS status FROM j""",
+    """WITH m AS (SELECT event_id, user_id, value, CAST(hour(ts) AS DOUBLE) AS h, CAST(length(props) AS DOUBLE) AS l FROM events),
+    b AS (SELECT user_id, avg(value) AS bv, avg(h) AS bh, avg(l) AS bl FROM m GROUP BY 1 HAVING count(*) >= 60),
+    j AS (SELECT m.*, coalesce(bv, 0) AS bv, coalesce(bh, 0) AS bh, coalesce(bl, 0) AS bl,
+      CASE WHEN value < 10 THEN 2 ELSE 0 END + CASE WHEN value < 30 THEN 2 ELSE 0 END + CASE WHEN h > 20 THEN 1 ELSE 0 END AS score
+      FROM m LEFT JOIN b USING (user_id)),
+    k AS (SELECT *, CASE WHEN score >= 5 THEN 'High' WHEN score >= 2 THEN 'Medium' ELSE 'Low' END AS level FROM j)
+    SELECT event_id, value < bv * 0.9 AS pitch_drop, h < bh * 0.85 AS slow_speech, l < bl * 0.8 AS zcr_drop, level AS risk_level,
+      CASE level WHEN 'High' THEN 'Unhealthy' WHEN 'Medium' THEN 'Needs Attention' ELSE 'Healthy' END AS status,
+      CASE level WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 ELSE 2 END AS n_tips FROM k""",
 )
 def stream_alerts(spark, d):
-    base = user_baseline(table(spark, d, "events"), "user_id", {"base_value": "value"}, 60)
-    stream = st.event_stream(spark, f"{d}/events.parquet").select("event_id", "user_id", "value")
-    judged = st.alerts(stream, base, "user_id", ["event_id"], "value", "base_value", 0.25, 0.5)
+    measures = {base: now for now, base in EVENT_FLAGS.values()}
+    base = user_baseline(event_measures(timed(spark, d)), "user_id", measures, 60)
+    level = decide.class_name(decide.risk_class(decide.rule_score(EVENT_RULES)))
+    stream = event_measures(st.event_stream(spark, f"{d}/events.parquet"))
+    judged = st.alerts(stream, base, "user_id", ["event_id"], EVENT_FLAGS, lambda df: df.withColumn("model_risk", level))
     path = scratch_path(spark, "alerts")
-    write = st.batch_folder(path, lambda df: df.select("event_id", "risk_level", "status"))
+    kept = ["event_id", *EVENT_FLAGS, "risk_level", F.col("mental_health_status").alias("status"), F.size("recommendations").alias("n_tips")]
+    write = st.batch_folder(path, lambda df: df.select(*kept))
     st.finish(st.write_batches(judged, write, scratch_path(spark, "alerts-state")))
     return spark.read.parquet(path).drop("batch")
 
@@ -242,11 +259,21 @@ def batch_decisions(spark, d):
     return day_text(out)
 
 
-@query("corpus_features")
+@query(
+    "corpus_features",
+    f"""WITH {v.TR}, w AS (SELECT conv_id, CAST(floor(start_time / 5) AS BIGINT) AS chunk_id, CAST(sum(len({TOKENS})) AS INT) AS words
+      FROM utt GROUP BY 1, 2)
+    SELECT CAST(vec_id AS VARCHAR) AS subject, c AS chunk_id, c * 5 AS chunk_start, coalesce(words, 0) AS word_count, NULL AS error
+      FROM (SELECT vec_id, unnest(range(1 + vec_id % 2)) AS c FROM embeddings WHERE vec_id % 20 <> 0)
+      LEFT JOIN w ON conv_id = vec_id AND chunk_id = c
+    UNION ALL SELECT CAST(vec_id AS VARCHAR), NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+)
 def corpus_features(spark, d):
     """Labelled chunk rows: recordings made from the vectors, transcripts from the conversations."""
     said = v.participants(spark, d).select(
         F.col("conv_id").cast("string").alias("subject"), "start_time", "turn", F.col("text").alias("value")
     )
     subject = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
-    return jobs.corpus_features(recordings(spark, d), subject, said, v.lexicon(spark))
+    labelled, rejects = jobs.corpus_features(recordings(spark, d), subject, said, v.lexicon(spark))
+    rows = labelled.filter("risk_label IS NOT NULL").select("subject", "chunk_id", "chunk_start", "word_count", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(rejects.select(subject.alias("subject"), "error"), allowMissingColumns=True)

@@ -28,11 +28,6 @@ def past_tie(c):
 # --- sources and sinks -----------------------------------------------------------------
 
 
-@query("list_files")
-def list_files(spark, d):
-    return files.list_files(spark, d, "*.parquet")
-
-
 @query("csv_roundtrip", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def csv_roundtrip(spark, d):
     path = scratch_path(spark, "csv")
@@ -102,10 +97,15 @@ def append_records(spark, d):
 
 @query(
     "scan_user_records",
-    "SELECT event_id, event_type, value FROM events WHERE user_id = 8",
+    f"""WITH {v.UD} SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(day AS VARCHAR) AS record_date, round(level_mean, 6) AS pitch_mean,
+      CAST(n AS INT) AS word_count FROM ud WHERE user_id = 8""",
 )
 def scan_user_records(spark, d):
-    return table(spark, d, "events").filter(F.col("user_id") == 8).select("event_id", "event_type", "value")
+    """The records of one user, read from the written record table."""
+    path = scratch_path(spark, "records")
+    tables.append_records(day_records(spark, d), path)
+    own = tables.read_records(spark, path, "8")
+    return own.select("user_id", F.col("record_date").cast("string").alias("record_date"), r6("pitch_mean").alias("pitch_mean"), "word_count")
 
 
 BASE = {"base_level": "level_mean", "base_energy": "energy_mean", "base_rate": "rate", "base_polarity": "polarity"}
@@ -126,13 +126,13 @@ BASE_SQL = """bl AS (SELECT user_id, count(*) AS total_samples, avg(level_mean)
 )
 def baseline_upsert(spark, d):
     """Baselines of the first half are replaced by those of the whole month where there are any."""
-    days = v.user_day(spark, d)
+    days = v.stored_days(spark, d)
     level = {"base_level": "level_mean"}
     old = user_baseline(days.filter("day < DATE '2024-01-16'"), "user_id", level, 13).withColumn("version", F.lit(1))
     new = user_baseline(days, "user_id", level, 26).withColumn("version", F.lit(2))
-    path = scratch_path(spark, "baselines")
-    tables.upsert(old, new, ["user_id"], "version").write.parquet(path)
-    return spark.read.parquet(path).withColumn("base_level", r6(F.col("base_level")))
+    root = scratch_path(spark, "baselines")
+    tables.upsert_table(old, root, ["user_id"], "version")
+    return tables.upsert_table(new, root, ["user_id"], "version").withColumn("base_level", r6(F.col("base_level")))
 
 
 @query(

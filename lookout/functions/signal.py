@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from lookout.operators.scan import many_to_one
 from lookout.operators.windows import active_islands
 from lookout.session import settled
-from lookout.sources.files import SAMPLE_RATE, decode_pcm16, recording_blocks, recording_chunks
+from lookout.sources.files import SAMPLE_RATE, decode_pcm16, parted, recording_blocks, recording_parts
 
 FRAME_LENGTH, HOP = 2048, 512
 PITCH_LOW, PITCH_HIGH = 80.0, 400.0
@@ -272,6 +272,7 @@ FRAMES = T.StructType(
         T.StructField("loud", T.BooleanType()),
         T.StructField("onset", T.BooleanType()),
         *[T.StructField(c, T.DoubleType()) for c in MFCCS],
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -290,9 +291,9 @@ def loud_and_onset(energy: np.ndarray, top_db: float, width: int, delta_db: floa
     return is_loud, onset
 
 
-def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) -> dict[str, np.ndarray] | None:
+def chunk_frames(pcm: bytes | None, rate: int, length: int, hop: int, top_db: float, channels: int = 1) -> dict[str, np.ndarray] | None:
     """All frame measures of one chunk. Frames without a pitch have NaN there."""
-    y = decode_pcm16(pcm)
+    y = decode_pcm16(pcm or b"", channels)
     if len(y) < length:
         return None
     # Single precision is ample for the spectra of 16-bit samples and halves their time.
@@ -320,24 +321,29 @@ def chunk_frames(pcm: bytes, rate: int, length: int, hop: int, top_db: float) ->
 
 
 def measured_frames(chunks: DataFrame, rate: int, length: int, hop: int, top_db: float = TOP_DB) -> DataFrame:
-    """Frame rows with all measures, from rows of PCM16 chunk bytes."""
+    """Frame rows with all measures, from rows of PCM16 chunk bytes. A row with an error is passed on as one row."""
 
     def frames_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            failed = batch[batch["error"].notna()]
+            if len(failed):
+                yield failed[["path", "chunk_id", "error"]].reindex(columns=FRAMES.names)
+            batch = batch[batch["error"].isna()]
             for at in range(0, len(batch), CHUNKS_PER_BATCH):
                 part = batch.iloc[at : at + CHUNKS_PER_BATCH]
-                found = [chunk_frames(pcm, rate, length, hop, top_db) for pcm in part["pcm"]]
+                found = [chunk_frames(pcm, rate, length, hop, top_db, int(n)) for pcm, n in zip(part["pcm"], part["channels"])]
                 counts = [0 if f is None else len(f["frame"]) for f in found]
                 found = [f for f in found if f is not None]
                 if found:
                     ids = part[["path", "chunk_id"]].loc[part.index.repeat(counts)].reset_index(drop=True)
-                    yield ids.assign(**{c: np.concatenate([f[c] for f in found]) for c in found[0]})
+                    yield ids.assign(**{c: np.concatenate([f[c] for f in found]) for c in found[0]}, error=None)
 
-    rows = chunks.select("path", "chunk_id", "pcm").mapInPandas(frames_of, FRAMES)
+    error = F.col("error") if "error" in chunks.columns else F.lit(None).cast("string")
+    rows = chunks.select("path", "chunk_id", F.coalesce("channels", F.lit(1)).alias("channels"), "pcm", error.alias("error")).mapInPandas(frames_of, FRAMES)
     return rows.withColumn("pitch", F.nanvl("pitch", F.lit(None).cast("double")))
 
 
-def chunk_features(frames: DataFrame, rate: int, length: int, hop: int) -> DataFrame:
+def chunk_features(frames: DataFrame, rate: int, length: int, hop: int, also: Sequence[Column] = ()) -> DataFrame:
     """One feature row per (path, chunk): means and spreads, pause ratio, onset rate, mean MFCCs.
 
     The frames of a chunk come out of one task, so they are summed up before the shuffle.
@@ -356,6 +362,7 @@ def chunk_features(frames: DataFrame, rate: int, length: int, hop: int) -> DataF
         F.avg("spectral_centroid").alias("spectral_centroid_mean"),
         F.avg("spectral_rolloff").alias("spectral_rolloff_mean"),
         *[F.avg(c).alias(c) for c in MFCCS],
+        *also,
     )
 
 
@@ -368,9 +375,11 @@ def signal_features(
     keep_tail: bool = False,
     min_seconds: float = 0.5,
 ) -> tuple[DataFrame, DataFrame]:
-    """(feature row per recording and chunk, rejected recordings with a reason)."""
-    chunks, rejects = recording_chunks(recordings, seconds, rate, keep_tail, min_seconds)
-    return chunk_features(measured_frames(chunks, rate, length, hop), rate, length, hop), rejects
+    """(feature row per recording and chunk, rejected recordings with a reason). The files are read once for both."""
+    parts = recording_parts(recordings, seconds, rate, keep_tail, min_seconds)
+    frames = measured_frames(parts, rate, length, hop)
+    features = chunk_features(frames, rate, length, hop, [F.first("error", True).alias("error")])
+    return parted(settled(features), "chunk_id")
 
 
 def file_features(
@@ -390,10 +399,10 @@ def file_features(
     its levels and is looked at once more when the highest one is known.
     """
     halo = ONSET_WIDTH
-    parts, rejects = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds)
+    parts = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds)
     frames = measured_frames(parts.withColumnRenamed("block", "chunk_id"), rate, length, hop, top_db)
     number = F.col("frame") + F.greatest(F.lit(0), F.col("chunk_id") * block - halo)
-    frames = frames.filter(F.floor(number / block) == F.col("chunk_id"))
+    frames = frames.filter((F.floor(number / block) == F.col("chunk_id")) | F.col("error").isNotNull())
 
     spread, plain = ("pitch", "energy"), ("hnr", "zcr", "spectral_centroid", "spectral_rolloff", *MFCCS)
     blocks = frames.groupBy("path", "chunk_id").agg(
@@ -402,10 +411,14 @@ def file_features(
         F.count_if("onset").alias("onsets"),
         F.collect_list("energy").alias("levels"),
         *[F.sum(c).alias(c) for c in (*spread, *plain)],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"{c}_squares") for c in spread],
+        *[(F.var_pop(c) * F.count(c)).alias(f"{c}_spread") for c in spread],
+        F.first("error", True).alias("error"),
+    )
+    blocks, rejects = parted(settled(blocks), "chunk_id")
+    counts = {"pitch": "voiced", "energy": "frames"}
+    top = blocks.groupBy("path").agg(
+        F.max(F.array_max("levels")).alias("top"), *[F.try_divide(F.sum(c), F.sum(counts[c])).alias(f"{c}_center") for c in spread]
     )
-    blocks = settled(blocks)
-    top = blocks.groupBy("path").agg(F.max(F.array_max("levels")).alias("top"))
     told = many_to_one(blocks, top, ["path"], "inner", spread_by=["chunk_id"])
     limit = F.col("top") * 10.0 ** (-top_db / 20.0)
     told = told.withColumn("__loud", F.size(F.filter("levels", lambda x: x > limit)))
@@ -418,7 +431,9 @@ def file_features(
         return F.coalesce(F.try_divide(F.sum(c), count), zero)
 
     def std(c: str, count: Column) -> Column:
-        return F.sqrt(F.greatest(mean(f"{c}_squares", count) - mean(c, count) * mean(c, count), zero))
+        """From the spreads inside the blocks and the distances of their means, without large squares."""
+        away = F.coalesce(F.try_divide(F.col(c), F.col(counts[c])) - F.col(f"{c}_center"), zero)
+        return F.sqrt(F.coalesce(F.try_divide(F.sum(F.coalesce(f"{c}_spread", zero) + F.col(counts[c]) * away * away), count), zero))
 
     features = told.groupBy("path").agg(
         mean("pitch", voiced).alias("pitch_mean"),

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.operators.relational import interval_join
-from lookout.operators.scan import many_to_one
+from lookout.session import settled
 
 WORD = r"[\p{L}\p{N}]+"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.!?]+\s*"
 KEEP_TEXT = 200
-MAX_VOCABULARY = 2_000
 NEGATED = "!"  # no word has it
 
 
@@ -55,59 +52,12 @@ def _marked(tokens: Column, negations: Sequence[str]) -> Column:
     )
 
 
-def with_sentiment(texts: DataFrame, tokens: str, lexicon: DataFrame, negations: Sequence[str] = ()) -> DataFrame | None:
-    """Adds matched, sentiment_polarity and sentiment_subjectivity without moving any text.
-
-    Counts of the lexicon words come from a vocabulary that Spark sends to every task, so this is
-    for lexicons of at most ``MAX_VOCABULARY`` words; for larger ones the result is None.
-    """
-    entries = lexicon.select("word", "polarity", "subjectivity").limit(MAX_VOCABULARY + 1).collect()
-    if not 0 < len(entries) <= MAX_VOCABULARY:
-        return None
-    if negations:
-        entries = entries + [(NEGATED + w, -p, s) for w, p, s in entries]
-    vocabulary = [w for w, _, _ in entries]
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__words", outputCol="__counts")
-    counted = counter.transform(texts.withColumn("__words", _marked(F.col(tokens), negations)))
-    counted = counted.withColumn("__n", vector_to_array("__counts")).drop("__words", "__counts")
-
-    def weighted(weights: list[float]) -> Column:
-        products = F.zip_with("__n", F.array(*[F.lit(float(x)) for x in weights]), lambda n, x: n * x)
-        return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
-
-    counted = counted.withColumn("matched", F.aggregate("__n", F.lit(0.0), lambda a, n: a + n).cast("bigint"))
-    return counted.withColumns(
-        {
-            "sentiment_polarity": F.try_divide(weighted([p for _, p, _ in entries]), F.col("matched")),
-            "sentiment_subjectivity": F.try_divide(weighted([s for _, _, s in entries]), F.col("matched")),
-        }
-    ).drop("__n")
-
-
-def joined_sentiment(
-    texts: DataFrame, ids: Sequence[str], tokens: str, lexicon: DataFrame, negations: Sequence[str] = ()
-) -> DataFrame:
-    """The same for a lexicon of any size, by a join on the word. Texts without a match are absent.
-
-    Each text is first counted per word, so a frequent word is one row per text.
-    """
-    negated = F.lit(False)
-    word = F.col("w")
-    if negations:
-        negated = F.startswith(word, F.lit(NEGATED))
-        word = F.regexp_replace(word, f"^{NEGATED}", "")
-    counted = (
-        texts.select(*ids, F.explode(_marked(F.col(tokens), negations)).alias("w"))
-        .groupBy(*ids, word.alias("word"), negated.alias("negated"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    hits = many_to_one(counted, lexicon, ["word"], "inner", spread_by=ids)
-    sign = F.when(F.col("negated"), -1.0).otherwise(1.0)
-    total = F.sum("c")
-    return hits.groupBy(*ids).agg(
-        total.alias("matched"),
-        (F.sum(F.col("polarity") * sign * F.col("c")) / total).alias("sentiment_polarity"),
-        (F.sum(F.col("subjectivity") * F.col("c")) / total).alias("sentiment_subjectivity"),
+def one_entry_per_word(lexicon: DataFrame) -> DataFrame:
+    """The lexicon with one row per word: repeated entries are averaged, entries without a word or a value dropped."""
+    return (
+        lexicon.na.drop(subset=["word", "polarity", "subjectivity"])
+        .groupBy("word")
+        .agg(F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity"))
     )
 
 
@@ -116,13 +66,22 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """Mean polarity and subjectivity over the words found in the lexicon; texts without one are absent.
 
-    ``lexicon`` has word, polarity, subjectivity, one row per word. A word after one of
-    ``negations`` counts with reversed polarity.
+    ``lexicon`` has word, polarity, subjectivity. A word after one of ``negations`` counts with reversed polarity.
+    The way is the same for a lexicon of any size: words meet their entry in a join, which Spark does in place while the
+    lexicon is small, and sums per text are combined before they are moved.
     """
-    local = with_sentiment(texts.select(*ids, tokens), tokens, lexicon, negations)
-    if local is None:
-        return joined_sentiment(texts, ids, tokens, lexicon, negations)
-    return local.filter(F.col("matched") > 0).drop(tokens)
+    ids, word = list(ids), F.col("w")
+    said = texts.select(*ids, F.explode(_marked(F.col(tokens), negations)).alias("w"))
+    if negations:
+        said = said.withColumns({"sign": F.when(F.startswith(word, F.lit(NEGATED)), -1.0).otherwise(1.0), "word": F.regexp_replace(word, f"^{NEGATED}", "")})
+    else:
+        said = said.withColumns({"sign": F.lit(1.0), "word": word})
+    hits = said.join(settled(one_entry_per_word(lexicon)), "word")
+    return hits.groupBy(*ids).agg(
+        F.count(F.lit(1)).alias("matched"),
+        F.avg(F.col("polarity") * F.col("sign")).alias("sentiment_polarity"),
+        F.avg("subjectivity").alias("sentiment_subjectivity"),
+    )
 
 
 def language_features(
@@ -136,12 +95,8 @@ def language_features(
         return F.when(t.isNotNull(), value)
 
     base = texts.select(*ids, t, words(t).alias("__tokens"))
-    moods = ["matched", "sentiment_polarity", "sentiment_subjectivity"]
-    measured = with_sentiment(base.withColumn("__tokens", F.coalesce(tokens, F.array().cast("array<string>"))),
-                              "__tokens", lexicon, negations)
-    if measured is None:
-        found = joined_sentiment(base, ids, "__tokens", lexicon, negations)
-        measured = base.join(found.select(*ids, *moods), ids, "left")
+    found = lexicon_sentiment(base, ids, "__tokens", lexicon, negations)
+    measured = base.join(found.drop("matched"), ids, "left")
     zero = F.lit(0.0)
     return measured.select(
         *ids,

@@ -15,7 +15,8 @@ MIN_BASELINE_ROWS = 5
 
 
 def group_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.avg(value).alias("mean_value")).orderBy("mean_value")
+    """Mean per group, lowest first. NaN is missing, here and in every summary."""
+    return df.groupBy(key).agg(F.avg(known_number(F.col(value))).alias("mean_value")).orderBy("mean_value")
 
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
@@ -23,9 +24,10 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def class_share(df: DataFrame, key: str) -> DataFrame:
-    """Count and percentage per class. The total runs over the counted classes only."""
+    """Count and percentage per class. There may be as many classes as rows: the total is one number, not a window."""
     counts = value_counts(df, key)
-    return counts.withColumn("share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    return counts.withColumn("share_pct", F.col("n") * 100.0 / total)
 
 
 def user_baseline(
@@ -62,7 +64,7 @@ def uploaded_on_day(records: DataFrame, key: str, ts: str, day: Column, zone: st
 
 def describe(df: DataFrame, columns: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Count, mean, std, min, quartiles, max; one row per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "measure", "v")
+    long = df.select(*[known_number(F.col(c)).alias(c) for c in columns]).unpivot([], list(columns), "measure", "v")
     basics = long.groupBy("measure").agg(
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
@@ -75,10 +77,11 @@ def describe(df: DataFrame, columns: Sequence[str], rows_per_task: int = ROWS_PE
 
 def box_stats(df: DataFrame, key: str, value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Quartiles, whiskers (outermost values within 1.5 IQR) and outlier count per class."""
+    df = df.select(key, known_number(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
     quartiles = exact_quantiles(df, [key], value, QUARTILES, rows_per_task)
     # Quartiles of all classes, one row each; rows of a hot class are spread by their value.
     counted = df.groupBy(key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    joined = many_to_one(counted, quartiles, [key], "inner", spread_by=["__v"], match_null=True)
+    joined = many_to_one(counted, quartiles, [key], "inner", ["__v"], True, rows_per_task)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("__v").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(key).agg(

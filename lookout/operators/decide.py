@@ -198,11 +198,15 @@ def render_request(
     transcription: Column | None = None,
     probabilities: Column | None = None,
     advice: Column | None = None,
+    opening: str | None = None,
+    model_note: str | None = None,
+    closing: str | None = None,
 ) -> Column:
     """Request text per record: current values, then baseline, prediction and required advice where there are any.
 
     ``current`` and ``baseline`` map a heading to (column, printf format); ``probabilities`` is a map
-    from class name to probability, ``advice`` a list of texts for the predicted class.
+    from class name to probability, ``advice`` a list of texts for the predicted class. What the reader of the request is
+    told to be, to mind and to return is the caller's: ``opening``, ``model_note`` (below the prediction), ``closing``.
     """
     said = [] if transcription is None else [F.format_string("Transcription: '%s'", F.coalesce(transcription, F.lit("N/A")))]
     trends = [F.concat(F.lit(f"{name} Detected="), F.initcap(F.col(c).cast("string"))) for name, c in flags.items()]
@@ -213,9 +217,10 @@ def render_request(
             for _, name in CLASS_NAMES
         ]
         model.append(F.concat(F.lit("Probabilities -> "), F.concat_ws(", ", *shares)))
-    model.append(F.lit("The risk_level must match this prediction unless the sentiment strongly contradicts it."))
+    if model_note:
+        model.append(F.lit(model_note))
     sections = [
-        F.lit("SYSTEM: You are a non-medical analysis agent. Do NOT diagnose any disorder."),
+        F.lit(opening).cast("string"),
         _lines("CURRENT RECORDING", *said, *_values(current)),
         F.when(
             has_baseline,
@@ -226,8 +231,7 @@ def render_request(
     if advice is not None:
         tips = F.transform(advice, lambda t, i: F.format_string('%d. "%s"', i + 1, t))
         sections.append(F.when(predicted.isNotNull(), _lines("REQUIRED RECOMMENDATIONS", F.array_join(tips, "\n"))))
-    keys = F.lit('JSON with the keys "risk_level", "mental_health_status", "explanation", "recommendations"')
-    return F.concat_ws("\n\n", *sections, _lines("REQUIRED OUTPUT", keys))
+    return F.concat_ws("\n\n", *sections, F.lit(closing).cast("string"))
 
 
 def parse_reply(df: DataFrame, reply: str, model_risk: str) -> DataFrame:

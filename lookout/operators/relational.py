@@ -171,9 +171,3 @@ def union_all(*parts: DataFrame) -> DataFrame:
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
-
-
-def unpivot_doubles(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
-    return df.select(*ids, *[F.col(c).cast(T.DoubleType()).alias(c) for c in columns]).unpivot(
-        list(ids), list(columns), name, value
-    )

@@ -3,9 +3,9 @@
 A window partitioned by a key sorts all rows of one key in one task. That is fine
 until one key holds a large part of the table. ``OrderedScan`` looks at the largest
 group first. Below ``rows_per_task`` it uses the plain window. Above it, the rows of
-the large keys are cut into slices along the order column; the window then runs per
-(key, slice) and what earlier slices contribute is added from one total per slice.
-Both ways give the same result.
+the large keys are range-partitioned by the whole order into slices; the window then runs
+per (key, slice) and what earlier slices contribute is added from one total per slice.
+Both ways give the same result, for every type that can be ordered.
 """
 
 from __future__ import annotations
@@ -15,47 +15,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lookout.session import settled
 
 ROWS_PER_TASK = 2_000_000
-MAX_SLICES = 16_384
+STREAM_SALTS = 16
 SLICE, KEY = "__slice", "__key"
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """An order column as a number that grows with it."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name))
-    if isinstance(kind, T.NumericType):
-        return F.col(name)
-    raise TypeError(f"cannot cut slices along {name}: {kind.simpleString()}")
-
-
 def key_of(columns: Sequence[str]) -> Column:
     """All key columns as one struct. Unlike bare columns, structs with a NULL inside do match in a join."""
     return F.struct(*columns) if columns else F.struct(F.lit(1).alias("one"))
 
 
-def position_in(bounds: Column, size: int, x: Column) -> Column:
-    """How many of the sorted ``bounds`` lie below ``x`` (binary search)."""
-    steps = [1 << b for b in range(max(size, 1).bit_length() - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(bounds, at + step - 1) < x, step).otherwise(0),
-    )
-
-
 class OrderedScan:
     """Running sums, ranks and previous values per key, along ``order`` ascending.
 
-    ``order`` must be a total order within a key. The slices follow its first column,
-    so rows equal in key and first order column stay together.
+    ``order`` must be a total order within a key. The slices are cut along all of it.
     """
 
     def __init__(
@@ -74,21 +50,17 @@ class OrderedScan:
             self._cut(sizes, total, rows_per_task)
 
     def _cut(self, sizes: DataFrame, total: int, rows_per_task: int) -> None:
-        # At most total / rows_per_task keys are this large: that bounds the broadcast.
+        # At most total / rows_per_task keys are this large. Spark broadcasts their list while it is short.
         large = sizes.filter(F.col("__rows") > rows_per_task)
-        large = large.select(key_of(self.keys).alias(KEY), F.lit(True).alias("__large"))
-        slices = min(MAX_SLICES, 2 * math.ceil(total / rows_per_task))
-        at = as_number(self.df, self.order[0])
-        shares = [i / slices for i in range(1, slices)]
-        marked = self.df.withColumn(KEY, key_of(self.keys)).join(F.broadcast(large), KEY, "left")
-        # The bounds come back as numbers once, so every use cuts at the same places.
-        (bounds,) = (
-            marked.filter("__large").agg(F.percentile_approx(at.cast("double"), shares, 20 * slices)).first()
-        )
-        bounds = sorted(set(bounds or []))
-        place = position_in(F.array(*[F.lit(float(b)) for b in bounds]), len(bounds), at.cast("double"))
+        large = settled(large.select(key_of(self.keys).alias(KEY), F.lit(True).alias("__large")))
+        marked = self.df.withColumn(KEY, key_of(self.keys)).join(large, KEY, "left")
+        heavy = marked.filter("__large").drop("__large")
+        # The number of a row's range partition is written with the row, so every use cuts at the same places.
+        slices = 2 * math.ceil(total / rows_per_task)
+        placed = settled(heavy.repartitionByRange(slices, KEY, *self.order).withColumn(SLICE, F.spark_partition_id()))
         # Rows of ordinary keys have no slice, so they take no part in the totals and match nothing.
-        self.df = marked.withColumn(SLICE, F.when(F.col("__large"), place)).drop("__large")
+        usual = marked.filter(F.col("__large").isNull()).drop("__large").withColumn(SLICE, F.lit(None).cast("int"))
+        self.df = usual.unionByName(placed)
         self.split = True
 
     @property
@@ -170,7 +142,7 @@ def exact_quantiles(
     scan = OrderedScan(counts, keys, ["__v"], rows_per_task).running({"__upto": F.col("__c")})
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     if keys:
-        placed = many_to_one(scan.done(), sizes, keys, "inner", spread_by=["__v"], match_null=True)
+        placed = many_to_one(scan.done(), sizes, keys, "inner", ["__v"], True, rows_per_task)
     else:
         placed = scan.done().withColumn("__n", sizes.scalar())
     picks = []
@@ -216,29 +188,46 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, rank:
     )
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame | None:
+    """Keys with more than ``rows_per_task`` rows and into how many parts they are cut; None without any."""
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows_per_task)
+    hot = settled(sizes.select(*on, F.ceil(2 * F.col("__n") / F.lit(rows_per_task)).cast("int").alias("__parts")))
+    return hot if hot.take(1) else None
+
+
 def many_to_one(
     df: DataFrame,
     unique: DataFrame,
     on: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] = (),
-    salts: int = 16,
     match_null: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join to a table with one row per key, with the rows of a hot key spread over ``salts`` tasks.
+    """Join to a table with one row per key, with the rows of a hot key cut into parts of at most ``rows_per_task``.
 
-    ``spread_by`` names columns that tell rows of one key apart. The salt is a hash of them, so
-    a recomputed task sends each row where it went before. No broadcast is forced: Spark
-    broadcasts ``unique`` by itself while it is below its size limit, and otherwise shuffles on
-    (key, salt). With ``match_null`` a NULL key finds the NULL key.
+    The keys are counted first; only hot ones are cut, each by its size, and only their row of ``unique`` is
+    copied. ``spread_by`` names columns that tell rows of one key apart; the part is a hash of them, so a recomputed
+    task sends each row where it went before. No broadcast is forced: Spark broadcasts ``unique`` by itself while it is
+    below its size limit. A stream cannot be counted; a batch of it, bounded by its files, is cut into
+    ``STREAM_SALTS`` parts. With ``match_null`` a NULL key finds the NULL key.
     """
     on = list(on)
     if match_null:
         keyed = unique.withColumn(KEY, key_of(on)).drop(*on)
-        return many_to_one(df.withColumn(KEY, key_of(on)), keyed, [KEY], how, spread_by, salts).drop(KEY)
-    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+        return many_to_one(df.withColumn(KEY, key_of(on)), keyed, [KEY], how, spread_by, rows_per_task=rows_per_task).drop(KEY)
+    spread = F.xxhash64(*spread_by)
+    if df.isStreaming:
+        cut = df.withColumn("__part", F.pmod(spread, F.lit(STREAM_SALTS)).cast("int"))
+        copies = unique.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
+        return cut.join(copies, [*on, "__part"], how).drop("__part")
+    hot = hot_keys(df, on, rows_per_task)
+    if hot is None:
+        return df.join(unique, on, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    cut = df.join(hot, on, "left").withColumn("__part", F.pmod(spread, parts).cast("int")).drop("__parts")
+    copies = unique.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return cut.join(copies, [*on, "__part"], how).drop("__part")
 
 
 def explode_count(df: DataFrame, count: Column, name: str, block: int = 65_536, spread: bool = False) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lookout.operators.aggregates import MIN_BASELINE_ROWS
 from lookout.operators.relational import known_number
-from lookout.operators.scan import ROWS_PER_TASK, OrderedScan
+from lookout.operators.scan import ROWS_PER_TASK, OrderedScan, many_to_one
 
 FLAT = 1e-9  # a spread below this is rounding noise
+ROUNDING = 4e-16  # and one below this part of the value
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -54,30 +55,37 @@ def deviation_z(
     min_rows: int = MIN_BASELINE_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Distance of each record from the mean of the subject's earlier ones, in their sample std."""
-    v = known_number(F.col(measure))
-    sums = {
-        "past_n": F.when(v.isNotNull(), 1).otherwise(0).cast("bigint"),
-        "__s": v,
-        "__ss": v * v,
-    }
-    done = OrderedScan(records, [key], order, rows_per_task).running(sums, inclusive=False).done()
+    """Distance of each record from the mean of the subject's earlier ones, in their sample std.
+
+    Sums run over the distance from the subject's overall mean, so a large common part of the values does not eat up
+    the digits of the spread. A spread within the rounding of the values is none.
+    """
+    known = records.withColumn("__v", known_number(F.col(measure)))
+    centers = known.groupBy(key).agg(F.coalesce(F.avg("__v"), F.lit(0.0)).alias("__center"))
+    near = many_to_one(known, centers, [key], "left", order, True, rows_per_task)
+    d = F.col("__v") - F.col("__center")
+    sums = {"past_n": F.when(d.isNotNull(), 1).otherwise(0).cast("bigint"), "__s": d, "__ss": d * d}
+    done = OrderedScan(near, [key], order, rows_per_task).running(sums, inclusive=False).done()
     n = F.col("past_n")
     mean = F.try_divide(F.col("__s"), n)
     spread = F.sqrt(F.greatest(F.try_divide(F.col("__ss") - F.col("__s") * mean, n - 1), F.lit(0.0)))
-    usable = (n >= min_rows) & (spread > FLAT)
+    usable = (n >= min_rows) & (spread > F.greatest(F.lit(FLAT), F.abs("__center") * ROUNDING))
     return done.withColumns(
         {
-            "past_mean": F.when(n >= min_rows, mean),
-            "z": F.when(usable, F.try_divide(v - mean, spread)),
+            "past_mean": F.when(n >= min_rows, F.col("__center") + mean),
+            "z": F.when(usable, F.try_divide(F.col("__v") - F.col("__center") - mean, spread)),
         }
-    ).drop("__s", "__ss")
+    ).drop("__s", "__ss", "__v", "__center")
 
 
 def user_trend(
     records: DataFrame, key: str, order: Sequence[str], measure: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Per subject: slope of the measure over its recordings and mean step between neighbours."""
+    """Per subject: slope of the measure over its recordings and mean step between neighbours.
+
+    A missing value or NaN keeps its place in the order and takes no part in slope and steps.
+    """
+    records = records.withColumn(measure, known_number(F.col(measure)))
     done = OrderedScan(records, [key], order, rows_per_task).rank("__no").previous({"__before": measure}).done()
     return done.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),

@@ -9,27 +9,18 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lookout.functions.signal import FRAME_LENGTH, HOP, chunk_features, measured_frames
+from lookout.functions.signal import FRAME_LENGTH, HOP, signal_features
 from lookout.functions.text import chunk_transcript, language_features, truncate
 from lookout.learn import models, prep
 from lookout.operators import decide
 from lookout.operators.relational import with_defaults
 from lookout.operators.windows import expanding_baseline
+from lookout.schemas import EMPTY_TEXT
 from lookout.session import settled
-from lookout.sources.files import SAMPLE_RATE, recording_chunks
+from lookout.sources.files import SAMPLE_RATE
 
 Step = Callable[[DataFrame], DataFrame]
 
-EMPTY_TEXT = {
-    "transcription": "",
-    "word_count": 0,
-    "sentiment_polarity": 0.0,
-    "sentiment_subjectivity": 0.0,
-    "vocab_richness": 0.0,
-    "sentence_complexity": 0.0,
-}
-
-
 def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """Named steps one after the other; each takes the table and adds its columns."""
     return reduce(lambda table, step: table.transform(step), steps, df)
@@ -46,14 +37,13 @@ def corpus_features(
     seconds: int = 5,
     rate: int = SAMPLE_RATE,
     rules: Sequence[decide.Rule] = decide.SPEECH_RULES,
-) -> DataFrame:
-    """One labelled row per subject and chunk: signal measures, text measures, risk class.
+) -> tuple[DataFrame, DataFrame]:
+    """(one labelled row per subject and chunk: signal measures, text measures, risk class; rejected recordings).
 
     ``utterances`` has subject, start_time, turn, value. A chunk in which nothing was said has
     zeros for its text.
     """
-    chunks, _ = recording_chunks(recordings, seconds, rate)
-    signal = chunk_features(measured_frames(chunks, rate, FRAME_LENGTH, HOP), rate, FRAME_LENGTH, HOP)
+    signal, rejects = signal_features(recordings, seconds, rate, FRAME_LENGTH, HOP)
     signal = signal.withColumn("subject", subject_of).drop("path")
     # The chunks come from the recordings; what was said after the last full one finds no partner.
     keys = ["subject", "chunk_id"]
@@ -62,9 +52,10 @@ def corpus_features(
     text = language_features(said, keys, "transcript", lexicon)
     text = text.withColumn("transcription", truncate(F.col("transcription")))
     joined = with_defaults(signal.join(text, keys, "left"), EMPTY_TEXT)
-    return joined.withColumn("chunk_start", F.col("chunk_id") * seconds).withColumn(
+    labelled = joined.withColumn("chunk_start", F.col("chunk_id") * seconds).withColumn(
         "risk_label", decide.risk_class(decide.rule_score(rules))
     )
+    return labelled, rejects
 
 
 # --- decisions -------------------------------------------------------------------------

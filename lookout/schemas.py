@@ -36,6 +36,16 @@ RECORDS = T.StructType(
 )
 RECORD_DEFAULTS = {"user_id": "user1", "label": "unknown"}
 
+# The text fields of a chunk in which nothing was said.
+EMPTY_TEXT = {
+    "transcription": "",
+    "word_count": 0,
+    "sentiment_polarity": 0.0,
+    "sentiment_subjectivity": 0.0,
+    "vocab_richness": 0.0,
+    "sentence_complexity": 0.0,
+}
+
 # Baseline column -> the record column it is the mean of.
 BASELINE_MEASURES = {
     "baseline_pitch_mean": "pitch_mean",

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and work tables.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a single machine) a new folder under /tmp takes its place.
+    It is the one named in ``spark.checkpoint.dir``. Only on a single machine, where that is
+    unset (tests), a new folder under /tmp takes its place; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -25,7 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table, never used before."""
-    return f"{shared_folder(spark)}/lookout-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lookout-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the work tables made inside when the block ends; results must be written or read by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _made[start:]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        del _made[start:]
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lookout.operators.scan import explode_count
-
 SAMPLE_RATE = 16_000
 HEAD_BYTES = 65_536
+EXTENSIBLE = 0xFFFE
+NO_DATA = "no data part"
 LONG_BYTES = 32 << 20  # about 17 minutes
 BYTES_PER_SAMPLE = 2
 
@@ -55,7 +55,10 @@ def subject_files(files: DataFrame, path: str = "path") -> tuple[DataFrame, Data
 
 
 def parse_wav_head(head: bytes) -> tuple[int, int, int, int, int, str | None]:
-    """(rate, channels, bits, data offset, data bytes, error) from the first bytes of a WAV file."""
+    """(rate, channels, bits, data offset, data bytes, error) from the first bytes of a WAV file.
+
+    PCM16 may be marked as such or be the subformat of the extensible format.
+    """
     if head is None or len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return 0, 0, 0, 0, 0, "no WAV header"
     at, rate, channels, bits, code = 12, 0, 0, 0, 0
@@ -63,13 +66,15 @@ def parse_wav_head(head: bytes) -> tuple[int, int, int, int, int, str | None]:
         name, size = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
         if name == b"fmt " and at + 24 <= len(head):
             code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at + 8)
+            if code == EXTENSIBLE and size >= 26 and at + 34 <= len(head):
+                code = struct.unpack_from("<H", head, at + 32)[0]
         if name == b"data":
             if not rate:
                 return 0, 0, 0, 0, 0, "data before format"
             error = None if code == 1 and bits == 16 else "not PCM16"
             return rate, channels, bits, at + 8, size, error
         at += 8 + size + size % 2
-    return rate, channels, bits, 0, 0, "no data part"
+    return rate, channels, bits, 0, 0, NO_DATA
 
 
 WAV_HEAD = T.StructType(
@@ -90,20 +95,25 @@ wav_head = wav_head.asNondeterministic()
 
 
 def with_wav_head(recordings: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
-    """Adds ``head`` and ``error``. Only the first bytes of a file go to Python."""
-    head = wav_head(F.substring(F.col("content"), 1, HEAD_BYTES))
-    checked = recordings.withColumn("head", head)
+    """Adds ``head`` and ``error``. Only the first bytes of a file go to Python, unless the sound starts behind them:
+    a file with long parts in front of it is sent whole."""
+    content = F.col("content")
+    first = recordings.withColumn("head", wav_head(F.substring(content, 1, HEAD_BYTES)))
+    beyond = (F.col("head.error") == NO_DATA) & (F.length("content") > HEAD_BYTES)
+    full = first.withColumn("__full", wav_head(F.when(beyond, content)))
+    checked = full.withColumn("head", F.when(beyond, F.col("__full")).otherwise(F.col("head"))).drop("__full")
     return checked.withColumn(
         "error",
         F.when(F.col("head.error").isNotNull(), F.col("head.error"))
-        .when(F.col("head.channels") != 1, F.lit("not mono"))
+        .when(F.col("head.channels") < 1, F.lit("no channels"))
         .when(F.col("head.rate") != rate, F.lit("other sample rate")),
     )
 
 
 def _checked(recordings: DataFrame, rate: int, min_seconds: float, max_seconds: float | None) -> DataFrame:
-    """Adds ``samples`` (how many there are to read) and completes ``error``."""
-    there = F.floor(F.least(F.col("head.bytes"), F.length("content") - F.col("head.start")) / BYTES_PER_SAMPLE)
+    """Adds ``samples`` (how many there are to read per channel) and completes ``error``."""
+    frame = F.greatest(F.col("head.channels"), F.lit(1)) * BYTES_PER_SAMPLE
+    there = F.floor(F.least(F.col("head.bytes"), F.length("content") - F.col("head.start")) / frame)
     if max_seconds is not None:
         there = F.least(there, F.lit(int(max_seconds * rate)))
     checked = with_wav_head(recordings, rate).withColumn("samples", there)
@@ -122,23 +132,26 @@ def _cut(
 ) -> DataFrame:
     """PCM16 bytes of ``count`` parts of each recording; ``first`` and ``width`` are in samples.
 
-    Parts of recordings above ``long_bytes`` are dealt out to all tasks; those of shorter ones
-    stay where the file was read, without a shuffle. The length is tested before the content is
-    touched, so each file is read for one of the two.
+    A rejected recording gives one row with its error and without a part, so one reading of the files serves both.
+    Parts of recordings above ``long_bytes`` are dealt out to all tasks; those of shorter ones stay where the file was
+    read, without a shuffle. The length is tested before the content is touched, so each file is read for one of the two.
     """
     length = F.col("length")
 
     def parts(some: DataFrame) -> DataFrame:
-        start = (F.col("head.start") + first * BYTES_PER_SAMPLE + 1).cast("int")
-        pcm = F.substring(F.col("content"), start, (width * BYTES_PER_SAMPLE).cast("int"))
-        valid = check(some).filter(F.col("error").isNull())
-        return explode_count(valid, count, number).select("path", number, pcm.alias("pcm"))
+        frame = F.col("head.channels") * BYTES_PER_SAMPLE
+        start = (F.col("head.start") + first * frame + 1).cast("int")
+        pcm = F.when(F.col(number).isNotNull(), F.substring(F.col("content"), start, (width * frame).cast("int")))
+        numbers = F.when(F.col("error").isNull() & (count > 0), F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1))
+        rows = check(some).withColumn(number, F.explode_outer(numbers))
+        rows = rows.filter(F.col(number).isNotNull() | F.col("error").isNotNull())
+        return rows.select("path", number, F.col("head.channels").cast("int").alias("channels"), pcm.alias("pcm"), "error")
 
     short, long = recordings.filter(length <= long_bytes), recordings.filter(length > long_bytes)
     return parts(short).unionByName(parts(long).repartition("path", number))
 
 
-def recording_chunks(
+def recording_parts(
     recordings: DataFrame,
     seconds: int = 5,
     rate: int = SAMPLE_RATE,
@@ -146,8 +159,8 @@ def recording_chunks(
     min_seconds: float = 0.5,
     max_seconds: float | None = None,
     long_bytes: int = LONG_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(chunks of PCM16 bytes, rejected recordings with a reason).
+) -> DataFrame:
+    """Chunks of PCM16 bytes, all channels as they lie in the file, and a row with the reason per rejected recording.
 
     ``recordings`` has path, length and content. The tail is dropped unless ``keep_tail``; then it
     must last ``min_seconds``. With ``max_seconds`` only the beginning of a recording is read.
@@ -159,8 +172,12 @@ def recording_chunks(
     first = F.col("chunk_id") * width
     size = F.least(F.lit(width), F.col("samples") - first)
     chunks = _cut(recordings, check, count, "chunk_id", first, size, long_bytes)
-    chunks = chunks.withColumn("chunk_start", F.col("chunk_id") * seconds)
-    return chunks, check(recordings).filter(F.col("error").isNotNull()).select("path", "error")
+    return chunks.withColumn("chunk_start", F.col("chunk_id") * seconds)
+
+
+def recording_chunks(recordings: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejected recordings with a reason) as two tables over ``recording_parts``; each reads the files."""
+    return parted(recording_parts(recordings, *args, **options), "chunk_id")
 
 
 def recording_blocks(
@@ -173,8 +190,8 @@ def recording_blocks(
     min_seconds: float = 1.0,
     max_seconds: float | None = None,
     long_bytes: int = LONG_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(parts of whole recordings, rejected recordings with a reason).
+) -> DataFrame:
+    """Parts of whole recordings, and a row with the reason per rejected recording.
 
     Part number b holds the samples of frames b * block - halo .. (b + 1) * block + halo - 1, as far as
     there are such frames, so every frame of the recording is whole in the part it belongs to.
@@ -184,12 +201,19 @@ def recording_blocks(
     from_frame = F.greatest(F.lit(0), F.col("block") * block - halo)
     to_frame = F.least(frames, (F.col("block") + 1) * block + halo)
     width = (to_frame - from_frame - 1) * hop + length
-    parts = _cut(recordings, check, F.ceil(frames / block), "block", from_frame * hop, width, long_bytes)
-    return parts, check(recordings).filter(F.col("error").isNotNull()).select("path", "error")
+    return _cut(recordings, check, F.ceil(frames / block), "block", from_frame * hop, width, long_bytes)
+
+
+def parted(rows: DataFrame, number: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of parts, rejected recordings with a reason)."""
+    return rows.filter(F.col(number).isNotNull()).drop("error"), rows.filter(F.col(number).isNull()).select("path", "error")
 
 
-def decode_pcm16(pcm: bytes) -> np.ndarray:
-    return np.frombuffer(pcm[: len(pcm) // 2 * 2], dtype="<i2") / 32768.0
+def decode_pcm16(pcm: bytes, channels: int = 1) -> np.ndarray:
+    """Samples in -1 .. 1; several channels are mixed to their mean."""
+    frame = 2 * channels
+    y = np.frombuffer(pcm[: len(pcm) // frame * frame], dtype="<i2") / 32768.0
+    return y if channels == 1 else y.reshape(-1, channels).mean(axis=1)
 
 
 @F.pandas_udf(PCM_SUMMARY)
@@ -202,10 +226,11 @@ def pcm_summary(pcm: pd.Series) -> pd.DataFrame:
 
 
 def wav_content(samples: np.ndarray, rate: int = SAMPLE_RATE) -> bytes:
-    """A mono PCM16 WAV file with the given samples in -1 .. 1."""
+    """A PCM16 WAV file with the given samples in -1 .. 1, one row per sample and one column per channel if several."""
+    channels = samples.shape[1] if samples.ndim == 2 else 1
     data = np.clip(np.rint(samples * 32768.0), -32768, 32767).astype("<i2").tobytes()
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, rate,
-                       rate * 2, 2, 16, b"data", len(data))
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels, rate,
+                       rate * 2 * channels, 2 * channels, 16, b"data", len(data))
     return head + data
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from lookout.operators.decide import status_of
+from lookout.operators import decide
 from lookout.operators.relational import known_number
 from lookout.operators.scan import many_to_one
 from lookout.operators.windows import first_per_key
@@ -43,7 +43,17 @@ def file_stream(
     durable_state(spark)
     if not may_be_empty and not spark.read.schema(schema).parquet(path).inputFiles():
         raise FileNotFoundError(f"no file to stream at {path}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_file(spark, path):  # a stream watches folders
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder or "/")
+    return reader.parquet(path)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(store.exists(where)) and bool(store.getFileStatus(where).isFile())
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000, may_be_empty: bool = False) -> DataFrame:
@@ -191,10 +201,18 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 
 def alerts(
-    stream: DataFrame, baseline: DataFrame, key: str, spread_by: Sequence[str], value: str, base: str, low: float, high: float
+    stream: DataFrame,
+    baseline: DataFrame,
+    key: str,
+    spread_by: Sequence[str],
+    flags: dict[str, tuple[str, str]],
+    predict: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Each arrival against its subject's baseline: High below ``low`` of it, Medium below ``high``, else Low."""
+    """Each arrival against its subject's baseline, scored and decided: trend flags, class, status, advice.
+
+    ``flags`` maps a trend flag to (current, baseline) columns; ``predict`` adds ``model_risk``, from a model or from
+    rules. A subject without a baseline sets no flag that compares with one.
+    """
     joined = many_to_one(stream, baseline, [key], "left", spread_by)
-    share: Column = F.try_divide(F.col(value), F.col(base))
-    level = F.when(share < low, "High").when(share < high, "Medium").otherwise("Low")
-    return joined.withColumn("risk_level", level).withColumn("status", status_of(F.col("risk_level")))
+    scored = predict(joined.withColumns(decide.trend_flags(flags)))
+    return decide.fallback_decision(scored, "model_risk")

@@ -81,6 +81,9 @@ def test_request_sections(spark):
         F.when(F.col("id") == 1, "so it goes"),
         F.create_map(F.lit("Low"), F.lit(0.25), F.lit("High"), F.lit(0.75)),
         F.array(F.lit("rest"), F.lit("walk")),
+        opening="You read records.",
+        model_note="Mind the model.",
+        closing="Answer in JSON.",
     )
     got = {r["id"]: r["t"] for r in df.select("id", text.alias("t")).collect()}
     assert "Pitch: 100.0 Hz" in got[1] and "Average Pitch: 120.0 Hz" in got[1]
@@ -89,6 +92,7 @@ def test_request_sections(spark):
     assert "Probabilities -> Low: 25.0%, Medium: 0.0%, High: 75.0%" in got[1]
     assert '1. "rest"\n2. "walk"' in got[1]
     assert "BASELINE" not in got[2] and "Predicted" not in got[2] and "rest" not in got[2]
+    assert got[1].startswith("You read records.\n\n") and got[1].endswith("\n\nAnswer in JSON.") and "\nMind the model.\n" in got[1]
     assert "\\n" not in got[1] and got[1].count("\n\n") == 5
     assert "Pitch: 0.0 Hz" in got[3]
 
@@ -116,6 +120,30 @@ def test_ratio_and_delta(spark):
     assert [r[0] for r in df.orderBy("id").select(*[c.alias(o) for o, c in delta.items()]).collect()] == [5.0, 10.0, -4.0, None, 5.0]
 
 
+def test_nan_is_missing_everywhere(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, 3.0, nan, None])], "k string, at int, v double")
+    row = agg.describe(df, ["v"]).first()
+    assert (row["n"], row["mean"], row["max"], row["q2"], row["std"]) == (3, 2.0, 3.0, 2.0, 1.0)
+    assert agg.group_mean(df, "k", "v").first()["mean_value"] == 2.0
+    box = agg.box_stats(spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, nan)], "k string, v double"), "k", "v").first()
+    assert (box["q1"], box["q2"], box["outliers"]) == (2.0, 3.0, 0)
+    trend = win.user_trend(df, "k", ["at"], "v").first()
+    assert (trend["n"], trend["slope"], trend["mean_step"]) == (5, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e9])
+def test_deviation_keeps_its_digits(spark, shift):
+    values = [1.0, 2.0, 4.0, 3.0, 2.5, 9.0, 0.5]
+    df = spark.createDataFrame([("a", i, v + shift) for i, v in enumerate(values)] + [("b", i, shift) for i in range(7)], "k string, at int, v double")
+    got = {(r["k"], r["at"]): r["z"] for r in win.deviation_z(df, "k", ["at"], "v", 5).collect()}
+    import statistics
+
+    want = (9.0 - statistics.mean(values[:5])) / statistics.stdev(values[:5])
+    assert got["a", 5] == pytest.approx(want, rel=1e-5) and got["a", 4] is None
+    assert got["b", 6] is None
+
+
 def test_local_day_near_midnight(spark):
     rows = [("a", dt.datetime(2024, 1, 14, 20, 0)), ("b", dt.datetime(2024, 1, 14, 10, 0))]
     df = spark.createDataFrame(rows, "user string, ts timestamp")
@@ -147,6 +175,27 @@ def test_upsert_and_latest(spark):
     assert sorted(map(tuple, tables.upsert(old, older, ["k"], "at").collect())) == [("a", 1, 1.0), ("b", 5, 2.0)]
 
 
+def test_versions_replace_each_other(spark, tmp_path):
+    root = str(tmp_path / "base")
+    assert tables.current_version(spark, root) == 0
+    for at, value in ((1, 1.0), (2, 2.0), (3, 3.0)):
+        now = tables.upsert_table(spark.createDataFrame([("a", at, value), (f"only{at}", at, value)], "k string, at int, v double"), root, ["k"], "at")
+    assert sorted(map(tuple, now.collect())) == [("a", 3, 3.0), ("only1", 1, 1.0), ("only2", 2, 2.0), ("only3", 3, 3.0)]
+    assert tables.current_version(spark, root) == 3
+    assert sorted(p.name for p in (tmp_path / "base").glob("version-*")) == ["version-2", "version-3"]
+    # A version that is half written is not seen.
+    (tmp_path / "base" / "version-4").mkdir()
+    assert tables.read_version(spark, root).count() == 4
+
+
+def test_records_of_a_day_lie_in_the_order_of_the_user(spark, tmp_path):
+    rows = [(f"u{i % 50:02d}", dt.datetime(2024, 1, 1 + i % 2, 12)) for i in range(400)]
+    tables.append_records(spark.createDataFrame(rows, "user_id string, ts timestamp").repartition(5), str(tmp_path / "r"))
+    for file in spark.read.parquet(str(tmp_path / "r")).inputFiles():
+        users = [r["user_id"] for r in spark.read.parquet(file).collect()]
+        assert users == sorted(users)
+
+
 def test_corrupt_lines_are_kept_apart(spark, tmp_path):
     from pyspark.sql import types as T
 

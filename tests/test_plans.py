@@ -51,7 +51,7 @@ def test_columns_are_pruned(spark):
     assert read and "props" not in read[0] and "event_id" not in read[0]
 
 
-@pytest.mark.parametrize("name,shuffles", [("language_features", 0), ("lexicon_sentiment", 0), ("latest_per_user", 1),
+@pytest.mark.parametrize("name,shuffles", [("lexicon_sentiment", 1), ("latest_per_user", 1),
                                            ("tumbling_agg", 1), ("rule_score", 1), ("session_agg", 1)])
 def test_shuffles(spark, name, shuffles):
     physical = plan(spark, name).split("== Physical Plan ==")[1]

@@ -78,6 +78,33 @@ def test_order_types(spark):
     assert [r["no"] for r in b.orderBy("ts").collect()] == list(range(1, 51))
 
 
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_text_and_coarse_orders(spark, limit):
+    """Text as an order column, and a first column with few values: both are cut."""
+    rows = [(1, f"2024-01-{1 + i % 3:02d}", f"r{i:03d}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, day string, id string, v double").repartition(4)
+    s = scan.OrderedScan(df, ["k"], ["day", "id"], limit)
+    if s.split:
+        assert s.df.groupBy("k", scan.SLICE).count().agg(F.max("count")).first()[0] <= 10
+    got = [r["id"] for r in s.rank("no").done().orderBy("no").collect()]
+    assert got == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+
+
+def test_a_hot_key_is_cut_by_its_size(spark):
+    """A key with nine tenths of the rows: no part of it is above the limit, and only its partner row is copied."""
+    rows = [(1 if i % 10 else 2 + i, i) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "k long, id long")
+    names = spark.createDataFrame([(1, "hot"), *((2 + i, "cold") for i in range(0, 4_000, 10))], "k long, name string")
+    hot = scan.hot_keys(df, ["k"], 500)
+    parts = hot.first()["__parts"]
+    assert hot.count() == 1 and parts == 15
+    sizes = df.filter("k = 1").groupBy(F.pmod(F.xxhash64("id"), F.lit(parts))).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 500
+    out = scan.many_to_one(df, names, ["k"], "inner", ["id"], rows_per_task=500)
+    assert out.count() == 4_000 and out.filter("name = 'hot'").count() == 3_600
+    assert scan.hot_keys(df, ["k"], 5_000) is None
+
+
 def test_missing_order_value_and_key(spark):
     rows = [(None, None, 1)] * 1 + [(None, i, 1) for i in range(20)] + [(1, None, 1)] + [(1, i, 1) for i in range(30)]
     df = spark.createDataFrame(rows, "k int, at int, v int")

@@ -174,6 +174,49 @@ def test_head_with_another_part_first():
     assert (start, size) == (44 + len(extra), 2 * RATE)
 
 
+def wav_of_parts(samples, before, code=1, channels=1):
+    """A WAV file with other parts in front of the sound, in the plain or the extensible format."""
+    plain = files.wav_content(samples)
+    fmt = plain[12:36]
+    if code != 1:
+        body = struct.pack("<H", code) + fmt[10:] + struct.pack("<HHIH14s", 22, 16, 3, 1, b"\0" * 14)
+        fmt = b"fmt " + struct.pack("<I", len(body)) + body
+    data = fmt + before + plain[36:]
+    return b"RIFF" + struct.pack("<I", 4 + len(data)) + b"WAVE" + data
+
+
+def test_sound_behind_long_parts_two_channels_and_extensible(spark, tmp_path):
+    """Parts of any length may come first; two channels are mixed; extensible PCM16 is PCM16."""
+    left, right = tone(220, 5), np.zeros(5 * RATE)
+    long_part = b"LIST" + struct.pack("<I", 70_000) + b"x" * 70_000
+    clips = {
+        "long": wav_of_parts(left, long_part),
+        "longer": wav_of_parts(left, long_part * 3 + b"odd " + struct.pack("<I", 3) + b"abc\0"),
+        "stereo": files.wav_content(np.column_stack([left, right])),
+        "extensible": wav_of_parts(left, b"", files.EXTENSIBLE),
+        "other": wav_of_parts(left, b"", 3),
+    }
+    for name, content in clips.items():
+        (tmp_path / f"{name}_AUDIO.wav").write_bytes(content)
+    out, rejects = sg.signal_features(files.read_recordings(spark, str(tmp_path)))
+    got = {r["s"]: r for r in out.withColumn("s", subject()).collect()}
+    assert {r["s"]: r["error"] for r in rejects.withColumn("s", subject()).collect()} == {"other": "not PCM16"}
+    assert set(got) == {"long", "longer", "stereo", "extensible"}
+    for name, r in got.items():
+        assert r["energy_mean"] == pytest.approx(0.5 / np.sqrt(2) / (2 if name == "stereo" else 1), rel=0.01)
+        assert r["pitch_mean"] == pytest.approx(220, rel=0.02)
+
+
+def test_spread_of_a_loud_recording(spark, tmp_path):
+    """The spread is not lost in large squares: it equals that of the frames however they are cut."""
+    rng = np.random.default_rng(3)
+    y = np.clip(0.9 + rng.normal(0, 1e-4, 20 * RATE), -1, 0.9999)
+    (tmp_path / "loud_AUDIO.wav").write_bytes(files.wav_content(y))
+    frames = sg.chunk_frames(files.wav_content(y)[44:], RATE, sg.FRAME_LENGTH, sg.HOP, sg.TOP_DB)
+    out, _ = sg.file_features(files.read_recordings(spark, str(tmp_path)), block=16)
+    assert out.first()["energy_std"] == pytest.approx(frames["energy"].std(), rel=1e-6)
+
+
 def test_kernel_agrees_with_row_measures(spark):
     rng = np.random.default_rng(5)
     y = np.concatenate([rng.normal(0, a, 4000) for a in (0.2, 0.001, 0.3, 0.0005, 0.1)])
@@ -210,7 +253,8 @@ def test_corpus_features(spark, folder):
         "subject string, start_time double, turn int, value string",
     )
     lexicon = spark.createDataFrame([("good", 0.7, 0.6), ("bad", -0.7, 0.6)], "word string, polarity double, subjectivity double")
-    out = corpus_features(files.read_recordings(spark, folder[0]), subject(), said, lexicon)
+    out, rejects = corpus_features(files.read_recordings(spark, folder[0]), subject(), said, lexicon)
+    assert {r["error"] for r in rejects.collect()} == {"other sample rate", "no data part"}
     got = {(r["subject"], r["chunk_id"]): r for r in out.collect()}
     assert got["220", 0]["word_count"] == 4 and got["220", 0]["sentiment_polarity"] == pytest.approx(0.7)
     assert got["220", 1]["word_count"] == 1 and got["220", 1]["chunk_start"] == 5

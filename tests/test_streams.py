@@ -111,15 +111,26 @@ def test_sessions_merge_across_batches(spark, folder, tmp_path):
     assert got == [(START, 3), (START + dt.timedelta(minutes=81), 1)]
 
 
-def test_alerts_without_baseline_are_low(spark, folder, tmp_path):
+def test_alerts_are_flagged_scored_and_decided(spark, folder, tmp_path):
     write(spark, folder, "a", [event(0, 1, 0, 1), event(1, 1, 1, 4), event(2, 1, 2, 9), event(3, 2, 3, 0.1)])
     base = spark.createDataFrame([(1, 10.0)], "user_id long, base double")
-    judged = st.alerts(stream(spark, folder), base, "user_id", ["event_id"], "value", "base", 0.25, 0.5)
+
+    def predict(df):
+        share = F.try_divide(F.col("value"), F.col("base"))
+        return df.withColumn("model_risk", F.when(share < 0.25, "High").when(share < 0.5, "Medium").otherwise("Low"))
+
+    judged = st.alerts(stream(spark, folder), base, "user_id", ["event_id"], {"pitch_drop": ("value", "base")}, predict)
     path = str(tmp_path / "alerts")
     st.finish(st.write_batches(judged, st.batch_folder(path), str(tmp_path / "state")))
-    got = {r["event_id"]: (r["risk_level"], r["status"]) for r in spark.read.parquet(path).collect()}
-    assert got == {0: ("High", "Unhealthy"), 1: ("Medium", "Needs Attention"), 2: ("Low", "Healthy"), 3: ("Low", "Healthy")}
-    assert spark.read.parquet(path).filter(F.col("base").isNull()).count() == 1
+    rows = {r["event_id"]: r for r in spark.read.parquet(path).collect()}
+    got = {i: (r["pitch_drop"], r["risk_level"], r["mental_health_status"], len(r["recommendations"])) for i, r in rows.items()}
+    assert got == {
+        0: (True, "High", "Unhealthy", 4),
+        1: (True, "Medium", "Needs Attention", 3),
+        2: (False, "Low", "Healthy", 2),
+        3: (False, "Low", "Healthy", 2),
+    }
+    assert [i for i, r in rows.items() if r["base"] is None] == [3]
 
 
 def test_a_gate_shorter_than_a_day_is_refused(spark, folder):
@@ -158,7 +169,11 @@ def parted(spark, tmp_path_factory):
     """The smallest tables as folders of four part files, the events in the order of time."""
     out = str(tmp_path_factory.mktemp("parted"))
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartitionByRange(4, "ts").write.parquet(f"{out}/events.parquet")
+    bounds = events.selectExpr("percentile_approx(ts, array(0.25, 0.5, 0.75))").first()[0]
+    for low, high in zip([None, *bounds], [*bounds, None]):  # one after the other: a stream takes the oldest file first
+        part = events if low is None else events.filter(F.col("ts") > low)
+        part = part if high is None else part.filter(F.col("ts") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{out}/events.parquet")
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4).write.parquet(f"{out}/documents.parquet")
     return out
 
