@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout.catalog.records import scored_days
@@ -9,6 +10,7 @@ from lookout.catalog.registry import query
 from lookout.catalog.tables import r6
 from lookout.learn import evaluate as ev
 from lookout.learn import models, prep
+from lookout.operators import decide
 from lookout.operators.neighbours import knn_in_class as nearest
 from lookout.plans import jobs
 from lookout.plans import views as v
@@ -242,79 +244,110 @@ def avg_precision(spark, d):
 # --- models ----------------------------------------------------------------------------
 
 FEATURES = ("level_mean", "level_std", "energy_mean", "rate", "pause_ratio", "polarity")
-# Fewer trees than the defaults of the library (200 and 100), to keep the driver's check short.
-GBT_ITERATIONS, FOREST_TREES = 5, 20
+
+
+def labelled_days(spark, d):
+    days = settled(scored_days(spark, d)).withColumn("id", F.col("user_id") * 100_000 + F.unix_date("day"))
+    return days.select("id", *FEATURES, F.col("risk").cast("double").alias("label"))
 
 
 def training_days(spark, d):
     """User-days with an id, a class and a train/test mark, written once."""
-    days = scored_days(spark, d).withColumn("id", F.col("user_id") * 100_000 + F.unix_date("day"))
-    days = days.select("id", *FEATURES, F.col("risk").cast("double").alias("label"))
-    split = prep.stratified_split(days, "label", "id")
+    split = settled(prep.stratified_split(labelled_days(spark, d), "label", "id"))
     return settled(prep.with_class_weight(split, "label", "id"))
 
 
 def gbt_model(days):
-    train = days.filter(~F.col("is_test"))
-    return models.fit(train, FEATURES, models.gbt(GBT_ITERATIONS))
+    return models.fit(days.filter(~F.col("is_test")), FEATURES, models.gbt())
 
 
 def forest_model(days):
-    train = days.filter(~F.col("is_test"))
-    return models.fit(train, FEATURES, models.forest(FOREST_TREES))
+    return models.fit(days.filter(~F.col("is_test")), FEATURES, models.forest())
 
 
-def test_accuracy(model, days):
+def tested_accuracy(model, days):
     scored = models.score(model, days.filter("is_test"), FEATURES, ["label"])
-    return ev.accuracy(scored, "label", "predicted").withColumn("note", F.lit(models.LABEL_NOTE))
+    return ev.accuracy(scored, "label", "predicted")
+
+
+def beats_guessing(accuracy, days):
+    """Rows tested, and whether more of them are right than by always naming the largest class."""
+    largest = days.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share")).select("share").scalar()
+    return accuracy.select("n", (F.col("accuracy") > largest).alias("beats_guessing"))
+
 
+CLASSED = f"WITH {v.UD}, c AS (SELECT user_id, day, {v.UD_CLASS} AS risk FROM ud), n AS (SELECT risk, count(*) AS n FROM c GROUP BY 1)"
+TESTED_SQL = f"{CLASSED} SELECT CAST(sum(round(n * 0.2)) AS BIGINT) AS n, true AS beats_guessing FROM n"
 
-@query("model_gbt")
+
+@query("model_gbt", f"{CLASSED} SELECT CAST(sum(round(n * 0.2)) AS BIGINT) AS n, true AS beats_guessing, 3 AS report_classes, 9 AS cells, true AS curves_rise FROM n")
 def model_gbt(spark, d):
-    """Trained on classes brought to equal size, tested on untouched rows."""
-    days = training_days(spark, d)
-    train = days.filter(~F.col("is_test"))
-    model = jobs.balanced_training(train, FEATURES, "label", "id", models.gbt(GBT_ITERATIONS))
-    return test_accuracy(model, days)
+    """The whole training job on classes brought to equal size, tested on untouched rows."""
+    days = labelled_days(spark, d)
+    done = jobs.training_job(days, FEATURES, "label", "id", models.gbt())
+    out = beats_guessing(done.accuracy, days)
+    cells = done.confusion.agg(F.count(F.lit(1)).cast("int").alias("cells"), F.sum("n").alias("n"))
+    curves = done.curves.agg(F.min(F.col("auc") > 0.5).alias("curves_rise"))
+    reported = done.report.filter("name RLIKE '^[0-9]+$'").agg(F.count(F.lit(1)).cast("int").alias("report_classes"))
+    return out.join(cells, "n").withColumns({"curves_rise": curves.scalar(), "report_classes": reported.scalar()})
 
 
-@query("model_rf")
+@query("model_rf", TESTED_SQL)
 def model_rf(spark, d):
     days = training_days(spark, d)
-    return test_accuracy(forest_model(days), days)
+    return beats_guessing(tested_accuracy(forest_model(days), days), days)
 
 
-@query("score_batch")
+@query("score_batch", f"{CLASSED} SELECT user_id * 100000 + (day - DATE '1970-01-01') AS id, true AS shares_sum_to_1, true AS named_by_best, true AS sure_as_best FROM c")
 def score_batch(spark, d):
+    """Every user-day scored; per row, whether class, name, confidence and probabilities agree."""
     days = training_days(spark, d)
     out = models.score(gbt_model(days), days, FEATURES, ["id"])
+    p = F.col("probabilities")
+    best = F.array_max(F.map_values(p))
+    total = F.aggregate(F.map_values(p), F.lit(0.0), lambda a, x: a + x)
     return out.select(
-        "id", "predicted", "risk_level", "confidence", *[F.col("probabilities")[c].alias(c) for c in ("Low", "Medium", "High")]
+        "id",
+        (F.abs(total - 1) < 1e-9).alias("shares_sum_to_1"),
+        ((p[F.col("risk_level")] == best) & (F.col("risk_level") == decide.class_name(F.col("predicted")))).alias("named_by_best"),
+        (F.abs(F.col("confidence") - 100 * best) < 1e-9).alias("sure_as_best"),
     )
 
 
-@query("cv_accuracy")
+@query("cv_accuracy", f"{CLASSED} SELECT CAST(sum(n) AS BIGINT) AS n, true AS beats_guessing, true AS spread_is_small FROM n")
 def cv_accuracy(spark, d):
-    days = training_days(spark, d).drop("weight")
-    return models.cv_summary(models.cross_validate(days, FEATURES, "label", "id", models.forest(FOREST_TREES)))
+    """Five-fold cross-validation of the boosted pipeline."""
+    days = labelled_days(spark, d)
+    done = settled(models.cv_summary(models.cross_validate(days, FEATURES, "label", "id", models.gbt())))
+    return beats_guessing(done, days).withColumn("spread_is_small", done.select(F.col("spread") < 0.2).scalar())
+
 
+NAMED_SQL = "(VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ")"
 
-@query("feature_importance")
+
+@query("feature_importance", f"SELECT feature, true AS is_share, 1.0 AS total FROM {NAMED_SQL} f(feature)")
 def feature_importance(spark, d):
-    return models.feature_importance(spark, gbt_model(training_days(spark, d)), FEATURES)
+    found = settled(models.feature_importance(spark, gbt_model(training_days(spark, d)), FEATURES))
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total")).select("total").scalar()
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"))
 
 
-@query("top_features")
+@query("top_features", f"SELECT CAST(rank AS INT) AS rank, true AS known, true AS falling FROM range(1, {len(FEATURES) + 1}) r(rank)")
 def top_features(spark, d):
-    return models.top_features(models.feature_importance(spark, forest_model(training_days(spark, d)), FEATURES))
+    found = settled(models.top_features(models.feature_importance(spark, forest_model(training_days(spark, d)), FEATURES)))
+    w = Window.partitionBy().orderBy(F.desc("importance"), "feature")  # at most fifteen rows
+    before = F.lag("importance").over(w)
+    return found.select(
+        F.row_number().over(w).alias("rank"), F.col("feature").isin(*FEATURES).alias("known"), (before.isNull() | (before >= F.col("importance"))).alias("falling")
+    )
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"{CLASSED} SELECT true AS same, CAST(sum(n) AS BIGINT) AS n, 'user days' AS dataset FROM n")
 def model_roundtrip(spark, d):
     """Scores of a saved and reloaded model next to those of the model itself."""
     days = training_days(spark, d)
     model = forest_model(days)
-    accuracy = test_accuracy(model, days).first()["accuracy"]
+    accuracy = tested_accuracy(model, days).first()["accuracy"]
     path = scratch_path(spark, "bundle")
     models.save_bundle(model, path, FEATURES, accuracy, "user days", days.count())
     loaded, about = models.load_bundle(spark, path)

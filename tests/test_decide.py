@@ -9,7 +9,7 @@ from lookout.operators import aggregates as agg
 from lookout.operators import decide
 from lookout.operators import relational as rel
 from lookout.operators import windows as win
-from lookout.plans.jobs import batch_decisions
+from lookout.plans.jobs import batch_decisions, decision_job
 from lookout.sources import tables
 
 
@@ -218,3 +218,26 @@ def test_batch_decisions_carry_errors(spark):
     assert (got[2]["risk_level"], got[2]["explanation"], got[2]["recommendations"]) == ("Error", "no file", [])
     assert got[7]["risk_level"] == "High" and got[7]["baseline_n"] == 7
     assert got[5]["base"] == pytest.approx((1 + 2 + 4 + 5 + 6) / 5)  # the failed record is not in it
+
+
+def test_decision_job_goes_from_measures_to_decisions(spark):
+    rows = [("a", i, float(20 - i), "no file" if i == 1 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "user string, at int, v double, error string")
+    said = spark.createDataFrame([(7, '{"risk_level": "Medium", "explanation": "said"}'), (8, "what?")], "at int, reply string")
+
+    def ask(t):
+        request = decide.render_request({"Value": ("v", "%.1f")}, {"Usual": ("base", "%.1f")}, {"Drop": "pitch_drop"}, F.col("base").isNotNull(), F.col("model_risk"), F.col("confidence"))
+        return t.withColumn("request", request)
+
+    out = decision_job(
+        df, "user", ["at"], {"base": "v"}, {"pitch_drop": ("v", "base")},
+        lambda t: t.withColumns({"model_risk": F.when(F.col("v") < 15, "High").otherwise("Low"), "confidence": F.lit(75.0)}),
+        ask, lambda t: t.join(said, "at", "left"),
+    )
+    got = {r["at"]: r for r in out.collect()}
+    assert (got[1]["risk_level"], got[1]["explanation"]) == ("Error", "no file")
+    assert got[3]["risk_level"] == "Unknown"
+    assert (got[6]["risk_level"], got[6]["explanation"]) == ("High", "The model classified this record as High Risk with 75.0% confidence.")
+    assert (got[7]["risk_level"], got[7]["explanation"], len(got[7]["recommendations"])) == ("Medium", "said", 4)
+    assert (got[8]["risk_level"], got[8]["reply_error"]) == ("High", "unreadable reply")
+    assert "Usual: 17.2" in got[5]["request"] and "Drop Detected=True" in got[8]["request"]
