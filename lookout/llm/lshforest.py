@@ -2,16 +2,16 @@
 
 1. Every text becomes its set of distinct five-word shingles, and the set a signature of 64 minima. Documents with
    equal sets form a class; only one representative of a class goes on.
-2. The forest: ``TREES`` orders of the signature. In each, representatives with the same first ``DEPTH`` values form a
-   region. A region above ``region_rows`` goes one value deeper under several orders at once, so linked documents
-   still meet; the depth adapts to how crowded a region is.
-3. Candidates: inside a region rows are sorted by signature; a row's partners are its neighbours of longest common
-   prefix and the rows nearest to the region's consensus. Only the best ones are taken, so a region gives about as many
-   pairs as rows.
-4. Pairs are confirmed on whole sets, and links are joined into components. Then regions are read again, and only rows of
-   *different* components are compared; this repeats with wider choice, in the end all of them, until no
-   candidate pair is left. So a large group of near copies costs about one comparison per copy, and no link
-   between different components that the forest brought together is skipped.
+2. The forest: ``TREES`` sorted orders of the signature. In each, representatives with the same first ``DEPTH`` values
+   form a region. Every order is range-partitioned, so a region of any size is spread over tasks.
+3. First links: a row's candidates are its neighbours of longest common prefix and the rows nearest to the consensus of
+   its region. Each row takes its best one; the pair is confirmed on whole sets, and links are joined into components.
+   A large group of near copies costs one comparison per copy.
+4. Remaining links: in regions where rows of *different* components still look similar enough, those rows are compared
+   on whole sets. Inside a region shingles are ordered from rare to frequent; a pair that is similar enough shares a
+   shingle among the rarest of both (prefix filter, exact), so a passage shared by many texts makes no candidates.
+   Mixed regions above ``region_rows`` go one value deeper under several orders at once: linked documents still meet, and
+   the depth adapts to how crowded a region is.
 
 Two texts at the threshold 0.85 share a region in at least one of the 12 orders with probability 1 - 1e-5.
 
@@ -28,7 +28,7 @@ from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import tokens as tk
@@ -36,8 +36,7 @@ from lookout.llm.common import fields, in_arrow, input_columns, settled
 from lookout.llm.components import components
 
 SHINGLE, MINIMA, TREES, DEPTH, EXTRA, DEEPEST = 5, 64, 12, 3, 6, 8
-REGION_ROWS = 200_000
-WIDTHS = (1, 3, 32, None)  #: partners per row that a round may try
+REGION_ROWS, CHUNK_ROWS = 50_000, 50_000
 _odd = np.random.default_rng(41).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _add = np.random.default_rng(42).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 
@@ -110,16 +109,21 @@ def agreement_floor(percent: int) -> int:
     return max(1, floor(MINIMA * p - 4.4 * sqrt(MINIMA * p * (1 - p))))
 
 
-def forest_regions(classes: DataFrame, region_rows: int) -> DataFrame:
+def forest_regions(classes: DataFrame) -> DataFrame:
     """(tree, key, node) for every region with at least two nodes."""
-    level = classes.select("node", "short", F.posexplode("keys").alias("tree", "key"))
+    level = classes.select("node", F.posexplode("keys").alias("tree", "key"))
+    return level.join(level.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "key"), ["tree", "key"])
+
+
+def mixed_regions(regions: DataFrame, drawn: DataFrame, labels: DataFrame, region_rows: int) -> DataFrame:
+    """Rows (tree, key, node, n_shingles, short, label) of regions with nodes of several components, crowded ones deeper."""
+    level = regions.join(drawn.join(labels, "node"), "node")
     done = None
     for depth in range(DEPTH, DEEPEST + 1):
-        sizes = level.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = settled(level.join(sizes, ["tree", "key"]))
+        sizes = level.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sized = settled(level.join(sizes.where("low < high").select("tree", "key", "size"), ["tree", "key"]))
         fine = sized if depth == DEEPEST else sized.where(F.col("size") <= region_rows)
-        fine = fine.select("tree", "key", "node")
-        done = fine if done is None else done.unionByName(fine)
+        done = fine.drop("size") if done is None else done.unionByName(fine.drop("size"))
         crowded = sized.where(F.col("size") > region_rows)
         if depth == DEEPEST or not crowded.take(1):
             return done
@@ -127,73 +131,93 @@ def forest_regions(classes: DataFrame, region_rows: int) -> DataFrame:
         orders = F.array(*(F.array(*(F.lit(int(c)) for c in ORDERS[t, start : start + EXTRA])) for t in range(TREES)))
         column = F.element_at(F.element_at(orders, F.col("tree") + 1), F.col("pick") + 1)
         level = crowded.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(EXTRA - 1)))).select(
-            "node", "short", "tree", F.xxhash64("key", "pick", F.substring("short", column + 1, F.lit(1))).alias("key")
+            "tree", F.xxhash64("key", "pick", F.substring("short", column + 1, F.lit(1))).alias("key"), "node", "n_shingles", "short", "label"
         )
     return done
 
 
-def best_pairs(node: np.ndarray, n: np.ndarray, short: np.ndarray, label: np.ndarray, order: np.ndarray, percent: int, width: int | None, first: bool) -> Iterator[tuple]:
-    """(a, b, agreement) candidate pairs of one region."""
-    if len(node) < 2 or (label == label[0]).all():
-        return
-    least = agreement_floor(percent)
-
-    def pairs(i, j):
-        same = (short[i] == short[j]).sum(axis=1)
-        ok = (same >= least) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (label[i] != label[j])
-        return i[ok], j[ok], same[ok]
-
-    rows = np.arange(len(node))
-    if first:
-        ranked = np.lexsort(short[:, order[::-1]].T)
-        consensus = np.array([np.bincount(short[:, c], minlength=256).argmax() for c in range(MINIMA)], np.uint8)
-        pivots = np.argsort(-(short == consensus).sum(axis=1), kind="stable")[:2]
-        for i, j in ((ranked[:-1], ranked[1:]), (ranked[1:], ranked[:-1]), *((rows[rows != p], np.full(len(rows) - 1, p)) for p in pivots)):
-            yield pairs(i, j)
-        return
-    names, counts = np.unique(label, return_counts=True)
-    open_ = rows[label != names[counts.argmax()]]
-    size = max(1, (1 << 24) // (len(rows) * MINIMA))
-    for at in range(0, len(open_), size):
-        mine = open_[at : at + size]
-        i, j, same = pairs(np.repeat(mine, len(rows)), np.tile(rows, len(mine)))
-        if width is not None and len(i):
-            place = np.lexsort((node[j], -same, i))
-            i, j, same = i[place], j[place], same[place]
-            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
-            i, j, same = i[rank < width], j[rank < width], same[rank < width]
-        yield i, j, same
-
-
-def pair_finder(columns: pa.Schema, percent: int, width: int | None, first: bool):
-    """Streams rows sorted by (tree, key) and works on one region after the other."""
-
-    def found(region: list[pa.RecordBatch], tree: int) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(region)
-        node, n, label = (whole.column(c).to_numpy() for c in ("node", "n_shingles", "label"))
-        short = np.frombuffer(b"".join(whole.column("short").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        for i, j, same in best_pairs(node, n, short, label, ORDERS[tree], percent, width, first):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(same.astype(np.int32))], schema=columns)
+def regions_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The regions of rows sorted by (tree, key), in parts of about ``most`` rows; whether a part may go on elsewhere."""
+    held, last, rows, whole = [], None, 0, False
+    for batch in batches:
+        tree, key = batch.column("tree").to_numpy(), batch.column("key").to_numpy()
+        if not len(key):
+            continue
+        cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1])) + 1
+        edges = [0, *cuts.tolist(), len(key)]
+        for a, b in zip(edges, edges[1:]):
+            now = (int(tree[a]), int(key[a]))
+            if held and (now != last or rows > most):
+                yield pa.Table.from_batches(held), not whole or now == last
+                held, rows, whole = [], 0, now != last
+            held.append(batch.slice(a, b - a))
+            rows, last = rows + b - a, now
+    if held:
+        yield pa.Table.from_batches(held), True
+
+
+def shorts(region: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(region.column("short").to_pylist()), np.uint8).reshape(-1, MINIMA)
+
+
+def alike(n: np.ndarray, short: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may be linked, and their equal signature values."""
+    same = (short[i] == short[j]).sum(axis=1)
+    return (same >= agreement_floor(percent)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])), same
+
+
+NEAREST = "tree int, key long, a long, b long, same int"
+
+
+def nearest_finder(columns: pa.Schema, percent: int):
+    """For rows of a region in signature order: candidates by longest common prefix and by the region's consensus.
+
+    A pivot of a region that may go on in another part is returned as a pair with itself.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            tree, key = batch.column("tree").to_numpy(), batch.column("key").to_numpy()
-            if not len(key):
-                continue
-            cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = [0, *cuts.tolist(), len(key)]
-            for a, b in zip(edges, edges[1:]):
-                now = (int(tree[a]), int(key[a]))
-                if now != last and held:
-                    yield from found(held, last[0])
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
-        if held:
-            yield from found(held, last[0])
+        for region, open_ in regions_of(batches, CHUNK_ROWS):
+            node, n, short = region.column("node").to_numpy(), region.column("n_shingles").to_numpy(), shorts(region)
+            tree, key = region.column("tree")[0].as_py(), region.column("key")[0].as_py()
+            rows = np.arange(len(node))
+            ranked = np.lexsort(short[:, ORDERS[tree][::-1]].T)
+            consensus = np.array([np.bincount(short[:, c], minlength=256).argmax() for c in range(MINIMA)], np.uint8)
+            pivots = np.argsort(-(short == consensus).sum(axis=1), kind="stable")[:2]
+            parts = [(ranked[:-1], ranked[1:]), (ranked[1:], ranked[:-1]), *((rows[rows != p], np.full(len(rows) - 1, p)) for p in pivots)]
+            if open_:
+                parts.append((pivots, pivots))
+            for i, j in parts:
+                if len(i):
+                    ok, same = alike(n, short, i, j, percent)
+                    i, j, same = i[ok], j[ok], same[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tree, np.int32)), pa.array(np.full(len(i), key)), pa.array(node[i]), pa.array(node[j]), pa.array(same.astype(np.int32))], schema=columns)
+
+    return work
+
+
+OPEN = "tree int, key long, node long"
+
+
+def open_finder(columns: pa.Schema, percent: int):
+    """The nodes of a region that look similar enough to a node of another component."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, _ in regions_of(batches, 1 << 40):
+            node, n, label, short = (*(region.column(c).to_numpy() for c in ("node", "n_shingles", "label")), shorts(region))
+            names, counts = np.unique(label, return_counts=True)
+            rest = np.flatnonzero(label != names[counts.argmax()])
+            found = np.zeros(len(node), bool)
+            size = max(1, (1 << 24) // (len(node) * MINIMA))
+            for at in range(0, len(rest), size):
+                i = np.repeat(rest[at : at + size], len(node))
+                j = np.tile(np.arange(len(node)), len(rest[at : at + size]))
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                ok, _ = alike(n, short, i, j, percent)
+                found[i[ok]] = found[j[ok]] = True
+            keep = np.flatnonzero(found)
+            if len(keep):
+                yield region.select(["tree", "key", "node"]).take(pa.array(keep)).combine_chunks().to_batches()[0].cast(columns)
 
     return work
 
@@ -210,17 +234,19 @@ def setter(size: int, columns: pa.Schema):
     return work
 
 
-def confirmer(columns: pa.Schema, percent: int):
-    def linked(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        small, large = (a, b) if len(a) <= len(b) else (b, a)
-        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        both = int((large[at] == small).sum())
-        return 100 * both >= percent * (len(a) + len(b) - both)
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
 
+def confirmer(columns: pa.Schema, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True))
+            keep = [linked(x, y, percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=columns).filter(pa.array(keep, pa.bool_()))
 
     return work
@@ -233,54 +259,108 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_arrow(both.select("a", "b", "x", "y"), confirmer(fields("a long, b long"), percent), "a long, b long")
 
 
+def rare_pairs(sets: list[np.ndarray], percent: int) -> Iterator[list[int]]:
+    """Groups of sets that share one of their rarest shingles; every similar pair is in one (prefix filter)."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    order = np.lexsort((rank[which], owner))
+    token, owner = rank[which][order], owner[order]
+    sizes = np.array([len(s) for s in sets])
+    place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = place < (sizes - -(-sizes * percent // 100) + 1)[owner]
+    token, owner = token[inside], owner[inside]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            yield owner[a:b].tolist()
+
+
+def region_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components inside a region; pairs that are connected by then are not compared."""
+    parent = {int(x): int(x) for x in label}
+    label = label.tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    seen, out = set(), []
+    for group in rare_pairs(sets, percent):
+        if len({root(label[i]) for i in group}) < 2:
+            continue
+        for k, i in enumerate(group):
+            for j in group[:k]:
+                a, b = root(label[i]), root(label[j])
+                if a == b or (i, j) in seen:
+                    continue
+                seen.add((i, j))
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if 100 * small >= percent * large and linked(sets[i], sets[j], percent):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(node[j]), int(node[i])))
+    return out
+
+
+def region_linker(columns: pa.Schema, percent: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, _ in regions_of(batches, 1 << 40):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in region.column("shingles")]
+            found = region_links(region.column("node").to_numpy(), region.column("label").to_numpy(), sets, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=columns)
+
+    return work
+
+
+def by_region(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tree", "key").sortWithinPartitions("tree", "key", "node")
+
+
+def first_pairs(regions: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each node its best candidate over all orders."""
+    find = nearest_finder(fields(NEAREST), percent)
+    rows = settled(regions.join(drawn, "node"))
+    spread = rows.repartitionByRange("tree", "key", "short").sortWithinPartitions("tree", "key", "short", "node")
+    found = settled(in_arrow(spread, find, NEAREST))
+    # Parts of one region are tied together by their pivots.
+    pivots = found.where("a = b").select("tree", "key", F.col("a").alias("node")).distinct()
+    several = pivots.join(pivots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("tree", "key"), ["tree", "key"])
+    tied = in_arrow(by_region(several.join(drawn, "node")), find, NEAREST)
+    both = found.unionByName(tied).where("a <> b")
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, region_rows: int = REGION_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = input_columns(docs, doc_id=doc_id, text=text)
     signed = settled(in_arrow(rows, signer(shingle, fields(SIGNED)), SIGNED))
     grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
     classes = settled(grouped.agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("keys").alias("keys")))
-    regions = settled(forest_regions(classes.select("node", "short", "keys"), region_rows))
+    nodes = classes.groupBy("node").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("keys").alias("keys"))
+    regions = settled(forest_regions(nodes))
     members = settled(regions.select("node").distinct())
     texts = rows.select(F.col("doc_id").alias("node"), "text").join(members, "node", "left_semi")
     sets = settled(in_arrow(texts, setter(shingle, fields("node long, shingles binary")), "node long, shingles binary"))
-    drawn = settled(classes.join(members, "node", "left_semi").select("node", "n_shingles", "short"))
-
-    labels = drawn.select("node", F.col("node").alias("label"))
-    links = tested = None
-    out = "a long, b long, same int"
-    step = 0
-    while True:
-        width = WIDTHS[min(step, len(WIDTHS) - 1)]
-        if links is not None:
-            links = components(links)
-            labels = drawn.select("node").join(links.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        known = drawn.join(labels.distinct(), "node")
-        placed = regions.join(known, "node").repartition("tree", "key").sortWithinPartitions("tree", "key", "node")
-        found = in_arrow(placed, pair_finder(fields(out), percent, width, step == 0), out)
-        pairs = found.select(F.col("a").alias("i"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
-        if width is not None:
-            best = Window.partitionBy("i").orderBy(F.desc("same"), "a", "b")
-            pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width)
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
-        if not pairs.take(1):
-            if width is None or step == 0:
-                break
-            step += 1
-            continue
-        new = settled(confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else settled(tested.unionByName(pairs))
-        links = new if links is None else links.unionByName(new)
-        step += 1
-    named = classes.select("digest", "node")
-    if links is not None:
-        named = named.join(components(links).select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    else:
-        named = named.select("digest", F.col("node").alias("label"))
+    drawn = settled(nodes.join(members, "node", "left_semi").select("node", "n_shingles", "short"))
+
+    stars = components(settled(confirmed(first_pairs(regions, drawn, percent), sets, percent)))
+    labels = settled(members.join(stars.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    mixed = mixed_regions(regions, drawn, labels, region_rows)
+    left = settled(in_arrow(by_region(mixed), open_finder(fields(OPEN), percent), OPEN))
+    more = in_arrow(by_region(left.join(labels, "node").join(sets, "node")), region_linker(fields("a long, b long"), percent), "a long, b long")
+    stars = components(stars.unionByName(settled(more)))
+
+    named = classes.select("digest", "node").join(stars.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left")
+    named = settled(named.select("digest", F.coalesce("label", "node").alias("label")))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
-    return signed.join(settled(named), "digest", "left").select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return signed.join(named, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
