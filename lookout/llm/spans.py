@@ -209,17 +209,16 @@ def spans_of(passages: DataFrame) -> DataFrame:
     return passages.groupBy("key", "digest").agg(F.transform(F.array_sort(F.collect_set("place")), lambda p: F.struct(p.alias("a"), (p + 1).cast("int").alias("b"))).alias("spans"))
 
 
-def covered(found: Repeats, matches: DataFrame | None, whole, length: int) -> DataFrame:
+def covered(found: Repeats, matches: DataFrame, whole, length: int) -> DataFrame:
     """(doc, spans): the symbol intervals of each text that repeated passages cover.
 
-    ``whole`` says for which copies of a variant every passage counts; for the first copy, ``matches`` says which.
+    ``whole`` says for which copies of a variant every passage counts; for the first copy, ``matches`` says which. What
+    is known of a variant is put into one row first, so the places meet it in a single join, which adaptive execution
+    splits where a variant has very many copies.
     """
-    variants = found.variants.select("key", "digest", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "copies")
-    rows = found.places.join(settled(variants), ["key", "digest"])
-    if matches is not None:
-        rows = rows.join(settled(matches), ["key", "digest"], "left")
-    else:
-        rows = rows.withColumn("spans", F.expr("cast(NULL AS array<struct<a: int, b: int>>)"))
+    variants = found.variants.select("key", "digest", F.col("doc").alias("first_doc"), "copies")
+    facts = settled(variants.join(settled(matches), ["key", "digest"], "left"))
+    rows = found.places.join(facts, ["key", "digest"])
     all_of = F.array(F.struct(F.lit(0).alias("a"), (F.col("stop") - F.col("start")).cast("int").alias("b")))
     chosen = F.when(whole, all_of).otherwise(F.col("spans"))
     rows = rows.select("doc", "start", F.explode(chosen).alias("s"))
