@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21  #: texts are worked through in blocks of whole texts of about this size
+BLOCK_BYTES = 1 << 18  #: texts are worked through in blocks of whole texts of about this size
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 BASE = 0x9E3779B97F4A7C15 | 1
 _random = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
