@@ -31,34 +31,40 @@ LENGTH, RUN, LEAD = 200, 40, 16
 BUCKET_BYTES = 4_000_000
 
 
-def characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number, in the order of the bytes."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out = out << np.uint64(8) | data[at + j].astype(np.uint64)
-    return out
+def characters(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number in the order of the bytes; a view, nothing is copied."""
+    return np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
     """For each suffix, whether its first ``length`` bytes occur at several places (``weights`` counts copies).
 
     Multikey quicksort: ``open_`` holds the suffixes of parts that are still tied, sorted by what has been read;
-    each level splits all parts by the next character (of eight bytes, the last level of the bytes that are left).
+    each level splits parts by the next character (of eight bytes, the last level of the bytes that are left). Parts
+    whose suffixes all go on alike are not sorted again.
     """
     out = weights > 1
-    open_, part = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    chars = characters(np.concatenate([data, np.zeros(8, np.uint8)]))
+    open_, part, count = np.arange(len(starts)), np.zeros(len(starts), np.int64), 1
     read = 0
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     while read < length and len(open_):
-        key = characters(padded, starts[open_] + read)
+        key = chars[starts[open_] + read].astype(np.uint64)
         if length - read < 8:
-            key = key >> np.uint64(8 * (8 - length + read))
-        order = np.lexsort((key, part))
-        open_, part, key = open_[order], part[order], key[order]
-        new = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
-        part = np.cumsum(new) - 1
-        tied = np.bincount(part)[part] > 1
-        open_, part = open_[tied], part[tied]
+            key >>= np.uint64(8 * (8 - length + read))
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        split = np.zeros(count, bool)
+        split[part[key != key[first][part]]] = True
+        mixed = np.flatnonzero(split[part])
+        if len(mixed):
+            order = mixed[np.lexsort((key[mixed], part[mixed]))]
+            open_[mixed], key[mixed] = open_[order], key[order]
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+            part = np.cumsum(new) - 1
+            tied = np.bincount(part)[part] > 1
+            if not tied.all():
+                open_, part = open_[tied], part[tied]
+                part = np.cumsum(np.concatenate([[False], part[1:] != part[:-1]])) if len(part) else part
+            count = int(part[-1]) + 1 if len(part) else 0
         read += 8
     out[open_] = True
     return out
