@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lookout.llm import components as co
 from lookout.llm import exact, fmindex, lshforest, spans, suffixes
