@@ -34,7 +34,9 @@ from lookout.llm import tokens as tk
 from lookout.llm.common import fields, in_arrow, input_columns
 
 DIMENSIONS, PLACES, REACH = 64, 4, 2
-MAX_LABELLED, MAX_CHARS, MAX_VOCABULARY = 8_000, 16_000_000, 40_000
+STEP = 1 << 19
+FEW = 20.0  #: distinct words at which a document's mean counts half
+MAX_LABELLED, MAX_CHARS, MAX_VOCABULARY = 4_000, 10_000_000, 40_000
 
 
 class Model(NamedTuple):
@@ -60,8 +62,10 @@ def index_places(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def summed(rows: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     """For each row the sum of the index vectors of its features."""
     out = np.zeros(n * DIMENSIONS)
-    for place, sign in index_places(codes):
-        out += np.bincount(rows * DIMENSIONS + place, weights=sign, minlength=n * DIMENSIONS)
+    for at in range(0, len(codes), STEP):
+        base = rows[at : at + STEP] * DIMENSIONS
+        for place, sign in index_places(codes[at : at + STEP]):
+            out += np.bincount(base + place, weights=sign, minlength=n * DIMENSIONS)
     return out.reshape(n, DIMENSIONS)
 
 
@@ -122,8 +126,17 @@ def vocabulary(sample: list[tk.Texts], most: int) -> tuple[np.ndarray, np.ndarra
     return distinct[keep], (total / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
+def scaled(x: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features in units of their spread. The mean over a few distinct words is far out at random, so the vectors'
+    places are drawn to the center by the number of distinct words, and cut at 3."""
+    z = (x - center) / scale
+    distinct = x[:, -3] * np.expm1(x[:, -1])
+    z[:, : 2 * DIMENSIONS] = np.clip(z[:, : 2 * DIMENSIONS] * (distinct / (distinct + FEW))[:, None], -3, 3)
+    return z
+
+
 def margins(model: Model, x: np.ndarray) -> np.ndarray:
-    hidden = np.maximum((x - model.center) / model.scale @ model.w1 + model.b1, 0)
+    hidden = np.maximum(scaled(x, model.center, model.scale) @ model.w1 + model.b1, 0)
     return hidden @ model.w2 + model.b2
 
 
@@ -139,7 +152,7 @@ def trained(x: np.ndarray, y: np.ndarray, known: np.ndarray, contexts: np.ndarra
         aside[:] = False
     xt, yt = x[~aside], y[~aside]
     center, scale = xt.mean(axis=0), xt.std(axis=0) + 1e-3
-    z = (xt - center) / scale
+    z = scaled(xt, center, scale)
     width = x.shape[1]
     weights = [rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
     first = [np.zeros_like(w) for w in weights]
@@ -177,8 +190,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> list[tuple]:
-    """(text, label) of the bounded sample, in the order of a hash of the id."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> pa.Table:
+    """Text and label of the bounded sample, in the order of a hash of the id."""
     known = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -191,17 +204,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_ch
     chosen = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "place", F.coalesce("text", F.lit("")).alias("text"))
     until = Window.orderBy("place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most max_labelled rows
     rows = chosen.orderBy("place", "doc_id", "text").limit(max_labelled).withColumn("chars", F.sum(F.length("text")).over(until)).where(F.col("chars") <= max_chars)
-    return [(r["text"], r["label"]) for r in rows.orderBy("place", "doc_id", "text").select("text", "label").collect()]
+    return rows.orderBy("place", "doc_id", "text").select("text", "label").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, max_vocabulary: int = MAX_VOCABULARY, hidden: int = 32, epochs: int = 30, seed: int = 5) -> Model | float:
     """The model, or one score for all texts where there is nothing to tell apart."""
     rows = labelled_texts(docs, labels, max_labelled, max_chars)
-    y = np.array([label for _, label in rows], float)
+    y = rows.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    batch = pa.RecordBatch.from_arrays([pa.array([text for text, _ in rows], pa.large_string())], ["text"])
-    del rows
+    batch = rows.select(["text"]).combine_chunks().to_batches()[0]
     sample = [block for _, block in tk.blocks(batch, "text")]
     known, contexts = vocabulary(sample, max_vocabulary)
     x = np.concatenate([pooled(block, known, contexts) for block in sample]).astype(float)
