@@ -10,8 +10,8 @@
 4. Remaining links: in regions where rows of *different* components still look similar enough, those rows are compared
    on whole sets. Inside a region shingles are ordered from rare to frequent; a pair that is similar enough shares a
    shingle among the rarest of both (prefix filter, exact), so a passage shared by many texts makes no candidates.
-   Mixed regions above ``region_rows`` go one value deeper under several orders at once: linked documents still meet, and
-   the depth adapts to how crowded a region is.
+   A mixed region above ``region_rows`` is cut along its main component, or, with many nodes of others, goes one value
+   deeper under several orders at once: linked documents still meet, and the depth adapts to how crowded a region is.
 
 Two texts at the threshold 0.85 share a region in at least one of the 12 orders with probability 1 - 1e-5.
 
@@ -116,23 +116,34 @@ def forest_regions(classes: DataFrame) -> DataFrame:
 
 
 def mixed_regions(regions: DataFrame, drawn: DataFrame, labels: DataFrame, region_rows: int) -> DataFrame:
-    """Rows (tree, key, node, n_shingles, short, label) of regions with nodes of several components, crowded ones deeper."""
-    level = regions.join(drawn.join(labels, "node"), "node")
+    """Rows (tree, key, node, n_shingles, short, label) of regions with nodes of several components.
+
+    A region above ``region_rows`` of which most nodes are one component is cut: that component's nodes are dealt out, and
+    the few others go to every part. One with many nodes of other components goes one value deeper.
+    """
+    columns = ["tree", "key", "node", "n_shingles", "short", "label"]
+    level = regions.join(drawn.join(labels, "node"), "node").select(*columns)
     done = None
     for depth in range(DEPTH, DEEPEST + 1):
-        sizes = level.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        sized = settled(level.join(sizes.where("low < high").select("tree", "key", "size"), ["tree", "key"]))
-        fine = sized if depth == DEEPEST else sized.where(F.col("size") <= region_rows)
-        done = fine.drop("size") if done is None else done.unionByName(fine.drop("size"))
-        crowded = sized.where(F.col("size") > region_rows)
-        if depth == DEEPEST or not crowded.take(1):
+        counts = level.groupBy("tree", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+        sizes = counts.groupBy("tree", "key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"))
+        sizes = sizes.where("size > main.n").select("tree", "key", "size", F.col("main.label").alias("main"), (F.col("size") - F.col("main.n")).alias("others"))
+        sized = settled(level.join(sizes, ["tree", "key"]))
+        crowded, many = F.col("size") > region_rows, F.col("others") > region_rows
+        parts = F.ceil(F.col("size") / region_rows).cast("int")
+        own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
+        part = F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(F.sequence(F.lit(0), parts - 1)))
+        cut = sized.where(crowded & ~many).withColumn("part", part).withColumn("key", F.xxhash64("key", "part"))
+        fine = sized.where(~crowded if depth < DEEPEST else ~crowded | many).select(*columns).unionByName(cut.select(*columns))
+        done = fine if done is None else done.unionByName(fine)
+        deeper = sized.where(crowded & many)
+        if depth == DEEPEST or not deeper.take(1):
             return done
         start = DEPTH + (depth - DEPTH) * EXTRA
         orders = F.array(*(F.array(*(F.lit(int(c)) for c in ORDERS[t, start : start + EXTRA])) for t in range(TREES)))
         column = F.element_at(F.element_at(orders, F.col("tree") + 1), F.col("pick") + 1)
-        level = crowded.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(EXTRA - 1)))).select(
-            "tree", F.xxhash64("key", "pick", F.substring("short", column + 1, F.lit(1))).alias("key"), "node", "n_shingles", "short", "label"
-        )
+        level = deeper.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(EXTRA - 1))))
+        level = level.withColumn("key", F.xxhash64("key", "pick", F.substring("short", column + 1, F.lit(1)))).select(*columns)
     return done
 
 
