@@ -62,13 +62,17 @@ def deviation_z(spark, d):
 
 @query(
     "user_trend",
-    f"""WITH {v.UD}, o AS (SELECT user_id, level_mean, row_number() OVER w AS no,
-      lag(level_mean) OVER w AS before FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day))
+    f"""WITH {v.UD}, hd AS (SELECT * REPLACE (CASE WHEN day(day) % 7 <> 3 THEN level_mean END AS level_mean) FROM ud),
+    o AS (SELECT user_id, level_mean, row_number() OVER w AS no,
+      lag(level_mean) OVER w AS before FROM hd WINDOW w AS (PARTITION BY user_id ORDER BY day))
     SELECT user_id, count(*) AS n, round(regr_slope(level_mean, no), 6) AS slope,
       round(avg(level_mean - before), 6) AS mean_step FROM o GROUP BY 1""",
 )
 def user_trend(spark, d):
-    out = win.user_trend(v.stored_days(spark, d), "user_id", ["day"], "level_mean")
+    """Every seventh day has NaN for a level, which is a missing value."""
+    days = v.stored_days(spark, d)
+    days = days.withColumn("level_mean", F.when(F.dayofmonth("day") % 7 == 3, float("nan")).otherwise(F.col("level_mean")))
+    out = win.user_trend(days, "user_id", ["day"], "level_mean")
     return out.select("user_id", "n", r6("slope").alias("slope"), r6("mean_step").alias("mean_step"))
 
 

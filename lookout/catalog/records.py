@@ -9,7 +9,6 @@ from lookout.catalog.tables import BASE, BASE_SQL, past_tie, r6
 from lookout.operators import aggregates as agg
 from lookout.operators import decide
 from lookout.operators import relational as rel
-from lookout.operators.windows import latest_per_key
 from lookout.plans import views as v
 from lookout.session import table
 
@@ -21,9 +20,25 @@ def day_text(df):
 # --- aggregates ------------------------------------------------------------------------
 
 
-@query("group_mean", "SELECT event_type, round(avg(value), 6) AS mean_value FROM events GROUP BY 1 ORDER BY 2")
+HOLED = "(SELECT * REPLACE (CASE WHEN event_id % 17 <> 0 THEN value END AS value) FROM events)"
+
+
+def holed(spark, d):
+    """Events, every seventeenth with NaN for a value: it must count as missing."""
+    return table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 17 == 0, float("nan")).otherwise(F.col("value")))
+
+
+def holed_days(spark, d):
+    """User-days, every eleventh user with NaN for a level."""
+    return v.stored_days(spark, d).withColumn("level_mean", F.when(F.col("user_id") % 11 == 0, float("nan")).otherwise(F.col("level_mean")))
+
+
+HOLED_DAYS = "hd AS (SELECT * REPLACE (CASE WHEN user_id % 11 <> 0 THEN level_mean END AS level_mean) FROM ud)"
+
+
+@query("group_mean", f"SELECT event_type, round(avg(value), 6) AS mean_value FROM {HOLED} GROUP BY 1 ORDER BY 2")
 def group_mean(spark, d):
-    means = agg.group_mean(table(spark, d, "events"), "event_type", "value")
+    means = agg.group_mean(holed(spark, d), "event_type", "value")
     return means.withColumn("mean_value", r6("mean_value"))
 
 
@@ -58,31 +73,31 @@ DESCRIBE = ("level_mean", "level_std", "energy_mean", "rate")
 
 @query(
     "describe",
-    f"WITH {v.UD} "
+    f"WITH {v.UD}, {HOLED_DAYS} "
     + " UNION ALL ".join(
         f"""SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
         round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS q2,
-        round(quantile_cont({c}, 0.75), 6) AS q3, round(max({c}), 6) AS max FROM ud"""
+        round(quantile_cont({c}, 0.75), 6) AS q3, round(max({c}), 6) AS max FROM hd"""
         for c in DESCRIBE
     ),
 )
 def describe(spark, d):
-    out = agg.describe(v.stored_days(spark, d), DESCRIBE)
+    out = agg.describe(holed_days(spark, d), DESCRIBE)
     return out.select("measure", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "q1", "q2", "q3", "max")])
 
 
 @query(
     "box_stats",
-    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
-      quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
+    f"""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+      quantile_cont(value, 0.75) AS q3 FROM {HOLED} GROUP BY 1)
     SELECT event_type, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3,
       round(min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
       round(max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
       count(*) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
-      FROM events JOIN q USING (event_type) GROUP BY event_type, q1, q2, q3""",
+      FROM {HOLED} JOIN q USING (event_type) GROUP BY event_type, q1, q2, q3""",
 )
 def box_stats(spark, d):
-    box = agg.box_stats(table(spark, d, "events"), "event_type", "value")
+    box = agg.box_stats(holed(spark, d), "event_type", "value")
     return box.select(
         "event_type", *[r6(c).alias(c) for c in ("q1", "q2", "q3", "whisker_low", "whisker_high")], "outliers"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout.catalog.registry import query
@@ -92,7 +93,7 @@ def pause_ratio(spark, d):
 def silence_islands(spark, d):
     """Runs of loud frames, with the loud frames of the chunk in all."""
     runs = sg.loud_intervals(levels(spark, d), ["chunk_id"], "pos", "rms", 10.0)
-    return runs.join(runs.groupBy("chunk_id").agg(F.sum("length").alias("loud_frames")), "chunk_id")
+    return runs.withColumn("loud_frames", F.sum("length").over(Window.partitionBy("chunk_id")))
 
 
 @query(

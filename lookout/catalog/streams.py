@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,9 +200,9 @@ def udf_batches(spark, d):
     """A function that gets a batch of frames and returns fewer rows than it got."""
 
     def span(batch: pd.DataFrame) -> pd.DataFrame:
-        top = batch["samples"].map(max)
-        out = pd.DataFrame({"vec_id": batch["vec_id"], "span": top - batch["samples"].map(min)})
-        return out[top > 0.5]
+        frames = np.vstack(batch["samples"])
+        top = frames.max(axis=1)
+        return pd.DataFrame({"vec_id": batch["vec_id"], "span": top - frames.min(axis=1)})[top > 0.5]
 
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("span", T.DoubleType())])
     out = uf.map_batches(v.frames(spark, d).select("vec_id", "samples"), span, schema)

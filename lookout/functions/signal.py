@@ -64,9 +64,8 @@ def loud(level: Column, top: Column, top_db: float) -> Column:
 
 
 def with_top(frames: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
-    """Adds the highest level of the chunk. One number per chunk is joined back."""
-    keys = list(keys)
-    return frames.join(frames.groupBy(*keys).agg(F.max(level).alias("top")), keys)
+    """Adds the highest level of the chunk; the frames of a chunk are few and go to one window."""
+    return frames.withColumn("top", F.max(level).over(Window.partitionBy(*keys)))
 
 
 def pause_ratio(frames: DataFrame, keys: Sequence[str], level: str, top_db: float = TOP_DB) -> DataFrame:
@@ -87,8 +86,6 @@ def onset_rows(frames: DataFrame, keys: Sequence[str], pos: str, level: str, wid
 
     A chunk is a fixed number of seconds, so its frames are few and go to one window.
     """
-
-
     w = Window.partitionBy(*keys).orderBy(pos)
     db = F.lit(20.0) * F.log10(F.col(level) + FLOOR)
     measured = frames.withColumn("__db", db)
