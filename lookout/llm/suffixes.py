@@ -27,7 +27,7 @@ from lookout.llm import spans as sp
 from lookout.llm import tokens as tk
 from lookout.llm.common import fields, in_arrow, settled
 
-LENGTH, RUN, LEAD = 200, 40, 16
+LENGTH, RUN = 200, 40
 BUCKET_BYTES = 4_000_000
 
 
@@ -107,7 +107,7 @@ def leading_bytes(length: int, run: int):
     def lead(piece: bytes) -> bytes:
         runs = sp.Hashes(tk.PLAIN.codes[np.frombuffer(piece, np.uint8)[:length]]).runs(run)
         anchor = int(np.argmin(runs >> np.uint64(sp.PLACE_BITS)))
-        return piece[anchor : anchor + min(LEAD, run)]
+        return piece[anchor : anchor + run]
 
     return lead
 
