@@ -35,6 +35,7 @@ from lookout.llm.common import fields, in_arrow, input_columns
 
 DIMENSIONS, PLACES, REACH = 64, 4, 2
 STEP = 1 << 19
+LEAST_STEPS = 1_000  #: of the network's training, however small the sample
 FEW = 20.0  #: distinct words at which a document's mean counts half
 MAX_LABELLED, MAX_CHARS, MAX_VOCABULARY = 4_000, 10_000_000, 40_000
 
@@ -158,7 +159,7 @@ def trained(x: np.ndarray, y: np.ndarray, known: np.ndarray, contexts: np.ndarra
     first = [np.zeros_like(w) for w in weights]
     second = [np.zeros_like(w) for w in weights]
     step, size = 0, 128
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // -(-len(yt) // size)))):
         order = rng.permutation(len(yt))
         for at in range(0, len(yt), size):
             rows = order[at : at + size]
