@@ -13,7 +13,9 @@ written in numpy and trained with Adam, scores it; a temperature fitted on label
 not seen makes the score a probability.
 
 Bounds: the labelled rows fitted on are at most ``max_labelled`` rows and ``max_chars`` characters, taken in the
-order of a hash of the id, and the vocabulary is the ``max_vocabulary`` most frequent words of that sample. The model is
+order of a hash of the id among the labels that have a document; each label is given a 20th of the rows first, and a text
+that does not fit is passed over. A label whose texts are all too long for that is learned from its shortest one, beyond the bound.
+The vocabulary is the ``max_vocabulary`` most frequent words of that sample. The model is
 about 15 MB and is sent to every task. Scoring reads every text whole.
 
 Defined cases: an empty or null text is the zero vector and gets the network's score for it. Labels that are null or
@@ -22,22 +24,24 @@ contradict each other are not learned from. Without labels every score is 0.5; w
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import tokens as tk
-from lookout.llm.common import fields, in_arrow, input_columns
+from lookout.llm.common import fields, in_arrow, input_columns, settled
 
 DIMENSIONS, PLACES, REACH = 64, 4, 2
 STEP = 1 << 19
 LEAST_STEPS = 1_000  #: of the network's training, however small the sample
 FEW = 20.0  #: distinct words at which a document's mean counts half
 MAX_LABELLED, MAX_CHARS, MAX_VOCABULARY = 4_000, 10_000_000, 40_000
+FEWEST = 20  #: each label has this part of the rows, if it has as many
 
 
 class Model(NamedTuple):
@@ -191,21 +195,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def chosen_rows(rows: list[tuple], max_labelled: int, max_chars: int) -> list[tuple]:
+    """The sample of (label, chars, ...) rows: first a few of each label, then any, in the order given. A text that does not
+    fit any more is left out, and those after it are still looked at."""
+    taken, n, chars = set(), Counter(), Counter()
+    few = max(1, max_labelled // FEWEST)
+    for at, (label, size, *_) in enumerate(rows):
+        if n[label] < few and chars[label] + size <= max_chars // 4:
+            taken.add(at)
+            n[label] += 1
+            chars[label] += size
+    total = chars.total()
+    for at, (_, size, *_) in enumerate(rows):
+        if at not in taken and len(taken) < max_labelled and total + size <= max_chars:
+            taken.add(at)
+            total += size
+    return [rows[at] for at in sorted(taken)]
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> pa.Table:
-    """Text and label of the bounded sample, in the order of a hash of the id."""
+    """Text and label of the bounded sample, in the order of a hash of the id. It is chosen by lengths, of labels that have
+    a document; then the chosen texts are read."""
     known = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .where("label = other")
-        .select("doc_id", "label", F.xxhash64("doc_id").alias("place"))
-        .orderBy("place", "doc_id")
-        .limit(max_labelled)
+        .select("doc_id", F.col("label").cast("int").alias("label"))
     )
-    chosen = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "place", F.coalesce("text", F.lit("")).alias("text"))
-    until = Window.orderBy("place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most max_labelled rows
-    rows = chosen.orderBy("place", "doc_id", "text").limit(max_labelled).withColumn("chars", F.sum(F.length("text")).over(until)).where(F.col("chars") <= max_chars)
-    return rows.orderBy("place", "doc_id", "text").select("text", "label").toArrow()
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = ["doc_id", "chars", "digest"]
+    sizes = texts.select("doc_id", F.length("text").cast("long").alias("chars"), F.xxhash64("text").alias("digest"))
+    rows = settled(sizes.join(known, "doc_id").groupBy(*key).agg(F.min("label").alias("label")).withColumn("place", F.xxhash64("doc_id")))
+    fitting, part = F.col("chars") <= max_chars, F.shiftright("place", 48)
+    ends, found = {}, Counter()
+    for r in sorted(rows.where(fitting).groupBy("label", part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        if found[r["label"]] < max_labelled:
+            found[r["label"]] += r["count"]
+            ends[r["label"]] = r["part"]
+    order = ["place", "doc_id", "chars", "digest"]
+    columns = ["label", "chars", *(c for c in order if c != "chars")]
+    first = F.lit(False)
+    for label, end in ends.items():
+        first |= (F.col("label") == label) & (part <= end)
+    candidates = sorted((tuple(r) for r in rows.where(fitting & first).select(columns).collect()), key=lambda r: (*r[2:4], r[1], r[4]))
+    chosen = chosen_rows(candidates, max_labelled, max_chars)
+    for label in {0, 1} - {r[0] for r in chosen}:  # whose texts are all long: its shortest, whatever its length
+        chosen += [tuple(r) for r in rows.where(F.col("label") == label).orderBy("chars", *order).limit(1).select(columns).collect()]
+    kept = docs.sparkSession.createDataFrame(chosen, rows.select(columns).schema)
+    short = texts.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select("*", F.length("text").cast("long").alias("chars"), F.xxhash64("text").alias("digest"))
+    return short.join(F.broadcast(kept), key).dropDuplicates(key).orderBy(*order).select("text", "label").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, max_vocabulary: int = MAX_VOCABULARY, hidden: int = 32, epochs: int = 30, seed: int = 5) -> Model | float:

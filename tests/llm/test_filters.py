@@ -175,6 +175,23 @@ def test_quality_without_labels(spark, make_docs, none_of):
     assert quality.quality_scores(none_of, one).count() == 0
 
 
+def test_sample_passes_over_long_texts(spark, make_docs, prose):
+    rows, labels = labelled_corpus(prose, 120)
+    long = [(1000 + i, "long " * 3000, "s") for i in range(12)]
+    docs = make_docs(rows + long)
+    table = spark.createDataFrame([(i, q) for i, q, _ in labels] + [(i, 1) for i, *_ in long] + [(5000 + i, 0) for i in range(300)], "doc_id long, label int")
+    learned = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = quality.labelled_texts(docs, table, 500, 14_000).to_pydict()  # no long text fits, and labels without a document take no place
+    sizes = sorted(len(rows[i][1]) for i in learned)
+    assert set(got["label"]) == {0, 1} and sum(map(len, got["text"])) <= 14_000
+    assert 14_000 - sum(map(len, got["text"])) < max(sizes) or len(got["text"]) == len(learned)
+    few = quality.labelled_texts(docs, table, 2, 10**6).to_pydict()
+    assert sorted(few["label"]) == [0, 1]
+    # All texts of one label are above the bound: the shortest stands for it.
+    only = spark.createDataFrame([(i, 0) for i, *_ in long] + [(i, 1) for i in range(1, 60)], "doc_id long, label int")
+    assert sorted(set(quality.labelled_texts(docs, only, 500, 14_000).to_pydict()["label"])) == [0, 1]
+
+
 def test_temperature_softens_overconfidence():
     rng = np.random.default_rng(0)
     p = rng.random(4000)
