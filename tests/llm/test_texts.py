@@ -88,6 +88,23 @@ def test_main_text(html, text):
     assert wrappers.main_text(html, EMPTY) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article class='post no-comments'><p>yes</p></article>", "yes"),
+        ("<main class='with-sidebar'><p>yes</p><div class='left-sidebar'>no</div></main>", "yes"),
+        ("<main class='search'><p>yes</p></main>", "yes"),
+        ("<div id='page' class='has-menu'><p>yes</p><div class='menu-item-7'>no</div></div>", "yes"),
+        ("<article><p>a</p><div class='related-work'>b</div><p class='share-price'>c</p><div class='reader-comments'>no no no</div></article>", "a\n\nb\n\nc"),
+        ("<article class='post sponsored'><p>yes</p></article>", "yes"),
+        ("<div class='layout sidebar'><p>all of the page lies in here</p></div><div class='cookie-bar'>no</div>", "all of the page lies in here"),
+        ("<div class='header'>no, however long it is</div><article class='widget promo'><p>no</p></article><article><p>yes</p></article>", "yes"),
+    ],
+)
+def test_names_do_not_take_the_article(html, text):
+    assert wrappers.main_text(html, EMPTY) == text
+
+
 def test_tree_matching_aligns_in_order():
     a = dom.parse("<ul><li>1<li>2<li>3</ul><p>x")
     b = dom.parse("<ul><li>0<li>1<li>3</ul><div>n</div><p>y")
