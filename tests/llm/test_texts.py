@@ -127,6 +127,15 @@ def test_wrapper_of_a_host():
     assert wrappers.induced([site(1)] * 8) == {"template": [], "content": ""}  # copies are one page
 
 
+def test_content_element_holds_title_and_ends():
+    pages = [f"<div id=top>Welcome</div><div class=post><h1>Title {i}</h1><div class=body><p>{'Story ' * 40}{i}</p></div><div class=end>Last words {i * 3}</div></div>" for i in range(6)]
+    wrapper = wrappers.induced(pages)
+    wrapper = {**wrapper, "template": {tuple(t) for t in wrapper["template"]}}
+    assert wrapper["content"].endswith("/div.post")
+    assert wrappers.main_text(pages[2], wrapper).split("\n\n") == ["Title 2", "Story " * 40 + "2", "Last words 6"]
+    assert wrappers.common("/a/div.x", "/a/div/p") == "/a" and wrappers.common("/a/b", "/a/b") == "/a/b"
+
+
 def test_pages_table(spark):
     rows = [(i, f"http://host.org/{i}", site(i)) for i in range(9)]
     rows += [(20, "http://other.org/", site(20)), (21, None, None), (22, "nowhere", ""), (3, "http://host.org/3", site(3)), (23, "http://host.org/x", "<article>own</article>"), (None, "http://host.org/n", site(77))]
