@@ -136,6 +136,19 @@ def test_content_element_holds_title_and_ends():
     assert wrappers.common("/a/div.x", "/a/div/p") == "/a" and wrappers.common("/a/b", "/a/b") == "/a/b"
 
 
+def test_every_layout_of_a_host_has_a_wrapper(spark):
+    kinds = [
+        lambda i: f"<div class=a><div>We like visitors</div><h1>Head {i}</h1><div class=t><p>Said {i}</p>{'<ul><li>more</ul>' if i % 2 else ''}</div></div>",
+        lambda i: f"<div class=b><div class=t><p>Told {i}</p></div><div class=u>All rights are ours</div></div>",
+        lambda i: f"<div class=c><div>Call us</div><div class=t>Wrote {i}</div></div>",
+    ]
+    rows = [(i, f"http://hot.org/{i}", kinds[i % 10 // 5 if i < 60 else 2](i)) for i in range(66)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for i, _, text in wrappers.main_texts(pages).collect():
+        more = "\n\nmore" if i % 2 else ""
+        assert text == (f"Wrote {i}" if i >= 60 else f"Told {i}" if i % 10 // 5 else f"Head {i}\n\nSaid {i}{more}")
+
+
 def test_pages_table(spark):
     rows = [(i, f"http://host.org/{i}", site(i)) for i in range(9)]
     rows += [(20, "http://other.org/", site(20)), (21, None, None), (22, "nowhere", ""), (3, "http://host.org/3", site(3)), (23, "http://host.org/x", "<article>own</article>"), (None, "http://host.org/n", site(77))]
