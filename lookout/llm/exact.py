@@ -74,6 +74,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_groups(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that stay, with all their columns. A copy is taken out by its id and text, so another text with the same
+    or no id stays."""
+    gone = exact_groups(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_copy")).distinct()
+    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(f"`{text}`")), 256))
+    return marked.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_copy")), "left_anti").drop("_sha")

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import tokens as tk
@@ -191,16 +191,25 @@ def contamination(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, hits (word intervals) and the sorted ids of the items found."""
-    rows = input_columns(docs, doc_id=doc_id, text=text)
-    rows = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<begin: long, end: long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    spark = docs.sparkSession
+    rows = searched(input_columns(docs, doc_id=doc_id, text=text), "doc_id long", benchmark, item_id, item_text, window, block_words)
+    return rows.select("doc_id", "n_words", words_hit().alias("n_hit"), "hits", F.array_sort("items").alias("items"))
+
+
+def words_hit() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["begin"])
+
+
+def searched(rows: DataFrame, kept: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
+    """The rows, of which the columns ``kept`` stay, with n_words, hits and items of their text."""
+    names = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*names, "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<begin: long, end: long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    spark = rows.sparkSession
     for items, last in benchmark_blocks(benchmark, item_id, item_text, block_words):
-        out = f"doc_id long, {OUT}" if last else f"doc_id long, text string, {OUT}"
+        out = f"{kept}, {OUT}" if last or "text string" in kept else f"{kept}, text string, {OUT}"
         rows = in_arrow(rows, searcher(spark.sparkContext.broadcast(tables_of(items, window)), fields(out)), out)
         if not last:
             rows = settled(rows)  # a worker holds the tables of one block at a time
-    inside = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["begin"])
-    return rows.select("doc_id", "n_words", inside.alias("n_hit"), "hits", F.array_sort("items").alias("items"))
+    return rows
 
 
 def searcher(sent, columns: pa.Schema):
@@ -223,7 +232,7 @@ def searcher(sent, columns: pa.Schema):
                     hits.append([{"begin": a, "end": z} for a, z in spans])
                     items.append(known + ids)
                 made = {"n_words": [n for n, _, _ in found], "hits": hits, "items": items}
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in columns], schema=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in columns], schema=columns)
 
     return work
 
@@ -234,7 +243,9 @@ def is_contaminated(n_hit, n_words):
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    found = contamination(docs, benchmark, doc_id, text)
-    gone = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that stay, with all their columns: each row by its own text, in the scan, whatever ids repeat or are missing."""
+    own = {c: "text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)}
+    kept = ", ".join(f"{own[f.name]} {'string' if f.name == text else f.dataType.simpleString()}" for f in docs.schema)
+    found = searched(input_columns(docs, **{new: c for c, new in own.items()}), kept, benchmark, "item_id", "text", WINDOW, BLOCK_WORDS)
+    clean = found.where(~is_contaminated(words_hit(), F.col("n_words")))
+    return clean.select(*(F.col(new).alias(c) for c, new in own.items()))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lookout.llm import mixing, quality, urls, wumanber
+from lookout.llm import exact, mixing, quality, urls, wumanber
 from lookout.llm import queries as registered
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -127,6 +127,17 @@ def test_contamination_of_nothing(spark, make_docs, none_of, corpus):
     assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
 
 
+def test_clean_rows_with_missing_or_repeated_ids_stay(spark, make_docs):
+    docs = make_docs([(None, "a b c d e f", "s"), (None, "x y z", "s"), (7, "a b c d e f", "s"), (7, "u v w", "s"), (8, None, "s")])
+    item = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    left = wumanber.without_benchmark(docs, item)
+    assert left.columns == docs.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == [("7", "u v w"), ("8", "None"), ("None", "x y z")]
+    copies = make_docs([(None, "a b", "s"), (5, "a   b", "s"), (None, "x y z", "s"), (7, "q r", "s"), (6, "q   r", "s"), (7, "u v w", "s")])
+    left = exact.without_copies(copies)
+    assert left.columns == copies.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("5", "a   b"), ("6", "q   r"), ("7", "u v w"), ("None", "x y z")]
+
+
 # --- quality ---------------------------------------------------------------------------
 
 
