@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wrappers, wumanber
+from lookout.llm import bags, chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wrappers, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,23 @@ def op7_suffix_dedup(spark, d):
 @query("op10_html_text")
 def op10_html_text(spark, d):
     return wrappers.main_texts(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+RANKED_SQL = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+lens AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lens),
+norms AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM lens, totals),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, totals GROUP BY term, n_docs),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM q JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM placed WHERE place <= 10
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark, d):
+    return bags.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
