@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import bags, chats, exact, fmindex, lshforest, mixing, quality, suffixes, urls, wrappers, wumanber
+from lookout.llm import bags, chats, exact, fmindex, lshforest, mixing, quality, suffixes, tries, urls, wrappers, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,37 @@ SELECT item_id, place::INTEGER AS rank, doc_id, score FROM placed WHERE place <=
 @query("op11_ranked_search", RANKED_SQL)
 def op11_ranked_search(spark, d):
     return bags.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def code_sql(rounds: int = 4) -> str:
+    """Rounds of assigning parts and moving entries, one after the other; the nearest entry is min(256 * distance + index)."""
+    nearest = """SELECT vec_id, p, min(256 * d + e) AS best FROM (
+        SELECT vec_id, x.p, e, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN {c} c ON x.p = c.p AND x.i = c.i GROUP BY vec_id, x.p, e) GROUP BY vec_id, p"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(c=f'c{r}')})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+    SELECT p, e, i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, v) AS v FROM c{r} LEFT JOIN (
+        SELECT x.p, (best % 256)::BIGINT AS e, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM x JOIN a{r} USING (vec_id, p) GROUP BY ALL) USING (p, e, i))""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS nr
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT vec_id, nr, j // (len(v) // 4) AS p, j % (len(v) // 4) AS i, v[j + 1] AS v FROM (SELECT *, unnest(range(len(v))) AS j FROM kept)),
+c0 AS MATERIALIZED (SELECT p, nr::BIGINT AS e, i, v FROM x WHERE nr < 256),
+{', '.join(steps)},
+last AS MATERIALIZED ({nearest.format(c=f'c{rounds}')}),
+coded AS (
+    SELECT vec_id, label, string_agg(format('{{:02x}}', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error
+    FROM kept JOIN last USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) FROM c{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op13_vector_codes", code_sql())
+def op13_vector_codes(spark, d):
+    rows, codebooks = tries.compressed(table(spark, d, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(tries.digest(codebooks)).alias("codebooks_sha256"))
