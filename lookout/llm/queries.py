@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import bags, chats, exact, fmindex, lshforest, mixing, quality, suffixes, tries, urls, wrappers, wumanber
+from lookout.llm import bags, chats, exact, fmindex, hnsw, lshforest, mixing, quality, suffixes, tries, urls, wrappers, wumanber
 from lookout.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,23 @@ def op13_vector_codes(spark, d):
     rows, codebooks = tries.compressed(table(spark, d, "embeddings"))
     code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
     return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(tries.digest(codebooks)).alias("codebooks_sha256"))
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+"""
+
+
+@query("op12_embedding_near", NEAR_VECTORS_SQL)
+def op12_embedding_near(spark, d):
+    return hnsw.near_components(table(spark, d, "embeddings"))
