@@ -8,10 +8,9 @@ right: backward search keeps the interval of the last 49 words, one step to the
 (its matching statistic is cut off at the threshold), and dropping the last word widens the interval again. All
 pieces of the shard take a step together. A passage is reported if its interval holds a smaller doc_id.
 
-Defined cases: null texts have no words; a null doc_id is not compared (nothing is removed from it); a passage
-repeated inside one document only is not removed; rows that repeat a doc_id and a text are one document. Rows that
-give one doc_id to different texts are not supported: the result is one of the possible ones. Empty tables give empty
-results.
+Defined cases: null texts have no words; a null doc_id counts as larger than all others, and as equal to other null ones; a
+passage repeated inside one document only is not removed. Rows that share a doc_id are told apart by their texts; none of
+them is the smaller one, so they lose nothing on account of each other. Empty tables give empty results.
 """
 
 from __future__ import annotations

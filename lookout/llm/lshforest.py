@@ -16,8 +16,9 @@
 Two texts at the threshold 0.85 share a region in at least one of the 12 orders with probability 1 - 1e-5.
 
 Defined cases: texts without words, or null, have the empty set and no links; fewer words than a shingle give one
-shingle of all words; a null doc_id is never linked (its component is null and it is kept). Rows that repeat a
-doc_id are one document. An empty table gives an empty result.
+shingle of all words. Rows are told apart by doc_id and text, so texts that share a doc_id, or have none, are linked each by their own
+words; a component's id is the smallest doc_id in it, null if it has none. ``one_per_component`` keeps one row of each
+component, one of a repeated row too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import tokens as tk
-from lookout.llm.common import fields, in_arrow, input_columns, settled
+from lookout.llm.common import fields, in_arrow, input_columns, row_key, settled, without_rows
 from lookout.llm.components import components
+from lookout.operators.scan import many_to_one
 
 SHINGLE, MINIMA, TREES, DEPTH, EXTRA, DEEPEST = 5, 64, 12, 3, 6, 8
 REGION_ROWS, CHUNK_ROWS = 50_000, 50_000
@@ -78,7 +80,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, short binary, keys array<long>"
+SIGNED = "doc_id long, doc long, row long, n_shingles long, digest binary, short binary, keys array<long>"
 
 
 def signer(size: int, columns: pa.Schema):
@@ -91,7 +93,7 @@ def signer(size: int, columns: pa.Schema):
                 keys = np.stack([tk.row_hashes(minima[:, ORDERS[t, :DEPTH]]) for t in range(TREES)], axis=1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        *(batch.column(c) for c in ("doc_id", "doc", "row")),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([row.tobytes() for row in short], pa.binary()),
@@ -348,17 +350,22 @@ def first_pairs(regions: DataFrame, drawn: DataFrame, percent: int) -> DataFrame
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, region_rows: int = REGION_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = input_columns(docs, doc_id=doc_id, text=text)
+def components_of_rows(docs: DataFrame, doc_id: str, text: str, percent: int, shingle: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, doc, row, n_shingles, digest), and per digest (a class of equal sets): root of its component, first (doc,
+    row) and smallest doc_id."""
+    rows = input_columns(docs, doc_id=doc_id, text=text).withColumns(row_key())
     signed = settled(in_arrow(rows, signer(shingle, fields(SIGNED)), SIGNED))
-    grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
-    classes = settled(grouped.agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("keys").alias("keys")))
-    nodes = classes.groupBy("node").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("short").alias("short"), F.any_value("keys").alias("keys"))
+    drawn_from = {c: F.any_value(c).alias(c) for c in ("n_shingles", "short", "keys")}
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("doc_id").alias("least"), *drawn_from.values())
+    classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = classes.select("node", *drawn_from)
     regions = settled(forest_regions(nodes))
     members = settled(regions.select("node").distinct())
-    texts = rows.select(F.col("doc_id").alias("node"), "text").join(members, "node", "left_semi")
+    wanted = classes.join(members, "node", "left_semi").select("node", "first.*")
+    texts = rows.select("doc", "row", "text").join(wanted, ["doc", "row"]).select("node", "text")
     sets = settled(in_arrow(texts, setter(shingle, fields("node long, shingles binary")), "node long, shingles binary"))
+    if sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # repeated rows
+        sets = settled(sets.dropDuplicates(["node"]))
     drawn = settled(nodes.join(members, "node", "left_semi").select("node", "n_shingles", "short"))
 
     stars = components(settled(confirmed(first_pairs(regions, drawn, percent), sets, percent)))
@@ -367,14 +374,26 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = settled(in_arrow(by_region(mixed), open_finder(fields(OPEN), percent), OPEN))
     more = in_arrow(by_region(left.join(labels, "node").join(sets, "node")), region_linker(fields("a long, b long"), percent), "a long, b long")
     stars = components(stars.unionByName(settled(more)))
+    placed = classes.select("digest", "first", "least", "node").join(stars.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left")
+    return signed.select("doc_id", "doc", "row", "n_shingles", "digest"), settled(placed.withColumn("root", F.coalesce("root", "node")).drop("node"))
+
 
-    named = classes.select("digest", "node").join(stars.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left")
-    named = settled(named.select("digest", F.coalesce("label", "node").alias("label")))
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, region_rows: int = REGION_ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    signed, classes = components_of_rows(docs, doc_id, text, percent, shingle, region_rows)
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = settled(many_to_one(classes, smallest, ["root"], "inner", spread_by=["digest"]).select("digest", "component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return signed.join(named, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    gone = near_components(docs, doc_id, text, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows that stay, one of each component and all without words, with all their columns. Rows are told apart by id and
+    text, so another text with the id of a copy stays."""
+    signed, classes = components_of_rows(docs, doc_id, text, percent, SHINGLE, REGION_ROWS)
+    winners = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = settled(many_to_one(classes.drop("first", "least"), winners, ["root"], "inner", spread_by=["digest"]).select("digest", "first"))
+    counted = signed.where("n_shingles > 0").groupBy("digest", "doc", "row").agg(F.count(F.lit(1)).alias("n"))
+    judged = settled(many_to_one(counted, named, ["digest"], "inner", spread_by=["doc", "row"]))
+    stays = (F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row"))
+    return without_rows(docs, row_key(doc_id, text), judged.where(~stays), judged.where(stays & (F.col("n") > 1)))

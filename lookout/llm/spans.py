@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import tokens as tk
-from lookout.llm.common import fields, in_arrow, input_columns, settled
+from lookout.llm.common import fields, in_arrow, input_columns, row_key, settled
 
 HOT_VARIANTS = 20_000
 PLACE_BITS = 24  #: of a hash give way to the place when anchors are chosen; more in a text above 16 million symbols
@@ -108,7 +108,7 @@ def pieces(symbols: Symbols, length: int, run: int) -> Pieces:
     return Pieces(owner[new], start, stop, anchor, runs[anchor], digest)
 
 
-PIECES = "key long, digest long, doc long, start long, stop long"
+PIECES = "key long, digest long, doc long, row long, start long, stop long"
 Reader = Callable[[tk.Texts], Symbols]
 
 
@@ -119,7 +119,7 @@ def piece_rows(docs: DataFrame, read: Reader, length: int, run: int, only_keys:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ids = whole.column("doc_id")
+            docs, rows = whole.column("doc"), whole.column("row")
             at = 0
             for batch, block in tk.blocks(whole, "text"):
                 symbols = read(block)
@@ -127,11 +127,12 @@ def piece_rows(docs: DataFrame, read: Reader, length: int, run: int, only_keys:
                 arrays = [pa.array(found.key.view(np.int64))]
                 if not only_keys:
                     base = symbols.first[found.owner]
-                    arrays += [pa.array(found.digest.view(np.int64)), ids.slice(at, batch.num_rows).take(pa.array(found.owner)), pa.array(found.start - base), pa.array(found.stop - base)]
+                    owner = pa.array(found.owner + at)
+                    arrays += [pa.array(found.digest.view(np.int64)), docs.take(owner), rows.take(owner), pa.array(found.start - base), pa.array(found.stop - base)]
                 at += batch.num_rows
                 yield pa.RecordBatch.from_arrays(arrays, schema=columns)
 
-    return in_arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), work, out)
+    return in_arrow(docs.select("doc", "row", "text"), work, out)
 
 
 class Repeats(NamedTuple):
@@ -145,7 +146,7 @@ class Repeats(NamedTuple):
 def repeats(docs: DataFrame, read: Reader, length: int, run: int) -> Repeats:
     keys = piece_rows(docs, read, length, run, True).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     places = settled(piece_rows(docs, read, length, run, False).join(settled(keys), "key"))
-    variants = settled(places.groupBy("key", "digest").agg(F.min(F.struct("doc", "start", "stop")).alias("first"), F.count(F.lit(1)).alias("copies")))
+    variants = settled(places.groupBy("key", "digest").agg(F.min(F.struct("doc", "row", "start", "stop")).alias("first"), F.count(F.lit(1)).alias("copies")))
     several = variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"))
     return Repeats(places, variants.join(settled(several.where("variants > 1")), "key", "left").select("key", "digest", "first.*", "copies", F.coalesce("variants", F.lit(1)).alias("variants")))
 
@@ -157,14 +158,19 @@ def contents(docs: DataFrame, variants: DataFrame, cut: Callable[[tk.Texts], Cal
     """The symbols of one copy of each variant whose key has several, and what ``lead`` makes of them."""
     columns = fields(CONTENTS)
     mixed = variants.where("variants > 1")
-    wanted = settled(mixed.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "start", "stop", "copies", "variants")).alias("pieces")))
-    ids = settled(wanted.select(F.col("doc").alias("doc_id")))
-    texts = docs.join(ids, "doc_id", "left_semi").join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "pieces")
+    wanted = settled(mixed.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "digest", "start", "stop", "copies", "variants")).alias("pieces")))
+    ids = settled(wanted.select("doc", "row"))
+    texts = docs.join(ids, ["doc", "row"], "left_semi").join(wanted, ["doc", "row"]).select("doc", "row", "text", "pieces")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # a repeated row gives its symbols once
         for whole in batches:
             for batch, block in tk.blocks(whole, "text"):
-                for i, (doc, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("pieces").to_pylist(), strict=True)):
+                same = zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), strict=True)
+                for i, ((doc, row), found) in enumerate(zip(same, batch.column("pieces").to_pylist(), strict=True)):
+                    if (doc, row) in done:
+                        continue
+                    done.add((doc, row))
                     a, b = block.offsets[i : i + 2]
                     get = cut(tk.Texts(block.data[a:b], np.array([0, b - a])))
                     rows = []
@@ -210,7 +216,7 @@ def spans_of(passages: DataFrame) -> DataFrame:
 
 
 def covered(found: Repeats, matches: DataFrame, whole, length: int) -> DataFrame:
-    """(doc, spans): the symbol intervals of each text that repeated passages cover.
+    """(doc, row, spans): the symbol intervals of each text that repeated passages cover.
 
     ``whole`` says for which copies of a variant every passage counts; for the first copy, ``matches`` says which. What
     is known of a variant is put into one row first, so the places meet it in a single join, which adaptive execution
@@ -221,10 +227,10 @@ def covered(found: Repeats, matches: DataFrame, whole, length: int) -> DataFrame
     rows = found.places.join(facts, ["key", "digest"])
     all_of = F.array(F.struct(F.lit(0).alias("a"), (F.col("stop") - F.col("start")).cast("int").alias("b")))
     chosen = F.when(whole, all_of).otherwise(F.col("spans"))
-    rows = rows.select("doc", "start", F.explode(chosen).alias("s"))
+    rows = rows.select("doc", "row", "start", F.explode(chosen).alias("s"))
     begin = (F.col("start") + F.col("s.a")).alias("a")
     end = (F.col("start") + F.col("s.b") - 1 + length).alias("b")
-    return rows.select("doc", F.struct(begin, end).alias("span")).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    return rows.select("doc", "row", F.struct(begin, end).alias("span")).groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))
 
 
 def mask_of(spans: list[dict] | None, n: int) -> np.ndarray | None:
@@ -239,8 +245,9 @@ def mask_of(spans: list[dict] | None, n: int) -> np.ndarray | None:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans) for every document; null spans where nothing is covered."""
-    return docs.join(settled(spans), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+    return docs.join(settled(spans), ["doc", "row"], "left").select("doc_id", "text", "spans")
 
 
 def source_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return input_columns(docs, doc_id=doc_id, text=text)
+    """The rows with their own key: places belong to rows, so texts under one id, or without one, are told apart."""
+    return input_columns(docs, doc_id=doc_id, text=text).withColumns(row_key())

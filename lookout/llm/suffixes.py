@@ -7,9 +7,9 @@ are sorted by multikey quicksort in its array form: eight bytes are one characte
 next character at once, and parts of one suffix are done. Parts still open after 200 bytes are the repeated strings.
 Leading bytes shared by too many pieces are cut finer: their suffixes are dealt out by the whole string.
 
-Defined cases: a null text is empty; a null doc_id is not compared; matches never cross documents; rows that repeat
-a doc_id and a text are two places of the same bytes, so both lose them. Rows that give one doc_id to different
-texts are not supported: the result is one of the possible ones. Cut characters at the edge of a removed run are left as
+Defined cases: a null text is empty; matches never cross documents. Every row is a document of its own, whatever its doc_id:
+rows that repeat a doc_id and a text are two places of the same bytes, so both lose them; texts that share a doc_id, or have none, are
+told apart and each loses only what occurs elsewhere. Cut characters at the edge of a removed run are left as
 bytes. Empty tables give empty results.
 """
 

@@ -21,6 +21,18 @@ def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
 
 
+def rows_of(df, *columns):
+    """The rows as a multiset of tuples."""
+    return Counter(tuple(bytes(v) if isinstance(v, bytearray) else v for v in (r[c] for c in columns)) for r in df.collect())
+
+
+def told_apart(corpus):
+    """The corpus with ids that repeat over different texts, and texts without an id."""
+    more = [(1, corpus[5][1], "s"), (1, corpus[5][1], "s"), (8, corpus[9][1], "s"), (7, "no words of the others", "s"), (202, corpus[12][1] + " end", "s")]
+    more += [(None, corpus[3][1], "s"), (None, corpus[15][1], "s"), (None, corpus[15][1], "s"), (None, corpus[15][1].replace("the", "THE"), "s"), (None, None, "s"), (None, "alone here", "s")]
+    return [*corpus, *more]
+
+
 # --- exact -----------------------------------------------------------------------------
 
 
@@ -46,6 +58,20 @@ def test_exact(make_docs, corpus, by_id, prefix):
     assert {r["doc_id"] for r in left.collect()} == {i for i, v in want.items() if v[2]}
 
 
+def test_one_row_per_text(spark, make_docs, corpus):
+    """Of equal texts one row stays, repeated rows and rows without ids included, and no column is lost."""
+    rows = told_apart(corpus) + [(900, "w x", "s"), (900, "wx ", "s"), (900, "wx", "s"), (None, "wx", "s"), (901, " w x ", "s")]
+    docs = make_docs(rows).withColumnRenamed("key", "_sha_2").withColumnRenamed("node", "sha")
+    left = exact.without_copies(docs)
+    assert left.columns == docs.columns
+    groups = defaultdict(list)
+    for i, text, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), i is not None, i))
+    want = Counter((min(g)[2], -min(g)[0], norm) for norm, g in groups.items())
+    assert Counter((r["doc_id"], len(r["text"] or ""), re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")) for r in left.collect()) == want
+    assert all(r["_sha_2"] == 7 and r["sha"] == "n" for r in left.collect())
+
+
 def test_exact_empty_and_null_ids(make_docs, none_of):
     assert exact.exact_groups(none_of).count() == 0
     docs = make_docs([(None, "same"), (3, "same"), (None, "other")])
@@ -64,22 +90,28 @@ def shingles(text):
 
 
 def near_by_hand(rows, percent):
-    sets = {i: shingles(text) for i, text, *_ in rows if i is not None}
-    parent = {i: i for i in sets}
+    """One (doc_id, n_shingles, component_id, kept) per row, and the component of each row."""
+    sets = [shingles(text) for _, text, *_ in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
+    for i in range(len(rows)):
+        for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+    roots = [root(i) for i in range(len(rows))]
+    least = {}
+    for r, (i, *_) in zip(roots, rows, strict=True):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    out = [(i, len(s), least.get(r) if s else i, i == (least.get(r) if s else i)) for (i, *_), s, r in zip(rows, sets, roots, strict=True)]
+    return out, roots
 
 
 def chains(prose):
@@ -107,21 +139,32 @@ def chains(prose):
 @pytest.mark.parametrize(("percent", "region_rows"), [(85, 50_000), (80, 8)])
 def test_near(make_docs, corpus, prose, by_id, percent, region_rows, monkeypatch):
     monkeypatch.setattr(lshforest, "CHUNK_ROWS", 10 if region_rows == 8 else 50_000)
-    rows = [*corpus, *chains(prose)]
-    docs = make_docs([*rows, (None, rows[0][1], "s")], 5)
-    got = by_id(lshforest.near_components(docs, percent=percent, region_rows=region_rows), "n_shingles", "component_id", "kept")
-    assert got.pop(None)[1:] == (None, True)
-    assert got == near_by_hand(rows, percent)
+    rows = [*told_apart(corpus), *chains(prose)]
+    got = lshforest.near_components(make_docs(rows, 5), percent=percent, region_rows=region_rows)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == Counter(near_by_hand(rows, percent)[0])
 
 
 def test_one_per_component(make_docs, corpus, none_of):
-    docs = make_docs(corpus)
+    """One row of every component stays, whatever ids repeat or are missing; rows without words all stay."""
+    rows = told_apart(corpus)
+    docs = make_docs(rows)
     left = lshforest.one_per_component(docs)
     assert left.columns == docs.columns
-    assert {r["doc_id"] for r in left.collect()} == {i for i, v in near_by_hand(corpus, 85).items() if v[2]}
+    component = {}
+    for (i, text, *_), root in zip(rows, near_by_hand(rows, 85)[1], strict=True):
+        component.setdefault((i, text), root)
+    kept = Counter(component[r["doc_id"], r["text"]] for r in left.collect() if shingles(r["text"]))
+    assert set(kept.values()) == {1} and set(kept) == {component[i, text] for i, text, *_ in rows if shingles(text)}
+    assert sum(not shingles(r["text"]) for r in left.collect()) == sum(not shingles(text) for _, text, *_ in rows)
     assert lshforest.near_components(none_of).count() == 0
 
 
+def test_a_clean_text_under_the_id_of_a_copy_stays(make_docs, prose):
+    text, other = " ".join(prose(100, 1)), " ".join(prose(100, 2))
+    left = lshforest.one_per_component(make_docs([(1, text), (5, text + " more"), (5, other)]))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, text), (5, other)]
+
+
 def test_rare_pairs_hold_every_similar_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
@@ -154,34 +197,35 @@ def test_components(spark):
 
 
 def passages_by_hand(rows, length):
+    """One (doc_id, n_words, n_removed, kept) per row; a null id is larger than all others."""
     first = {}
-    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
-        words = WORD.findall(text or "")
+    order = {id(r): (r[0] is None, r[0] or 0) for r in rows}
+    for r in sorted(rows, key=lambda r: order[id(r)]):
+        words = WORD.findall(r[1] or "")
         for k in range(len(words) - length + 1):
-            first.setdefault(tuple(words[k : k + length]), i)
-    out = {}
-    for i, text, *_ in rows:
-        words = WORD.findall(text or "")
+            first.setdefault(tuple(words[k : k + length]), order[id(r)])
+    out = []
+    for r in rows:
+        words = WORD.findall(r[1] or "")
         gone = set()
         for k in range(len(words) - length + 1):
-            if first[tuple(words[k : k + length])] < i:
+            if first[tuple(words[k : k + length])] < order[id(r)]:
                 gone.update(range(k, k + length))
-        out[i] = (len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone))
+        out.append((r[0], len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
     return out
 
 
 @pytest.mark.parametrize("options", [{}, {"hot": 3}, {"shard_symbols": 300}, {"length": 9, "run": 4}, {"length": 5, "run": 1}])
-def test_passages(make_docs, corpus, by_id, options):
-    got = by_id(fmindex.without_repeats(make_docs(corpus), **options), "n_words", "n_removed", "kept")
-    assert got == passages_by_hand(corpus, options.get("length", 50))
+def test_passages(make_docs, corpus, options):
+    rows = told_apart(corpus)
+    got = fmindex.without_repeats(make_docs(rows), **options)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == Counter(passages_by_hand(rows, options.get("length", 50)))
 
 
-def test_passages_digest_and_empty(make_docs, corpus, none_of, by_id):
-    got = by_id(fmindex.without_repeats(make_docs(corpus), digest=True), "kept")
-    assert got == {i: (sha(v[2]),) for i, v in passages_by_hand(corpus, 50).items()}
+def test_passages_digest_and_empty(make_docs, corpus, none_of):
+    got = fmindex.without_repeats(make_docs(corpus), digest=True)
+    assert rows_of(got, "doc_id", "kept") == Counter((r[0], sha(r[3])) for r in passages_by_hand(corpus, 50))
     assert fmindex.without_repeats(none_of).count() == 0
-    kept = by_id(fmindex.without_repeats(make_docs([(None, corpus[0][1]), (5, corpus[0][1])])), "n_removed")
-    assert kept == {None: (0,), 5: (0,)}
 
 
 def strings_by_hand(rows, length):
@@ -189,28 +233,31 @@ def strings_by_hand(rows, length):
     for _, text, *_ in rows:
         raw = (text or "").encode()
         seen.update(raw[k : k + length] for k in range(len(raw) - length + 1))
-    out = {}
+    out = []
     for i, text, *_ in rows:
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for k in range(len(raw) - length + 1):
             if seen[raw[k : k + length]] > 1:
                 gone[k : k + length] = b"\x01" * length
-        out[i] = (len(raw), sum(gone), len(re.findall(b"\x01+", bytes(gone))), bytes(c for c, g in zip(raw, gone) if not g))
+        out.append((i, len(raw), sum(gone), len(re.findall(b"\x01+", bytes(gone))), bytes(c for c, g in zip(raw, gone) if not g)))
     return out
 
 
 @pytest.mark.parametrize("options", [{}, {"hot": 3}, {"bucket_bytes": 2_000}, {"length": 30, "run": 12}])
-def test_strings(make_docs, corpus, by_id, options):
-    rows = corpus[:-3] + corpus[-1:]  # a repeated row has a test of its own
-    got = by_id(suffixes.without_repeats(make_docs(rows), **options), "n_bytes", "n_removed", "n_spans", "kept")
-    assert {i: (*v[:3], bytes(v[3])) for i, v in got.items()} == strings_by_hand(rows, options.get("length", 200))
-
-
-def test_strings_of_repeated_rows_and_none(make_docs, prose, none_of, by_id):
-    text = " ".join(prose(100, 1))
-    got = by_id(suffixes.without_repeats(make_docs([(1, text), (1, text), (2, "short"), (None, text)])), "n_removed")
-    assert got == {1: (len(text.encode()),), 2: (0,), None: (0,)}
+def test_strings(make_docs, corpus, options):
+    rows = told_apart(corpus)
+    got = suffixes.without_repeats(make_docs(rows), **options)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == Counter(strings_by_hand(rows, options.get("length", 200)))
+
+
+def test_a_text_that_occurs_once_is_kept(make_docs, prose, none_of):
+    """The id of a text is also used by another one whose bytes repeat: only the repeated bytes go."""
+    base, other, tail = (" ".join(prose(200, k)) for k in (1, 2, 3))
+    rows = [(1, base), (1, other), (7, other + tail), (None, tail), (None, tail[:100])]
+    got = suffixes.without_repeats(make_docs(rows))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == Counter(strings_by_hand(rows, 200))
+    assert (1, 0) in rows_of(got, "doc_id", "n_removed")
     assert suffixes.without_repeats(none_of).count() == 0
 
 
