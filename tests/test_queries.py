@@ -13,7 +13,6 @@ from compare import compare
 from lookout import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"cv_accuracy", "score_batch", "feature_importance", "model_gbt"}  # 200 boosted trees per class; run by tools/compare.py
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     assert name in catalog.SQL, "a query without SQL checks nothing"
     ok, note = compare(spark, con, FOLDER, name)
