@@ -16,11 +16,12 @@ from lookout.functions import text as tx
 from lookout.operators import decide
 from lookout.operators import userfunctions as uf
 from lookout.operators.aggregates import user_baseline
-from lookout.operators.windows import latest_per_key
+from lookout.operators.windows import first_per_key, latest_per_key
 from lookout.plans import jobs
 from lookout.plans import views as v
 from lookout.session import scratch_path, table
 from lookout.streaming import jobs as st
+from lookout.streaming import state
 
 DELAY, DELAY_SQL = "2 days", "INTERVAL 2 DAY"
 
@@ -148,8 +149,8 @@ EVENT_RULES = (decide.Rule("value", "<", 10, 2), decide.Rule("value", "<", 30, 2
 EVENT_FLAGS = {"pitch_drop": ("value", "base_value"), "slow_speech": ("hour", "base_hour"), "zcr_drop": ("length", "base_length")}
 
 
-def event_measures(df):
-    return df.select("event_id", "user_id", "value", F.hour("ts").cast("double").alias("hour"), F.length("props").cast("double").alias("length"))
+def event_measures(df, *more):
+    return df.select("event_id", "user_id", *more, "value", F.hour("ts").cast("double").alias("hour"), F.length("props").cast("double").alias("length"))
 
 
 @query(
@@ -177,6 +178,59 @@ def stream_alerts(spark, d):
     return spark.read.parquet(path).drop("batch")
 
 
+LIVE_FROM = "2024-01-24"  # the state starts from the records before; the later ones arrive day by day
+
+
+def live_days(spark, d):
+    """The later events as a stream of one file per day, in the order of time, and the earlier ones as a table."""
+    e = timed(spark, d)
+    path = scratch_path(spark, "arrivals")
+    late = e.filter(F.col("ts") >= LIVE_FROM).withColumn("part", F.to_date("ts"))
+    days = [r[0] for r in late.select("part").distinct().orderBy("part").collect()]
+    middle = days[len(days) // 2] if days else None
+    for later in (False, True):  # one after the other: a stream takes the oldest file first
+        half = late.filter((F.col("part") >= F.lit(middle)) == F.lit(later)).drop("part")
+        half.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(path)
+    return st.event_stream(spark, path, 1_000), e.filter(F.col("ts") < LIVE_FROM)
+
+
+@query(
+    "stream_state_baseline",
+    """SELECT user_id, count(*) AS baseline_n, round(avg(value), 6) AS base_value FROM events GROUP BY 1
+      HAVING count(*) FILTER (ts >= TIMESTAMP '2024-01-24') > 0""",
+)
+def stream_state_baseline(spark, d):
+    """The last state of every subject that arrives, started from the records of a table."""
+    arriving, known = live_days(spark, d)
+    measures = {"base_value": "value"}
+    stream = state.with_baseline(arriving.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "event_id", measures, state.state_of(known, "user_id", measures))
+    rows = to_table(stream, "state-baseline")
+    last = first_per_key(rows, ["user_id"], [F.desc("baseline_n")])
+    return last.select("user_id", "baseline_n", r6("base_value").alias("base_value"))
+
+
+@query(
+    "stream_alerts_as_of",
+    """WITH m AS (SELECT event_id, user_id, ts, value, CAST(hour(ts) AS DOUBLE) AS h, CAST(length(props) AS DOUBLE) AS l FROM events),
+    b AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS bv, avg(h) OVER w AS bh, avg(l) OVER w AS bl,
+      CASE WHEN value < 10 THEN 2 ELSE 0 END + CASE WHEN value < 30 THEN 2 ELSE 0 END + CASE WHEN h > 20 THEN 1 ELSE 0 END AS score
+      FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, n AS baseline_n, n >= 5 AND value < bv * 0.9 AS pitch_drop, n >= 5 AND h < bh * 0.85 AS slow_speech,
+      n >= 5 AND l < bl * 0.8 AS zcr_drop, CASE WHEN score >= 5 THEN 'High' WHEN score >= 2 THEN 'Medium' ELSE 'Low' END AS risk_level
+    FROM b WHERE ts >= TIMESTAMP '2024-01-24'""",
+)
+def stream_alerts_as_of(spark, d):
+    """Every arrival judged against its subject's baseline of that moment."""
+    arriving, known = live_days(spark, d)
+    measures = {base: now for now, base in EVENT_FLAGS.values()}
+    level = decide.class_name(decide.risk_class(decide.rule_score(EVENT_RULES)))
+    stream = event_measures(arriving, "ts")
+    judged = state.alerts_as_of(
+        stream, "user_id", "ts", "event_id", EVENT_FLAGS, lambda df: df.withColumn("model_risk", level), state.state_of(event_measures(known), "user_id", measures)
+    )
+    return to_table(judged.select("event_id", "baseline_n", *EVENT_FLAGS, "risk_level"), "alerts-as-of")
+
+
 # --- user functions --------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from lookout.operators.windows import latest_per_key
 from lookout.plans import views as v
 from lookout.schemas import EVENTS
 from lookout.session import scratch_path, settled, table
-from lookout.sources import files, tables
+from lookout.sources import commits, files, tables
 
 
 def r6(c):
@@ -131,8 +131,8 @@ def baseline_upsert(spark, d):
     old = user_baseline(days.filter("day < DATE '2024-01-16'"), "user_id", level, 13).withColumn("version", F.lit(1))
     new = user_baseline(days, "user_id", level, 26).withColumn("version", F.lit(2))
     root = scratch_path(spark, "baselines")
-    tables.upsert_table(old, root, ["user_id"], "version")
-    return tables.upsert_table(new, root, ["user_id"], "version").withColumn("base_level", r6(F.col("base_level")))
+    commits.upsert_table(old, root, ["user_id"], "version")
+    return commits.upsert_table(new, root, ["user_id"], "version").withColumn("base_level", r6(F.col("base_level")))
 
 
 @query(

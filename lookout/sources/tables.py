@@ -1,4 +1,4 @@
-"""Record and baseline tables: append, read, upsert, bulk load; text files."""
+"""Record tables: append, read, bulk load; text files. Keyed tables are in ``commits``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from lookout.operators.aggregates import MIN_BASELINE_ROWS, user_baseline
 from lookout.operators.relational import join_with_suffix, with_defaults
-from lookout.operators.windows import first_per_key
 from lookout.schemas import BASELINE_MEASURES, RECORD_DEFAULTS, RECORDS
 
 CSV_OPTIONS = {
@@ -83,68 +82,6 @@ def baselines_of(
     return user_baseline(records, "user_id", measures, min_rows).withColumn("updated_at", F.current_timestamp())
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], newer: str) -> DataFrame:
-    """Latest row per key of both; a key that only ``old`` has stays. Ties go to ``new``."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return first_per_key(both, keys, [F.desc(newer), F.desc("__new")]).drop("__new")
-
-
-POINTER = "_current"
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    """The number of the version that readers of a versioned table see; 0 before the first."""
-    store, where = _store(spark, f"{root}/{POINTER}")
-    if not store.exists(where):
-        return 0
-    stream = store.open(where)
-    try:
-        return int(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
-
-
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The current version of a versioned table, or one named."""
-    return spark.read.parquet(f"{root}/version-{version or current_version(spark, root)}")
-
-
-def write_version(df: DataFrame, root: str, keep: int = 2) -> int:
-    """Write a new version beside the old ones, then point to it: readers see the old table or the new one, whole.
-
-    A write that fails leaves the pointer where it was. Versions older than the last ``keep`` are removed.
-    """
-    spark = df.sparkSession
-    version = current_version(spark, root) + 1
-    df.write.mode("overwrite").parquet(f"{root}/version-{version}")
-    store, fresh = _store(spark, f"{root}/{POINTER}-{version}")
-    out = store.create(fresh, True)
-    out.write(bytearray(str(version).encode()))
-    out.close()
-    jvm = spark._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), options)
-    old = jvm.org.apache.hadoop.fs.Path(f"{root}/version-{version - keep}")
-    if version > keep and store.exists(old):
-        store.delete(old, True)
-    return version
-
-
-def _store(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def upsert_table(new: DataFrame, root: str, keys: Sequence[str], newer: str) -> DataFrame:
-    """Bring rows into a versioned table, replacing rows of the same key, and return the table as it is then."""
-    spark = new.sparkSession
-    rows = upsert(read_version(spark, root), new, keys, newer) if current_version(spark, root) else new
-    write_version(rows, root)
-    return read_version(spark, root)
-
-
 def bulk_load(
     prosody: DataFrame, language: DataFrame, on: Sequence[str], path: str, min_rows: int = MIN_BASELINE_ROWS
 ) -> DataFrame:

@@ -7,7 +7,9 @@ goes on from its checkpoint after a loss. State is kept in RocksDB, off the exec
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from lookout.operators.relational import known_number
 from lookout.operators.scan import many_to_one
 from lookout.operators.windows import first_per_key
 from lookout.schemas import EVENTS
-from lookout.session import settled
+from lookout.sources import commits
 
 Write = Callable[[DataFrame, int], None]
 
@@ -146,17 +148,40 @@ def running_baseline(stream: DataFrame, key: str, measures: Mapping[str, str], p
 
 def latest_state(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The last written state per subject, from the compacted part and the batches after it."""
-    return first_per_key(spark.read.parquet(path), [key], [F.desc("batch")])
+    _, state = commits.current(spark, path)
+    upto = state.get("upto", -1)
+    # A stream writes batches as folders; those that are merged are no longer read, whether or not they are removed yet.
+    later = [b for b in batches_of(spark, path) if b > upto]
+    parts = [spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in later))] if later else []
+    if state:
+        parts.append(spark.read.parquet(*(f"{path}/{p}" for p in commits.paths_of(state))))
+    if not parts:
+        raise FileNotFoundError(f"no batch of a stream at {path}")
+    rows = [p.withColumn("batch", F.col("batch").cast("long")) for p in parts]
+    return first_per_key(reduce(DataFrame.unionByName, rows), [key], [F.desc("batch")])
+
+
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    names = [e.getPath().getName() for e in commits._entries(spark, path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
 
 def compact_baseline(spark: SparkSession, path: str, key: str) -> None:
     """Merge the batch folders into one table of the latest state per subject, between two runs of the stream.
 
-    The merged rows keep the number of their last batch and are written beside the history first, so a loss midway
-    leaves the history as it was. Later batches go on in ``path``.
+    The merged rows are written beside the history and take its place with one commit; only then are the merged batches
+    removed. A loss at any point leaves the history as it was. Of two compactions at once the second fails.
     """
-    merged = settled(latest_state(spark, path, key))
-    merged.write.mode("overwrite").partitionBy("batch").parquet(path)
+    done = batches_of(spark, path)
+    seen, state = commits.current(spark, path)
+    upto = max([state.get("upto", -1), *done])
+    folder = f"data/{seen + 1}-{uuid.uuid4().hex}"
+    latest_state(spark, path, key).write.parquet(f"{path}/{folder}")
+    commits.commit(spark, path, seen, {"upto": upto, "live": {"all": [folder]}})
+    for batch in done:
+        store, where = commits._path(spark, f"{path}/batch={batch}")
+        store.delete(where, True)
+    commits.clean(spark, path)
 
 
 def current_baseline(spark: SparkSession, path: str, key: str, min_rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from lookout.operators import decide
 from lookout.operators import relational as rel
 from lookout.operators import windows as win
 from lookout.plans.jobs import batch_decisions, decision_job
-from lookout.sources import tables
+from lookout.sources import commits, tables
 
 
 def test_rule_score_missing_feature_turns_rule_off(spark):
@@ -169,23 +169,10 @@ def test_label_source_without_source(spark):
 def test_upsert_and_latest(spark):
     old = spark.createDataFrame([("a", 1, 1.0), ("b", 5, 2.0)], "k string, at int, v double")
     new = spark.createDataFrame([("a", 2, 9.0), ("b", 5, 8.0), ("c", 1, 3.0)], "k string, at int, v double")
-    got = sorted(map(tuple, tables.upsert(old, new, ["k"], "at").collect()))
+    got = sorted(map(tuple, commits.upsert(old, new, ["k"], "at").collect()))
     assert got == [("a", 2, 9.0), ("b", 5, 8.0), ("c", 1, 3.0)]
     older = spark.createDataFrame([("a", 0, 7.0)], "k string, at int, v double")
-    assert sorted(map(tuple, tables.upsert(old, older, ["k"], "at").collect())) == [("a", 1, 1.0), ("b", 5, 2.0)]
-
-
-def test_versions_replace_each_other(spark, tmp_path):
-    root = str(tmp_path / "base")
-    assert tables.current_version(spark, root) == 0
-    for at, value in ((1, 1.0), (2, 2.0), (3, 3.0)):
-        now = tables.upsert_table(spark.createDataFrame([("a", at, value), (f"only{at}", at, value)], "k string, at int, v double"), root, ["k"], "at")
-    assert sorted(map(tuple, now.collect())) == [("a", 3, 3.0), ("only1", 1, 1.0), ("only2", 2, 2.0), ("only3", 3, 3.0)]
-    assert tables.current_version(spark, root) == 3
-    assert sorted(p.name for p in (tmp_path / "base").glob("version-*")) == ["version-2", "version-3"]
-    # A version that is half written is not seen.
-    (tmp_path / "base" / "version-4").mkdir()
-    assert tables.read_version(spark, root).count() == 4
+    assert sorted(map(tuple, commits.upsert(old, older, ["k"], "at").collect())) == [("a", 1, 1.0), ("b", 5, 2.0)]
 
 
 def test_records_of_a_day_lie_in_the_order_of_the_user(spark, tmp_path):

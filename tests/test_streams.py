@@ -153,7 +153,7 @@ def test_compaction_keeps_the_latest_state(spark, folder, tmp_path):
         st.finish(st.running_baseline(stream(spark, folder), "user_id", {"base": "value"}, path, state))
     before = sorted(map(tuple, st.current_baseline(spark, path, "user_id", 1).collect()))
     st.compact_baseline(spark, path, "user_id")
-    assert spark.read.parquet(path).count() == 2
+    assert st.batches_of(spark, path) == [] and st.latest_state(spark, path, "user_id").count() == 2
     assert sorted(map(tuple, st.current_baseline(spark, path, "user_id", 1).collect())) == before
     write(spark, folder, "f9", [event(90, 0, 5, 9)])
     st.finish(st.running_baseline(stream(spark, folder), "user_id", {"base": "value"}, path, state))
@@ -161,7 +161,7 @@ def test_compaction_keeps_the_latest_state(spark, folder, tmp_path):
     assert after == {0: 7, 1: 6}
 
 
-STREAMED = ["incremental_sink", "stream_append", "stream_baseline", "stream_daily_dedup", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_alerts"]
+STREAMED = ["incremental_sink", "stream_append", "stream_baseline", "stream_daily_dedup", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_alerts", "stream_state_baseline", "stream_alerts_as_of"]
 
 
 @pytest.fixture(scope="module")
