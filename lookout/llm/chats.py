@@ -11,9 +11,12 @@ Control strings inside roles and texts are escaped reversibly: ``<|`` becomes ``
 more backslash. A role's line ends are written as ``%0A`` (and ``%`` as ``%25``). The loss mask is a list of
 code-point spans that cover the texts of assistant turns.
 
-Defined cases: a null role or text is empty; turns are ordered by turn (null first), role and text, so ties and
-repeated rows have one order; a null conversation id is a conversation of its own; a record whose layout has no
-mapping gives no turns and says so in ``layout``. A conversation is one formatted value and so meets in one task.
+Fields that a mapping does not know are left out of its fingerprint, so records with further fields are read as well.
+
+Defined cases: a null role or text is empty, one of another type counts as its JSON text; turns are ordered by turn (null first), role
+and text, so ties and repeated rows have one order; a null conversation id is a conversation of its own. A record that cannot be
+read (no JSON, no object, no known layout, a turn that is no object, characters that are no text) gives no turns, has no
+``layout`` and says why in ``problem``; it never ends the job. A conversation is one formatted value and so meets in one task.
 """
 
 from __future__ import annotations
@@ -69,11 +72,29 @@ class Mapping:
         for pick in range(1 << len(self.optional)):
             yield fingerprint([*self.required, *(p for i, p in enumerate(self.optional) if pick >> i & 1)])
 
+    def known(self, field_paths: Iterable[str]) -> set[str]:
+        """The paths that the mapping knows; what lies below one of them belongs to it."""
+        own = [*self.required, *self.optional]
+        return {k for p in field_paths for k in own if p == k or p.startswith((f"{k}.", f"{k}[]"))}
+
     def read(self, record: dict) -> list[tuple[str, str]]:
         if self.single:
             found = [(role, record.get(field)) for role, field in self.single]
-            return [(role, text) for role, text in found if text is not None]
-        return [(self.rename.get(t.get(self.role) or "", t.get(self.role) or ""), t.get(self.text) or "") for t in record[self.turns]]
+            return [(role, as_text(text)) for role, text in found if text is not None]
+        turns = [(as_text(t.get(self.role)), as_text(t.get(self.text))) if isinstance(t, dict) else None for t in record[self.turns]]
+        if None in turns:
+            raise Unreadable("a turn is no object")
+        return [(self.rename.get(role, role), text) for role, text in turns]
+
+
+class Unreadable(ValueError):
+    """Why a record has no turns."""
+
+
+def as_text(value: object) -> str:
+    if value is None or isinstance(value, str):
+        return value or ""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 SHARED = {"human": "user", "gpt": "assistant", "bot": "assistant"}
@@ -86,8 +107,39 @@ MAPPINGS = (
 )
 
 
-def registry(mappings: Iterable[Mapping] = MAPPINGS) -> dict[str, Mapping]:
-    return {key: mapping for mapping in mappings for key in mapping.fingerprints()}
+class Layouts:
+    """Finds the mapping of a record by fingerprints: of the fields a mapping knows, once for each set of field paths."""
+
+    def __init__(self, mappings: Iterable[Mapping]):
+        self.mappings = [(m, set(m.fingerprints())) for m in mappings]
+        self.seen: dict[str, Mapping | None] = {}
+
+    def of(self, record: dict) -> Mapping | None:
+        found = set(paths(record))
+        whole = fingerprint(found)
+        if whole not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            self.seen[whole] = next((m for m, prints in self.mappings if fingerprint(m.known(found)) in prints), None)
+        return self.seen[whole]
+
+    def turns(self, text: str | None) -> tuple[str, list[tuple[str, str]]]:
+        """The layout and the turns of a record."""
+        try:
+            record = json.loads(text or "")
+        except (ValueError, RecursionError):
+            raise Unreadable("not JSON") from None
+        if not isinstance(record, dict):
+            raise Unreadable("no object")
+        try:
+            mapping = self.of(record)
+            if mapping is None:
+                raise Unreadable("no known layout")
+            turns = mapping.read(record)
+            "".join(part for turn in turns for part in turn).encode()
+        except (UnicodeEncodeError, RecursionError):
+            raise Unreadable("characters that are no text") from None
+        return mapping.name, turns
 
 
 def escaped(text: str) -> str:
@@ -135,34 +187,48 @@ def masked_text(formatted: str, spans: Iterable[tuple[int, int]]) -> list[str]:
     return [unescaped(formatted[a:b]) for a, b in spans]
 
 
-def records_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record per conversation from a table of turns."""
+# How records are written, by layout: the list of turns, role and text in it, and fields besides that no mapping knows.
+WRITTEN = {"turns": ("turns", "role", "text"), "messages": ("messages", "role", "content"), "from_value": ("conversations", "from", "value")}
+
+
+def records_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", layouts: tuple[str, ...] = ("turns",)) -> DataFrame:
+    """One JSON record per conversation from a table of turns, the layouts dealt out by a hash of the id.
+
+    Roles that a layout would rename keep their conversation in the layout ``turns``.
+    """
     rows = input_columns(rows, conv_id=conv_id, turn=turn, role=role, text=text)
-    turns = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))),
-        lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")),
-    )
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     grouped = rows.groupBy("conv_id").agg(turns.alias("turns"))
-    return grouped.select("conv_id", F.to_json(F.struct("turns")).alias("record"))
+    renamed = F.exists("turns", lambda t: t["role"].isin(*SHARED))
+    pick = F.when(renamed, F.lit("turns")).otherwise(F.element_at(F.array(*map(F.lit, layouts)), (F.pmod(F.xxhash64("conv_id"), F.lit(len(layouts))) + 1).cast("int")))
+    record = F.lit(None).cast("string")
+    for layout in {*layouts, "turns"}:
+        name, role_as, text_as = WRITTEN[layout]
+        found = F.transform("turns", lambda t: F.struct(t["role"].alias(role_as), t["text"].alias(text_as)))
+        record = F.when(pick == layout, F.to_json(F.struct(found.alias(name)))).otherwise(record)
+    return grouped.select("conv_id", record.alias("record"))
 
 
-FORMATTED = "conv_id long, layout string, formatted string, loss array<struct<begin: long, end: long>>"
+FORMATTED = "conv_id long, layout string, formatted string, loss array<struct<begin: long, end: long>>, problem string"
 
 
 def format_chats(records: DataFrame, mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
-    """``records`` (conv_id, record) as conv_id, layout, formatted and loss spans."""
-    known, out = registry(mappings), fields(FORMATTED)
+    """``records`` (conv_id, record) as conv_id, layout, formatted, loss spans and, for records that cannot be read, the problem."""
+    mappings, out = tuple(mappings), fields(FORMATTED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts = Layouts(mappings)
         for whole in batches:
             for start in range(0, whole.num_rows, MAX_SAMPLE):
                 batch = whole.slice(start, MAX_SAMPLE)
                 rows = []
                 for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
-                    record = json.loads(text) if text else {}
-                    mapping = known.get(fingerprint(paths(record)))
-                    formatted, spans = rendered(mapping.read(record) if mapping else [])
-                    rows.append({"conv_id": conv, "layout": mapping.name if mapping else None, "formatted": formatted, "loss": [{"begin": a, "end": b} for a, b in spans]})
+                    try:
+                        (layout, turns), problem = layouts.turns(text), None
+                    except Unreadable as e:
+                        layout, turns, problem = None, [], str(e)
+                    formatted, spans = rendered(turns)
+                    rows.append({"conv_id": conv, "layout": layout, "formatted": formatted, "loss": [{"begin": a, "end": b} for a, b in spans], "problem": problem})
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return in_arrow(records.select("conv_id", "record"), work, FORMATTED)

@@ -4,26 +4,27 @@ Each document draws an exponential key -ln(u) / w, u from a hash of its id and w
 taken in the order of their keys. A source's target in words is met by whole epochs first; what is left is met by
 the documents first in that order, their sizes summed up to the remaining budget, the last one in part.
 
-The order is never sorted whole: keys fall into numbered buckets, bucket sums give each bucket its start, and rows
-are ordered within a bucket only, so a source of any size is spread over many tasks. The number of buckets
-grows with the source.
+A source of any size is spread over many tasks: above ``slice_rows`` rows its documents are range-partitioned by
+(key, doc_id, size) at sampled places, whatever the weights make of the keys; sums per slice give each slice its start, and
+rows are ordered within a slice only (``OrderedScan``). There are at most about twice ``MOST_SLICES`` slices.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source of size 0 has target 0;
 ties in the key are broken by doc_id (null first) and size. Rows that repeat a doc_id draw the same key, and each
-counts as a document. An empty table gives an empty result.
+counts as a document; rows without a doc_id draw by their text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm.common import input_columns, settled
+from lookout.operators.scan import OrderedScan
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 2_000
+SLICE_ROWS, MOST_SLICES = 5_000, 10_000
 MOST_COPIES = 3
 SENT_SOURCES = 50_000  #: a longer list of sources is joined by shuffle, with the same rows
 
@@ -39,9 +40,10 @@ def clean_share(text: Column) -> Column:
     return F.greatest(F.lit(0.01), 1.0 - marks / F.greatest(F.length(text), F.lit(1)))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) from 52 bits of a hash of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of the id, or of the text where there is no id."""
+    named = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -83,7 +85,7 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    bucket_rows: int = BUCKET_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken and the key.
 
@@ -92,24 +94,19 @@ def mix_sources(
     spark = docs.sparkSession
     rows = input_columns(docs, doc_id=doc_id, text=text, source=source)
     weight = F.greatest(quality if quality is not None else clean_share(F.col("text")), F.lit(1e-6))
-    sized = settled(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key")))
+    sized = settled(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight).alias("key")))
     plan = source_targets(sized, weights, share, copies)
-    spec = [(i, s, n, size, t, max(1, -(-n // bucket_rows))) for i, (s, n, size, t) in enumerate(plan)]
-    targets = spark.createDataFrame(spec, "source_no int, named string, source_rows long, source_size long, target double, buckets long")
+    spec = [(i, s, size, t) for i, (s, _, size, t) in enumerate(plan)]
+    targets = spark.createDataFrame(spec, "source_no int, named string, source_size long, target double")
     if len(spec) <= SENT_SOURCES:
         targets = F.broadcast(targets)
-    # Keys are about exponential, so 1 - exp(-key) spreads them evenly over the buckets; any monotone rule is right.
-    placed = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * F.col("buckets")))
-    sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("source_no", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    ordered = placed.join(starts, ["source_no", "bucket"])
-    within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    rows_per_task = max(slice_rows, -(-sum(n for _, n, _, _ in plan) // MOST_SLICES))
+    ordered = OrderedScan(placed, ["source_no"], ["key", "doc_id", "size"], rows_per_task).running({"first": F.col("size")}, inclusive=False).done()
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    first = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     return (
-        ordered.withColumns({"epochs": epochs.cast("long"), "first": first})
+        ordered.withColumn("epochs", epochs.cast("long"))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("first"))))
         .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "key")
     )

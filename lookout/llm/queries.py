@@ -37,7 +37,7 @@ MIX_SQL = """
 WITH sized AS (
     SELECT doc_id, source,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-        -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+        -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / greatest(0.01, 1.0 - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[!-@\\[-`{-~]+', '', 'g')))::DOUBLE
                 / greatest(length(coalesce(text, '')), 1)) AS key
     FROM documents),
@@ -140,7 +140,7 @@ FROM e GROUP BY conv_id
 def op9_chat_format(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chats.digests(chats.format_chats(chats.records_of(turns.unionByName(probe))))
+    return chats.digests(chats.format_chats(chats.records_of(turns.unionByName(probe), layouts=("turns", "messages", "from_value"))))
 
 
 @query("op8_quality")

@@ -235,11 +235,11 @@ def mix_by_hand(rows, copies):
     return total, target
 
 
-@pytest.mark.parametrize("bucket_rows", [2_000, 2])
-def test_mix(make_docs, corpus, bucket_rows):
+@pytest.mark.parametrize("slice_rows", [5_000, 2])
+def test_mix(make_docs, corpus, slice_rows):
     rows = corpus + [(700 + i, f"tiny {i}", "t") for i in range(4)] + [(800, "", "empty"), (801, None, "empty")]
-    got = mixing.mix_sources(make_docs(rows), bucket_rows=bucket_rows).collect()
-    again = mixing.mix_sources(make_docs(rows, 6), bucket_rows=7).collect()
+    got = mixing.mix_sources(make_docs(rows), slice_rows=slice_rows).collect()
+    again = mixing.mix_sources(make_docs(rows, 6), slice_rows=7).collect()
     assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == sorted((str(r["doc_id"]), r["taken"]) for r in again)
     total, target = mix_by_hand(rows, 3)
     assert len(got) == len(rows)
@@ -279,3 +279,22 @@ def test_word_counts_match_the_pattern(spark):
     texts = ["a b", " a\tb\x0bc\x0c", "", None, "x y", "é ß\r\n"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.n_words(F.col("text"))).collect()
     assert [r[0] for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+@pytest.mark.parametrize("weight", [0.01, 1.0, 50.0, None])
+def test_a_hot_source_is_spread(spark, weight, monkeypatch):
+    """Whatever the weights make of the keys, and without ids, no slice of a source holds more than three times the mean."""
+    docs = spark.range(6000).select(F.when(F.lit(weight is None), None).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("hot").alias("source"))
+    slices = []
+    done = mixing.OrderedScan.running
+
+    def running(scan, *args, **options):
+        assert scan.split
+        slices.extend(r["count"] for r in scan.df.groupBy("__slice").count().collect())
+        return done(scan, *args, **options)
+
+    monkeypatch.setattr(mixing.OrderedScan, "running", running)
+    got = mixing.mix_sources(docs, weights=(1.0,), share=0.5, quality=F.lit(weight or 1.0), slice_rows=600)
+    taken = got.agg(F.sum("taken")).first()[0]
+    assert taken == 6000 and len(slices) >= 10 and max(slices) <= 3 * 6000 / len(slices)
+    assert got.select("key").distinct().count() == 6000

@@ -44,6 +44,52 @@ def test_layouts_lead_to_the_same_turns(spark):
     assert out[10]["layout"] is None and out[10]["formatted"] == "" and out[11]["formatted"] == ""
 
 
+UNREADABLE = [
+    ("{", "not JSON"),
+    ("", "not JSON"),
+    (None, "not JSON"),
+    ("[" * 100_000, "not JSON"),
+    ("[1]", "no object"),
+    ("3", "no object"),
+    ('{"messages": []}', "no known layout"),
+    ('{"messages": ["a"]}', "no known layout"),
+    ('{"messages": [{"role": "user", "content": "q"}, "a"]}', "a turn is no object"),
+    ('{"messages": [{"role": "user", "content": "\\ud800"}]}', "characters that are no text"),
+    ('{"prompt": "q"}', "no known layout"),
+]
+ODD = [
+    ({"messages": [{"role": "user", "content": 5, "name": "x"}, {"role": "assistant", "content": None}], "meta": {"a": [1]}}, "messages", [("user", "5"), ("assistant", "")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a"}]}, "messages", [("user", '[{"type":"text","text":"q"}]'), ("assistant", "a")]),
+    ({"prompt": "q", "completion": True, "score": 0.5}, "prompt", [("user", "q"), ("assistant", "true")]),
+    ({"prompt": None, "completion": "a"}, "prompt", [("assistant", "a")]),
+    ({"instruction": "i", "output": {"k": "é"}, "extra": []}, "instruction", [("user", "i"), ("assistant", '{"k":"é"}')]),
+    ({"conversations": [{"from": 1, "value": "v"}, {"value": "w", "from": "gpt"}], "id": "7"}, "from_value", [("1", "v"), ("assistant", "w")]),
+]
+
+
+def test_records_that_cannot_be_read_say_why(spark):
+    """Neither malformed nor unusual records end the job; further fields do not matter, other types count as JSON text."""
+    rows = [(i, text) for i, (text, _) in enumerate(UNREADABLE)] + [(100 + i, json.dumps(record)) for i, (record, _, _) in enumerate(ODD)]
+    records = spark.createDataFrame(rows, "conv_id long, record string").repartition(2)
+    out = {r["conv_id"]: r for r in chats.format_chats(records).collect()}
+    for i, (_, problem) in enumerate(UNREADABLE):
+        assert (out[i]["layout"], out[i]["formatted"], out[i]["loss"], out[i]["problem"]) == (None, "", [], problem)
+    for i, (_, layout, turns) in enumerate(ODD):
+        assert (out[100 + i]["layout"], out[100 + i]["problem"]) == (layout, None)
+        assert chats.read_back(out[100 + i]["formatted"]) == turns
+    assert chats.digests(chats.format_chats(records)).where("n_turns = 0").count() == len(UNREADABLE)
+
+
+def test_layouts_of_a_table_give_the_same_digests(spark):
+    """Conversations written in three layouts are read back alike; roles that a layout would rename are not put into it."""
+    rows = [(i, k, role, f"{role} {i} <|im_end|> {k}") for i in range(40) for k, role in enumerate(["system", "user", "assistant", "gpt" if i % 5 == 0 else "x"])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chats.format_chats(chats.records_of(turns, layouts=("turns", "messages", "from_value")))
+    assert {r["layout"] for r in formatted.collect()} == {"turns", "messages", "from_value"}
+    plain = chats.digests(chats.format_chats(chats.records_of(turns)))
+    assert sorted(map(tuple, chats.digests(formatted).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_every_mapping_has_fingerprints_of_its_own():
     keys = [k for m in chats.MAPPINGS for k in m.fingerprints()]
     assert len(keys) == len(set(keys))
@@ -149,6 +195,19 @@ def test_every_layout_of_a_host_has_a_wrapper(spark):
         assert text == (f"Wrote {i}" if i >= 60 else f"Told {i}" if i % 10 // 5 else f"Head {i}\n\nSaid {i}{more}")
 
 
+def test_an_article_keeps_what_all_pages_share(spark):
+    """Headings and paragraphs that all articles of a host have stay; constant boxes and what lies outside go."""
+    recipe = "<h2>Summary</h2><p>Text {i}</p><h2>Ingredients</h2><p>Salt</p><ul><li>Pepper</li></ul>"
+    kinds = {
+        "article": f"<div>Our kitchen</div><article>{recipe}<div>Join our list</div></article><p>All rights kept</p>",
+        "plain": f"<div class=k>Our kitchen</div><div class=post>{recipe}<section><p>Join our list</p></section></div><div class=k>All rights kept</div>",
+    }
+    rows = [(100 * n + i, f"http://{kind}.org/{i}", html.replace("{i}", str(i))) for n, (kind, html) in enumerate(kinds.items()) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for i, _, text in wrappers.main_texts(pages).collect():
+        assert text == f"Summary\n\nText {i % 100}\n\nIngredients\n\nSalt\n\nPepper"
+
+
 def test_pages_table(spark):
     rows = [(i, f"http://host.org/{i}", site(i)) for i in range(9)]
     rows += [(20, "http://other.org/", site(20)), (21, None, None), (22, "nowhere", ""), (3, "http://host.org/3", site(3)), (23, "http://host.org/x", "<article>own</article>"), (None, "http://host.org/n", site(77))]
