@@ -272,3 +272,44 @@ def signal_features(spark, d):
 def file_features(spark, d):
     """Whole recordings, without chunks."""
     return stated(*sg.file_features(recordings(spark, d)))
+
+
+# The recordings with 8,000 Hz in their head, brought to 16,000: outputs at even places are source samples, those between them are
+# sums under a windowed sinc. One period in the middle of a chunk is summed up; the signal repeats every 128 outputs.
+SINC_SQL = f"""{PCM_SQL}, k AS (SELECT t, sin(pi() * (t - 0.5)) / (pi() * (t - 0.5)) * (0.5 + 0.5 * cos(pi() * (t - 0.5) / 32)) AS w FROM range(-31, 33) r(t)),
+kn AS (SELECT t, w / (SELECT sum(w) FROM k) AS w FROM k),
+odd AS (SELECT vec_id, i, sum(s[(i + t + 128) % 64 + 1] * w) AS x FROM e, range(64) r(i), kn GROUP BY vec_id, i),
+one AS (SELECT vec_id, CAST(sum(greatest(-32768, least(32767, round_even(x, 0)))) AS BIGINT) AS between_total FROM odd GROUP BY 1)"""
+
+
+@query(
+    "wav_resampled",
+    f"""WITH {SINC_SQL} SELECT vec_id, c AS chunk_id, 80000 AS n, CAST(list_sum(s) AS BIGINT) AS source_total, between_total
+      FROM e JOIN one USING (vec_id), range(4) r(c) WHERE vec_id % 20 = 0 AND c < 2 * (1 + vec_id % 2)""",
+)
+def wav_resampled(spark, d):
+    """Chunks of the recordings of another rate after conversion."""
+    chunks, _ = files.recording_chunks(recordings(spark, d).filter(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long") % 20 == 0), resample=True)
+
+    def sums(batches):
+        for batch in batches:
+            y = [np.frombuffer(b, "<i2").astype(np.int64) for b in batch["pcm"]]
+            middle = [x[12_800 : 12_800 + 128] for x in y]
+            batch = batch.assign(n=[len(x) for x in y], source_total=[int(x[::2].sum()) for x in middle], between_total=[int(x[1::2].sum()) for x in middle])
+            yield batch.drop(columns="pcm")
+
+    rows = chunks.select(vec_id(), "chunk_id", "pcm")
+    return rows.mapInPandas(sums, "vec_id long, chunk_id long, n long, source_total long, between_total long")
+
+
+@query(
+    "resampled_features",
+    """SELECT vec_id, c AS chunk_id, true AS measured, NULL AS error FROM embeddings, range(4) r(c)
+      WHERE c < CASE WHEN vec_id % 20 = 0 THEN 2 * (1 + vec_id % 2) ELSE 1 + vec_id % 2 END""",
+)
+def resampled_features(spark, d):
+    """Feature rows of recordings of all rates; none is rejected for its rate."""
+    features, rejects = sg.signal_features(recordings(spark, d), resample=True)
+    known = F.col("energy_mean").between(0.0001, 1) & F.col("pitch_mean").isNotNull() & (F.col("spectral_centroid_mean") > 0)
+    rows = features.select(vec_id(), "chunk_id", known.alias("measured"), F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(rejects.select(vec_id(), "error"), allowMissingColumns=True)

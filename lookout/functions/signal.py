@@ -371,9 +371,10 @@ def signal_features(
     hop: int = HOP,
     keep_tail: bool = False,
     min_seconds: float = 0.5,
+    resample: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(feature row per recording and chunk, rejected recordings with a reason). The files are read once for both."""
-    parts = recording_parts(recordings, seconds, rate, keep_tail, min_seconds)
+    parts = recording_parts(recordings, seconds, rate, keep_tail, min_seconds, resample=resample)
     frames = measured_frames(parts, rate, length, hop)
     features = chunk_features(frames, rate, length, hop, [F.first("error", True).alias("error")])
     return parted(settled(features), "chunk_id")
@@ -388,6 +389,7 @@ def file_features(
     min_seconds: float = 1.0,
     max_seconds: float | None = None,
     block: int = FRAMES_PER_BLOCK,
+    resample: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(one feature row per whole recording, rejected recordings with a reason).
 
@@ -396,7 +398,7 @@ def file_features(
     its levels and is looked at once more when the highest one is known.
     """
     halo = ONSET_WIDTH
-    parts = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds)
+    parts = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds, resample=resample)
     frames = measured_frames(parts.withColumnRenamed("block", "chunk_id"), rate, length, hop, top_db)
     number = F.col("frame") + F.greatest(F.lit(0), F.col("chunk_id") * block - halo)
     frames = frames.filter((F.floor(number / block) == F.col("chunk_id")) | F.col("error").isNotNull())

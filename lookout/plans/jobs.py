@@ -40,13 +40,14 @@ def corpus_features(
     seconds: int = 5,
     rate: int = SAMPLE_RATE,
     rules: Sequence[decide.Rule] = decide.SPEECH_RULES,
+    resample: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(one labelled row per subject and chunk: signal measures, text measures, risk class; rejected recordings).
 
     ``utterances`` has subject, start_time, turn, value. A chunk in which nothing was said has
     zeros for its text.
     """
-    signal, rejects = signal_features(recordings, seconds, rate, FRAME_LENGTH, HOP)
+    signal, rejects = signal_features(recordings, seconds, rate, FRAME_LENGTH, HOP, resample=resample)
     signal = signal.withColumn("subject", subject_of).drop("path")
     # The chunks come from the recordings; what was said after the last full one finds no partner.
     keys = ["subject", "chunk_id"]

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lookout.functions.resample import HIGHEST, LOBES, LOWEST, pcm_at_rate
+
 SAMPLE_RATE = 16_000
 HEAD_BYTES = 65_536
 EXTENSIBLE = 0xFFFE
@@ -94,29 +96,31 @@ def wav_head(head: pd.Series) -> pd.DataFrame:
 wav_head = wav_head.asNondeterministic()
 
 
-def with_wav_head(recordings: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
+def with_wav_head(recordings: DataFrame, rate: int = SAMPLE_RATE, resample: bool = False) -> DataFrame:
     """Adds ``head`` and ``error``. Only the first bytes of a file go to Python, unless the sound starts behind them:
-    a file with long parts in front of it is sent whole."""
+    a file with long parts in front of it is sent whole. Another rate than ``rate`` is an error unless it can be converted."""
     content = F.col("content")
     first = recordings.withColumn("head", wav_head(F.substring(content, 1, HEAD_BYTES)))
     beyond = (F.col("head.error") == NO_DATA) & (F.length("content") > HEAD_BYTES)
     full = first.withColumn("__full", wav_head(F.when(beyond, content)))
     checked = full.withColumn("head", F.when(beyond, F.col("__full")).otherwise(F.col("head"))).drop("__full")
+    usable = F.col("head.rate").between(LOWEST, HIGHEST) if resample else F.col("head.rate") == rate
     return checked.withColumn(
         "error",
         F.when(F.col("head.error").isNotNull(), F.col("head.error"))
         .when(F.col("head.channels") < 1, F.lit("no channels"))
-        .when(F.col("head.rate") != rate, F.lit("other sample rate")),
+        .when(~usable, F.lit("other sample rate")),
     )
 
 
-def _checked(recordings: DataFrame, rate: int, min_seconds: float, max_seconds: float | None) -> DataFrame:
-    """Adds ``samples`` (how many there are to read per channel) and completes ``error``."""
+def _checked(recordings: DataFrame, rate: int, min_seconds: float, max_seconds: float | None, resample: bool = False) -> DataFrame:
+    """Adds ``held`` and ``samples`` (how many there are per channel in the file and at ``rate``) and completes ``error``."""
     frame = F.greatest(F.col("head.channels"), F.lit(1)) * BYTES_PER_SAMPLE
-    there = F.floor(F.least(F.col("head.bytes"), F.length("content") - F.col("head.start")) / frame)
+    held = F.floor(F.least(F.col("head.bytes"), F.length("content") - F.col("head.start")) / frame)
+    there = F.when(F.col("head.rate") == rate, F.col("held")).otherwise(F.ceil(F.col("held") * rate / F.greatest(F.col("head.rate"), F.lit(1))))
     if max_seconds is not None:
         there = F.least(there, F.lit(int(max_seconds * rate)))
-    checked = with_wav_head(recordings, rate).withColumn("samples", there)
+    checked = with_wav_head(recordings, rate, resample).withColumn("held", held).withColumn("samples", there)
     short = F.col("samples") < int(min_seconds * rate)
     return checked.withColumn("error", F.coalesce("error", F.when(short, F.lit("too short"))))
 
@@ -129,8 +133,13 @@ def _cut(
     first: Column,
     width: Column,
     long_bytes: int,
+    rate: int,
+    resample: bool,
 ) -> DataFrame:
-    """PCM16 bytes of ``count`` parts of each recording; ``first`` and ``width`` are in samples.
+    """PCM16 bytes of ``count`` parts of each recording; ``first`` and ``width`` are in samples at ``rate``.
+
+    With ``resample``, parts of a recording of another rate are taken with what their ends need and converted to one
+    channel at ``rate``; bytes of recordings that have the rate do not pass through Python.
 
     A rejected recording gives one row with its error and without a part, so one reading of the files serves both.
     Parts of recordings above ``long_bytes`` are dealt out to all tasks; those of shorter ones stay where the file was
@@ -140,12 +149,21 @@ def _cut(
 
     def parts(some: DataFrame) -> DataFrame:
         frame = F.col("head.channels") * BYTES_PER_SAMPLE
-        start = (F.col("head.start") + first * frame + 1).cast("int")
-        pcm = F.when(F.col(number).isNotNull(), F.substring(F.col("content"), start, (width * frame).cast("int")))
+        low, high, channels = first, first + width, F.col("head.channels").cast("int")
+        if resample:
+            alike, source = F.col("head.rate") == rate, F.col("head.rate")
+            reach = F.ceil(F.lit(float(LOBES)) * F.greatest(F.lit(1.0), source / rate))
+            low = F.when(alike, low).otherwise(F.greatest(F.lit(0), F.floor(first * source / rate) - reach))
+            high = F.when(alike, high).otherwise(F.least(F.col("held"), F.floor((first + width - 1) * source / rate) + reach + 1))
+        start = (F.col("head.start") + low * frame + 1).cast("int")
+        pcm = F.when(F.col(number).isNotNull(), F.substring(F.col("content"), start, ((high - low) * frame).cast("int")))
+        if resample:
+            there = pcm_at_rate(F.when(~alike, pcm), channels, source, low, first, width, rate)
+            pcm, channels = F.when(alike, pcm).otherwise(there), F.when(alike, channels).otherwise(F.lit(1))
         numbers = F.when(F.col("error").isNull() & (count > 0), F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1))
         rows = check(some).withColumn(number, F.explode_outer(numbers))
         rows = rows.filter(F.col(number).isNotNull() | F.col("error").isNotNull())
-        return rows.select("path", number, F.col("head.channels").cast("int").alias("channels"), pcm.alias("pcm"), "error")
+        return rows.select("path", number, channels.alias("channels"), pcm.alias("pcm"), "error")
 
     short, long = recordings.filter(length <= long_bytes), recordings.filter(length > long_bytes)
     return parts(short).unionByName(parts(long).repartition("path", number))
@@ -159,19 +177,21 @@ def recording_parts(
     min_seconds: float = 0.5,
     max_seconds: float | None = None,
     long_bytes: int = LONG_BYTES,
+    resample: bool = False,
 ) -> DataFrame:
     """Chunks of PCM16 bytes, all channels as they lie in the file, and a row with the reason per rejected recording.
 
     ``recordings`` has path, length and content. The tail is dropped unless ``keep_tail``; then it
-    must last ``min_seconds``. With ``max_seconds`` only the beginning of a recording is read.
+    must last ``min_seconds``. With ``max_seconds`` only the beginning of a recording is read. With ``resample`` recordings of
+    other rates are converted to ``rate``, else they are rejected.
     """
-    check = partial(_checked, rate=rate, min_seconds=0.0, max_seconds=max_seconds)
+    check = partial(_checked, rate=rate, min_seconds=0.0, max_seconds=max_seconds, resample=resample)
     width = seconds * rate
     shortest = int(min_seconds * rate) if keep_tail else width
     count = F.floor((F.col("samples") + (width - shortest)) / width)
     first = F.col("chunk_id") * width
     size = F.least(F.lit(width), F.col("samples") - first)
-    chunks = _cut(recordings, check, count, "chunk_id", first, size, long_bytes)
+    chunks = _cut(recordings, check, count, "chunk_id", first, size, long_bytes, rate, resample)
     return chunks.withColumn("chunk_start", F.col("chunk_id") * seconds)
 
 
@@ -190,18 +210,19 @@ def recording_blocks(
     min_seconds: float = 1.0,
     max_seconds: float | None = None,
     long_bytes: int = LONG_BYTES,
+    resample: bool = False,
 ) -> DataFrame:
     """Parts of whole recordings, and a row with the reason per rejected recording.
 
     Part number b holds the samples of frames b * block - halo .. (b + 1) * block + halo - 1, as far as
     there are such frames, so every frame of the recording is whole in the part it belongs to.
     """
-    check = partial(_checked, rate=rate, min_seconds=min_seconds, max_seconds=max_seconds)
+    check = partial(_checked, rate=rate, min_seconds=min_seconds, max_seconds=max_seconds, resample=resample)
     frames = F.floor((F.col("samples") - length) / hop) + 1
     from_frame = F.greatest(F.lit(0), F.col("block") * block - halo)
     to_frame = F.least(frames, (F.col("block") + 1) * block + halo)
     width = (to_frame - from_frame - 1) * hop + length
-    return _cut(recordings, check, F.ceil(frames / block), "block", from_frame * hop, width, long_bytes)
+    return _cut(recordings, check, F.ceil(frames / block), "block", from_frame * hop, width, long_bytes, rate, resample)
 
 
 def parted(rows: DataFrame, number: str) -> tuple[DataFrame, DataFrame]:
