@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lookout.catalog.records import FLAGS, day_text
 from lookout.catalog.registry import query
 from lookout.catalog.tables import TOKENS, past_tie, r6
+from lookout.functions import phrases
 from lookout.functions import text as tx
 from lookout.operators import decide
 from lookout.operators import relational as rel
 from lookout.operators import windows as win
+from lookout.operators.relational import small_table
 from lookout.plans import views as v
 from lookout.session import table
 
@@ -189,6 +191,36 @@ def lexicon_sentiment(spark, d):
     )
 
 
+# Entries of one and two words, two modifiers, two negations; none begins with a modifier or a negation.
+PHRASES = (("of the", 0.6, 0.9), ("de la", -0.7, 0.3), ("the", 0.1, 0.2), ("la", 0.5, 0.7), ("in", -0.1, 0.6), ("is", -0.5, 0.9), ("der", 0.4, 0.8))
+MODIFIERS, NEGATIONS = (("to", 1.5), ("and", 0.5)), ("on", "with")
+_either = "|".join
+_groups = f" (?:(?:{_either(NEGATIONS)})  )?(?:(?:{_either(m for m, _ in MODIFIERS)})  )*(?:{_either(p.replace(' ', '  ') for p, *_ in PHRASES)}) "
+
+
+def _case(values):
+    return "CASE " + " ".join(f"WHEN ends_with(m, ' {p.replace(' ', '  ')} ') THEN CAST({x} AS DOUBLE)" for p, x in values) + " END"
+
+
+PHRASE_SQL = f"""WITH t AS (SELECT doc_id, array_to_string(list_transform({TOKENS}, lambda w: ' ' || w || ' '), '') AS said FROM documents),
+g AS (SELECT doc_id, unnest(regexp_extract_all(said, '{_groups}')) AS m FROM t),
+v AS (SELECT doc_id, {_case((p, x) for p, x, _ in PHRASES)} AS p, {_case((p, x) for p, _, x in PHRASES)} AS s,
+  {' * '.join(f"pow({x}, len(regexp_extract_all(m, ' {w} ')))" for w, x in MODIFIERS)} AS strength,
+  CASE WHEN regexp_matches(m, '^ (?:{_either(NEGATIONS)}) ') THEN -0.5 ELSE 1 END AS turn FROM g),
+f AS (SELECT doc_id, count(*) AS matched, avg(greatest(-1, least(1, p * strength * turn))) AS pol, avg(greatest(0, least(1, s * strength))) AS subj FROM v GROUP BY 1)
+SELECT doc_id, coalesce(matched, 0) AS matched, round(coalesce(pol, 0), 6) AS polarity, round(coalesce(subj, 0), 6) AS subjectivity FROM t LEFT JOIN f USING (doc_id)"""
+
+
+@query("phrase_sentiment", PHRASE_SQL)
+def phrase_sentiment(spark, d):
+    """Sentiment by phrases, with modifiers and negations, in one scan."""
+    rows = [(p, x, s, None) for p, x, s in PHRASES] + [(m, None, None, x) for m, x in MODIFIERS]
+    lexicon = small_table(spark, rows, "phrase string, polarity double, subjectivity double, intensity double")
+    docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    out = phrases.phrase_sentiment(docs, ["doc_id"], "w", lexicon, NEGATIONS)
+    return out.select("doc_id", "matched", r6("sentiment_polarity").alias("polarity"), r6("sentiment_subjectivity").alias("subjectivity"))
+
+
 @query(
     "language_features",
     f"""WITH {DOC}, {MOOD} SELECT doc_id, CAST(len(w) AS INT) AS word_count, round(coalesce(pol, 0), 10) AS polarity,
