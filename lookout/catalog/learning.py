@@ -10,7 +10,7 @@ from lookout.catalog.registry import query
 from lookout.catalog.tables import r6
 from lookout.learn import evaluate as ev
 from lookout.learn import models, prep
-from lookout.operators import decide
+from lookout.operators import decide, neighbours
 from lookout.operators.neighbours import knn_in_class as nearest
 from lookout.plans import jobs
 from lookout.plans import views as v
@@ -35,6 +35,21 @@ def knn_in_class(spark, d):
     return out.withColumn("dist", r6("dist"))
 
 
+@query(
+    "knn_recall",
+    "SELECT CAST(least(400, count(*)) * 5 AS BIGINT) AS audited, true AS recall_reached, true AS recall_is_told FROM embeddings",
+)
+def knn_recall(spark, d):
+    """The audited search over the vectors, its recall measured anew against exact search on the audited rows."""
+    e = table(spark, d, "embeddings")
+    found, said, _ = neighbours.knn_audited(e, "label", "vec_id", "embedding")
+    asked = e.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(neighbours.AUDITED).select("vec_id")
+    true = settled(nearest(e, "label", "vec_id", "embedding").join(asked, "vec_id", "left_semi").select("vec_id", "neighbour"))
+    hits = true.join(found.select("vec_id", "neighbour"), ["vec_id", "neighbour"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    share = true.agg(F.count(F.lit(1)).alias("audited")).withColumn("hits", hits.scalar())
+    return share.select("audited", (F.col("hits") >= 0.95 * F.col("audited")).alias("recall_reached"), (F.abs(F.col("hits") / F.col("audited") - said) < 1e-9).alias("recall_is_told"))
+
+
 def md5_number(text: str, first: int) -> str:
     return f"CAST('0x' || substr(md5({text}), {first}, 8) AS BIGINT)"
 
