@@ -13,6 +13,9 @@ from lookout.operators.aggregates import frame_summary as summarize
 from lookout.plans import views as v
 from lookout.session import scratch_path, table
 from lookout.sources import files
+from lookout.streaming import jobs as st
+from lookout.streaming import recordings as rec
+from lookout.streaming import state
 
 RATE, LOW, HIGH = 16_000.0, 500.0, 2_000.0  # lags 8 .. 32 of 64 samples
 
@@ -274,6 +277,44 @@ def file_features(spark, d):
     return stated(*sg.file_features(recordings(spark, d)))
 
 
+@query(
+    "stream_recordings",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM f, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+)
+def stream_recordings(spark, d):
+    """The measures of arriving recordings and the reasons of rejected ones, as the batch has them."""
+    path = measured_stream(spark, d)
+    return stated(*rec.measured(spark, path), "chunk_id")
+
+
+def measured_stream(spark, d):
+    path = scratch_path(spark, "measured")
+    stream = rec.recording_stream(spark, recording_folder(spark, d))
+    st.finish(rec.measure_recordings(stream, vec_id() % 25, path, scratch_path(spark, "measured-state"), resample=False))
+    return path
+
+
+@query(
+    "stream_recording_alerts",
+    f"""WITH {ALIKE_SQL}, c AS (SELECT vec_id, vec_id % 25 AS subject, c AS chunk_id, energy FROM f, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0),
+    b AS (SELECT *, count(*) OVER w AS n, avg(energy) OVER w AS base FROM c WINDOW w AS (PARTITION BY subject ORDER BY vec_id, chunk_id ROWS UNBOUNDED PRECEDING))
+    SELECT vec_id, chunk_id, n AS baseline_n, CASE WHEN n >= 5 THEN round(base, 6) END AS base_energy,
+      CASE WHEN n >= 5 AND energy < base * 0.9 THEN 'Unhealthy' ELSE 'Healthy' END AS status FROM b""",
+)
+def stream_recording_alerts(spark, d):
+    """Arriving recordings through measures, the baseline of the moment, flag and decision."""
+    rows = rec.feature_stream(spark, measured_stream(spark, d))
+    # Recordings follow each other by their number, chunks by theirs.
+    rows = rows.select("subject", vec_id(), "chunk_id", "energy_mean").withColumn("at", F.timestamp_seconds(F.col("vec_id") * 100 + F.col("chunk_id")))
+    risk = F.when(F.col("pitch_drop"), F.lit("High")).otherwise(F.lit("Low"))
+    judged = state.alerts_as_of(rows, "subject", "at", "vec_id", {"pitch_drop": ("energy_mean", "base_energy")}, lambda df: df.withColumn("model_risk", risk))
+    out = judged.select("vec_id", "chunk_id", "baseline_n", "base_energy", F.col("mental_health_status").alias("status"))
+    path = scratch_path(spark, "recording-alerts")
+    st.finish(st.append_to_table(out, path, scratch_path(spark, "recording-alerts-state")))
+    return spark.read.schema(out.schema).parquet(path).withColumn("base_energy", r6("base_energy"))
+
+
 # The recordings with 8,000 Hz in their head, brought to 16,000: outputs at even places are source samples, those between them are
 # sums under a windowed sinc. One period in the middle of a chunk is summed up; the signal repeats every 128 outputs.
 SINC_SQL = f"""{PCM_SQL}, k AS (SELECT t, sin(pi() * (t - 0.5)) / (pi() * (t - 0.5)) * (0.5 + 0.5 * cos(pi() * (t - 0.5) / 32)) AS w FROM range(-31, 33) r(t)),
