@@ -1,7 +1,8 @@
 """URL filter: host and path rules, and boosted trees on lexical features for all other URLs.
 
 Everything on the path is an expression or a join: the fitted trees become nested CASE expressions, so scoring is
-one projection over the URLs. The trees are fitted by Spark's own boosting on a bounded sample of labelled URLs.
+one projection over the URLs. The trees are fitted by Spark's own boosting on a bounded sample of labelled URLs, with suffix
+statistics from other parts of the sample than a URL's own; scoring uses those of the whole sample.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by the trees on
 its features (null counts as the empty URL). Repeated rows are judged alike. Without any labelled URL, or with one
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from lookout.llm.common import settled
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLDS = 5
 FEATURES = (
     "url_length",
     "host_length",
@@ -118,6 +120,23 @@ def with_shares(rows: DataFrame, sample: DataFrame) -> DataFrame:
     return rows
 
 
+def with_shares_of_others(sample: DataFrame, folds: int = FOLDS, prior: float = 2.0) -> DataFrame:
+    """The sample with the suffix statistics of the other parts of it, dealt out by a hash of the URL.
+
+    The trees learn on these: a URL's own label, and those of its part, have no say in its features, so a domain
+    with one labelled URL shows the neutral share, as an unseen one will.
+    """
+    rows = sample.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(folds)))
+    for key in ("suffix", "domain"):
+        own = rows.groupBy(key, "part").agg(F.sum("label").alias("own_label"), F.count(F.lit(1)).alias("own_n"))
+        total = own.groupBy(key).agg(F.sum("own_label").alias("all_label"), F.sum("own_n").alias("all_n"))
+        n = F.col("all_n") - F.col("own_n")
+        block = (F.col("all_label") - F.col("own_label") + prior / 2) / (n + prior)
+        rows = rows.join(F.broadcast(own), [key, "part"]).join(F.broadcast(total), key)
+        rows = rows.withColumns({f"{key}_block": block, f"{key}_seen": F.log1p(n.cast("double"))}).drop("own_label", "own_n", "all_label", "all_n")
+    return rows.drop("part")
+
+
 def tree_expression(node, names: list[str]) -> Column:
     """One fitted regression tree as a nested CASE."""
     if node.numDescendants() == 0:
@@ -127,13 +146,13 @@ def tree_expression(node, names: list[str]) -> Column:
     return F.when(test, tree_expression(node.leftChild(), names)).otherwise(tree_expression(node.rightChild(), names))
 
 
-def fitted_score(sample: DataFrame, trees: int, depth: int, seed: int) -> Column:
-    """Probability of block as an expression over FEATURES, from boosted trees fitted on the labelled sample."""
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return F.lit(float(next(iter(counts), 0.0)))
+def fitted(sample: DataFrame, trees: int, depth: int, seed: int) -> GBTClassificationModel:
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=5).fit(rows)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=5).fit(rows)
+
+
+def score_expression(model: GBTClassificationModel) -> Column:
+    """The model's probability of block as an expression over FEATURES."""
     parts = [
         tree_expression(tree._call_java("rootNode"), list(FEATURES)) * F.lit(float(weight))
         for tree, weight in zip(model.trees, model.treeWeights, strict=True)
@@ -142,6 +161,14 @@ def fitted_score(sample: DataFrame, trees: int, depth: int, seed: int) -> Column
     return 1.0 / (1.0 + F.exp(-2.0 * margin))
 
 
+def fitted_score(sample: DataFrame, trees: int, depth: int, seed: int) -> Column:
+    """Probability of block as an expression over FEATURES, from boosted trees fitted on the labelled sample."""
+    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return F.lit(float(next(iter(counts), 0.0)))
+    return score_expression(fitted(sample, trees, depth, seed))
+
+
 def labelled_sample(labelled: DataFrame, max_rows: int, seed: int) -> DataFrame:
     """At most ``max_rows`` labelled URLs in the order of a hash of the URL: the same on every run."""
     order = F.xxhash64(F.lit(seed), F.col("url"))
@@ -167,7 +194,7 @@ def judge_urls(
     if labelled is None:
         labelled = rows.where("found IS NOT NULL").select("url", (F.col("found.verdict") == "block").cast("double").alias("label"))
     sample = settled(lexical(labelled_sample(labelled, max_labelled, seed)))
-    score = fitted_score(with_shares(sample, sample), trees, depth, seed)
+    score = fitted_score(settled(with_shares_of_others(sample)), trees, depth, seed)
     judged = with_shares(rows, sample).withColumn("score", score)
     return judged.select(
         "page_id",

@@ -64,6 +64,44 @@ def test_urls_learn_from_labels(spark):
     assert got == again
 
 
+def labelled_urls(spark, n=400):
+    rng = random.Random(4)
+    rows = [(f"http://{'x' if i % 2 else 'good'}{rng.randrange(60)}.{rng.choice(['org', 'biz'])}/{'?a=1&b=2' if i % 2 else 'page'}{i}", i % 2) for i in range(n)]
+    return urls.lexical(spark.createDataFrame(rows, "url string, label int").select("url", F.col("label").cast("double").alias("label")))
+
+
+def test_expression_equals_the_model(spark):
+    """The nested CASE gives the probabilities that the fitted trees give themselves."""
+    sample = urls.with_shares_of_others(labelled_urls(spark)).cache()
+    model = urls.fitted(sample, 6, 4, 3)
+    rows = urls.VectorAssembler(inputCols=list(urls.FEATURES), outputCol="features").transform(sample.withColumn("score", urls.score_expression(model)))
+    for r in model.transform(rows).select("score", "probability").collect():
+        assert r["score"] == pytest.approx(r["probability"][1], abs=1e-12)
+    sample.unpersist()
+
+
+def test_shares_leave_out_a_urls_own_part(spark):
+    """Statistics of a labelled URL come from the other parts; a domain seen once shows the neutral share."""
+    sample = labelled_urls(spark).unionByName(urls.lexical(spark.createDataFrame([("http://only.once/x", 1.0)], "url string, label double")))
+    rows = urls.with_shares_of_others(sample).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS))).collect()
+    assert len(rows) == 401
+    for r in rows:
+        for key in ("suffix", "domain"):
+            others = [o["label"] for o in rows if o[key] == r[key] and o["part"] != r["part"]]
+            assert r[f"{key}_block"] == pytest.approx((sum(others) + 1) / (len(others) + 2)) and r[f"{key}_seen"] == pytest.approx(math.log1p(len(others)))
+    assert [r["domain_block"] for r in rows if r["url"] == "http://only.once/x"] == [0.5]
+
+
+def test_urls_of_unseen_domains(spark):
+    """Domains that no label knows are judged by the other features."""
+    rng = random.Random(9)
+    made = lambda i, bad, known: f"http://{'k' if known else 'u'}{i}.{rng.choice(['com', 'net'])}/{'x-' * 8 + '?q=1&r=2&s=3' if bad else 'news'}/{i % 7}"
+    labelled = spark.createDataFrame([(made(i, i % 2, True), i % 2) for i in range(400)], "url string, label int")
+    pages = spark.createDataFrame([(i, made(i, i % 2, False)) for i in range(200)], "page_id long, url string")
+    got = urls.judge_urls(pages, [], labelled, trees=5).collect()
+    assert sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) >= 190
+
+
 def test_urls_without_anything(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge_urls(none, registered.RULES).count() == 0
