@@ -235,9 +235,19 @@ PCM_SQL = """e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
 # A frame of 2,048 samples holds the 64 values 32 times, so all frames of a recording are alike.
 ALIKE_SQL = f"""{PCM_SQL}, f AS (SELECT vec_id, sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * x)) / 64) / 32768 AS energy,
   (32 * len(list_filter(range(1, 64), lambda i: (s[i] >= 0) <> (s[i + 1] >= 0))) + 31 * CAST((s[64] >= 0) <> (s[1] >= 0) AS INT))
-    / CAST(2048 AS DOUBLE) AS zcr FROM e)"""
-STATED = ("energy_mean", "energy_std", "zcr_mean", "speech_rate", "pause_ratio")
-STATED_SQL = "round(energy, 6) AS energy_mean, 0.0 AS energy_std, round(zcr, 6) AS zcr_mean, 0.0 AS speech_rate, 0.0 AS pause_ratio"
+    / CAST(2048 AS DOUBLE) AS zcr FROM e),
+mg AS (SELECT vec_id, m, sqrt(pow(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * cos(2 * pi() * m * i / 64))), 2)
+    + pow(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * sin(2 * pi() * m * i / 64))), 2)) AS mag FROM e, range(33) r(m)),
+bins AS (SELECT vec_id, 32 * m + o AS k, mag / (1 + abs(o)) AS mag FROM mg, (VALUES (-1), (0), (1)) v(o) WHERE 32 * m + o BETWEEN 0 AND 1024),
+sums AS (SELECT vec_id, k, sum(mag) OVER (PARTITION BY vec_id ORDER BY k) / sum(mag) OVER (PARTITION BY vec_id) AS share FROM bins),
+ro AS (SELECT vec_id, min(k) FILTER (round(share, 9) >= 0.85) * 7.8125 AS rolloff FROM sums GROUP BY 1),
+fs AS (SELECT * FROM f JOIN ro USING (vec_id))"""
+# A period of 64 samples is 250 Hz; at that lag a frame has 1,984 of its 2,048 products. Under a Hann window a harmonic fills its bin
+# and half as much of the two beside it.
+STATED = ("energy_mean", "energy_std", "zcr_mean", "speech_rate", "pause_ratio", "pitch_mean", "pitch_std", "hnr", "spectral_rolloff_mean")
+STATED_SQL = """round(energy, 6) AS energy_mean, 0.0 AS energy_std, round(zcr, 6) AS zcr_mean, 0.0 AS speech_rate, 0.0 AS pause_ratio,
+  250.0 AS pitch_mean, 0.0 AS pitch_std, round(10 * log10(1984.0 / 64), 2) AS hnr, CAST(rolloff AS DOUBLE) AS spectral_rolloff_mean"""
+NOT_STATED_SQL = ", ".join("NULL" for _ in STATED)
 
 
 @query(
@@ -254,14 +264,14 @@ def wav_chunks(spark, d):
 def stated(features, rejects, *ids):
     """The measures that SQL can state, of complete feature rows, and the rejected recordings."""
     whole = features.filter("pitch_mean IS NOT NULL AND spectral_centroid_mean > 0 AND mfcc_13 IS NOT NULL AND hnr IS NOT NULL")
-    rows = whole.select(vec_id(), *ids, *[F.abs(r6(c)).alias(c) for c in STATED], F.lit(None).cast("string").alias("error"))
+    rows = whole.select(vec_id(), *ids, *[F.abs(F.round(c, 2) if c == "hnr" else r6(c)).alias(c) for c in STATED], F.lit(None).cast("string").alias("error"))
     return rows.unionByName(rejects.select(vec_id(), "error"), allowMissingColumns=True)
 
 
 @query(
     "signal_features",
-    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM f, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
-      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM fs, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, NULL, {NOT_STATED_SQL}, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
 )
 def signal_features(spark, d):
     return stated(*sg.signal_features(recordings(spark, d)), "chunk_id")
@@ -269,8 +279,8 @@ def signal_features(spark, d):
 
 @query(
     "file_features",
-    f"""WITH {ALIKE_SQL} SELECT vec_id, {STATED_SQL}, NULL AS error FROM f WHERE vec_id % 20 <> 0
-      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, {STATED_SQL}, NULL AS error FROM fs WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, {NOT_STATED_SQL}, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
 )
 def file_features(spark, d):
     """Whole recordings, without chunks."""
@@ -279,8 +289,8 @@ def file_features(spark, d):
 
 @query(
     "stream_recordings",
-    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM f, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
-      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
+    f"""WITH {ALIKE_SQL} SELECT vec_id, c AS chunk_id, {STATED_SQL}, NULL AS error FROM fs, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0
+      UNION ALL SELECT vec_id, NULL, {NOT_STATED_SQL}, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
 )
 def stream_recordings(spark, d):
     """The measures of arriving recordings and the reasons of rejected ones, as the batch has them."""
