@@ -3,6 +3,12 @@
 The stages keep clean documents whole. They drop documents of low predicted quality, all but one of equal texts, all but
 one of each group of near copies, and documents of which a twentieth of the words lie in benchmark windows; the last
 stage says how many words of each remaining document the mixture takes.
+
+Defined cases: rows are told apart by id and text, so a text never goes because of another one that has its id, or has none
+as it does; of repeated rows one stays after exact dedup. A null or empty text is scored as an empty one, equals all texts without
+characters, has no shingles and no benchmark words, and takes part in the mixture with size 0. Columns other than those of
+``documents`` are left behind by the first stage; an empty table stays empty through all stages. The mixture weighs documents by their
+share of plain characters: stages hand on the columns of ``documents`` only, so the first stage's score does not reach it.
 """
 
 from __future__ import annotations
