@@ -27,6 +27,7 @@ from lookout.llm import tokens as tk
 from lookout.llm.common import fields, in_arrow, input_columns, row_key, settled
 
 HOT_VARIANTS = 20_000
+PIECE_ROWS = 2_048  #: pieces of a text that are cut out at a time
 PLACE_BITS = 24  #: of a hash give way to the place when anchors are chosen; more in a text above 16 million symbols
 
 
@@ -167,17 +168,21 @@ def contents(docs: DataFrame, variants: DataFrame, cut: Callable[[tk.Texts], Cal
         for whole in batches:
             for batch, block in tk.blocks(whole, "text"):
                 same = zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), strict=True)
-                for i, ((doc, row), found) in enumerate(zip(same, batch.column("pieces").to_pylist(), strict=True)):
+                pieces = batch.column("pieces")
+                edges = np.asarray(pieces.offsets)
+                held = {c: pieces.values.field(c) for c in ("key", "digest", "start", "stop", "copies", "variants")}
+                for i, (doc, row) in enumerate(same):
                     if (doc, row) in done:
                         continue
                     done.add((doc, row))
                     a, b = block.offsets[i : i + 2]
                     get = cut(tk.Texts(block.data[a:b], np.array([0, b - a])))
-                    rows = []
-                    for p in found:
-                        piece = get(p["start"], p["stop"] - 1 + length)
-                        rows.append({**{k: p[k] for k in ("key", "digest", "copies", "variants")}, "doc": doc, "passages": p["stop"] - p["start"], "lead": lead(piece), "symbols": piece})
-                    yield pa.RecordBatch.from_pylist(rows, schema=columns)
+                    for first in range(int(edges[i]), int(edges[i + 1]), PIECE_ROWS):  # a long text has many
+                        part = {c: v.slice(first, min(PIECE_ROWS, int(edges[i + 1]) - first)) for c, v in held.items()}
+                        start, stop = part["start"].to_numpy(), part["stop"].to_numpy()
+                        symbols = [get(x, y - 1 + length) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+                        made = {**part, "doc": np.full(len(start), doc), "passages": stop - start, "lead": [lead(x) for x in symbols], "symbols": symbols}
+                        yield pa.RecordBatch.from_arrays([made[f.name] if f.name in part else pa.array(made[f.name], f.type) for f in columns], schema=columns)
 
     return in_arrow(texts, work, CONTENTS)
 
