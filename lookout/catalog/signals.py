@@ -11,7 +11,7 @@ from lookout.catalog.tables import r6
 from lookout.functions import signal as sg
 from lookout.operators.aggregates import frame_summary as summarize
 from lookout.plans import views as v
-from lookout.session import scratch_path, table
+from lookout.session import scratch_path, table, work_tables
 from lookout.sources import files
 from lookout.streaming import jobs as st
 from lookout.streaming import recordings as rec
@@ -189,15 +189,43 @@ def frame_mfcc(spark, d):
 # --- recordings made from the embeddings -----------------------------------------------
 
 
-def recordings(spark, d):
-    """A WAV file per vector, written to the shared folder and read back: its 64 values over and over, for 5 or 10 seconds
-    and a rest. Every twentieth has another sample rate in its head."""
-    return files.read_recordings(spark, recording_folder(spark, d))
+PART_BYTES = 1 << 30  #: of recordings that lie in the shared folder at a time
+REPEATS = "(1250 * (1 + vec_id % 2) + 10)"
 
 
-def recording_folder(spark, d):
-    folder = scratch_path(spark, "corpus")
+def dealt(rows, number, parts):
+    """``rows`` written once, in as many folders as there are parts, by a hash of ``number``; returns a reader of one part."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "dealt")
+    mixed = F.xxhash64(number.cast("bigint"))
+    placed = rows.withColumn("part", F.pmod(mixed, F.lit(parts)).cast("int"))
+    placed.repartitionByRange("part", mixed).write.partitionBy("part").parquet(path)
+    # A part that got no rows has no folder.
+    return lambda one: spark.read.schema(placed.schema).parquet(path).filter(F.col("part") == one).drop("part")
 
+
+def count_of_parts(spark, d):
+    """Parts of the vectors whose recordings take about ``PART_BYTES``."""
+    size = F.sum(F.expr(f"coalesce(size(embedding), 0) * {REPEATS} * {files.BYTES_PER_SAMPLE}"))
+    return 1 + (table(spark, d, "embeddings").agg(size).first()[0] or 0) // PART_BYTES
+
+
+def recording_folders(spark, d, home=None):
+    """(number, folder) of one part of the recordings after the other: a WAV file per vector, its 64 values over and over, for 5 or 10
+    seconds and a rest, every twentieth with another sample rate in its head. Folders lie below ``home``, if it is named.
+
+    The recordings are a thousand times larger than the vectors, so a part goes, with all that was made of it on the way, before the next
+    one is written.
+    """
+    parts = count_of_parts(spark, d)
+    vectors = dealt(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id"), parts)
+    for number in range(parts):
+        with work_tables(spark):
+            folder = scratch_path(spark, "corpus", home)
+            write_recordings(vectors(number), folder)
+            yield number, folder
+
+
+def write_recordings(vectors, folder):
     def write(batches):
         from pyarrow import fs
 
@@ -211,10 +239,26 @@ def recording_folder(spark, d):
                     out.write(content)
             yield batch[["vec_id"]]
 
+    spark = vectors.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)  # also for no vectors
     # The vectors are few bytes and make long recordings, so they are dealt out first.
-    e = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    e.select("vec_id", "embedding").mapInPandas(write, "vec_id long").count()
-    return folder
+    e = vectors.repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    e.mapInPandas(write, "vec_id long").count()
+
+
+def of_all_parts(spark, d, work):
+    """The rows that ``work`` makes of each part of the recordings, from its number and folder."""
+    path = scratch_path(spark, "from-recordings")
+    for number, folder in recording_folders(spark, d):
+        rows = work(number, folder)
+        rows.write.parquet(f"{path}/part={number}")
+    return spark.read.schema(rows.schema).parquet(path).drop("part")
+
+
+def of_all_recordings(spark, d, work):
+    """The rows that ``work`` makes of the recordings, read back part by part."""
+    return of_all_parts(spark, d, lambda number, folder: work(files.read_recordings(spark, folder)))
 
 
 def vec_id():
@@ -227,7 +271,7 @@ def vec_id():
 )
 def list_files(spark, d):
     """The recordings made from the vectors, as they lie in their folder."""
-    return files.list_files(spark, recording_folder(spark, d), "*.wav").select(vec_id(), "length")
+    return of_all_parts(spark, d, lambda number, folder: files.list_files(spark, folder, "*.wav").select(vec_id(), "length"))
 
 
 PCM_SQL = """e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
@@ -257,8 +301,11 @@ NOT_STATED_SQL = ", ".join("NULL" for _ in STATED)
       FROM e, range(1 + vec_id % 2) r(c) WHERE vec_id % 20 <> 0""",
 )
 def wav_chunks(spark, d):
-    chunks, _ = files.recording_chunks(recordings(spark, d))
-    return chunks.withColumn("s", files.pcm_summary("pcm")).select(vec_id(), "chunk_id", "chunk_start", "s.*")
+    def summed(recordings):
+        chunks, _ = files.recording_chunks(recordings)
+        return chunks.withColumn("s", files.pcm_summary("pcm")).select(vec_id(), "chunk_id", "chunk_start", "s.*")
+
+    return of_all_recordings(spark, d, summed)
 
 
 def stated(features, rejects, *ids):
@@ -274,7 +321,7 @@ def stated(features, rejects, *ids):
       UNION ALL SELECT vec_id, NULL, {NOT_STATED_SQL}, 'other sample rate' FROM embeddings WHERE vec_id % 20 = 0""",
 )
 def signal_features(spark, d):
-    return stated(*sg.signal_features(recordings(spark, d)), "chunk_id")
+    return of_all_recordings(spark, d, lambda recordings: stated(*sg.signal_features(recordings), "chunk_id"))
 
 
 @query(
@@ -284,7 +331,7 @@ def signal_features(spark, d):
 )
 def file_features(spark, d):
     """Whole recordings, without chunks."""
-    return stated(*sg.file_features(recordings(spark, d)))
+    return of_all_recordings(spark, d, lambda recordings: stated(*sg.file_features(recordings)))
 
 
 @query(
@@ -299,9 +346,11 @@ def stream_recordings(spark, d):
 
 
 def measured_stream(spark, d):
-    path = scratch_path(spark, "measured")
-    stream = rec.recording_stream(spark, recording_folder(spark, d))
-    st.finish(rec.measure_recordings(stream, vec_id() % 25, path, scratch_path(spark, "measured-state"), resample=False))
+    """The parts of the recordings arrive one after the other; the stream goes on from its checkpoint with each."""
+    path, seen, home = (scratch_path(spark, name) for name in ("measured", "measured-state", "arriving"))
+    for _ in recording_folders(spark, d, home):
+        stream = rec.recording_stream(spark, home)
+        st.finish(rec.measure_recordings(stream, vec_id() % 25, path, seen, resample=False))
     return path
 
 
@@ -340,7 +389,6 @@ one AS (SELECT vec_id, CAST(sum(greatest(-32768, least(32767, round_even(x, 0)))
 )
 def wav_resampled(spark, d):
     """Chunks of the recordings of another rate after conversion."""
-    chunks, _ = files.recording_chunks(recordings(spark, d).filter(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long") % 20 == 0), resample=True)
 
     def sums(batches):
         for batch in batches:
@@ -349,8 +397,12 @@ def wav_resampled(spark, d):
             batch = batch.assign(n=[len(x) for x in y], source_total=[int(x[::2].sum()) for x in middle], between_total=[int(x[1::2].sum()) for x in middle])
             yield batch.drop(columns="pcm")
 
-    rows = chunks.select(vec_id(), "chunk_id", "pcm")
-    return rows.mapInPandas(sums, "vec_id long, chunk_id long, n long, source_total long, between_total long")
+    def converted(recordings):
+        chunks, _ = files.recording_chunks(recordings.filter(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long") % 20 == 0), resample=True)
+        rows = chunks.select(vec_id(), "chunk_id", "pcm")
+        return rows.mapInPandas(sums, "vec_id long, chunk_id long, n long, source_total long, between_total long")
+
+    return of_all_recordings(spark, d, converted)
 
 
 @query(
@@ -360,7 +412,11 @@ def wav_resampled(spark, d):
 )
 def resampled_features(spark, d):
     """Feature rows of recordings of all rates; none is rejected for its rate."""
-    features, rejects = sg.signal_features(recordings(spark, d), resample=True)
-    known = F.col("energy_mean").between(0.0001, 1) & F.col("pitch_mean").isNotNull() & (F.col("spectral_centroid_mean") > 0)
-    rows = features.select(vec_id(), "chunk_id", known.alias("measured"), F.lit(None).cast("string").alias("error"))
-    return rows.unionByName(rejects.select(vec_id(), "error"), allowMissingColumns=True)
+
+    def measured(recordings):
+        features, rejects = sg.signal_features(recordings, resample=True)
+        known = F.col("energy_mean").between(0.0001, 1) & F.col("pitch_mean").isNotNull() & (F.col("spectral_centroid_mean") > 0)
+        rows = features.select(vec_id(), "chunk_id", known.alias("measured"), F.lit(None).cast("string").alias("error"))
+        return rows.unionByName(rejects.select(vec_id(), "error"), allowMissingColumns=True)
+
+    return of_all_recordings(spark, d, measured)

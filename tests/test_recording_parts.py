@@ -1,0 +1,60 @@
+"""Recordings made from vectors lie in the shared folder part by part."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__
+from lookout.catalog import signals
+from lookout.session import shared_folder
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """45 vectors and a few things said."""
+    rng = np.random.default_rng(1)
+    where = tmp_path_factory.mktemp("tables")
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 64)], i % 3) for i in range(45)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(where / "embeddings.parquet"))
+    said = [(i, t, ("user", "assistant")[t % 2], f"word {i} of {t}") for i in range(0, 60, 3) for t in range(4)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(where / "conversations.parquet"))
+    return where
+
+
+NAMES = ["list_files", "wav_chunks", "wav_resampled", "file_features", "resampled_features", "corpus_features", "stream_recording_alerts"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_parts_hold_all_rows_and_go(spark, folder, monkeypatch, name):
+    """Several parts give the rows of the SQL; no more than one of them lies there at a time, and none in the end."""
+    monkeypatch.setattr(signals, "PART_BYTES", 4 << 20, raising=False)
+    shared = Path(shared_folder(spark))
+    before = set(shared.rglob("*.wav"))
+    held = []
+    if hasattr(signals, "write_recordings"):
+        write = signals.write_recordings
+
+        def counted(vectors, where):
+            write(vectors, where)
+            held.append(sum(p.stat().st_size for p in set(shared.rglob("*.wav")) - before))
+
+        monkeypatch.setattr(signals, "write_recordings", counted)
+    got = sorted(map(str, (tuple(r) for r in __spark_entry__.queries()[name](spark, str(folder)).collect())))
+    db = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = sorted(map(str, db.execute(__spark_entry__.oracle_sql()[name]).fetchall()))
+    assert len(got) == len(want)
+    if name in ("list_files", "wav_chunks", "wav_resampled", "resampled_features", "corpus_features"):
+        assert got == want
+    assert not set(shared.rglob("*.wav")) - before
+    assert len(held) > 1 and max(held) < 9 << 20  # parts of about 4 MB by a hash; all recordings have 11 MB
+
+
+def test_no_vectors(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert __spark_entry__.queries()["list_files"](spark, str(tmp_path)).collect() == []
