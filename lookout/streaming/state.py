@@ -11,11 +11,10 @@ record starts the timer again.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -49,44 +48,47 @@ class GrowingBaseline(StatefulProcessor):
         for out in self.measures:
             fields += [T.StructField(f"s_{out}", T.DoubleType()), T.StructField(f"c_{out}", T.LongType())]
         self.state = handle.getValueState("baseline", T.StructType(fields))
+        self.row = Row(*self.columns, "baseline_n", *self.measures, "idle")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        parts = [v for out in self.measures for v in (float(row[f"s_{out}"]), int(row[f"c_{out}"]))]
-        self.state.update((int(row["n"]), *parts))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        parts = [v for out in self.measures for v in (float(initialState[f"s_{out}"]), int(initialState[f"c_{out}"]))]
+        self.state.update((int(initialState["n"]), *parts))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        held = self.state.get() if self.state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Rows and not pandas: most subjects send a few records per batch, and making a frame for each of them is most of the work.
+        arrived = sorted(rows, key=lambda row: [_last_if_missing(row[c]) for c in self.order])
+        held = self.state.get()
         state = list(held) if held is not None else [0, *([0.0, 0] * len(self.measures))]
-        own = 1 if self.inclusive else 0
-        number = np.arange(len(arrived))
-        out = arrived[self.columns].copy()
-        out["baseline_n"] = state[0] + number + own
-        state[0] += len(arrived)
-        for i, (name, column) in enumerate(self.measures.items()):
-            values = arrived[column].to_numpy(float, na_value=np.nan)
-            known = np.isfinite(values)
-            sums = state[1 + 2 * i] + np.cumsum(np.where(known, values, 0.0))
-            counts = state[2 + 2 * i] + np.cumsum(known)
-            before = np.concatenate([[state[1 + 2 * i]], sums]), np.concatenate([[state[2 + 2 * i]], counts])
-            total, n = before[0][number + own], before[1][number + own]
-            out[name] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-            state[1 + 2 * i], state[2 + 2 * i] = float(sums[-1]), int(counts[-1])
+        start, sums, counts = list(state), [0.0] * len(self.measures), [0] * len(self.measures)
+        latest = max((row[AT] for row in arrived if row[AT] is not None), default=None)
+        arrived.reverse()
+        while arrived:  # each row is let go when it is judged
+            row, before = arrived.pop(), list(state)
+            state[0] += 1
+            for i, column in enumerate(self.measures.values()):
+                value = row[column]
+                if value is not None and math.isfinite(value):
+                    sums[i] += float(value)
+                    counts[i] += 1
+                state[1 + 2 * i], state[2 + 2 * i] = start[1 + 2 * i] + sums[i], start[2 + 2 * i] + counts[i]
+            yield self._judged([row[c] for c in self.columns], state if self.inclusive else before, False)
         self.state.update(tuple(state))
-        out["idle"] = False
         if self.idle_ms is not None:
             for due in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due)
-            self.handle.registerTimer(int(arrived[AT].max()) // 1000 + self.idle_ms)
-        yield out
+            self.handle.registerTimer(latest // 1000 + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = list(self.state.get())
-        row = {c: [None] for c in self.columns} | {self.key: [key[0]], "baseline_n": [state[0]], "idle": [True]}
-        for i, name in enumerate(self.measures):
-            row[name] = [state[1 + 2 * i] / state[2 + 2 * i] if state[2 + 2 * i] else None]
-        yield pd.DataFrame(row)[[*self.columns, "baseline_n", *self.measures, "idle"]]
+    def _judged(self, kept: list, state: list, idle: bool) -> Row:
+        means = [state[1 + 2 * i] / state[2 + 2 * i] if state[2 + 2 * i] else None for i in range(len(self.measures))]
+        return self.row(*kept, state[0], *means, idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield self._judged([key[0] if c == self.key else None for c in self.columns], self.state.get(), True)
+
+
+def _last_if_missing(value) -> tuple:
+    missing = value is None or value != value
+    return missing, 0 if missing else value
 
 
 def with_baseline(
@@ -108,22 +110,18 @@ def with_baseline(
     """
     durable_state(stream.sparkSession)
     kept = [f for f in stream.schema if f.name != ts]
-    # On the way through pandas NaN and NULL become one; a mark beside each column tells them apart.
-    marks = {f"nan_{f.name}": f.name for f in kept if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    rows = stream.withColumns({AT: F.unix_micros(ts), **{m: F.isnan(c) for m, c in marks.items()}})
-    columns = [*(f.name for f in kept), *marks]
-    out = T.StructType([*kept, *(T.StructField(m, T.BooleanType()) for m in marks)])
-    out = out.add("baseline_n", T.LongType())
+    rows = stream.withColumn(AT, F.unix_micros(ts))
+    out = T.StructType([*kept]).add("baseline_n", T.LongType())
     for name in measures:
         out = out.add(name, T.DoubleType())
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.add("idle", T.BooleanType())])
+    columns = [f.name for f in kept]
     processor = GrowingBaseline(key, [AT, tie], measures, columns, inclusive, None if idle is None else int(idle.total_seconds() * 1000))
-    done = rows.groupBy(key).transformWithStateInPandas(
+    done = rows.groupBy(key).transformWithState(
         processor, out, "append", "none" if idle is None else "eventTime", initialState=None if initial is None else initial.groupBy(key)
     )
     enough = F.col("baseline_n") >= min_rows
-    told = {c: F.when(F.col(m), F.lit(float("nan"))).otherwise(F.col(c)) for m, c in marks.items()}
-    return done.withColumns({**told, **{m: F.when(enough & ~F.isnan(m), F.col(m)) for m in measures}}).drop(*marks)
+    return done.withColumns({m: F.when(enough & ~F.isnan(m), F.col(m)) for m in measures})
 
 
 def alerts_as_of(

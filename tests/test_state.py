@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lookout.operators import decide
@@ -114,3 +116,37 @@ def test_idle_subjects_are_told_once(spark, tmp_path):
     idle = [(r["user_id"], r["baseline_n"], r["base"]) for r in spark.read.parquet(out).where("idle").collect()]
     assert idle == [(1, 2, 6.0)]
     assert sorted(r["event_id"] for r in spark.read.parquet(out).where("NOT idle").collect()) == [1, 2, 3, 4, 5]
+
+
+class Held:
+    """A value state, and the handle that gives it out."""
+
+    def __init__(self):
+        self.held = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_many_subjects_of_few_records():
+    """A subject's records are taken row by row, so that many subjects of three records each take seconds."""
+    processor, arrival = state.GrowingBaseline("user", [state.AT, "id"], {"base": "value"}, ["id", "user", "value"], True, None), Row("id", "user", "value", state.AT)
+    began = time.process_time()
+    for user in range(10_000):
+        processor.init(Held())
+        processor.handleInitialState((user,), Row(n=1, s_base=5.0, c_base=1), None)
+        rows = [arrival(3, user, float("nan"), None), arrival(2, user, 4.0, 7), arrival(1, None, None, 7)]
+        out = [r.asDict() for r in processor.handleInputRows((user,), iter(rows), None)]
+        assert [(r["id"], r["value"], r["baseline_n"], r["base"]) for r in out[:2]] == [(1, None, 2, 5.0), (2, 4.0, 3, 4.5)]
+        assert out[2]["id"] == 3 and out[2]["value"] != out[2]["value"] and out[2]["base"] == 4.5
+        assert processor.state.get() == (4, 9.0, 2)
+    assert time.process_time() - began < 10
