@@ -189,7 +189,7 @@ def frame_mfcc(spark, d):
 # --- recordings made from the embeddings -----------------------------------------------
 
 
-PART_BYTES = 1 << 30  #: of recordings that lie in the shared folder at a time
+PART_BYTES = 1 << 29  #: of recordings that lie in the shared folder at a time
 REPEATS = "(1250 * (1 + vec_id % 2) + 10)"
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lookout.catalog import signals
@@ -58,3 +59,12 @@ def test_parts_hold_all_rows_and_go(spark, folder, monkeypatch, name):
 def test_no_vectors(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert __spark_entry__.queries()["list_files"](spark, str(tmp_path)).collect() == []
+
+
+def test_a_part_takes_half_a_gigabyte(spark, tmp_path):
+    """3,000 vectors make 0.72 GB of recordings, which are not written at once."""
+    vectors = spark.range(3_000).selectExpr("id AS vec_id", "array_repeat(CAST(0.1 AS FLOAT), 64) AS embedding", "0 AS label")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    parts = signals.count_of_parts(spark, str(tmp_path))
+    read = signals.dealt(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id"), parts)
+    assert [read(one).count() < 2_200 for one in range(parts)] == [True, True]
