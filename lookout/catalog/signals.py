@@ -189,7 +189,8 @@ def frame_mfcc(spark, d):
 # --- recordings made from the embeddings -----------------------------------------------
 
 
-PART_BYTES = 1 << 29  #: of recordings that lie in the shared folder at a time
+PART_BYTES = 1 << 29  #: of recordings that lie in the shared folder at a time, for a stream
+BATCHES_PER_PART = 4  #: a batch job has no stream to start for each part and takes a fourth of it at a time
 REPEATS = "(1250 * (1 + vec_id % 2) + 10)"
 
 
@@ -199,24 +200,25 @@ def dealt(rows, number, parts):
     mixed = F.xxhash64(number.cast("bigint"))
     placed = rows.withColumn("part", F.pmod(mixed, F.lit(parts)).cast("int"))
     placed.repartitionByRange("part", mixed).write.partitionBy("part").parquet(path)
-    # A part that got no rows has no folder.
-    return lambda one: spark.read.schema(placed.schema).parquet(path).filter(F.col("part") == one).drop("part")
+    # A part that got no rows has no folder. The folders are listed once, not once for each part.
+    written = spark.read.schema(placed.schema).parquet(path)
+    return lambda one: written.filter(F.col("part") == one).drop("part")
 
 
-def count_of_parts(spark, d):
-    """Parts of the vectors whose recordings take about ``PART_BYTES``."""
+def count_of_parts(spark, d, share=1):
+    """Parts of the vectors whose recordings take about ``PART_BYTES / share``."""
     size = F.sum(F.expr(f"coalesce(size(embedding), 0) * {REPEATS} * {files.BYTES_PER_SAMPLE}"))
-    return 1 + (table(spark, d, "embeddings").agg(size).first()[0] or 0) // PART_BYTES
+    return 1 + (table(spark, d, "embeddings").agg(size).first()[0] or 0) * share // PART_BYTES
 
 
-def recording_folders(spark, d, home=None):
+def recording_folders(spark, d, home=None, share=1):
     """(number, folder) of one part of the recordings after the other: a WAV file per vector, its 64 values over and over, for 5 or 10
     seconds and a rest, every twentieth with another sample rate in its head. Folders lie below ``home``, if it is named.
 
     The recordings are a thousand times larger than the vectors, so a part goes, with all that was made of it on the way, before the next
     one is written.
     """
-    parts = count_of_parts(spark, d)
+    parts = count_of_parts(spark, d, share)
     vectors = dealt(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id"), parts)
     for number in range(parts):
         with work_tables(spark):
@@ -250,15 +252,20 @@ def write_recordings(vectors, folder):
 def of_all_parts(spark, d, work):
     """The rows that ``work`` makes of each part of the recordings, from its number and folder."""
     path = scratch_path(spark, "from-recordings")
-    for number, folder in recording_folders(spark, d):
+    for number, folder in recording_folders(spark, d, share=BATCHES_PER_PART):
         rows = work(number, folder)
         rows.write.parquet(f"{path}/part={number}")
     return spark.read.schema(rows.schema).parquet(path).drop("part")
 
 
+def recordings_in(spark, folder):
+    """The recordings of a part, which are short and many, read by one task per core."""
+    return files.read_recordings(spark, folder).coalesce(spark.sparkContext.defaultParallelism)
+
+
 def of_all_recordings(spark, d, work):
     """The rows that ``work`` makes of the recordings, read back part by part."""
-    return of_all_parts(spark, d, lambda number, folder: work(files.read_recordings(spark, folder)))
+    return of_all_parts(spark, d, lambda number, folder: work(recordings_in(spark, folder)))
 
 
 def vec_id():

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lookout.catalog.histories import GROWING, past
 from lookout.catalog.records import FLAGS, day_text
 from lookout.catalog.registry import query
-from lookout.catalog.signals import count_of_parts, dealt, of_all_parts
+from lookout.catalog.signals import BATCHES_PER_PART, count_of_parts, dealt, of_all_parts, recordings_in
 from lookout.catalog.tables import TOKENS, r6
 from lookout.functions import text as tx
 from lookout.operators import decide
@@ -20,7 +20,6 @@ from lookout.operators.windows import first_per_key, latest_per_key
 from lookout.plans import jobs
 from lookout.plans import views as v
 from lookout.session import scratch_path, table
-from lookout.sources import files
 from lookout.streaming import jobs as st
 from lookout.streaming import state
 
@@ -331,10 +330,10 @@ def corpus_features(spark, d):
     )
     subject = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
     # What was said comes with the part of its recording.
-    said_in = dealt(said, F.col("subject"), count_of_parts(spark, d))
+    said_in = dealt(said, F.col("subject"), count_of_parts(spark, d, BATCHES_PER_PART))
 
     def labelled_part(number, folder):
-        labelled, rejects = jobs.corpus_features(files.read_recordings(spark, folder), subject, said_in(number), v.lexicon(spark))
+        labelled, rejects = jobs.corpus_features(recordings_in(spark, folder), subject, said_in(number), v.lexicon(spark))
         rows = labelled.filter("risk_label IS NOT NULL").select("subject", "chunk_id", "chunk_start", "word_count", F.lit(None).cast("string").alias("error"))
         return rows.unionByName(rejects.select(subject.alias("subject"), "error"), allowMissingColumns=True)
 

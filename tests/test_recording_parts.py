@@ -68,3 +68,35 @@ def test_a_part_takes_half_a_gigabyte(spark, tmp_path):
     parts = signals.count_of_parts(spark, str(tmp_path))
     read = signals.dealt(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id"), parts)
     assert [read(one).count() < 2_200 for one in range(parts)] == [True, True]
+
+
+@pytest.mark.parametrize("name", ["wav_chunks", "wav_resampled", "file_features", "signal_features"])
+def test_a_batch_job_holds_a_fourth_of_a_part(spark, folder, monkeypatch, name):
+    """45 vectors make 11 MB of recordings; of parts of 8 MB, 2 MB lie there at a time."""
+    monkeypatch.setattr(signals, "PART_BYTES", 8 << 20)
+    held, write = [], signals.write_recordings
+
+    def counted(vectors, where):
+        write(vectors, where)
+        held.append(sum(p.stat().st_size for p in Path(where.removeprefix("file:")).glob("*.wav")))
+
+    monkeypatch.setattr(signals, "write_recordings", counted)
+    sql = __spark_entry__.oracle_sql()[name]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    assert __spark_entry__.queries()[name](spark, str(folder)).count() == len(db.execute(sql).fetchall())
+    assert sum(held) == sum(44 + (1250 * (1 + i % 2) + 10) * 64 * 2 for i in range(45))
+    assert max(held) < 4 << 20
+
+
+def test_many_short_recordings_take_a_task_per_core(spark, tmp_path):
+    """Spark counts 4 MB for opening a file, so a part of short recordings would be read by hundreds of tasks."""
+    for i in range(40):
+        (tmp_path / f"{i}.wav").write_bytes(bytes([i]) * 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = signals.recordings_in(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted(bytes(r["content"]) for r in rows.collect()) == [bytes([i]) * 100 for i in range(40)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
