@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -223,3 +224,38 @@ def test_pages_table(spark):
     assert by[20] == "Welcome to our site\n\nStory 20 about 140\n\nMore of story 20\n\nThank you for reading"
     assert by[21] == by[22] == "" and by[23] == "own"
     assert wrappers.main_texts(pages.limit(0)).count() == 0
+
+
+def rare(i, said):
+    """A page whose layout only one other page of the host has."""
+    return f"<body><div class=top>{said}</div><div class=post><p>Story {i}</p></div><div class='k{i // 2}'><div>Part {i}</div></div><div class=end>All rights kept</div></body>"
+
+
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    """Two of 40 pages do not have the greeting, so it is not template, whichever pages are looked at first."""
+    rows = [(i, f"http://many.org/{i}", rare(i, "No greeting" if i in (7, 28) else "Welcome")) for i in range(40)]
+    rows += [(100 + i, f"http://few.org/{i}", rare(i, "Welcome")) for i in range(12)]
+    rows += [(None, "http://null.org/a", rare(0, "Hello")), *((i, f"http://null.org/{i}", rare(i, "Welcome")) for i in range(1, 6))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {(i, url): text for i, url, text in wrappers.main_texts(pages).collect()}
+    for i, url, html in rows:
+        story = f"Story {i or 0}\n\nPart {i or 0}" if i is None or i < 100 else f"Story {i - 100}\n\nPart {i - 100}"
+        kept = "" if "few" in url else "No greeting\n\n" if i in (7, 28) else "Hello\n\n" if i is None else "Welcome\n\n"
+        assert got[i, url] == kept + story
+
+
+@pytest.mark.parametrize("block", [3, 1_000])
+def test_wrapper_in_parts_is_the_wrapper_of_the_pages(spark, monkeypatch, block):
+    """Sets of paths compared in blocks, pages matched one by one, against all pages of a host at once."""
+    monkeypatch.setattr(wrappers, "WAYS_PER_BLOCK", block)
+    rng = random.Random(5)
+    hosts = {}
+    for h in range(12):
+        kinds = [[f"<div class=c{rng.randrange(4)}>{'<p>' if rng.random() < 0.4 else ''}{rng.choice(['Same', 'Fixed', '%d'])}</div>" for _ in range(rng.randrange(1, 5))] for _ in range(3)]
+        hosts[f"h{h}.org"] = ["".join(part.replace("%d", str(rng.randrange(9))) for part in rng.choice(kinds)) + f"<div class=k{rng.randrange(6)}>{rng.choice(['tail', 'end'])}</div>" for _ in range(rng.randrange(3, 30))]
+    rows = [(h, 1000 * n + i, html) for n, (h, pages) in enumerate(hosts.items()) for i, html in enumerate(pages)]
+    got = dict(map(tuple, wrappers.host_wrappers(spark.createDataFrame(rows * 2, "host string, page_id long, html string").repartition(4)).collect()))
+    for host, pages in hosts.items():
+        want = wrappers.induced(pages)
+        assert json.loads(got[host]) == want if want["template"] or want["content"] else host not in got
+    assert len(got) > 4
