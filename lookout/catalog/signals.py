@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from lookout.catalog.tables import r6
 from lookout.functions import signal as sg
 from lookout.operators.aggregates import frame_summary as summarize
 from lookout.plans import views as v
-from lookout.session import scratch_path, table, work_tables
+from lookout.session import own_work_tables, scratch_path, table, work_tables
 from lookout.sources import files
 from lookout.streaming import jobs as st
 from lookout.streaming import recordings as rec
@@ -191,6 +194,7 @@ def frame_mfcc(spark, d):
 
 PART_BYTES = 1 << 29  #: of recordings that lie in the shared folder at a time, for a stream
 BATCHES_PER_PART = 4  #: a batch job has no stream to start for each part and takes a fourth of it at a time
+AT_ONCE = 2  #: parts that a batch job works on at a time, so that one is written and planned while another is measured
 REPEATS = "(1250 * (1 + vec_id % 2) + 10)"
 
 
@@ -211,20 +215,25 @@ def count_of_parts(spark, d, share=1):
     return 1 + (table(spark, d, "embeddings").agg(size).first()[0] or 0) * share // PART_BYTES
 
 
-def recording_folders(spark, d, home=None, share=1):
-    """(number, folder) of one part of the recordings after the other: a WAV file per vector, its 64 values over and over, for 5 or 10
-    seconds and a rest, every twentieth with another sample rate in its head. Folders lie below ``home``, if it is named.
+def dealt_vectors(spark, d, share=1):
+    """(reader of the vectors of one part, count of parts)"""
+    parts = count_of_parts(spark, d, share)
+    return dealt(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id"), parts), parts
+
+
+def recording_folders(spark, d, home=None):
+    """One part of the recordings after the other, in a folder below ``home``: a WAV file per vector, its 64 values over and over, for 5 or 10
+    seconds and a rest, every twentieth with another sample rate in its head.
 
     The recordings are a thousand times larger than the vectors, so a part goes, with all that was made of it on the way, before the next
     one is written.
     """
-    parts = count_of_parts(spark, d, share)
-    vectors = dealt(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id"), parts)
+    vectors, parts = dealt_vectors(spark, d)
     for number in range(parts):
         with work_tables(spark):
             folder = scratch_path(spark, "corpus", home)
             write_recordings(vectors(number), folder)
-            yield number, folder
+            yield folder
 
 
 def write_recordings(vectors, folder):
@@ -250,12 +259,26 @@ def write_recordings(vectors, folder):
 
 
 def of_all_parts(spark, d, work):
-    """The rows that ``work`` makes of each part of the recordings, from its number and folder."""
+    """The rows that ``work`` makes of each part of the recordings, from its number and folder; ``AT_ONCE`` parts lie there at a time."""
     path = scratch_path(spark, "from-recordings")
-    for number, folder in recording_folders(spark, d, share=BATCHES_PER_PART):
-        rows = work(number, folder)
-        rows.write.parquet(f"{path}/part={number}")
-    return spark.read.schema(rows.schema).parquet(path).drop("part")
+    vectors, parts = dealt_vectors(spark, d, BATCHES_PER_PART)
+    changing = threading.Lock()  # one part is written or removed at a time
+
+    def of_part(number):
+        with work_tables(spark, changing):
+            folder = scratch_path(spark, "corpus")
+            with changing:
+                write_recordings(vectors(number), folder)
+            rows = work(number, folder)
+            rows.write.parquet(f"{path}/part={number}")
+            return rows.schema
+
+    with ThreadPoolExecutor(AT_ONCE, initializer=own_work_tables) as pool:
+        try:
+            schemas = list(pool.map(of_part, range(parts)))
+        finally:
+            pool.shutdown(cancel_futures=True)
+    return spark.read.schema(schemas[0]).parquet(path).drop("part")
 
 
 def recordings_in(spark, folder):

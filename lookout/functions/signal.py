@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ ONSET_WIDTH, ONSET_DELTA_DB = 3, 6.0
 VOICED_FROM = 0.45
 FLOOR = 1e-10
 CACHED_FRAMES = 32
-CHUNKS_PER_BATCH = 64
+CACHED_HOPS = 64
 FRAMES_PER_BLOCK = 160
 
 
@@ -135,21 +136,59 @@ def autocorrelation_peak(x: np.ndarray, rate: float, low: float, high: float) ->
     Ties go to the shorter lag. A silent frame has lag 0 and height 0.
     """
     n = x.shape[1]
-    first = max(1, int(np.ceil(rate / high)))
-    last = min(n - 1, int(np.floor(rate / low)))
+    first, last = lag_range(n, rate, low, high)
     if last < first:
         return np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
     size = fft_size(n + last)  # enough padding for the lags in question
     spectrum = np.fft.rfft(x, size, axis=1)
     whole = np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size, axis=1)[:, first : last + 1]
-    energy = (x * x).sum(axis=1)
-    heights = np.round(whole / np.where(energy > 0, energy, 1.0)[:, None], 9)
+    return highest(whole, (x * x).sum(axis=1), first)
+
+
+def lag_range(n: int, rate: float, low: float, high: float) -> tuple[int, int]:
+    return max(1, int(np.ceil(rate / high))), min(n - 1, int(np.floor(rate / low)))
+
+
+def highest(products: np.ndarray, energy: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The peak of each frame from its sums of products at the lags from ``first`` on."""
+    heights = np.round(products / np.where(energy > 0, energy, 1.0)[:, None], 9)
     best = heights.argmax(axis=1)
-    height = heights[np.arange(len(x)), best]
+    height = heights[np.arange(len(heights)), best]
     silent = energy <= 0
     return np.where(silent, 0, best + first), np.where(silent, 0.0, height)
 
 
+def overlapping_peaks(y: np.ndarray, length: int, hop: int, rate: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """``autocorrelation_peak`` of all full frames of ``y`` that lie ``hop`` samples apart; None where frames are not whole hops.
+
+    A frame is a number of hops. The products that begin in a hop are summed once for all frames that it belongs to, and the last hop of a
+    frame has those that also end in it.
+    """
+    first, last = lag_range(length, rate, low, high)
+    per = length // hop
+    if length % hop or not first <= last <= hop:
+        return None
+    hops = (len(y) - length) // hop + per
+    size = fft_size(hop + last)
+    padded = np.zeros((hops - 1) * hop + size, y.dtype)
+    known = min(len(y), len(padded))
+    padded[:known] = y[:known]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
+    begun, within, energy = (np.empty((hops, *rest), y.dtype) for rest in ((last + 1 - first,), (last + 1 - first,), ()))
+    for at in range(0, hops, CACHED_HOPS):
+        some = slice(at, at + CACHED_HOPS)
+        here = windows[some, :hop]
+        reach = windows[some].copy()
+        reach[:, hop + last :] = 0
+        own, far = np.fft.rfft(here, size, axis=1), np.fft.rfft(reach, axis=1)
+        begun[some] = np.fft.irfft(own.conj() * far, size, axis=1)[:, first : last + 1]
+        within[some] = np.fft.irfft(own.real**2 + own.imag**2, size, axis=1)[:, first : last + 1]
+        energy[some] = (here * here).sum(axis=1)
+    frames = hops - per + 1
+    products = within[per - 1 :] + sum(begun[k : k + frames] for k in range(per - 1))
+    return highest(products, sum(energy[k : k + frames] for k in range(per)), first)
+
+
 def harmonicity_db(height: np.ndarray) -> np.ndarray:
     """10 log10(r / (1 - r)) of the normalised autocorrelation peak."""
     r = np.clip(height, 1e-6, 1 - 1e-6)
@@ -196,6 +235,12 @@ def mel_matrix(rate: float, n: int, n_mels: int = N_MELS) -> np.ndarray:
     return np.maximum(0.0, np.minimum(up, down)) * (2.0 / (edges[2:] - edges[:-2]))[:, None]
 
 
+@lru_cache(maxsize=8)
+def mel_weights(rate: float, n: int, n_mels: int, dtype: str) -> np.ndarray:
+    """The filters as columns, in the precision of the spectra."""
+    return np.ascontiguousarray(mel_matrix(rate, n, n_mels).T.astype(dtype))
+
+
 @lru_cache(maxsize=8)
 def cosine_basis(count: int, n_mels: int) -> np.ndarray:
     k, m = np.arange(count)[:, None], np.arange(n_mels)[None, :]
@@ -205,7 +250,7 @@ def cosine_basis(count: int, n_mels: int) -> np.ndarray:
 
 
 def mel_db(power: np.ndarray, rate: float, n: int, n_mels: int = N_MELS) -> np.ndarray:
-    return 10.0 * np.log10(np.maximum(power @ mel_matrix(rate, n, n_mels).T, FLOOR))
+    return 10.0 * np.log10(np.maximum(power @ mel_weights(rate, n, n_mels, power.dtype.str), FLOOR))
 
 
 def mfcc(levels: np.ndarray, count: int = N_MFCC, range_db: float = MEL_RANGE_DB) -> np.ndarray:
@@ -214,14 +259,16 @@ def mfcc(levels: np.ndarray, count: int = N_MFCC, range_db: float = MEL_RANGE_DB
     return levels @ cosine_basis(count, levels.shape[1]).T
 
 
-def spectral_kernel(x: np.ndarray, rate: float, low: float, high: float) -> tuple[np.ndarray, ...]:
-    """(lag, height, centroid, roll-off, mel levels) of frames, a few frames at a time to stay in the cache."""
+def spectral_kernel(
+    x: np.ndarray, rate: float, low: float, high: float, peaks: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, ...]:
+    """(lag, height, centroid, roll-off, mel levels) of frames, a few frames at a time to stay in the cache. ``peaks`` are
+    the lags and heights, where they are known."""
     parts = []
-    for block in (x[i : i + CACHED_FRAMES] for i in range(0, len(x), CACHED_FRAMES)):
-        power, hz = power_spectrum(block, rate)
-        parts.append(
-            (*autocorrelation_peak(block, rate, low, high), *spectral_shape(power, hz), mel_db(power, rate, x.shape[1]))
-        )
+    for block in (slice(i, i + CACHED_FRAMES) for i in range(0, len(x), CACHED_FRAMES)):
+        power, hz = power_spectrum(x[block], rate)
+        peak = (peaks[0][block], peaks[1][block]) if peaks else autocorrelation_peak(x[block], rate, low, high)
+        parts.append((*peak, *spectral_shape(power, hz), mel_db(power, rate, x.shape[1])))
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
@@ -260,20 +307,23 @@ def spectral_measures(samples: str, rate: float, low: float = PITCH_LOW, high: f
 
 FRAME_MEASURES = ("energy", "zcr", "pitch", "hnr", "spectral_centroid", "spectral_rolloff")
 MFCCS = tuple(f"mfcc_{i + 1}" for i in range(N_MFCC))
-FRAMES = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("chunk_id", T.LongType()),
-        T.StructField("frame", T.LongType()),
-        *[T.StructField(c, T.DoubleType()) for c in FRAME_MEASURES],
-        T.StructField("loud", T.BooleanType()),
-        T.StructField("onset", T.BooleanType()),
-        *[T.StructField(c, T.DoubleType()) for c in MFCCS],
-        T.StructField("error", T.StringType()),
-    ]
+SPREAD = {"pitch": "voiced", "energy": "frames"}  #: measures with a spread, and what counts their frames
+SUMMED = (*FRAME_MEASURES, *MFCCS)
+SPREADS = tuple(f"{c}_spread" for c in SPREAD)
+SUMS = ", ".join(
+    ["path string, chunk_id long, frames long, voiced long, onsets long, louds long, levels array<double>"]
+    + [f"{c} double" for c in (*SUMMED, *SPREADS)]
+    + ["error string"]
 )
 
 
+@lru_cache(maxsize=1)
+def sums_schema() -> pa.Schema:
+    whole = [(c, pa.int64()) for c in ("chunk_id", "frames", "voiced", "onsets", "louds")]
+    parts = [("path", pa.string()), *whole, ("levels", pa.list_(pa.float64())), *((c, pa.float64()) for c in (*SUMMED, *SPREADS))]
+    return pa.schema([*parts, ("error", pa.string())])
+
+
 def loud_and_onset(energy: np.ndarray, top_db: float, width: int, delta_db: float) -> tuple[np.ndarray, np.ndarray]:
     """The marks of ``loud`` and ``onset_rows`` for the frames of one chunk."""
     top = energy.max()
@@ -294,13 +344,14 @@ def chunk_frames(pcm: bytes | None, rate: int, length: int, hop: int, top_db: fl
     if len(y) < length:
         return None
     # Single precision is ample for the spectra of 16-bit samples and halves their time.
-    x = np.lib.stride_tricks.sliding_window_view(y.astype(np.float32), length)[::hop]
+    single = y.astype(np.float32)
+    x = np.lib.stride_tricks.sliding_window_view(single, length)[::hop]
     start = np.arange(len(x)) * hop
     # Sums over frames from running sums over the chunk.
     squares = np.concatenate([[0.0], np.cumsum(y * y)])
     changes = np.concatenate([[0], np.cumsum((y[1:] >= 0) != (y[:-1] >= 0))])
     energy = np.sqrt((squares[start + length] - squares[start]) / length)
-    lag, height, centroid, rolloff, levels = spectral_kernel(x, rate, PITCH_LOW, PITCH_HIGH)
+    lag, height, centroid, rolloff, levels = spectral_kernel(x, rate, PITCH_LOW, PITCH_HIGH, overlapping_peaks(single, length, hop, rate, PITCH_LOW, PITCH_HIGH))
     voiced = (lag > 0) & (height >= VOICED_FROM)
     is_loud, onset = loud_and_onset(energy, top_db, ONSET_WIDTH, ONSET_DELTA_DB)
     return {
@@ -317,48 +368,74 @@ def chunk_frames(pcm: bytes | None, rate: int, length: int, hop: int, top_db: fl
     }
 
 
-def measured_frames(chunks: DataFrame, rate: int, length: int, hop: int, top_db: float = TOP_DB) -> DataFrame:
-    """Frame rows with all measures, from rows of PCM16 chunk bytes. A row with an error is passed on as one row."""
+def chunk_sums(found: dict[str, np.ndarray], mine: slice, with_levels: bool) -> dict:
+    """Counts, sums and spreads (squared distances from their mean) of the frames ``mine`` of one chunk. Missing pitches are skipped."""
+    pitch, energy = found["pitch"][mine], found["energy"][mine]
+    pitch = pitch[~np.isnan(pitch)]
+    sums = {c: x[mine].sum(dtype=np.float64) for c, x in found.items() if c in SUMMED}
+    spreads = {f"{c}_spread": ((x - x.mean()) ** 2).sum() if len(x) else 0.0 for c, x in (("pitch", pitch), ("energy", energy))}
+    counts = {"frames": len(energy), "voiced": len(pitch), "onsets": found["onset"][mine].sum(), "louds": found["loud"][mine].sum()}
+    return {**counts, **sums, **spreads, "pitch": pitch.sum(), "levels": energy if with_levels else None}
 
-    def frames_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def measured_chunks(
+    chunks: DataFrame, rate: int, length: int, hop: int, top_db: float = TOP_DB, block: int | None = None, halo: int = 0
+) -> DataFrame:
+    """The sums over the frames of each chunk, from rows of PCM16 chunk bytes; chunks without a full frame have no row. A row with an
+    error is passed on.
+
+    Frames are made and summed up in the same task, so one row per chunk leaves it. With ``block`` chunk number b has ``halo`` frames
+    around the frames b * block .. (b + 1) * block - 1, which are summed; then the sums hold the level of each frame.
+    """
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            failed = batch[batch["error"].notna()]
-            if len(failed):
-                yield failed[["path", "chunk_id", "error"]].reindex(columns=FRAMES.names)
-            batch = batch[batch["error"].isna()]
-            for at in range(0, len(batch), CHUNKS_PER_BATCH):
-                part = batch.iloc[at : at + CHUNKS_PER_BATCH]
-                found = [chunk_frames(pcm, rate, length, hop, top_db, int(n)) for pcm, n in zip(part["pcm"], part["channels"])]
-                counts = [0 if f is None else len(f["frame"]) for f in found]
-                found = [f for f in found if f is not None]
-                if found:
-                    ids = part[["path", "chunk_id"]].loc[part.index.repeat(counts)].reset_index(drop=True)
-                    yield ids.assign(**{c: np.concatenate([f[c] for f in found]) for c in found[0]}, error=None)
+            rows = []
+            for values in zip(*batch.columns, strict=True):
+                path, chunk, channels, pcm, error = (v.as_py() for v in values)
+                if error is not None:
+                    rows.append({"path": path, "chunk_id": chunk, "error": error})
+                    continue
+                found = chunk_frames(pcm, rate, length, hop, top_db, channels)
+                if found is None:
+                    continue
+                before = min(halo, chunk * block) if block else 0
+                mine = slice(before, before + block if block else None)
+                if len(found["frame"][mine]):
+                    rows.append({"path": path, "chunk_id": chunk, **chunk_sums(found, mine, block is not None)})
+            yield pa.RecordBatch.from_pylist(rows, sums_schema())
 
     error = F.col("error") if "error" in chunks.columns else F.lit(None).cast("string")
-    rows = chunks.select("path", "chunk_id", F.coalesce("channels", F.lit(1)).alias("channels"), "pcm", error.alias("error")).mapInPandas(frames_of, FRAMES)
-    return rows.withColumn("pitch", F.nanvl("pitch", F.lit(None).cast("double")))
-
+    return chunks.select("path", "chunk_id", F.coalesce("channels", F.lit(1)).alias("channels"), "pcm", error.alias("error")).mapInArrow(sums_of, SUMS)
 
-def chunk_features(frames: DataFrame, rate: int, length: int, hop: int, also: Sequence[Column] = ()) -> DataFrame:
-    """One feature row per (path, chunk): means and spreads, pause ratio, onset rate, mean MFCCs.
 
-    The frames of a chunk come out of one task, so they are summed up before the shuffle.
-    """
-    seconds = ((F.count(F.lit(1)) - 1) * hop + length) / float(rate)
+def chunk_features(sums: DataFrame, rate: int, length: int, hop: int, also: Sequence[Column] = ()) -> DataFrame:
+    """One feature row per (path, chunk): means and spreads, pause ratio, onset rate, mean MFCCs."""
+    n = F.sum("frames")
+    seconds = ((n - 1) * hop + length) / float(rate)
     zero = F.lit(0.0)
-    return frames.groupBy("path", "chunk_id").agg(
-        F.coalesce(F.avg("pitch"), zero).alias("pitch_mean"),
-        F.coalesce(F.stddev_pop("pitch"), zero).alias("pitch_std"),
-        F.avg("energy").alias("energy_mean"),
-        F.stddev_pop("energy").alias("energy_std"),
-        (F.count_if("onset") / seconds).alias("speech_rate"),
-        (1 - F.count_if("loud") / F.count(F.lit(1))).alias("pause_ratio"),
-        F.avg("hnr").alias("hnr"),
-        F.avg("zcr").alias("zcr_mean"),
-        F.avg("spectral_centroid").alias("spectral_centroid_mean"),
-        F.avg("spectral_rolloff").alias("spectral_rolloff_mean"),
-        *[F.avg(c).alias(c) for c in MFCCS],
+
+    def mean(c: str) -> Column:
+        return F.try_divide(F.sum(c), F.sum(SPREAD.get(c, "frames")))
+
+    def std(c: str) -> Column:
+        """Rows of the same chunk, if there are several, add the distances of their means."""
+        count = F.sum(SPREAD[c])
+        apart = F.sum(F.try_divide(F.col(c) * F.col(c), F.col(SPREAD[c]))) - F.try_divide(F.sum(c) * F.sum(c), count)
+        return F.sqrt(F.try_divide(F.sum(f"{c}_spread") + F.when(F.count(F.lit(1)) > 1, F.greatest(zero, apart)).otherwise(zero), count))
+
+    return sums.groupBy("path", "chunk_id").agg(
+        F.coalesce(mean("pitch"), zero).alias("pitch_mean"),
+        F.coalesce(std("pitch"), zero).alias("pitch_std"),
+        mean("energy").alias("energy_mean"),
+        std("energy").alias("energy_std"),
+        (F.sum("onsets") / seconds).alias("speech_rate"),
+        (1 - F.sum("louds") / n).alias("pause_ratio"),
+        mean("hnr").alias("hnr"),
+        mean("zcr").alias("zcr_mean"),
+        mean("spectral_centroid").alias("spectral_centroid_mean"),
+        mean("spectral_rolloff").alias("spectral_rolloff_mean"),
+        *[mean(c).alias(c) for c in MFCCS],
         *also,
     )
 
@@ -375,8 +452,8 @@ def signal_features(
 ) -> tuple[DataFrame, DataFrame]:
     """(feature row per recording and chunk, rejected recordings with a reason). The files are read once for both."""
     parts = recording_parts(recordings, seconds, rate, keep_tail, min_seconds, resample=resample)
-    frames = measured_frames(parts, rate, length, hop)
-    features = chunk_features(frames, rate, length, hop, [F.first("error", True).alias("error")])
+    sums = measured_chunks(parts, rate, length, hop)
+    features = chunk_features(sums, rate, length, hop, [F.first("error", True).alias("error")])
     return parted(settled(features), "chunk_id")
 
 
@@ -399,22 +476,9 @@ def file_features(
     """
     halo = ONSET_WIDTH
     parts = recording_blocks(recordings, length, hop, block, halo, rate, min_seconds, max_seconds, resample=resample)
-    frames = measured_frames(parts.withColumnRenamed("block", "chunk_id"), rate, length, hop, top_db)
-    number = F.col("frame") + F.greatest(F.lit(0), F.col("chunk_id") * block - halo)
-    frames = frames.filter((F.floor(number / block) == F.col("chunk_id")) | F.col("error").isNotNull())
-
-    spread, plain = ("pitch", "energy"), ("hnr", "zcr", "spectral_centroid", "spectral_rolloff", *MFCCS)
-    blocks = frames.groupBy("path", "chunk_id").agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.count("pitch").alias("voiced"),
-        F.count_if("onset").alias("onsets"),
-        F.collect_list("energy").alias("levels"),
-        *[F.sum(c).alias(c) for c in (*spread, *plain)],
-        *[(F.var_pop(c) * F.count(c)).alias(f"{c}_spread") for c in spread],
-        F.first("error", True).alias("error"),
-    )
+    blocks = measured_chunks(parts.withColumnRenamed("block", "chunk_id"), rate, length, hop, top_db, block, halo)
+    spread, counts = tuple(SPREAD), SPREAD
     blocks, rejects = parted(settled(blocks), "chunk_id")
-    counts = {"pitch": "voiced", "energy": "frames"}
     top = blocks.groupBy("path").agg(
         F.max(F.array_max("levels")).alias("top"), *[F.try_divide(F.sum(c), F.sum(counts[c])).alias(f"{c}_center") for c in spread]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from pathlib import Path
 
 import duckdb
@@ -100,3 +101,18 @@ def test_many_short_recordings_take_a_task_per_core(spark, tmp_path):
         assert sorted(bytes(r["content"]) for r in rows.collect()) == [bytes([i]) * 100 for i in range(40)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_part_is_written_while_another_is_measured(spark, folder, monkeypatch):
+    """Two parts meet in the middle of their work; what each made goes when it ends."""
+    monkeypatch.setattr(signals, "PART_BYTES", 24 << 20)  # 11 MB in parts of 6 MB
+    met, shared = threading.Barrier(2, timeout=60), Path(shared_folder(spark))
+    before = set(shared.rglob("*.wav"))
+
+    def work(number, where):
+        met.wait()
+        return spark.createDataFrame([(number, len(list(Path(where.removeprefix("file:")).glob("*.wav"))))], "part_number long, n long")
+
+    rows = signals.of_all_parts(spark, str(folder), work).collect()
+    assert [r["part_number"] for r in sorted(rows)] == [0, 1] and sum(r["n"] for r in rows) == 45
+    assert not set(shared.rglob("*.wav")) - before

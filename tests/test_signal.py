@@ -263,3 +263,36 @@ def test_corpus_features(spark, folder):
     assert got["silence", 0]["risk_label"] == 2
     score = out.select("subject", "chunk_id", decide.rule_score(decide.SPEECH_RULES).alias("s"))
     assert {r["s"] for r in score.filter("subject = 'silence'").collect()} == {2 + 2 + 1 + 1 + 1 + 1 + 1}
+
+
+@pytest.mark.parametrize(("length", "hop"), [(2_048, 512), (512, 256)])
+def test_peaks_of_overlapping_frames_are_those_of_each_frame(length, hop):
+    """Products summed once per hop, against every frame on its own; also at silence and at a cut-off end."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(0, 0.1, 20_000 + 77) + 0.3 * np.sin(np.arange(20_077) * 0.08)
+    y[6_000:10_000] = 0
+    y = y.astype(np.float32)
+    frames = np.lib.stride_tricks.sliding_window_view(y, length)[::hop]
+    lag, height = sg.autocorrelation_peak(frames, RATE, 80.0, 400.0)
+    got_lag, got_height = sg.overlapping_peaks(y, length, hop, RATE, 80.0, 400.0)
+    assert len(got_lag) == len(frames) and (got_lag == lag).all() and np.abs(got_height - height).max() < 1e-5
+    assert (lag == 0).any() and sg.overlapping_peaks(y, length, hop + 1, RATE, 80.0, 400.0) is None
+
+
+def test_one_row_per_chunk_leaves_the_task(spark):
+    """Sums of a chunk against its frames; with blocks the frames around them are left out."""
+    rng = np.random.default_rng(4)
+    pcm = [files.wav_content(rng.normal(0, 0.1, n) + 0.2 * np.sin(np.arange(n) * 0.07))[44:] for n in (40_000, 100, 30_000)]
+    rows = [(f"{i}.wav", i, 1, bytearray(p), None) for i, p in enumerate(pcm)] + [("bad.wav", None, None, None, "no WAV header")]
+    chunks = spark.createDataFrame(rows, "path string, chunk_id long, channels int, pcm binary, error string")
+    for block, halo in ((None, 0), (20, 3)):
+        got = {r["path"]: r for r in sg.measured_chunks(chunks, RATE, sg.FRAME_LENGTH, sg.HOP, sg.TOP_DB, block, halo).collect()}
+        assert set(got) == {"0.wav", "2.wav", "bad.wav"} and got["bad.wav"]["error"] == "no WAV header"
+        for i in (0, 2):
+            f = sg.chunk_frames(pcm[i], RATE, sg.FRAME_LENGTH, sg.HOP, sg.TOP_DB)
+            mine = slice(min(halo, i * (block or 0)), None if block is None else min(halo, i * block) + block)
+            row, energy, pitch = got[f"{i}.wav"], f["energy"][mine], f["pitch"][mine]
+            assert (row["frames"], row["voiced"]) == (len(energy), int((~np.isnan(pitch)).sum()))
+            assert row["energy"] == pytest.approx(energy.sum()) and row["energy_spread"] == pytest.approx(energy.var() * len(energy))
+            assert row["pitch"] == pytest.approx(np.nansum(pitch)) and row["hnr"] == pytest.approx(f["hnr"][mine].sum(), rel=1e-5)
+            assert row["levels"] == (None if block is None else pytest.approx(list(energy)))
