@@ -31,6 +31,8 @@ def measure_recordings(
     """Feature rows (subject, path, chunk_id, measures) in ``path/features`` and rejects (subject, path, error) in ``path/rejects``."""
 
     def write(batch: DataFrame, number: int) -> None:
+        # Spark counts 4 MB for opening a file; recordings that are short and many are read by one task per core.
+        batch = batch.coalesce(batch.sparkSession.sparkContext.defaultParallelism)
         features, rejects = signal_features(batch, seconds, rate, resample=resample)
         for name, rows in (("features", features), ("rejects", rejects)):
             rows.withColumn("subject", subject_of).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")

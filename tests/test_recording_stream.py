@@ -55,3 +55,22 @@ def test_stream_equals_batch(spark, tmp_path):
         last[r["subject"]] = max(last.get(r["subject"], (0, 0.0)), (r["baseline_n"], r["base"]))
     for name, mean, n in features.groupBy("subject").agg(F.avg("energy_mean"), F.count("*")).collect():
         assert last[name][0] == n and abs(last[name][1] - mean) < 1e-9
+
+
+def test_a_batch_of_short_recordings_takes_a_task_per_core(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for i in range(30):
+        (tmp_path / "in" / f"ann{i}.wav").write_bytes(files.wav_content(tone(200, 0.2), RATE))
+    seen, features_of = [], rec.signal_features
+
+    def counted(batch, *args, **options):
+        seen.append(batch.rdd.getNumPartitions())
+        return features_of(batch, *args, **options)
+
+    monkeypatch.setattr(rec, "signal_features", counted)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        st.finish(rec.measure_recordings(rec.recording_stream(spark, str(tmp_path / "in")), subject(), str(tmp_path / "out"), str(tmp_path / "check")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen == [spark.sparkContext.defaultParallelism]
